@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.attach import attach
 from ..plans.ordered import carry, cumulate, framed, shifted
+from ..session import cut
 
 
 def ecdf(df: DataFrame, keys: Sequence[str], value: str = "x", right: bool = False, per_range: int | None = None):
@@ -44,10 +45,11 @@ def runs(
     """One row per run of flag = 1: (keys, s, e, len) plus aggregates.  Dense order column.
 
     A row carries the position of the last run start before it, so that a run that spans many chunks is
-    still one group, and the groups are reduced before the shuffle.
+    still one group, and the groups are reduced before the shuffle.  The run table is checkpointed, since every
+    user reads it more than once.
     """
     marked = run_ids(df, keys, flag, order, size)
-    return (
+    table = (
         marked.filter(F.col("run_id").isNotNull())
         .groupBy(*keys, F.col("run_id").alias("s"))
         .agg(
@@ -55,6 +57,7 @@ def runs(
             *[c.alias(n) for n, c in (extra or {}).items()],
         )
     )
+    return cut(table)
 
 
 def run_ids(df: DataFrame, keys: Sequence[str] = ("series_id",), flag: str = "label", order: str = "t", size: int | None = None) -> DataFrame:
