@@ -1,4 +1,7 @@
-"""The driver tables seen as labelled time series, in Spark and as SQL."""
+"""The driver tables seen as labelled time series, in Spark and as SQL.
+
+A series table is written once (checkpointed), as a user would store it, and then read by the operators.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.ordered import index_rows
+from ..session import cut
 from .base import squeeze
 
 HOURS = 720
@@ -35,7 +39,7 @@ def ts_user(spark, sf_dir) -> DataFrame:
         (F.lit(0.1) * F.col("value") + F.lit(0.2) * k).alias("score"),
         F.when(F.col("value") > 150, 1).otherwise(0).alias("label"),
     )
-    return index_rows(s, ["series_id"], ["ts", "event_id"], seconds(), 86_400 * 7)
+    return cut(index_rows(s, ["series_id"], ["ts", "event_id"], seconds(), 86_400 * 7))
 
 
 def ts_hour(spark, sf_dir) -> DataFrame:
@@ -60,11 +64,11 @@ def ts_hour_labelled(spark, sf_dir) -> DataFrame:
     """Full grid, gaps 0, a score and label runs of five points."""
     g = ts_hour_grid(spark, sf_dir)
     c1, c2 = F.coalesce("c1", F.lit(0)), F.coalesce("c2", F.lit(0.0))
-    return g.select(
+    return cut(g.select(
         "series_id", "t", c1.cast("double").alias("c1"), c2.alias("c2"),
         F.round(c1 + c2 / 100.0, 9).alias("score"),
         F.when((F.col("t") + 13 * F.length("series_id") + 7) % 60 < 5, 1).otherwise(0).alias("label"),
-    )
+    ))
 
 
 def ts_day(spark, sf_dir) -> DataFrame:
@@ -77,7 +81,7 @@ def ts_day(spark, sf_dir) -> DataFrame:
         F.sum("l_quantity").alias("c1"), F.round(F.sum("l_extendedprice"), 2).alias("c2"),
         F.round(F.avg("l_discount"), 9).alias("c3"), F.round(F.avg("l_tax"), 9).alias("c4"),
     )
-    return index_rows(d, ["series_id"], ["day"], F.unix_date("day"), 4096)
+    return cut(index_rows(d, ["series_id"], ["day"], F.unix_date("day"), 4096))
 
 
 def embeddings(spark, sf_dir) -> DataFrame:
