@@ -1,6 +1,6 @@
 """Runnable queries over the driver tables, and the SQL that checks them."""
 
-from . import base_ops, detectors, labels, profiles, quality, relational  # noqa: F401
+from . import base_ops, detectors, labels, metafeatures, profiles, quality, relational  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
