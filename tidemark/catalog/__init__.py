@@ -1,6 +1,16 @@
 """Runnable queries over the driver tables, and the SQL that checks them."""
 
-from . import base_ops, detectors, labels, metafeatures, profiles, quality, relational  # noqa: F401
+from . import (  # noqa: F401
+    base_ops,
+    detectors,
+    labels,
+    metafeatures,
+    pairs_streams,
+    profiles,
+    quality,
+    relational,
+    selection,
+)
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

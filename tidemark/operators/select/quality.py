@@ -60,7 +60,7 @@ def ndcg_graded(perf: DataFrame, n: int, truth="perf", pred="pred", keys=(DS,))
     return r.groupBy(*keys).agg((dcg / ideal).alias("ndcg"))
 
 
-def ndcg_binary(lists: DataFrame, pred: str = "prediction", truth: str = "truth", k: int = 3) -> Column:
+def ndcg_binary(pred: str = "prediction", truth: str = "truth", k: int = 3) -> Column:
     """NDCG@k of two array columns: relevant means in the truth list."""
     taken = F.slice(pred, 1, k)
     gains = F.transform(

@@ -197,6 +197,23 @@ def row_moments(df: DataFrame, channels: Sequence[str], keys: Sequence[str] = KE
     return collected(parts, keys)
 
 
+def array_moments(df: DataFrame, column: str, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, m) of a vector column; partial results per Arrow batch."""
+    names = list(keys)
+
+    def run(batches):
+        for pdf in batches:
+            for key, part in pdf.groupby(names, sort=False):
+                flat = _moment_rows(np.stack(part[column].to_numpy()).astype(float))
+                out = pd.DataFrame({"i": np.arange(len(flat)), "v": flat})
+                for k, v in zip(names, key if isinstance(key, tuple) else (key,), strict=True):
+                    out[k] = v
+                yield out[[*names, "i", "v"]]
+
+    parts = df.select(*names, column).mapInPandas(run, f"{key_schema(df, keys)}, i int, v double")
+    return collected(parts, keys)
+
+
 def unpack(m, p: int | None = None):
     """(count, mean, covariance with ddof 0) of a packed moment array."""
     m = np.asarray(m, dtype=float)
