@@ -83,7 +83,7 @@ def smooth_l1(y: Column, p: Column, beta: float = 1.0) -> Column:
 
 
 def cosine_loss(y: Column, p: Column) -> Column:
-    return F.lit(1.0) - dot(y, p) / (F.sqrt(dot(y, y)) * F.sqrt(dot(p, p)))
+    return F.lit(1.0) - F.try_divide(dot(y, p), F.sqrt(dot(y, y)) * F.sqrt(dot(p, p)))
 
 
 def log_softmax(x: Column) -> Column:
@@ -107,6 +107,11 @@ def variance(x: Column, ddof: int = 0) -> Column:
     return vsumsq(x, vmean(x)) / (F.size(x) - ddof)
 
 
+def safe_corr(x, y) -> Column:
+    """Aggregate: Pearson correlation, NULL when one side is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 # Heap numbers of binary tree nodes: children of i are 2i+1 and 2i+2.
 
 

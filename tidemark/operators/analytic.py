@@ -34,7 +34,7 @@ def train_rank(
     ).filter("_te > 0").drop("_te")
     if normalise:
         top = ranks.groupBy(*keys).agg(F.max("rank").alias("_top"))
-        ranks = attach(ranks, top, keys).withColumn("rank", F.col("rank") / F.col("_top")).drop("_top")
+        ranks = attach(ranks, top, keys).withColumn("rank", F.coalesce(F.try_divide("rank", "_top"), F.lit(0.0))).drop("_top")
     return test.join(ranks, [*keys, score])
 
 

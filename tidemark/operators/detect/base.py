@@ -42,12 +42,12 @@ def predict_proba(scores: DataFrame, fit: DataFrame, method: str = "linear", key
     """Outlier probability: train min-max (linear) or Gaussian error function (unify), clipped to [0, 1]."""
     out = attach(scores, fit.select(*keys, "mu", "sd", "lo", "hi"), keys)
     if method == "linear":
-        p = (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+        p = F.try_divide(F.col("score") - F.col("lo"), F.col("hi") - F.col("lo"))
     elif method == "unify":
-        p = erf((F.col("score") - F.col("mu")) / (F.col("sd") * F.lit(2.0**0.5)))
+        p = erf(F.try_divide(F.col("score") - F.col("mu"), F.col("sd") * F.lit(2.0**0.5)))
     else:
         raise ValueError(f"unknown method {method}")
-    return out.withColumn("proba", F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))).drop("mu", "sd", "lo", "hi")
+    return out.withColumn("proba", F.least(F.greatest(F.coalesce(p, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))).drop("mu", "sd", "lo", "hi")
 
 
 def binomial_cdf(k: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:

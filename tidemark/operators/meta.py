@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import safe_corr
 from ..functions.special import f_tail
 from ..plans.attach import attach
 from ..plans.chunks import collected, over_rows, row_moments, solve_per_key, unpack
@@ -88,9 +89,10 @@ def cell_features(long: DataFrame, rows: DataFrame, keys: Sequence[str] = KEYS,
     mad = cumulate(dev, keys, "d", {"n": F.sum("n")}, per_range).groupBy(*keys).agg(quantile_of("d", 0.5).alias("med_abs_dev"))
     out = b.drop("n_samples").join(extra, list(keys)).join(mad, list(keys))
     return out.withColumns({
-        "normalized_mean": mu / F.col("sample_max"), "normalized_median": F.col("sample_median") / F.col("sample_max"),
+        "normalized_mean": F.try_divide(mu, F.col("sample_max")),
+        "normalized_median": F.try_divide(F.col("sample_median"), F.col("sample_max")),
         "sample_range": F.col("sample_max") - F.col("sample_min"),
-        "quant_coeff_disp": (q75 - q25) / (q75 + q25 + F.lit(1e-8)), "coeff_var": F.col("sample_var") / mu,
+        "quant_coeff_disp": (q75 - q25) / (q75 + q25 + F.lit(1e-8)), "coeff_var": F.try_divide(F.col("sample_var"), mu),
     })
 
 
@@ -195,13 +197,17 @@ def matrix_features(df: DataFrame, channels: Sequence[str], keys: Sequence[str]
     return solve_per_key(m, solve, ", ".join(f"{c} double" for c in MATRIX_COLS), keys)
 
 
+def _equals(j: int):
+    return lambda v: v == j
+
+
 def forest_landmarks(df: DataFrame, channels: Sequence[str], trees: int = 100, keys: Sequence[str] = KEYS, seed: int = 0):
     """Leaves, depth and split shares of isolation trees, list6 over the trees (AGG19)."""
     f = forest_fit(df, channels, 1, trees, seed=seed, keys=keys)
     d = len(channels)
     node = F.transform(F.sequence(F.lit(0), (F.size("nodes") / 6 - 1).cast("int")), lambda i: F.element_at("nodes", i * 6 + 1))
     used = F.filter(node, lambda v: v >= 0)
-    share = [F.size(F.filter(used, lambda v, j=j: v == j)) / F.greatest(F.size(used), F.lit(1)) for j in range(d)]
+    share = [F.size(F.filter(used, _equals(j))) / F.greatest(F.size(used), F.lit(1)) for j in range(d)]
     fi = f.select(*keys, "tree", F.array(*share).alias("s")).select(
         *keys, "tree", (F.aggregate("s", F.lit(0.0), lambda a, v: a + v) / d).alias("IForest_fi_mean"),
         F.array_max("s").alias("IForest_fi_max"),
@@ -319,11 +325,11 @@ def weighted_corr(x: Column, y: Column, w: Column | None = None) -> Column:
     cov = F.sum(w * x * y) / sw - sx / sw * (sy / sw)
     vx = F.sum(w * x * x) / sw - (sx / sw) * (sx / sw)
     vy = F.sum(w * y * y) / sw - (sy / sw) * (sy / sw)
-    return F.least(F.greatest(cov / F.sqrt(vx * vy), F.lit(-1.0)), F.lit(1.0))
+    return F.least(F.greatest(F.try_divide(cov, F.sqrt(vx * vy)), F.lit(-1.0)), F.lit(1.0))
 
 
 def row_correlations(long: DataFrame, row: str = "dataset", column: str = "model", value: str = "perf") -> DataFrame:
     """(a, b, r) for every pair of rows of a small matrix, joined on the column."""
     a = long.select(F.col(row).alias("a"), column, F.col(value).alias("x"))
     b = long.select(F.col(row).alias("b"), column, F.col(value).alias("y"))
-    return a.join(b, column).groupBy("a", "b").agg(F.corr("x", "y").alias("r"))
+    return a.join(b, column).groupBy("a", "b").agg(safe_corr("x", "y").alias("r"))

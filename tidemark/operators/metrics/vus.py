@@ -119,7 +119,7 @@ def _areas(df, windows, keys, score, label, count, per_range, size) -> DataFrame
     recall = F.least(F.col("tp") / p_new, F.lit(1.0))
     s = s.select(
         *keys, "w", "k", (recall * F.col("existing") / F.col("segments")).alias("tpr"),
-        ((F.col("n_pred") - F.col("tp")) / (F.col("n") - p_new)).alias("fpr"),
+        F.coalesce(F.try_divide(F.col("n_pred") - F.col("tp"), F.col("n") - p_new), F.lit(1.0)).alias("fpr"),
         (F.col("tp") / F.col("n_pred")).alias("prec"),
     )
     w = Window.partitionBy(*keys, "w").orderBy("k")

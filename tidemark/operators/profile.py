@@ -49,7 +49,7 @@ def autocorrelation(
     sums = parts.groupBy(*keys, "lag").agg(F.sum("v").alias("v"))
     # at most lags + 1 rows per key from here on
     total = F.max(F.when(F.col("lag") == 0, F.col("v"))).over(Window.partitionBy(*keys))
-    return sums.select(*keys, "lag", (F.col("v") / total).alias("acf"))
+    return sums.select(*keys, "lag", F.try_divide(F.col("v"), total).alias("acf"))
 
 
 def period(

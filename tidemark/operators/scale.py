@@ -79,7 +79,7 @@ def zscore_sample(df: DataFrame, channels: Sequence[str], keys: Sequence[str] =
     makers = {"mu": F.avg, "sd": F.stddev_samp}
     return _apply(
         _with_stats(df, keys, channels, makers), channels, makers,
-        lambda c: (F.col(c) - F.col(f"_mu_{c}")) / F.col(f"_sd_{c}"),
+        lambda c: F.try_divide(F.col(c) - F.col(f"_mu_{c}"), F.col(f"_sd_{c}")),
     )
 
 
@@ -151,7 +151,7 @@ def segment_norm(x: Column, length: int, segment: int = 25, eps: float = 1e-5) -
 
 
 def negative_inverse(y: Column) -> Column:
-    return F.lit(-1.0) / y
+    return F.try_divide(F.lit(-1.0), y)
 
 
 def nan_safe(x: Column) -> Column:

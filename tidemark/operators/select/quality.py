@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ...functions.scalars import safe_corr
+
 DS, MODEL = "dataset", "model"
 
 
@@ -57,7 +59,7 @@ def ndcg_graded(perf: DataFrame, n: int, truth="perf", pred="pred", keys=(DS,))
     gain = F.pow(F.lit(2.0), rel) - 1
     dcg = F.sum(F.when(F.col("pr") <= n, gain / F.log2(F.col("pr") + 1)))
     ideal = F.sum(F.when(F.col("tr") <= n, gain / F.log2(F.col("tr") + 1)))
-    return r.groupBy(*keys).agg((dcg / ideal).alias("ndcg"))
+    return r.groupBy(*keys).agg(F.coalesce(F.try_divide(dcg, ideal), F.lit(0.0)).alias("ndcg"))
 
 
 def ndcg_binary(pred: str = "prediction", truth: str = "truth", k: int = 3) -> Column:
@@ -87,7 +89,7 @@ def ndcg_linear(perf: DataFrame, truth="perf", pred="pred", keys=(DS,)) -> DataF
         (F.avg("y") * F.sum(F.lit(1.0) / F.log2(F.col("pr") + 1))).alias("dcg"),
         F.sum(F.col("y") / F.log2(F.col("tr") + 1)).alias("ideal"),
     )
-    return tied.groupBy(*keys).agg((F.sum("dcg") / F.sum("ideal")).alias("ndcg"))
+    return tied.groupBy(*keys).agg(F.coalesce(F.try_divide(F.sum("dcg"), F.sum("ideal")), F.lit(0.0)).alias("ndcg"))
 
 
 def hit_first(pred: str = "prediction", truth: str = "truth", n: int = 3) -> Column:
@@ -110,7 +112,7 @@ def list_spearman(lists: DataFrame, key: str = DS, pred: str = "prediction", tru
     w = Window.partitionBy(key)
     tie = Window.partitionBy(key, "pr")
     mean_rank = F.rank().over(w.orderBy("pr")) + (F.count(F.lit(1)).over(tie) - 1) / 2
-    return r.withColumn("prr", mean_rank).groupBy(key).agg(F.corr("tr", "prr").alias("rho"))
+    return r.withColumn("prr", mean_rank).groupBy(key).agg(safe_corr("tr", "prr").alias("rho"))
 
 
 def percentile_of(perf: DataFrame, recommended: DataFrame, value: str = "perf", keys=(DS,)) -> DataFrame:

@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import FMRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
@@ -105,14 +108,17 @@ def models_of(perf: DataFrame) -> list[str]:
 
 def _fit_columns(train: DataFrame, test: DataFrame, targets: dict[str, str], make: Callable) -> DataFrame:
     """One regressor per target column: (dataset, name, value) on ``test``."""
-    a, b = _as_features(train).cache(), _as_features(test.select(DS, "x"))
-    parts = None
-    for name, column in targets.items():
+    a, b = cut(_as_features(train)), _as_features(cut(test.select(DS, "x")))
+
+    def fit(item):
+        name, column = item
         fitted = make().setFeaturesCol("features").setLabelCol(column).fit(a)
-        part = fitted.transform(b).select(DS, F.lit(name).alias("name"), F.col("prediction").alias("value"))
-        parts = part if parts is None else parts.unionByName(part)
-    a.unpersist()
-    return cut(parts)
+        return fitted.transform(b).select(DS, F.lit(name).alias("name"), F.col("prediction").alias("value"))
+
+    # the fits are independent Spark jobs, a few of them run side by side
+    with ThreadPool(min(8, len(targets))) as pool:
+        parts = pool.map(inheritable_thread_target(a.sparkSession)(fit), list(targets.items()))
+    return cut(reduce(DataFrame.unionByName, parts))
 
 
 def _forest(trees: int = 100, depth: int = 5, seed: int = 0):
@@ -181,6 +187,12 @@ def factor_regression(
     return attach(scaled, right.withColumn("_one", F.lit(1)), ["_one"]).select(DS, MODEL, dot(F.col("u"), F.col("v")).alias("score"))
 
 
+def _neighbour_steps(own):
+    """Extend a partial grid cell by the three cells around ``own``."""
+    steps = F.array(own - 1, own, own + 1)
+    return lambda done: F.transform(steps, lambda c: F.concat(done, F.array(c)))
+
+
 def dbscan(points: DataFrame, eps: float = 1.0, min_points: int = 5, id: str = DS, max_rounds: int = 100) -> DataFrame:
     """(id, cluster): density clusters, 0 is noise.  ``x`` is a short vector (a projection).
 
@@ -196,8 +208,7 @@ def dbscan(points: DataFrame, eps: float = 1.0, min_points: int = 5, id: str = D
         return p.select(F.col("id").alias(id), F.lit(0).alias("cluster"))
     around = F.array(F.array().cast("array<bigint>"))
     for j in range(dims["d"]):
-        around = F.flatten(F.transform(around, lambda a, j=j: F.transform(
-            F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda o: F.concat(a, F.array(F.col("cell")[j] + o)))))
+        around = F.flatten(F.transform(around, _neighbour_steps(F.col("cell")[j])))
     near = u.select("u", "x", F.explode(around).alias("cell"))
     other = u.select(F.col("u").alias("w"), F.col("x").alias("y"), F.col("m").alias("mw"), "cell")
     pairs = cut(near.join(other, "cell").filter(sqdist(F.col("x"), F.col("y")) <= eps * eps).select("u", "w", "mw"))
