@@ -3,6 +3,7 @@
 from . import (  # noqa: F401
     base_ops,
     detectors,
+    flagship,
     labels,
     metafeatures,
     pairs_streams,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import dot, vmean, vsum, vsumsq
+from .vectors import dot, let, vmean, vsum, vsumsq
 
 EULER = 0.5772156649  # fixed value
 
@@ -87,9 +87,11 @@ def cosine_loss(y: Column, p: Column) -> Column:
 
 
 def log_softmax(x: Column) -> Column:
-    top = F.array_max(x)
-    packed = F.struct(top.alias("m"), F.ln(vsum(F.transform(x, lambda v: F.exp(v - top)))).alias("z"))
-    return F.transform(F.array(packed), lambda s: F.transform(x, lambda v: v - s["m"] - s["z"]))[0]
+    def shifted(top: Column) -> Column:
+        total = F.ln(vsum(F.transform(x, lambda v: F.exp(v - top))))
+        return let(total, lambda z: F.transform(x, lambda v: v - top - z))
+
+    return let(F.array_max(x), shifted)
 
 
 def kl_loss(y: Column, p: Column) -> Column:

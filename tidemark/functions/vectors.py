@@ -18,8 +18,13 @@ def vmean(a: Column) -> Column:
     return vsum(a) / F.size(a)
 
 
+def let(value: Column, body) -> Column:
+    """``body(v)`` with the value computed once; an expression inside a lambda is evaluated per element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def vsumsq(a: Column, centre: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - centre) * (x - centre))
+    return let(centre, lambda m: F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)))
 
 
 def vstd(a: Column, ddof: int = 0) -> Column:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import vmean, vsumsq
+from ..functions.vectors import let, vmean, vsumsq
 from ..plans.attach import attach
 from ..plans.chunks import key_schema, over_windows
 from ..plans.ordered import framed, halo
@@ -126,14 +126,14 @@ def window_stats(df: DataFrame, value: str, window: int, keys: Sequence[str] = K
 def lag_autocorrelation(x: Column, lag: int = 1) -> Column:
     """Sum of (x_i - m)(x_{i+lag} - m) over (n - lag) * variance of one array; NULL for a constant one."""
     n = F.size(x)
-    mu = vmean(x)
-    var = vsumsq(x, mu) / n
-    head, tail = F.slice(x, F.lit(1), F.greatest(n - lag, F.lit(0))), F.slice(x, F.lit(lag + 1), F.greatest(n - lag, F.lit(0)))
-    prod = F.aggregate(
-        F.zip_with(head, tail, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.lit(0.0),
-        lambda s, p: s + (p["a"] - mu) * (p["b"] - mu),
-    )
-    return F.when(var > 1e-8, prod / ((n - lag) * var))
+    rest = F.greatest(n - lag, F.lit(0))
+
+    def products(mu: Column) -> Column:
+        pairs = F.zip_with(F.slice(x, F.lit(1), rest), F.slice(x, F.lit(lag + 1), rest), lambda a, b: (a - mu) * (b - mu))
+        return F.aggregate(pairs, F.lit(0.0), lambda s, v: s + v)
+
+    var = vsumsq(x, vmean(x)) / n
+    return let(var, lambda v: F.when(v > 1e-8, let(vmean(x), products) / ((n - lag) * v)))
 
 
 def _sample_entropy(w: np.ndarray, m: int = 2) -> np.ndarray:

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import vmean, vsumsq, zero_if_undefined
+from ..functions.vectors import let, vmean, vsumsq, zero_if_undefined
 from ..plans.attach import attach
 from ..plans.ordered import cumulate, quantile_of
 
@@ -103,23 +103,20 @@ def row_zscore(x: Column, ddof: int = 1) -> Column:
     mu = vmean(x)
     sd = F.sqrt(vsumsq(x, mu) / (F.size(x) - ddof))
     packed = F.struct(mu.alias("mu"), sd.alias("sd"))
-    return F.transform(
-        F.array(packed),
-        lambda s: F.transform(
-            x, lambda v: F.when(s["sd"] > 0, (v - s["mu"]) / s["sd"]).otherwise(F.lit(0.0))
-        ),
-    )[0]
+    return let(
+        packed,
+        lambda s: F.transform(x, lambda v: F.when(s["sd"] > 0, (v - s["mu"]) / s["sd"]).otherwise(F.lit(0.0))),
+    )
 
 
 def row_minmax(x: Column) -> Column:
     packed = F.struct(F.array_min(x).alias("lo"), F.array_max(x).alias("hi"))
-    return F.transform(
-        F.array(packed),
+    return let(
+        packed,
         lambda s: F.transform(
-            x,
-            lambda v: F.when(s["hi"] > s["lo"], (v - s["lo"]) / (s["hi"] - s["lo"])).otherwise(F.lit(0.0)),
+            x, lambda v: F.when(s["hi"] > s["lo"], (v - s["lo"]) / (s["hi"] - s["lo"])).otherwise(F.lit(0.0))
         ),
-    )[0]
+    )
 
 
 def instance_norm(x: Column, ddof: int = 0, eps: float = 1e-5) -> Column:
@@ -127,14 +124,14 @@ def instance_norm(x: Column, ddof: int = 0, eps: float = 1e-5) -> Column:
     mu = vmean(x)
     scale = F.sqrt(vsumsq(x, mu) / (F.size(x) - ddof) + F.lit(eps))
     packed = F.struct(mu.alias("mu"), scale.alias("sc"))
-    return F.transform(
-        F.array(packed),
+    return let(
+        packed,
         lambda s: F.struct(
             F.transform(x, lambda v: (v - s["mu"]) / s["sc"]).alias("values"),
             s["mu"].alias("mean"),
             s["sc"].alias("scale"),
         ),
-    )[0]
+    )
 
 
 def instance_denorm(packed: Column) -> Column:

@@ -166,13 +166,13 @@ def grid_exceeded(value, lo, hi, count: int):
     The position is guessed by division and then put right against the grid values themselves.
     """
     width = (hi - lo) / F.lit(float(count - 1))
-    guess = F.when(hi > lo, F.floor((value - lo) / width)).otherwise(F.lit(0)).cast("int")
-    out = F.lit(0)
-    for off in (-1, 0, 1, 2):
-        g = guess + off
-        ok = (g >= 0) & (g <= count - 1)
-        out = F.when(ok & (grid_value(lo, hi, g, count) < value), g + 1).otherwise(out)
-    return F.when(value > lo, out).otherwise(F.lit(0)).cast("int")
+    guess = F.floor((value - lo) / width).cast("int")
+    below = F.greatest(guess - 1, F.lit(0))
+    # the thresholds before ``below`` are passed for sure; three more may be
+    for off in (0, 1, 2):
+        g = F.greatest(guess - 1, F.lit(0)) + off
+        below = below + F.when((g <= count - 1) & (grid_value(lo, hi, g, count) < value), 1).otherwise(0)
+    return F.when(value > lo, below).otherwise(F.lit(0)).cast("int")
 
 
 STRATEGIES: dict[str, Callable] = {

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,28 +18,29 @@ from ..session import cut
 BROADCAST_BYTES = 64 << 20
 
 
-def measured_bytes(df: DataFrame) -> int:
-    """Upper estimate of the size of a (checkpointed) table: one aggregate over it."""
-    fixed, growing = 16, []
+def _row_bytes(df: DataFrame):
+    """Upper estimate of the bytes of a row."""
+    total = F.lit(16)
     for f in df.schema.fields:
         if isinstance(f.dataType, T.ArrayType):
             inner = 64 if isinstance(f.dataType.elementType, (T.StructType, T.ArrayType, T.StringType)) else 8
-            growing.append(F.coalesce(F.sum(F.size(f.name).cast("long") * inner), F.lit(0)))
+            total = total + F.coalesce(F.size(f.name).cast("long"), F.lit(0)) * inner
         elif isinstance(f.dataType, (T.StringType, T.BinaryType)):
-            growing.append(F.coalesce(F.sum(F.octet_length(f.name).cast("long") + 16), F.lit(0)))
+            total = total + F.coalesce(F.octet_length(f.name).cast("long"), F.lit(0)) + 16
         else:
-            fixed += 16
-    total = F.count(F.lit(1)) * fixed
-    for g in growing:
-        total = total + g
-    return int(df.agg(total.alias("b")).first()["b"])
+            total = total + 16
+    return total
 
 
 def sized(small: DataFrame, limit: int | None = None) -> DataFrame:
-    """The checkpointed table, marked for broadcast only when its measured size is below the limit."""
-    small = cut(small)
+    """The checkpointed table, marked for broadcast only when its measured size is below the limit.
+
+    The size is observed while the checkpoint is written, so measuring costs no extra job.
+    """
+    seen = Observation()
+    small = cut(small.observe(seen, F.sum(_row_bytes(small)).alias("bytes")))
     limit = BROADCAST_BYTES if limit is None else limit
-    return F.broadcast(small) if measured_bytes(small) <= limit else small
+    return F.broadcast(small) if (seen.get["bytes"] or 0) <= limit else small
 
 
 def attach(
