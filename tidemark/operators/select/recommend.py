@@ -12,16 +12,17 @@ from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
+import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import FMRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ...functions.vectors import dot, sqdist
-from ...plans.attach import attach
+from ...functions.vectors import dot
+from ...plans.attach import attach, sized
 from ...plans.chunks import array_moments, unpack
-from ...plans.ordered import cumulate
+from ...plans.ordered import cumulate, quantiles
 from ...session import cut
 from ..analytic import best_per_key, top_n
 from ..joins import nearest_row
@@ -83,8 +84,10 @@ def projected(meta: DataFrame, train: DataFrame, dims: int) -> DataFrame:
 
 def global_best(perf: DataFrame, test: DataFrame, stat: str = "median") -> DataFrame:
     """Mean or median performance of each model, the same for every dataset."""
-    agg = F.median("perf") if stat == "median" else F.avg("perf")
-    scores = perf.groupBy(MODEL).agg(agg.alias("score"))
+    if stat == "median":
+        scores = quantiles(perf, [MODEL], "perf", {"score": 0.5})
+    else:
+        scores = perf.groupBy(MODEL).agg(F.avg("perf").alias("score"))
     return attach(test.select(DS).withColumn("_one", F.lit(1)), scores.withColumn("_one", F.lit(1)), ["_one"]).drop("_one")
 
 
@@ -193,47 +196,147 @@ def _neighbour_steps(own):
     return lambda done: F.transform(steps, lambda c: F.concat(done, F.array(c)))
 
 
-def dbscan(points: DataFrame, eps: float = 1.0, min_points: int = 5, id: str = DS, max_rounds: int = 100) -> DataFrame:
+def _near_reduce(table: DataFrame, eps: float, dims: int, carried: str, combine: Callable, out_type: str, block: int) -> DataFrame:
+    """(u, v): ``combine`` over the ``carried`` values of all rows of ``table`` within eps of u, for every row u.
+
+    Rows meet in grid cells of width eps; a full cell is split into blocks of both sides.  A task returns one value per row, so
+    no pair is ever written, however many rows share a cell.
+    """
+    around = F.array(F.array().cast("array<bigint>"))
+    for j in range(dims):
+        around = F.flatten(F.transform(around, _neighbour_steps(F.col("cell")[j])))
+    sent = table.select("u", "x", carried, F.explode(around).alias("cell"))
+    own = table.select("u", "x", "cell")
+    per = F.ceil(F.count(F.lit(1)) / F.lit(float(block))).cast("int")
+    blocks = sized(sent.groupBy("cell").agg(per.alias("nb")).join(own.groupBy("cell").agg(per.alias("nq")), "cell"))
+    left = own.join(blocks, "cell").withColumn("qb", F.pmod(F.xxhash64("u"), F.col("nq"))).withColumn(
+        "bb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    right = sent.join(blocks, "cell").withColumn("bb", F.pmod(F.xxhash64("u"), F.col("nb")).cast("int")).withColumn(
+        "qb", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
+    left = left.select("cell", F.col("qb").cast("int").alias("qb"), "bb", "u", "x")
+    right = right.select(*[F.col(c).alias(c) for c in ("cell", "qb", "bb", "x", carried)])
+
+    def reduce_block(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or c.empty:
+            return pd.DataFrame({"u": [], "v": []})
+        a, b = np.stack(q["x"].to_numpy()).astype(float), np.stack(c["x"].to_numpy()).astype(float)
+        d2 = np.zeros((len(a), len(b)))
+        for j in range(a.shape[1]):
+            d2 += (a[:, j, None] - b[None, :, j]) ** 2
+        return combine(q["u"].to_numpy(), d2 <= eps * eps, c[carried].to_numpy())
+
+    u_type = table.schema["u"].dataType.simpleString()
+    return left.groupBy("cell", "qb", "bb").cogroup(right.groupBy("cell", "qb", "bb")).applyInPandas(
+        reduce_block, f"u {u_type}, v {out_type}")
+
+
+def _count_near(u, hit, m):
+    return pd.DataFrame({"u": u, "v": hit @ m.astype(float)})
+
+
+def _least_near(u, hit, label):
+    best = np.where(hit, label.astype(float)[None], np.inf).min(1)
+    ok = np.isfinite(best)
+    return pd.DataFrame({"u": u[ok], "v": best[ok].astype(np.int64)})
+
+
+def _spanning(u, hit, other):
+    """Edges that keep the connections of a block: every row and every candidate to the smallest candidate of its component."""
+    label = np.arange(len(other))
+    while True:
+        row = np.where(hit, label[None], len(other)).min(1)
+        back = np.where(hit, row[:, None], len(other)).min(0)
+        new = np.minimum(label, back)
+        if (new == label).all():
+            break
+        label = new
+    ok = row < len(other)
+    one = pd.DataFrame({"u": u[ok], "v": other[row[ok]]})
+    met = hit.any(0)
+    return pd.concat([one, pd.DataFrame({"u": other[met], "v": other[label[met]]})]).drop_duplicates()
+
+
+def dbscan(
+    points: DataFrame, eps: float = 1.0, min_points: int = 5, id: str = DS, max_rounds: int = 100, block: int = 4096
+) -> DataFrame:
     """(id, cluster): density clusters, 0 is noise.  ``x`` is a short vector (a projection).
 
-    The eps-neighbourhood comes from an equi-join on grid cells of width eps; equal points are one row with a count.  Core points take
-    the smallest label among their core neighbours until nothing changes; the labels are checkpointed each round.
+    Equal points are one row with a count.  Core points take the smallest label within eps, and the label of that label, until nothing
+    changes; the labels are checkpointed each round.
     """
     p = points.select(F.col(id).alias("id"), "x")
-    u = cut(p.groupBy("x").agg(F.min("id").alias("u"), F.count(F.lit(1)).alias("m")).withColumn(
-        "cell", F.transform("x", lambda v: F.floor(v / F.lit(eps)))
-    ))
+    distinct = p.groupBy("x").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("m"))
+    # number the distinct points in the order of their smallest id
+    order = distinct.withColumn("_o", F.struct("first")).withColumn("_all", F.lit(0))
+    numbered = cumulate(order.select("_all", "first"), ["_all"], "first") if dict(p.dtypes)["id"] != "string" else None
+    if numbered is None:
+        numbered = _text_order(order)
+    u = cut(distinct.join(numbered.select("first", F.col("cum_n").cast("long").alias("u")), "first").select(
+        "u", "x", "m", F.transform("x", lambda v: F.floor(v / F.lit(eps))).alias("cell")))
     dims = u.select(F.size("x").alias("d")).first()
     if dims is None:
         return p.select(F.col("id").alias(id), F.lit(0).alias("cluster"))
-    around = F.array(F.array().cast("array<bigint>"))
-    for j in range(dims["d"]):
-        around = F.flatten(F.transform(around, _neighbour_steps(F.col("cell")[j])))
-    near = u.select("u", "x", F.explode(around).alias("cell"))
-    other = u.select(F.col("u").alias("w"), F.col("x").alias("y"), F.col("m").alias("mw"), "cell")
-    pairs = cut(near.join(other, "cell").filter(sqdist(F.col("x"), F.col("y")) <= eps * eps).select("u", "w", "mw"))
-    core = cut(pairs.groupBy("u").agg(F.sum("mw").alias("n")).filter(F.col("n") >= min_points).select("u"))
-    links = cut(pairs.select("u", "w").join(core, "u", "left_semi").join(core.select(F.col("u").alias("w")), "w", "left_semi"))
-    label = core.withColumn("l", F.col("u"))
+    d = dims["d"]
+    near = _near_reduce(u, eps, d, "m", _count_near, "double", block).groupBy("u").agg(F.sum("v").alias("n"))
+    core = cut(u.join(near.filter(F.col("n") >= min_points).select("u"), "u").select("u", "x", "cell", F.col("u").alias("l")))
+    some = _near_reduce(core, eps, d, "l", _spanning, "long", block).filter("u <> v")
+    edges = cut(some.unionByName(some.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    label = core.select("u", "l")
     for _ in range(max_rounds):
-        nxt = links.join(label.select(F.col("u").alias("w"), F.col("l").alias("lw")), "w").groupBy("u").agg(F.min("lw").alias("l2"))
-        # pointer jump: take the label of the label
+        best = edges.join(label.select(F.col("u").alias("v"), F.col("l").alias("lv")), "v").groupBy("u").agg(F.min("lv").alias("l2"))
         jump = label.select(F.col("u").alias("l2"), F.col("l").alias("l3"))
-        new = cut(label.join(nxt, "u").join(jump, "l2", "left").select(
-            "u", F.least("l", "l2", F.coalesce("l3", "l2")).alias("l"), (F.least("l2", F.coalesce("l3", "l2")) < F.col("l")).alias("moved")))
-        label = new.select("u", "l")
+        least = F.least("l", "l2", F.coalesce("l3", "l2"))
+        new = cut(label.join(best, "u", "left").withColumn("l2", F.coalesce("l2", "l")).join(jump, "l2", "left").select(
+            "u", least.alias("l"), (least < F.col("l")).alias("moved")))
+        label = new.drop("moved")
         if not new.agg(F.max("moved").alias("m")).first()["m"]:
             break
-    border = pairs.select("u", "w").join(label.select(F.col("u").alias("w"), "l"), "w").groupBy("u").agg(F.min("l").alias("l"))
-    # a core point keeps its own component; a border point joins the smallest one it touches
-    final = border.join(label.select("u", F.col("l").alias("own")), "u", "left").select("u", F.coalesce("own", "l").alias("l"))
-    number = final.select("l").distinct()
-    rank = number.select("l", F.dense_rank().over(Window.orderBy("l")).alias("cluster"))  # one row per cluster
-    named = final.join(rank, "l").select("u", "cluster")
-    return (
-        p.join(u.select("x", "u"), "x").join(named, "u", "left")
-        .select(F.col("id").alias(id), F.coalesce("cluster", F.lit(0)).alias("cluster"))
-    )
+    core = cut(core.drop("l").join(label, "u"))
+    # border points take the smallest label within eps; a core point already has it
+    labelled = u.select("u", "x", "cell").join(core.select("u", F.col("l").alias("own")), "u", "left")
+    final = cut(_border(labelled, eps, d, block))
+    rank = cumulate(final.filter("l IS NOT NULL").select("l").distinct().withColumn("_all", F.lit(0)), ["_all"], "l")
+    named = final.join(rank.select("l", F.col("cum_n").cast("int").alias("cluster")), "l", "left").select("u", "cluster")
+    back = u.select("u", F.col("x").alias("_x")).join(named, "u")
+    return p.join(back, F.col("x") == F.col("_x")).select(F.col("id").alias(id), F.coalesce("cluster", F.lit(0)).alias("cluster"))
+
+
+def _border(labelled: DataFrame, eps: float, dims: int, block: int) -> DataFrame:
+    """(u, l) for core points and the points near one; the others keep NULL."""
+    both = labelled.select("u", "x", "cell", F.coalesce("own", F.lit(np.iinfo(np.int64).max >> 12)).cast("long").alias("l"))
+    best = _near_reduce(both, eps, dims, "l", _least_near, "long", block).groupBy("u").agg(F.min("v").alias("v"))
+    far = F.lit(np.iinfo(np.int64).max >> 12).cast("long")
+    return labelled.select("u", "own").join(best, "u").select("u", F.coalesce("own", F.when(F.col("v") < far, F.col("v"))).alias("l"))
+
+
+def _text_order(order: DataFrame) -> DataFrame:
+    """Position of text ids: dataset names, one row each, ranked by their first characters in ranges."""
+    part = order.select("first", F.substring("first", 1, 2).alias("_r"))
+    w = Window.partitionBy("_r").orderBy("first")
+    counts = part.groupBy("_r").agg(F.count(F.lit(1)).alias("_k"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # a few prefixes
+    counts = counts.withColumn("_o", F.coalesce(F.sum("_k").over(before), F.lit(0))).drop("_k")
+    return part.withColumn("_i", F.row_number().over(w)).join(counts, "_r").select("first", (F.col("_i") + F.col("_o")).alias("cum_n"))
+
+
+def model_coordinates(perf: DataFrame, dims: int = 2) -> DataFrame:
+    """(model, x): principal coordinates of the models by their z-scored performance per dataset.
+
+    Only the Gram matrix of the models (tens by tens) is read by the driver, whatever the number of datasets.
+    """
+    names = models_of(perf)
+    stat = perf.groupBy(DS).agg(F.avg("perf").alias("_mu"), F.stddev_samp("perf").alias("_sd"))
+    z = attach(perf, stat, [DS]).filter("_sd > 0").select(DS, MODEL, ((F.col("perf") - F.col("_mu")) / F.col("_sd")).alias("z"))
+    a, b = z.select(DS, F.col(MODEL).alias("a"), F.col("z").alias("u")), z.select(DS, F.col(MODEL).alias("b"), F.col("z").alias("v"))
+    gram = a.join(b, DS).groupBy("a", "b").agg(F.sum(F.col("u") * F.col("v")).alias("g"))
+    pos, g = {n: i for i, n in enumerate(names)}, np.zeros((len(names), len(names)))
+    for r in gram.collect():
+        g[pos[r["a"]], pos[r["b"]]] = r["g"]
+    values, v = np.linalg.eigh((g + g.T) / 2)
+    top = np.argsort(values)[::-1][:dims]
+    x = v[:, top] * np.sqrt(np.maximum(values[top], 0))
+    rows = [(n, [float(c) for c in x[i]]) for n, i in pos.items()]
+    return perf.sparkSession.createDataFrame(rows, f"{MODEL} string, x array<double>")
 
 
 def clustered_factors(
@@ -241,12 +344,7 @@ def clustered_factors(
     seed: int = 0,
 ) -> DataFrame:
     """Clusters of models by their performance profile, a factor regression per cluster, and the scores together."""
-    w = Window.partitionBy(MODEL).orderBy(DS)
-    profile = perf.withColumn("_i", F.row_number().over(w)).groupBy(MODEL).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct(DS, "perf"))), lambda s: s["perf"]).alias("x")
-    )
-    flat = projected(prepared(profile, profile), prepared(profile, profile), 2)
-    groups = cut(dbscan(flat, eps, min_points, id=MODEL))
+    groups = cut(dbscan(model_coordinates(perf), eps, min_points, id=MODEL))
     numbers = [r["cluster"] for r in groups.select("cluster").distinct().orderBy("cluster").collect()]
     out = None
     for c in numbers:
