@@ -39,7 +39,8 @@ def subspace_fit(
     def solve(row):
         n, mean, cov = unpack(row["m"])
         values, v = eigen(cov)
-        k = pick_rank(values, rank, n)
+        # a full basis would rebuild everything: leave at least one direction out
+        k = min(pick_rank(values, rank, n), max(len(values) - 1, 1))
         k2 = min(pick_rank(values, second, n), k) if second is not None else k
         rest = np.diag(cov) - ((v[:, :k] ** 2) * values[:k]).sum(1)
         return {"mean": mean.tolist(), "v": v[:, :k].ravel().tolist(), "k": k, "k2": k2, "noise": np.maximum(rest, 1e-6).tolist()}
