@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +25,30 @@ def configure(spark: SparkSession) -> SparkSession:
     """Switch on adaptive planning, so joins broadcast by measured size and split skewed keys."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    return ship(spark)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers once per context, so they need neither an installation nor the driver's path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidemark_shipped", False):
+        return spark
+    root = os.path.dirname(os.path.abspath(__file__))
+    if not os.path.isdir(root):  # imported from an archive, which came the same way
+        return spark
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in sorted(os.walk(root)):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                z.write(path, os.path.join("tidemark", os.path.relpath(path, root)))
+    target = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tidemark-{uuid.uuid4().hex}.zip"
+    path = sc._jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(buffer.getvalue()))
+    out.close()
+    sc.addPyFile(target)
+    sc._tidemark_shipped = True
     return spark
 
 
