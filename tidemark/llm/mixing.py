@@ -85,17 +85,17 @@ def shard_quota(quota: np.ndarray, shards: int, shard: int, seed: int) -> tuple[
 DRAWS = "shard long, slot long, place int, pass int, block long, words long"
 
 
-def _draw(sources: list[tuple[int, int, int, int]], shards: int, seed: int):
-    """``sources``: (place, block length, blocks, target words) of each source with a target."""
+def _draw(sources: list[tuple[int, int, int, int, int]], shards: int, seed: int):
+    """``sources``: (place, block length, blocks, draws, words of the last draw) of each source with a target."""
 
     def run(batches: Iterator[pd.DataFrame]):
-        quota = np.array([-(-t // length) for _, length, _, t in sources], np.int64)
+        quota = np.array([s[3] for s in sources], np.int64)
         for shard in (int(s) for b in batches for s in b["id"]):
             start, count = shard_quota(quota, shards, shard, seed)
             parts = []
-            for (place, length, blocks, target), first, n, full in zip(sources, start, count, quota, strict=True):
+            for (place, length, blocks, draws, rest), first, n in zip(sources, start, count, strict=True):
                 q = np.arange(first, first + n)
-                part = pd.DataFrame({"pass": (q // blocks).astype(np.int32), "block": q % blocks, "words": np.where(q == full - 1, target - (full - 1) * length, length)})
+                part = pd.DataFrame({"pass": (q // blocks).astype(np.int32), "block": q % blocks, "words": np.where(q == draws - 1, rest, length)})
                 for p in part["pass"].unique():
                     here = (part["pass"] == p).to_numpy()
                     part.loc[here, "block"] = permuted(part["block"].to_numpy()[here], blocks, (seed * 1_000_003 + place) * 31 + int(p))
@@ -129,7 +129,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     quotas = []
     for r in sorted(plan):
         blocks = -(-r.source_size // length)
-        quotas.append((r.place, -(-r.source_size // blocks), blocks, round(r.target)))
+        even = -(-r.source_size // blocks)
+        # Whole passes take every block, whatever its length; the draw that ends the last pass takes only what is left of the target.
+        passes, words = divmod(round(r.target), r.source_size)
+        more = -(-words // even)
+        quotas.append((r.place, even, blocks, passes * blocks + more, words - (more - 1) * even if more else even))
     shards = shards or max(8, -(-(total or 0) // SHARD_WORDS))
     quotas = [q for q in quotas if q[3] > 0]
     draws = spark.range(shards).repartition(min(shards, 200)).mapInPandas(_draw(quotas, shards, seed), DRAWS)

@@ -9,23 +9,24 @@ documents share are then extended to full length and compared as 96-bit hashes.
 2. ``_anchors``: a batch of documents settles the anchors that repeat inside it and sends one marker for each; all others go, packed by hash
    bucket, to ``_shared``, which finds those that occur in two documents. A frequent passage therefore reaches its bucket once for each batch.
 3. ``_windows``: documents with shared anchors extend them. Inside a batch, all but the smallest document of a window are settled; the smallest
-   ones meet in one native window aggregate.
+   ones go, packed in the same way, to ``_later``, which keeps those that a smaller document has too.
 4. ``_kept`` drops the covered words.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..session import cut
-from .text import LAST, batch, mix, rows_of, spans, tagged, untag, window_hashes, word_hashes, words
+from .text import mix, rows_of, spans, tagged, untag, window_hashes, word_hashes, words
 
 BATCH_WORDS = 1_500_000
-BUCKET_ANCHORS = 1_000_000
+BUCKET_ANCHORS = 2_000_000
 _48 = np.uint64((1 << 48) - 1)
 
 
@@ -58,7 +59,45 @@ def unpack(rid: bytes, base: bytes, count: bytes, step: bytes) -> tuple[np.ndarr
     return np.frombuffer(rid, "<i8")[run], pos
 
 
-ANCHOR_SCHEMA = "bucket int, rid binary, base binary, cnt binary, step binary, low binary, high binary, many binary, lrid binary, lbase binary, lcnt binary, lstep binary"
+PACKED = "bucket int, rid binary, base binary, cnt binary, step binary, a binary, b binary, c binary, lrid binary, lbase binary, lcnt binary, lstep binary"
+_PACKED = [x.split()[0] for x in PACKED.split(", ")]
+
+
+def _batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(rows), 16):
+        part = list(zip(*rows[i:i + 16], strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), *(pa.array(c, pa.binary()) for c in part[1:])], names=_PACKED)
+
+
+def _split(key: np.ndarray, at: np.ndarray, buckets: int) -> list[np.ndarray]:
+    """``at`` cut by the bucket in ``key``, each part in its old order."""
+    order = np.argsort(key, kind="stable")
+    cuts = np.searchsorted(key[order], np.arange(buckets + 1))
+    return [at[order[a:b]] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(h.copy()) % np.uint64(buckets)).astype(np.uint16 if buckets < 65536 else np.int64)
+
+
+def _lists(t: pa.Table) -> tuple[list, list, np.ndarray]:
+    """What a bucket holds: the (row key, position) lists of its entries and of settled ones, and how many entries each run has."""
+    col = [t.column(n).to_pylist() for n in _PACKED[1:]]
+    own, local = [unpack(*x) for x in zip(*col[:4], strict=True)], [unpack(*x) for x in zip(*col[7:], strict=True)]
+    return own, local, np.frombuffer(b"".join(col[2]), "<u4").astype(np.int64)
+
+
+def _column(t: pa.Table, name: str, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column(name).to_pylist()), kind)
+
+
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys start."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.flatnonzero(new)
 
 
 def _anchors(window: int, period: int, buckets: int):
@@ -72,34 +111,20 @@ def _anchors(window: int, period: int, buckets: int):
         doc, pos, h = doc[at], pos[at], window_hashes(hashes, at, width, 7)
         order = np.argsort(h, kind="stable")
         sh, sd = h[order], doc[order]
-        first = np.flatnonzero(np.r_[True, sh[1:] != sh[:-1]]) if len(sh) else np.zeros(0, int)
+        first = _heads(sh)
         size = np.diff(first, append=len(sh))
         shared = sd[first] != sd[first + size - 1]
         settled = np.zeros(len(h), bool)
         settled[order] = np.repeat(shared, size)
-        many = sh[first[shared]]
-        bucket = lambda x: (mix(x.copy()) % np.uint64(buckets)).astype(np.int64)
-        own, b = np.flatnonzero(~settled), bucket(h)
-        own = own[np.argsort(b[own], kind="stable")]
-        cuts = np.searchsorted(b[own], np.arange(buckets + 1))
-        mb = bucket(many)
-        many = many[np.argsort(mb, kind="stable")]
-        mcuts = np.searchsorted(np.sort(mb), np.arange(buckets + 1))
-        local = np.flatnonzero(settled)
-        lb = doc[local] % buckets
-        local = local[np.argsort(lb, kind="stable")]
-        lcuts = np.searchsorted(np.sort(lb), np.arange(buckets + 1))
+        many, own, local = sh[first[shared]], np.flatnonzero(~settled), np.flatnonzero(settled)
+        parts = zip(_split(_bucket(h[own], buckets), own, buckets), _split(_bucket(many, buckets), np.arange(len(many)), buckets), _split(doc[local] % buckets, local, buckets), strict=True)
         rows = []
-        for k in range(buckets):
-            o, m, c = own[cuts[k]:cuts[k + 1]], many[mcuts[k]:mcuts[k + 1]], local[lcuts[k]:lcuts[k + 1]]
+        for k, (o, m, c) in enumerate(parts):
             if len(o) or len(m) or len(c):
                 low = h[o] & _48
                 rows.append((k, *pack(doc[o], pos[o], rids), (low & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (low >> np.uint64(32)).astype("<u2").tobytes(),
-                             (m & _48).tobytes(), *pack(doc[c], pos[c], rids)))
-        names = [x.split()[0] for x in ANCHOR_SCHEMA.split(", ")]
-        for i in range(0, len(rows), 64):
-            part = list(zip(*rows[i:i + 64], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), *(pa.array(c, pa.binary()) for c in part[1:])], names=names)
+                             (many[m] & _48).tobytes(), *pack(doc[c], pos[c], rids)))
+        yield from _batches(rows)
 
     def run(batches):
         rids, arrays, held = [], [], 0
@@ -118,39 +143,32 @@ def _anchors(window: int, period: int, buckets: int):
     return run
 
 
-def _by_row(rid: np.ndarray, pos: np.ndarray) -> pa.Table:
+def _by_row(own: list, local: list, hit: np.ndarray) -> pa.Table:
+    """Positions of the chosen entries and the settled ones, by row key."""
+    rid, pos = (np.concatenate([np.concatenate([x[i] for x in own])[hit], *(x[i] for x in local)]) for i in (0, 1))
     order = np.lexsort((pos, rid))
     rid, pos = rid[order], pos[order].astype("<u4")
-    first = np.flatnonzero(np.r_[True, rid[1:] != rid[:-1]]) if len(rid) else np.zeros(0, int)
-    ends = np.append(first[1:], len(rid))
+    first = _heads(rid)
+    ends = np.append(first[1:], len(rid))[:len(first)]
     return pa.table({"rid": pa.array(rid[first], pa.int64()), "pos": pa.array([pos[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())})
 
 
 def _shared(t: pa.Table) -> pa.Table:
     """Anchors of one bucket that occur in two rows, with those settled before."""
-    col = {n: t.column(n).to_pylist() for n in t.column_names}
-    joined = lambda n: b"".join(col[n])
-    lists = [unpack(*x) for x in zip(col["rid"], col["base"], col["cnt"], col["step"], strict=True)]
-    local = [unpack(*x) for x in zip(col["lrid"], col["lbase"], col["lcnt"], col["lstep"], strict=True)]
-    rid, pos = (np.concatenate([x[i] for x in lists]) for i in (0, 1))
-    low = np.frombuffer(joined("low"), "<u4").astype(np.uint64) | np.frombuffer(joined("high"), "<u2").astype(np.uint64) << np.uint64(32)
+    own, local, _ = _lists(t)
+    low = _column(t, "a", "<u4").astype(np.uint64) | _column(t, "b", "<u2").astype(np.uint64) << np.uint64(32)
     order = np.argsort(low)
-    low, rid, pos = low[order], rid[order], pos[order]
+    first, rid = _heads(low[order]), np.concatenate([x[0] for x in own])[order]
+    hit = np.zeros(len(low), bool)
     if len(low):
-        first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-        size = np.diff(first, append=len(low))
-        hit = (np.minimum.reduceat(rid, first) != np.maximum.reduceat(rid, first)) | np.isin(low[first], np.frombuffer(joined("many"), "<u8"))
-        hit = np.repeat(hit, size)
-        rid, pos = rid[hit], pos[hit]
-    return _by_row(np.concatenate([rid, *(x[0] for x in local)]), np.concatenate([pos, *(x[1] for x in local)]))
-
-
-WINDOW_SCHEMA = "h1 long, h2 int, id long, rid long, start int, len int, done boolean"
+        two = (np.minimum.reduceat(rid, first) != np.maximum.reduceat(rid, first)) | np.isin(low[order][first], _column(t, "c", "<u8"))
+        hit[order] = np.repeat(two, np.diff(first, append=len(low)))
+    return _by_row(own, local, hit)
 
 
-def _windows(window: int, period: int):
+def _windows(window: int, period: int, buckets: int):
     def flush(ids, rids, lens, hashes, marks):
-        ids, rids = np.array(ids, np.int64), np.array(rids, np.int64)
+        ids, rids = np.array(ids, "<i8"), np.array(rids, "<i8")
         lens, hashes, marks = np.array(lens), np.concatenate(hashes), np.concatenate(marks)
         _, doc, pos = spans(lens)
         near = np.concatenate([[0], np.cumsum(marks)])
@@ -161,22 +179,17 @@ def _windows(window: int, period: int):
         doc, pos = doc[at], pos[at]
         h1, h2 = window_hashes(hashes, at, window, 13), window_hashes(hashes, at, window, 31) >> np.uint64(32)
         order = np.lexsort((h2, h1))
-        first = np.flatnonzero(np.r_[True, (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])])
+        first = _heads(h1[order], h2[order])
         least = np.empty(len(at), np.int64)
         least[order] = np.repeat(np.minimum.reduceat(ids[doc[order]], first), np.diff(first, append=len(at)))
         done = ids[doc] > least
-        open_ = np.flatnonzero(~done)
-        d, p = doc[done], pos[done]
-        run = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1)]) if len(d) else np.zeros(0, int)
-        for i in range(0, len(open_), 100_000):
-            o = open_[i:i + 100_000]
-            yield batch(h1=h1[o].view(np.int64), h2=h2[o].astype(np.uint32).view(np.int32), id=ids[doc[o]], rid=rids[doc[o]], start=pos[o].astype(np.int32),
-                        len=np.ones(len(o), np.int32), done=np.zeros(len(o), bool))
-        for i in range(0, len(run), 100_000):
-            o = run[i:i + 100_000]
-            n = np.diff(run, append=len(d))[i:i + 100_000]
-            yield batch(h1=rids[d[o]] ^ p[o], h2=np.zeros(len(o), np.int32), id=np.full(len(o), LAST), rid=rids[d[o]], start=p[o].astype(np.int32),
-                        len=n.astype(np.int32), done=np.ones(len(o), bool))
+        own, local = np.flatnonzero(~done), np.flatnonzero(done)
+        rows = []
+        for k, (o, c) in enumerate(zip(_split(_bucket(h1[own], buckets), own, buckets), _split(doc[local] % buckets, local, buckets), strict=True)):
+            if len(o) or len(c):
+                packed = pack(doc[o], pos[o], rids)
+                rows.append((k, *packed, h1[o].astype("<u8").tobytes(), h2[o].astype("<u4").tobytes(), pack(doc[o], pos[o], ids)[0], *pack(doc[c], pos[c], rids)))
+        yield from _batches(rows)
 
     def run(batches):
         held: list[list] = [[], [], [], [], []]
@@ -197,6 +210,18 @@ def _windows(window: int, period: int):
     return run
 
 
+def _later(t: pa.Table) -> pa.Table:
+    """Windows of one bucket that a document with a smaller id has too, with those settled before."""
+    own, local, runs = _lists(t)
+    h1, h2, ids = _column(t, "a", "<u8"), _column(t, "b", "<u4"), np.repeat(_column(t, "c", "<i8"), runs)
+    order = np.lexsort((h2, h1))
+    first = _heads(h1[order], h2[order])
+    hit = np.zeros(len(h1), bool)
+    if len(h1):
+        hit[order] = ids[order] > np.repeat(np.minimum.reduceat(ids[order], first), np.diff(first, append=len(h1)))
+    return _by_row(own, local, hit)
+
+
 def _kept(window: int):
     def run(batches):
         for b in batches:
@@ -207,10 +232,9 @@ def _kept(window: int):
                 if copy and n >= window:
                     w = []
                 elif found:
-                    cover = np.zeros(n, bool)
-                    for x in found:
-                        cover[x["start"]:x["start"] + x["len"] - 1 + window] = True
-                    w = [w[i] for i in np.flatnonzero(~cover)]
+                    starts = np.frombuffer(b"".join(found), "<u4").astype(np.int64)
+                    edge = np.bincount(starts, minlength=n + 1) - np.bincount(starts + window, minlength=n + 1)
+                    w = [w[i] for i in np.flatnonzero(np.cumsum(edge[:n]) == 0)]
                 for name, v in zip(out, (id_, n, n - len(w), b" ".join(w).decode("utf-8", "surrogatepass")), strict=True):
                     out[name].append(v)
             yield pa.RecordBatch.from_arrays([*(pa.array(out[c], pa.int64()) for c in ("id", "n_words", "n_removed")), pa.array(out["kept"], pa.string())], names=list(out))
@@ -234,18 +258,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = cut(marks.join(first, "same").filter("id > first").select("rid").distinct())
     chars = marks.agg(F.sum("n")).first()[0] or 0
     # Three anchors for each seven words of some six characters. The figure only sets how finely the hash space is cut.
-    buckets = max(64, int(chars / 14 / BUCKET_ANCHORS) + 1)
+    buckets = max(32, int(chars / 14 / BUCKET_ANCHORS) + 1)
     anchors = (
-        rows.select("rid", "text").mapInArrow(_anchors(window, period, buckets), ANCHOR_SCHEMA)
+        rows.select("rid", "text").mapInArrow(_anchors(window, period, buckets), PACKED)
         .groupBy("bucket").applyInArrow(_shared, "rid long, pos binary")
         .join(copies, "rid", "left_anti").groupBy("rid").agg(F.collect_list("pos").alias("pos"))
     )
-    found = rows.join(anchors, "rid").select("id", "rid", "text", "pos").mapInArrow(_windows(window, period), WINDOW_SCHEMA)
-    least = F.min("id").over(Window.partitionBy("h1", "h2"))
-    gone = (
-        found.withColumn("least", least).filter(F.col("done") | (F.col("least") < F.col("id")))
-        .groupBy("rid").agg(F.collect_list(F.struct("start", "len")).alias("found"))
-    )
-    plan = gone.select("rid", "found", F.lit(False).alias("copy")).unionByName(copies.select("rid", F.lit(None).cast(gone.schema["found"].dataType).alias("found"), F.lit(True).alias("copy")))
+    found = rows.join(anchors, "rid").select("id", "rid", "text", "pos").mapInArrow(_windows(window, period, buckets), PACKED)
+    gone = found.groupBy("bucket").applyInArrow(_later, "rid long, pos binary").groupBy("rid").agg(F.collect_list("pos").alias("found"))
+    plan = gone.select("rid", "found", F.lit(False).alias("copy")).unionByName(copies.select("rid", F.lit(None).cast("array<binary>").alias("found"), F.lit(True).alias("copy")))
     out = rows.join(plan, "rid", "left").select("id", "text", "copy", "found").mapInArrow(_kept(window), "id long, n_words long, n_removed long, kept string")
     return out.select(untag("id").alias(id_col), "n_words", "n_removed", "kept")

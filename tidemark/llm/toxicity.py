@@ -89,22 +89,30 @@ class Network:
         return np.concatenate(pooled, 1), maps, x
 
     def logits(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Texts of any length: a long one goes through in segments that overlap by the padding."""
+        """Texts of any length: a long one goes through in segments, each of which sees the first words of the next."""
         best = np.zeros((len(texts), len(self.out)), np.float32)
-        held, owners, size = [], [], 0
+        held: list[int] = []
 
         def flush():
             if held:
-                np.maximum.at(best, owners, self.maxima(*self.lay_out(held))[0])
+                best[held] = self.maxima(*self.lay_out([texts[i] for i in held]))[0]
+                held.clear()
 
+        size, end = 0, np.zeros(PAD + 1, np.int64)
         for i, t in enumerate(texts):
-            for lo in range(0, max(len(t), 1), SEGMENT):
-                held.append(t[lo:lo + SEGMENT + PAD])
-                owners.append(i)
-                size += len(held[-1])
-                if size >= SEGMENT:
-                    flush()
-                    held, owners, size = [], [], 0
+            if len(t) > SEGMENT:
+                whole = np.concatenate([t, end])
+                for lo in range(0, len(t), SEGMENT):
+                    _, maps, _ = self.maxima(whole[lo:lo + SEGMENT + PAD], np.zeros(1, np.int64))
+                    best[i] = np.maximum(best[i], np.concatenate([z[:SEGMENT].max(0) for z in maps]))
+                # The padding is a place of its own in the usual layout.
+                best[i] = np.maximum(best[i], self.maxima(end, np.zeros(1, np.int64))[0][0])
+                continue
+            held.append(i)
+            size += len(t)
+            if size >= SEGMENT:
+                flush()
+                size = 0
         flush()
         return best @ self.out + self.base
 
