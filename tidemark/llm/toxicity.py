@@ -69,14 +69,16 @@ class Network:
         self.thresholds = np.zeros(len(LANGUAGES) + 1)
 
     def lay_out(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of all words with padding after each text, and where texts start."""
-        pad = np.zeros(PAD + 1, np.int64)
+        """Rows of all words with padding (-1) after each text, and where texts start."""
+        pad = np.full(PAD, -1)
         parts = [p for t in texts for p in (t, pad)]
-        sizes = np.array([len(t) + PAD + 1 for t in texts])
+        sizes = np.array([len(t) + PAD for t in texts])
         return np.concatenate(parts), np.cumsum(sizes) - sizes
 
     def maxima(self, rows: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-        x = self.embed[rows]
+        """Maxima of the windows that start at a word; one that reaches beyond its text sees zeros there."""
+        padding = rows < 0
+        x = self.embed[np.maximum(rows, 0)]
         pooled, maps = [], []
         for parts, bias in zip(self.filters, self.bias, strict=True):
             z = x @ parts[0]
@@ -84,6 +86,7 @@ class Network:
                 z[:-k] += (x @ part)[k:]
             z += bias
             np.maximum(z, 0, out=z)
+            z[padding] = 0
             maps.append(z)
             pooled.append(np.maximum.reduceat(z, starts))
         return np.concatenate(pooled, 1), maps, x
@@ -98,15 +101,13 @@ class Network:
                 best[held] = self.maxima(*self.lay_out([texts[i] for i in held]))[0]
                 held.clear()
 
-        size, end = 0, np.zeros(PAD + 1, np.int64)
+        size = 0
         for i, t in enumerate(texts):
             if len(t) > SEGMENT:
-                whole = np.concatenate([t, end])
+                whole = np.concatenate([t, np.full(PAD, -1)])
                 for lo in range(0, len(t), SEGMENT):
                     _, maps, _ = self.maxima(whole[lo:lo + SEGMENT + PAD], np.zeros(1, np.int64))
                     best[i] = np.maximum(best[i], np.concatenate([z[:SEGMENT].max(0) for z in maps]))
-                # The padding is a place of its own in the usual layout.
-                best[i] = np.maximum(best[i], self.maxima(end, np.zeros(1, np.int64))[0][0])
                 continue
             held.append(i)
             size += len(t)
@@ -144,7 +145,7 @@ class Network:
                     for j, part in enumerate(parts):
                         where = np.minimum(at + j, len(rows) - 1)
                         grad = np.einsum("bf,bfd->df", gp, x[where]) + 1e-4 * part
-                        touched.append(rows[where].ravel())
+                        touched.append(np.maximum(rows[where], 0).ravel())
                         moves.append((gp[:, :, None] * part.T[None]).reshape(-1, DEPTH))
                         sums["filters"][k][j] += grad * grad
                         part -= RATE * grad / np.sqrt(sums["filters"][k][j])
