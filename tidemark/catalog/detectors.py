@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import registry
 from ..operators.detect import base as bd
 from ..operators.detect import cluster, density, forest, neighbours
 from ..operators.detect.vectors import as_vectors
+from ..operators.settings import GRID
 from . import fixtures as fx
 from .base import query, rounded
 from .fixtures import sql
@@ -124,12 +126,12 @@ def _(spark, d):
 
 @query("det5_iforest")
 def _(spark, d):
-    return registry.detect("IForest", fx.ts_hour_labelled(spark, d), H2, window=20, trees=50)
+    return registry.detect("IForest", fx.ts_hour_labelled(spark, d), H2, window=20)
 
 
 @query("det6_eif")
 def _(spark, d):
-    return registry.detect("EIF", fx.ts_hour_labelled(spark, d), H2, trees=50)
+    return registry.detect("EIF", fx.ts_hour_labelled(spark, d), H2)
 
 
 @query("det9_pca")
@@ -139,7 +141,7 @@ def _(spark, d):
 
 @query("det10_rpca")
 def _(spark, d):
-    return registry.detect("RobustPCA", fx.ts_hour_labelled(spark, d), H2, max_iter=6)
+    return registry.detect("RobustPCA", fx.ts_hour_labelled(spark, d), H2)
 
 
 @query("det11_mcd")
@@ -149,7 +151,7 @@ def _(spark, d):
 
 @query("det12_ocsvm")
 def _(spark, d):
-    return registry.detect("OCSVM", fx.ts_day(spark, d), C4, steps=4)
+    return registry.detect("OCSVM", fx.ts_day(spark, d), C4)
 
 
 def _semi(key: str, name: str, **kw):
@@ -247,7 +249,7 @@ def _(spark, d):
 @query("det21_grid_search")
 def _(spark, d):
     h = fx.ts_hour_labelled(spark, d)
-    return registry.search(h, H2, {"HBOS": {"n_bins": [5, 10], "tol": [0.5]}, "COPOD": {}})
+    return registry.search(h, H2, {name: GRID[name] for name in ("HBOS", "COPOD")})
 
 
 @query("det22_ensemble_mean", sql("perf", "SELECT dataset, model, round((perf + pred) / 2, 6) AS pred FROM perf"))
@@ -262,10 +264,19 @@ def _(spark, d):
     return registry.detect("Sub_PCA", fx.ts_day(spark, d), ["c1"], components=3)
 
 
-@query("udf1_custom_detector")
+@query("udf1_custom_detector", sql("ts_day", """SELECT series_id, t, round(abs(c1 - avg(c1) OVER w) + abs(c2 - avg(c2) OVER w) + abs(c3 - avg(c3) OVER w) + abs(c4 - avg(c4) OVER w), 4) AS score
+    FROM ts_day WINDOW w AS (PARTITION BY series_id)"""))
 def _(spark, d):
-    registry.register_detector("distance_to_median", lambda x: abs(x - __import__("numpy").median(x, axis=0)).sum(1))
-    return registry.detect("distance_to_median", fx.ts_day(spark, d), C4)
+    registry.register_fitted(
+        "distance_to_mean", lambda x: np.append(x.sum(0), len(x)), lambda s: s[:-1] / s[-1], lambda x, m: abs(x - m).sum(1))
+    return rounded(registry.detect("distance_to_mean", fx.ts_day(spark, d), C4), 4)
+
+
+@query("udf1_local_detector", sql("ts_day", """SELECT series_id, t, round(coalesce(abs(c1 - lag(c1) OVER w), 0) + coalesce(abs(c2 - lag(c2) OVER w), 0) + coalesce(abs(c3 - lag(c3) OVER w), 0)
+    + coalesce(abs(c4 - lag(c4) OVER w), 0), 7) AS score, CAST(NULL AS VARCHAR) AS error FROM ts_day WINDOW w AS (PARTITION BY series_id ORDER BY t)"""))
+def _(spark, d):
+    registry.register_detector("step", lambda x: np.abs(np.diff(x, axis=0, prepend=x[:1])).sum(1), context=1)
+    return rounded(registry.detect("step", fx.ts_day(spark, d), C4), 7)
 
 
 @query("agg19_forest_shape")

@@ -12,8 +12,6 @@ from ..plans.ordered import index_rows
 from ..session import cut
 from .base import squeeze
 
-HOURS = 720
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -52,10 +50,11 @@ def ts_hour(spark, sf_dir) -> DataFrame:
 
 
 def ts_hour_grid(spark, sf_dir) -> DataFrame:
-    """ts_hour on the full grid, gaps as NULL."""
+    """ts_hour on the full grid up to the last hour of the table, gaps as NULL."""
     h = ts_hour(spark, sf_dir)
+    last = h.agg(F.max("t")).first()[0]
     grid = h.select("series_id").distinct().select(
-        "series_id", F.explode(F.sequence(F.lit(0), F.lit(HOURS - 1))).alias("t")
+        "series_id", F.explode(F.sequence(F.lit(0), F.lit(last if last is not None else 0).cast("int"))).alias("t")
     )
     return grid.join(h, ["series_id", "t"], "left")
 
@@ -124,7 +123,7 @@ CTES = {
     "ts_hour": """SELECT event_type AS series_id, CAST(floor((epoch(ts) - 1704067200) / 3600) AS INT) AS t,
         count(*) AS c1, sum(value) AS c2, max(value) AS c3 FROM events GROUP BY 1, 2""",
     "ts_hour_grid": """SELECT s.series_id, g.t, a.c1, a.c2, a.c3 FROM (SELECT DISTINCT series_id FROM ts_hour) s
-        CROSS JOIN (SELECT CAST(range AS INT) AS t FROM range(720)) g
+        CROSS JOIN (SELECT CAST(unnest(range(0, (SELECT max(t) + 1 FROM ts_hour))) AS INT) AS t) g
         LEFT JOIN ts_hour a ON a.series_id = s.series_id AND a.t = g.t""",
     "ts_hour_labelled": """SELECT series_id, t, CAST(coalesce(c1, 0) AS DOUBLE) AS c1, coalesce(c2, 0.0) AS c2,
         round(coalesce(c1, 0) + coalesce(c2, 0.0) / 100.0, 9) AS score,

@@ -159,7 +159,7 @@ def _(spark, d):
 
 @query("agg22_meta_vector")
 def _(spark, d):
-    return mf.as_vector(mf.meta_features(fx.ts_day(spark, d), C4, trees=30))
+    return mf.as_vector(mf.meta_features(fx.ts_day(spark, d), C4))
 
 
 @query("agg23_catch22")
@@ -176,12 +176,11 @@ def _(spark, d):
     return g.agg(rd(F.avg(F.col("n_chars") / 1000.0), 4).alias("runtime")).orderBy("bin", "runtime")
 
 
-@query("agg26_performance_matrix", sql("perf", """PIVOT (SELECT dataset, row_number() OVER (PARTITION BY dataset ORDER BY model) AS i, perf FROM perf) ON i IN (1, 2, 3, 4) USING
-    round(max(perf), 6) GROUP BY dataset""").replace("PIVOT (SELECT", "SELECT dataset, \"1\" AS m1, \"2\" AS m2, \"3\" AS m3, \"4\" AS m4 FROM (PIVOT (SELECT").replace(
-    "GROUP BY dataset", "GROUP BY dataset)"))
+@query("agg26_performance_matrix", sql("perf", "SELECT dataset, " + ", ".join(f"round(max(perf) FILTER (i = {i}), 6) AS m{i}" for i in range(1, 26))
+    + " FROM (SELECT dataset, row_number() OVER (PARTITION BY dataset ORDER BY model) AS i, perf FROM perf) GROUP BY 1"))
 def _(spark, d):
     from ..operators.select.tables import performance_matrix
-    return rounded(performance_matrix(fx.perf(spark, d)).select("dataset", *[F.col(str(i)).alias(f"m{i}") for i in range(1, 5)]))
+    return rounded(performance_matrix(fx.perf(spark, d)).select("dataset", *[F.col(str(i)).alias(f"m{i}") for i in range(1, 26)]))
 
 
 @query("agg27_wcorr", sql("", """SELECT l_returnflag, round((sum(w * x * y) / sum(w) - sum(w * x) / sum(w) * sum(w * y) / sum(w)) / sqrt((sum(w * x * x) / sum(w) - pow(sum(w * x) /

@@ -195,7 +195,7 @@ def _(spark, d):
     from ..operators.select.tables import prediction_row
     path = _folder(spark, "predictions")
     p = fx.perf(spark, d)
-    lists = sq.ranked_lists(p, "pred", 1000).withColumnRenamed("models", "prediction").join(
-        sq.ranked_lists(p, "perf", 1000).withColumnRenamed("models", "truth"), "dataset")
+    lists = sq.ranked_lists(p, "pred").withColumnRenamed("models", "prediction").join(
+        sq.ranked_lists(p, "perf").withColumnRenamed("models", "truth"), "dataset")
     sinks.append_predictions(prediction_row(lists), path)
     return rounded(spark.read.parquet(path).select("dataset", "rho"))

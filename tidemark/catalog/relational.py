@@ -167,14 +167,11 @@ def _(spark, d):
     return s.select("series_id", "score", F.row_number().over(w).alias("pos"))
 
 
-SETS = """a AS (SELECT DISTINCT s_nationkey AS k FROM supplier), b AS (SELECT DISTINCT c_nationkey AS k FROM customer
-    WHERE c_acctbal > 9900)"""
+SETS = """a AS (SELECT DISTINCT c_custkey AS k FROM customer), b AS (SELECT DISTINCT l_suppkey AS k FROM lineitem)"""
 
 
 def _sets(spark, d):
-    a = fx.table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))
-    b = fx.table(spark, d, "customer").filter("c_acctbal > 9900").select(F.col("c_nationkey").alias("k"))
-    return a, b
+    return fx.table(spark, d, "customer").select(F.col("c_custkey").alias("k")), fx.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"))
 
 
 @query("set1_intersect", sql("", "SELECT k FROM a INTERSECT SELECT k FROM b", SETS))
@@ -193,11 +190,11 @@ def _(spark, d):
     return an.symmetric_difference(*_sets(spark, d))
 
 
-@query("set4_bind_rows", sql("ts_day", """SELECT series_id, c1, c2 FROM ts_day WHERE t < 100 UNION ALL SELECT series_id, c1,
-    NULL FROM ts_day WHERE t >= 2000"""))
+@query("set4_bind_rows", sql("ts_day ts_hour", """SELECT series_id, c1, c2 FROM ts_day UNION ALL SELECT series_id, CAST(c1 AS DOUBLE), NULL
+    FROM ts_hour"""))
 def _(spark, d):
-    t = fx.ts_day(spark, d)
-    return an.bind_rows(t.filter("t < 100").select("series_id", "c1", "c2"), t.filter("t >= 2000").select("series_id", "c1"))
+    h = fx.ts_hour(spark, d)
+    return an.bind_rows(fx.ts_day(spark, d).select("series_id", "c1", "c2"), h.select("series_id", F.col("c1").cast("double").alias("c1")))
 
 
 @query("set5_train_then_test", sql("ts_day", """SELECT series_id, t, c1, CASE WHEN t < 1500 THEN 'train' ELSE 'test' END

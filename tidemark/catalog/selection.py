@@ -139,12 +139,12 @@ def _rec(key: str, name: str, **kw):
         return rc.recommend(name, p, m, m, **kw).select("dataset", "model", "score")
 
 
-_rec("sel3_rf", "regression", trees=10)
-_rec("sel4_ureg", "factor_regression", factors=3, trees=10)
-_rec("sel5_clustered_factors", "clustered_factors", factors=2, trees=10)
-_rec("sel6_cluster_routed", "cluster_routed", factors=2, trees=10)
-_rec("sel7_rank_factorisation", "rank_factorisation", epochs=3, trees=10)
-_rec("sel9_fm", "factorisation_machine", steps=5)
+_rec("sel3_rf", "regression")
+_rec("sel4_ureg", "factor_regression")
+_rec("sel5_clustered_factors", "clustered_factors")
+_rec("sel6_cluster_routed", "cluster_routed")
+_rec("sel7_rank_factorisation", "rank_factorisation")
+_rec("sel9_fm", "factorisation_machine")
 
 
 @query("sel9_fm_score", sql("perf", """SELECT dataset, round(0.5::DOUBLE + sum(w * x) + (pow(sum(v1 * x), 2) - sum(v1 * v1 * x * x) + pow(sum(v2 * x), 2) - sum(v2 * v2 * x * x)) / 2, 6) AS
@@ -158,11 +158,14 @@ def _(spark, d):
     return rounded(v.select("dataset", rc.fm_score("x", "b", "w", "v").alias("score")))
 
 
-@query("sel10_wide_predictions", sql("perf", """SELECT dataset, round(max(pred) FILTER (model = 'Brand#11'), 6) AS b11, round(max(pred) FILTER (model = 'Brand#55'), 6) AS b55 FROM perf GROUP
-    BY 1"""))
+BRANDS = [f"Brand#{i}" for i in range(1, 26)]  # the models of the perf table
+NATIONS = [f"NATION_{i}" for i in range(25)]  # and its datasets
+
+
+@query("sel10_wide_predictions", sql("perf", "SELECT dataset, " + ", ".join(f"round(max(pred) FILTER (model = '{b}'), 6) AS b{i}" for i, b in enumerate(BRANDS)) + " FROM perf GROUP BY 1"))
 def _(spark, d):
-    w = rc.spread(fx.perf(spark, d).withColumnRenamed("pred", "score"), ["Brand#11", "Brand#55"])
-    return rounded(w.select("dataset", F.col("`Brand#11`").alias("b11"), F.col("`Brand#55`").alias("b55")))
+    w = rc.spread(fx.perf(spark, d).withColumnRenamed("pred", "score"), BRANDS)
+    return rounded(w.select("dataset", *[F.col(f"`{b}`").alias(f"b{i}") for i, b in enumerate(BRANDS)]))
 
 
 @query("sel12_folds", sql("perf", """SELECT r AS repeat, CAST(count(DISTINCT dataset) AS BIGINT) AS test_sets, CAST(count(DISTINCT dataset) * 9 AS BIGINT) AS train_sets FROM perf CROSS JOIN
@@ -217,12 +220,13 @@ def _(spark, d):
     return rounded(tb.melt_performance(wide, "dataset"))
 
 
-@query("snk4_transposed", sql("perf", """SELECT feature, round(max(v) FILTER (dataset = 'CHINA'), 6) AS "CHINA", round(max(v) FILTER (dataset = 'PERU'), 6) AS "PERU" FROM (SELECT dataset, 'top' AS
-    feature, max(perf) AS v FROM perf GROUP BY 1 UNION ALL SELECT dataset, 'low', min(perf) FROM perf GROUP BY 1) GROUP BY 1"""))
+@query("snk4_transposed", sql("perf", "SELECT feature, " + ", ".join(f"round(max(v) FILTER (dataset = '{n}'), 6) AS {n}" for n in NATIONS)
+    + """ FROM (SELECT dataset, 'top' AS feature, max(perf) AS v FROM perf GROUP BY 1 UNION ALL SELECT dataset, 'low', min(perf) FROM perf GROUP BY 1) GROUP BY 1"""))
 def _(spark, d):
     from ..sources.sinks import transposed
     m = fx.perf(spark, d).groupBy("dataset").agg(F.max("perf").alias("top"), F.min("perf").alias("low"))
-    return rounded(transposed(m, "dataset", ["CHINA", "PERU"]))
+    return rounded(transposed(m, "dataset", NATIONS))
+
 
 
 @query("sel_series_meta")

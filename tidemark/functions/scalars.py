@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -144,18 +146,17 @@ def split_value(lo: Column, hi: Column, seed: int, *ids: str) -> Column:
 
 
 def sample_rows(df: DataFrame, share: float, seed: int, *ids: str, replacement: bool = False) -> DataFrame:
-    """Without replacement: keep a row by its hash.  With replacement: Poisson copies."""
+    """Without replacement: keep a row by its hash.  With replacement: Poisson copies, by the inverse distribution as far as doubles tell it from 1."""
     if not replacement:
         return df.filter(hash_share(seed, *ids) < share)
     u = hash_share(seed, *ids)
-    terms, p, cumulative = [], 2.718281828459045 ** (-share), 0.0
-    for k in range(1, 16):
+    bounds, p, cumulative, k = [], math.exp(-share), 0.0, 0
+    while k <= share or p > 2.0**-53:
         cumulative += p
-        terms.append(F.when(u >= cumulative, 1).otherwise(0))
+        bounds.append(cumulative)
+        k += 1
         p = p * share / k
-    copies = terms[0]
-    for t in terms[1:]:
-        copies = copies + t
+    copies = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= u))
     return (
         df.withColumn("_copies", copies)
         .filter("_copies > 0")

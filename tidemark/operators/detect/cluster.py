@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ...functions.vectors import distance, sqdist
 from ...plans.attach import attach
-from ...plans.chunks import collected, key_schema, over_windows, solve_per_key
+from ...plans.chunks import key_schema, over_windows, packed_chunks, solve_per_key, sum_over_windows
 from ...session import cut
 from ..windows import overlap_mean
 
@@ -87,10 +87,14 @@ def _seed_centres(x: np.ndarray, k: int, seed: int, steps: int = 10) -> np.ndarr
 
 
 def kmeans_fit(
-    df: DataFrame, channels: Sequence[str], k: int = 20, window: int = 20, steps: int = 4, seed: int = 0,
+    df: DataFrame, channels: Sequence[str], k: int = 20, window: int = 20, steps: int = 300, seed: int = 0,
     normalise: bool = True, keys: Sequence[str] = KEYS, size=None, tol: float = 1e-4,
 ) -> DataFrame:
-    """(keys, k, centres, sizes): centres as one flat array per series, and the rows of each cluster."""
+    """(keys, k, centres, sizes, shift): centres as one flat array per series, and the rows of each cluster.
+
+    Lloyd steps run until no centre of any series moves by more than ``tol``, at most ``steps`` times; ``shift`` is the last move. Only the start
+    uses a sample (about ``SAMPLE`` windows per series).
+    """
     names = list(keys)
     prep = lambda w: window_rows(w, normalise)
     sample = sampled_windows(df, channels, window, seed=seed, keys=keys, size=size, prep=prep)
@@ -106,21 +110,17 @@ def kmeans_fit(
     model_cols = "k int, centres array<double>, shift double, sizes array<double>"
     model = cut(sample.groupBy(*names).applyInPandas(start, f"{key_schema(df, keys)}, {model_cols}"))
 
-    def sums(w, t, m):
+    def sums(w, m):
         x = prep(w)
         c = np.asarray(m["centres"]).reshape(int(m["k"]), -1)
         own, _d = _nearest(x, c)
         hot = np.zeros((len(x), len(c)))
         hot[np.arange(len(x)), own] = 1
-        flat = np.concatenate([hot.sum(0), (hot.T @ x).ravel()])
-        cells = np.empty(len(t), dtype=object)
-        cells[0] = flat
-        return {"v": cells}
+        return np.concatenate([hot.sum(0), (hot.T @ x).ravel()])
 
+    chunks = packed_chunks(df, channels, window, keys, size)
     for _ in range(steps):
-        parts = over_windows(df, channels, window, sums, "v array<double>", keys, size=size, models=model)
-        parts = parts.filter(F.col("v").isNotNull()).select(*keys, F.posexplode("v").alias("i", "v"))
-        joined = collected(parts, keys).join(model, names)
+        joined = sum_over_windows(chunks, len(channels), window, sums, model, keys).join(model, names)
 
         def update(row):
             kk = int(row["k"])
@@ -173,14 +173,20 @@ def cblof_score(
     keys: Sequence[str] = KEYS, size=None, model: DataFrame | None = None, train: DataFrame | None = None,
     weighted: bool = False, **fit,
 ) -> DataFrame:
-    """(keys, t, score): distance to the own centre in a large cluster, else to the nearest large centre."""
+    """(keys, t, score): distance to the own centre in a large cluster, else to the nearest large centre.
+
+    A series whose clusters cannot be told into large and small ones has NULL scores, the others are not affected.
+    """
     if model is None:
         model = kmeans_fit(df if train is None else train, channels, k, window, keys=keys, size=size, **fit)
 
     def score(w, t, m):
         x = window_rows(w)
         c, sizes = np.asarray(m["centres"]).reshape(int(m["k"]), -1), np.asarray(m["sizes"])
-        large = separate(sizes, alpha, beta) if len(c) > 1 else np.arange(len(c))
+        try:
+            large = separate(sizes, alpha, beta) if len(c) > 1 else np.arange(len(c))
+        except ValueError:
+            return {"score": np.full(len(x), np.nan)}
         own, d = _nearest(x, c)
         _near, d_large = _nearest(x, c[large])
         d = np.where(np.isin(own, large), d, d_large)

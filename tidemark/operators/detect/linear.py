@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ...plans.chunks import collected, key_schema, over_rows, over_windows, row_moments, solve_per_key, unpack, window_moments
+from ...plans.attach import attach
+from ...plans.chunks import CHUNK_ROWS, collected, key_schema, over_rows, over_windows, row_moments, solve_per_key, unpack, window_moments
 from ...plans.ordered import cumulate, quantile_of
 from ...session import cut
 from ..windows import centre_pad
@@ -109,17 +110,65 @@ def pca_score(
 _STATE = "x array<double>, s array<double>, y array<double>, l array<double>"
 
 
+def _shrink(g: np.ndarray, mu: float) -> np.ndarray:
+    """Projection that lowers the singular values of a matrix with Gram matrix ``g`` by 1 / mu."""
+    values, v = eigen(g)
+    sv = np.sqrt(values)
+    return (v * np.where(sv > 1 / mu, (sv - 1 / mu) / np.maximum(sv, 1e-300), 0.0)) @ v.T
+
+
+def _split(x, s, y, p, mu, lam):
+    """Low-rank part, sparse part and what both leave, after one step."""
+    low = (x - s + y / mu) @ p
+    z = x - low + y / mu
+    sparse = np.sign(z) * np.maximum(np.abs(z) - lam / mu, 0)
+    return low, sparse, x - low - sparse
+
+
+def _pursuit(x: np.ndarray, max_iter: int, tol: float) -> tuple[np.ndarray, np.ndarray]:
+    """All steps for one matrix: (low-rank part, sparse part)."""
+    top = np.abs(x).sum(0).max(initial=0.0)
+    mu = x.size / (4 * top) if top > 0 else 1.0
+    lam, norm = 1 / math.sqrt(max(*x.shape, 1)), math.sqrt((x**2).sum())
+    s, y, low = np.zeros_like(x), np.zeros_like(x), np.zeros_like(x)
+    for _ in range(max_iter):
+        z = x - s + y / mu
+        low, s, gap = _split(x, s, y, _shrink(z.T @ z, mu), mu, lam)
+        y = y + mu * gap
+        if math.sqrt((gap**2).sum()) <= tol * max(norm, 1e-300):
+            break
+    return low, s
+
+
 def robust_pca(
-    df: DataFrame, channels: Sequence[str], max_iter: int = 30, tol: float = 1e-7, keys: Sequence[str] = KEYS,
+    df: DataFrame, channels: Sequence[str], max_iter: int = 1000, tol: float = 1e-7, keys: Sequence[str] = KEYS,
     mode: str = "sparse", size=None,
 ) -> DataFrame:
     """(keys, t, score): absolute sparse part per row; ``mode="reference"`` compares the low-rank part with its own projection.
 
-    One step: the Gram matrix of the shrunk data (one aggregate), a small eigen problem per series, and a row-local update.  Every step is
-    checkpointed; the loop ends when all series meet the tolerance.
+    A series of at most ``size`` rows (a chunk) is solved in one task. Longer ones take these steps together: the Gram matrix of the shrunk data
+    (one aggregate), a small eigen problem per series, and a row-local update, checkpointed. Both take the same steps, each series until it meets
+    the tolerance or ``max_iter``; the long ones go on until all of them do.
     """
     names = list(keys)
-    raw = df.select(*keys, "t", F.array(*[F.col(c).cast("double") for c in channels]).alias("x"))
+    every = df.select(*keys, "t", F.array(*[F.col(c).cast("double") for c in channels]).alias("x"))
+    lengths = cut(every.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    short = attach(every, lengths.filter(F.col("_n") <= (size or CHUNK_ROWS)), keys).drop("_n")
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        low, sparse = _pursuit(np.stack(pdf["x"].to_numpy()), max_iter, tol)
+        return pdf[[*names, "t"]].assign(s=list(sparse), l=list(low))
+
+    kind = df.schema["t"].dataType.simpleString()
+    solved = short.groupBy(*names).applyInPandas(whole, f"{key_schema(df, keys)}, t {kind}, s array<double>, l array<double>")
+    long_ = lengths.filter(F.col("_n") > (size or CHUNK_ROWS))
+    state = solved if long_.isEmpty() else solved.unionByName(_pursuit_together(attach(every, long_, keys).drop("_n"), max_iter, tol, keys, size))
+    return _pursuit_score(cut(state) if mode != "sparse" else state, len(channels), mode, keys, size)
+
+
+def _pursuit_together(raw: DataFrame, max_iter: int, tol: float, keys: Sequence[str], size) -> DataFrame:
+    """(keys, t, s, l) of all series at once, one distributed step after the other."""
+    names = list(keys)
     zero = F.transform("x", lambda v: v * 0.0)
     state = cut(raw.select(*keys, "t", "x", zero.alias("s"), zero.alias("y"), zero.alias("l")))
     long = state.select(*keys, F.posexplode("x").alias("i", "v"))
@@ -143,18 +192,12 @@ def robust_pca(
     def solve(row):
         g = np.asarray(row["m"])
         d = int(math.sqrt(len(g)))
-        values, v = eigen(g.reshape(d, d))
-        sv = np.sqrt(values)
-        f = np.where(sv > 1 / row["mu"], (sv - 1 / row["mu"]) / np.maximum(sv, 1e-300), 0.0)
-        return {"mu": row["mu"], "lam": row["lam"], "norm": row["norm"], "p": (v * f @ v.T).ravel().tolist()}
+        return {"mu": row["mu"], "lam": row["lam"], "norm": row["norm"], "p": _shrink(g.reshape(d, d), row["mu"]).ravel().tolist()}
 
     def update(pdf, m):
         x, s, y, _l = stacked(pdf)
         d = x.shape[1]
-        low = (x - s + y / m["mu"]) @ np.asarray(m["p"]).reshape(d, d)
-        z = x - low + y / m["mu"]
-        sparse = np.sign(z) * np.maximum(np.abs(z) - m["lam"] / m["mu"], 0)
-        gap = x - low - sparse
+        low, sparse, gap = _split(x, s, y, np.asarray(m["p"]).reshape(d, d), m["mu"], m["lam"])
         return {"x": list(x), "s": list(sparse), "y": list(y + m["mu"] * gap), "l": list(low), "e": (gap**2).sum(1)}
 
     for _ in range(max_iter):
@@ -165,10 +208,14 @@ def robust_pca(
         err = state.groupBy(*keys).agg(F.sqrt(F.sum("e")).alias("e")).join(base, names)
         if (err.agg(F.max(F.col("e") / F.greatest("norm", F.lit(1e-300))).alias("r")).first()["r"] or 0.0) <= tol:
             break
+    return state.select(*keys, "t", "s", "l")
+
+
+def _pursuit_score(state: DataFrame, dims: int, mode: str, keys: Sequence[str], size) -> DataFrame:
     if mode == "sparse":
         return state.select(*keys, "t", F.aggregate("s", F.lit(0.0), lambda a, v: a + F.abs(v)).alias("score"))
-    wide = state.select(*keys, "t", "l", *[F.col("l")[i].alias(f"l{i}") for i in range(len(channels))])
-    m = row_moments(wide, [f"l{i}" for i in range(len(channels))], keys)
+    wide = state.select(*keys, "t", "l", *[F.col("l")[i].alias(f"l{i}") for i in range(dims)])
+    m = row_moments(wide, [f"l{i}" for i in range(dims)], keys)
 
     def axes(row):
         n, mean, cov = unpack(row["m"])
@@ -294,27 +341,42 @@ def mcd_score(
 
 
 def _features(x: np.ndarray, kernel: str, gamma: float | str, width: int, seed: int) -> np.ndarray:
+    """Vectors whose products approximate the kernel: itself for linear, random waves for rbf, products of random signs for poly (degree 3)."""
     if kernel == "linear":
         return x
     p = x.shape[1]
     g = 1.0 / p if gamma == "auto" else float(gamma)
     rng = np.random.default_rng(seed)
-    w, b = rng.normal(scale=math.sqrt(2 * g), size=(p, width)), rng.uniform(0, 2 * math.pi, size=width)
-    return math.sqrt(2.0 / width) * np.cos(x @ w + b)
+    if kernel == "rbf":
+        w, b = rng.normal(scale=math.sqrt(2 * g), size=(p, width)), rng.uniform(0, 2 * math.pi, size=width)
+        return math.sqrt(2.0 / width) * np.cos(x @ w + b)
+    if kernel == "poly":
+        out = np.full((len(x), width), math.sqrt(g**3 / width))
+        for _ in range(3):
+            out = out * (x @ rng.choice([-1.0, 1.0], size=(p, width)))
+        return out
+    raise ValueError(f"kernel {kernel!r} has no product form; use linear, rbf or poly")
 
 
 def ocsvm_score(
     df: DataFrame, channels: Sequence[str], window: int = 1, kernel: str = "rbf", nu: float = 0.5, gamma="auto",
     features: int = 128, steps: int = 10, train: DataFrame | None = None, keys: Sequence[str] = KEYS, size=None, seed: int = 0,
+    compat: bool = False,
 ) -> DataFrame:
-    """(keys, t, score): margin minus projection.  Averaged subgradient steps; each is one sum over all windows."""
+    """(keys, t, score): margin minus projection.  Averaged subgradient steps; each is one sum over all windows.
+
+    Windows are scaled to their own range when fitted and when scored; ``compat=True`` scales them in the fit only, as the benchmark does.
+    """
+    if kernel not in ("linear", "rbf", "poly"):
+        raise ValueError(f"kernel {kernel!r} has no product form; use linear, rbf or poly")
     names = list(keys)
     base = df if train is None else train
 
-    def prep(w):
+    def prep(w, scaled=True):
         x = window_rows(w)
-        lo, hi = x.min(1, keepdims=True), x.max(1, keepdims=True)
-        x = np.divide(x - lo, hi - lo, out=np.zeros_like(x), where=hi > lo)
+        if scaled:
+            lo, hi = x.min(1, keepdims=True), x.max(1, keepdims=True)
+            x = np.divide(x - lo, hi - lo, out=np.zeros_like(x), where=hi > lo)
         return _features(x, kernel, gamma, features, seed)
 
     def total(w, t, m):
@@ -353,7 +415,7 @@ def ocsvm_score(
 
         model = cut(solve_per_key(pass_over(model).join(model, names), move, cols, keys))
     scored = over_windows(
-        df, channels, window, lambda w, t, m: {"score": m["arho"] - prep(w) @ np.asarray(m["aw"])}, "score double", keys,
+        df, channels, window, lambda w, t, m: {"score": m["arho"] - prep(w, not compat) @ np.asarray(m["aw"])}, "score double", keys,
         size=size, models=model,
     )
     return centre_pad(df, scored, window, keys) if window > 1 else scored

@@ -127,35 +127,33 @@ def fourier(x: Column, y: Column) -> Column:
     return F.sqrt(total / F.size(x))
 
 
-def _knots(x: np.ndarray, bound: float):
-    """Greedy piecewise-linear knots: a line through two points runs until it misses one by the bound."""
-    at, lines, i = [], {}, 0
-    while i < len(x):
-        at.append(i)
-        if i + 1 >= len(x):
-            break
-        slope = x[i + 1] - x[i]
-        lines[i] = (slope, x[i] - i * slope)
-        start, i = i, i + 2
-        while i < len(x) and abs(x[i] - (lines[start][0] * i + lines[start][1])) < bound:
-            i += 1
-    return at, lines
-
-
-def _line_gap(x: np.ndarray, y: np.ndarray, bound: float) -> float:
-    (ax, lx), (ay, ly) = _knots(x, bound), _knots(y, bound)
-    total, union = 0.0, sorted(set(ax) | set(ay))
-
-    def at(i, own, lines, v):
-        if i in own:
-            return v[i]
-        slope, base = lines[max(j for j in own if j < i)]
-        return slope * i + base
-
-    sx, sy = set(ax), set(ay)
-    for i in union:
-        total += abs(at(i, sx, lx, x) - at(i, sy, ly, y))
-    return total / len(union) if union else 0.0
+def _segments(x: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of each row of a matrix, and the values of its piecewise-linear form.
+
+    From a knot a line goes through the next point; the next knot is the first later point that it misses by ``bound`` or more.
+    """
+    rows, n = x.shape
+    at = np.arange(n)
+    slope = np.diff(x, axis=1, append=x[:, -1:])
+    line = x[:, :, None] + (at[None, :] - at[:, None])[None] * slope[:, :, None]  # [row, knot, point]
+    miss = (np.abs(x[:, None, :] - line) >= bound) & (at[None, :] >= at[:, None] + 2)[None]
+    following = np.where(miss.any(2), miss.argmax(2), n)
+    knot, here = np.zeros((rows, n), bool), np.zeros(rows, np.int64)
+    live = np.arange(rows) if n else np.zeros(0, np.int64)
+    while len(live):
+        knot[live, here[live]] = True
+        here[live] = following[live, here[live]]
+        live = live[here[live] < n]
+    # A line that runs to the end leaves the last point to itself only if a knot is there.
+    owner = np.maximum.accumulate(np.where(knot, at[None], 0), axis=1)
+    return knot, np.take_along_axis(line, owner[:, None, :], 1)[:, 0, :] if n else x
+
+
+def _line_gap(x: np.ndarray, y: np.ndarray, bound: float) -> np.ndarray:
+    """Mean absolute difference of the piecewise-linear forms at the knots of either, row by row."""
+    (kx, fx), (ky, fy) = _segments(x, bound), _segments(y, bound)
+    either = kx | ky
+    return (np.abs(fx - fy) * either).sum(1) / np.maximum(either.sum(1), 1)
 
 
 def _stack(x: pd.Series, y: pd.Series):
@@ -166,7 +164,11 @@ def linear_segments(bound: float = 1.0):
     """Pandas UDF (x, y): mean absolute difference at the knots of both piecewise-linear fits."""
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([_line_gap(np.asarray(a, float), np.asarray(b, float), bound) for a, b in zip(x, y, strict=True)])
+        if not len(x):
+            return pd.Series([], dtype=float)
+        a, b = _stack(x, y)
+        step = max(1, (1 << 22) // max(a.shape[1] ** 2, 1))
+        return pd.Series(np.concatenate([_line_gap(a[i:i + step], b[i:i + step], bound) for i in range(0, len(a), step)]))
 
     return run
 

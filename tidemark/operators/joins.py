@@ -70,15 +70,24 @@ def clip_to_zones(events: DataFrame, zones: DataFrame, keys: Sequence[str] = ("s
 
 
 def nearest_row(query: DataFrame, base: DataFrame, vector: str = "x", id: str = "dataset") -> DataFrame:
-    """Nearest base row of each query row; a base row with the id of the query does not count."""
+    """Nearest base row of each query row; a base row with the id of the query does not count, an equal row with another id does.
+
+    Among equal base rows the smallest id is returned.
+    """
     one = F.lit(0).alias("series_id")
     near, _ = knn(base.select(one, id, vector), 2, x=vector, id=id, queries=query.select(one, id, vector))
     # vid is the smallest id among equal query vectors, so go back to the rows through the vector
     own = query.select(F.col(id).alias("_id"), F.col(vector).alias("_v"))
     vectors = own.groupBy("_v").agg(F.min("_id").alias("vid")).withColumnRenamed("_v", "_w")
-    rows = own.join(vectors, F.col("_v") == F.col("_w")).withColumnRenamed("_id", id).join(near, "vid")
+    rows = own.join(vectors, F.col("_v") == F.col("_w")).withColumnRenamed("_id", id).join(near, "vid").filter(F.col(id) != F.col("nb")).select(id, "d", "nb")
+    # The two smallest ids of a group of equal base rows are enough: one of them is not the query's.
+    ids = base.select(F.col(vector).alias("_v"), F.col(id).alias("_a"))
+    first = ids.groupBy("_v").agg(F.min("_a").alias("_first"))
+    second = ids.join(first.select(F.col("_v").alias("_u"), "_first"), F.col("_v") == F.col("_u")).filter("_a > _first").groupBy("_v").agg(F.min("_a").alias("_second"))
+    pair = first.join(second.withColumnRenamed("_v", "_u"), F.col("_v") == F.col("_u"), "left").select(F.col("_v").alias("_b"), "_first", "_second")
+    equal = own.join(pair, F.col("_v") == F.col("_b")).select(F.col("_id").alias(id), F.lit(0.0).alias("d"), F.when(F.col("_first") != F.col("_id"), F.col("_first")).otherwise(F.col("_second")).alias("nb"))
     return (
-        rows.filter(F.col(id) != F.col("nb"))
+        rows.unionByName(equal.filter("nb IS NOT NULL"))
         .groupBy(id)
         .agg(F.min(F.struct("d", "nb")).alias("m"))
         .select(id, F.col("m.nb").alias("nearest"), F.col("m.d").alias("distance"))

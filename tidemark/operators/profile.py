@@ -18,11 +18,11 @@ from .windows import KEYS
 
 
 def autocorrelation(
-    df: DataFrame, value: str, lags: int = 400, first: int | None = 20_000, keys: Sequence[str] = KEYS, size=None
+    df: DataFrame, value: str, lags: int = 400, first: int | None = None, keys: Sequence[str] = KEYS, size=None
 ) -> DataFrame:
     """(keys, lag, acf) for lags 0..lags: products divided by the total sum of squares.
 
-    A chunk sees the next ``lags`` rows and returns one partial sum per lag, so the rows are not multiplied by the lags.
+    All rows count; ``first=20_000`` gives the figures of the benchmark, which stops there. A chunk sees the next ``lags`` rows and returns one partial sum per lag, so the rows are not multiplied by the lags.
     """
     s = df.select(*keys, "t", F.col(value).cast("double").alias("x"))
     if first is not None:
@@ -54,7 +54,8 @@ def autocorrelation(
 
 
 def period(
-    df: DataFrame, value: str, rank: int = 1, keys: Sequence[str] = KEYS, channels: int = 1, lags: int = 400, size=None
+    df: DataFrame, value: str, rank: int = 1, keys: Sequence[str] = KEYS, channels: int = 1, lags: int = 400, size=None,
+    first: int | None = None,
 ) -> DataFrame:
     """(keys, period): lag of the highest strict local maximum of the autocorrelation from lag 3 on.
 
@@ -65,7 +66,7 @@ def period(
         return everyone.withColumn("period", F.lit(0))
     if rank == 0:
         return everyone.withColumn("period", F.lit(1))
-    a = autocorrelation(df, value, lags, keys=keys, size=size).filter("lag >= 3").withColumn("i", F.col("lag") - 3)
+    a = autocorrelation(df, value, lags, first, keys, size).filter("lag >= 3").withColumn("i", F.col("lag") - 3)
     w = Window.partitionBy(*keys).orderBy("i")
     peaks = a.withColumn("_p", F.lag("acf").over(w)).withColumn("_n", F.lead("acf").over(w))
     peaks = peaks.filter("acf > _p AND acf > _n")

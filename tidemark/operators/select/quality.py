@@ -23,10 +23,11 @@ def _ranked(perf: DataFrame, truth: str, pred: str, keys: Sequence[str]) -> Data
     )
 
 
-def ranked_lists(perf: DataFrame, value: str, n: int, keys: Sequence[str] = (DS,)) -> DataFrame:
-    """Best n models per dataset as an array."""
+def ranked_lists(perf: DataFrame, value: str, n: int | None = None, keys: Sequence[str] = (DS,)) -> DataFrame:
+    """Best n (or all) models per dataset as an array; models are few."""
     w = Window.partitionBy(*keys).orderBy(F.col(value).desc(), MODEL)
-    top = perf.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
+    top = perf.withColumn("_r", F.row_number().over(w))
+    top = top if n is None else top.filter(F.col("_r") <= n)
     return top.groupBy(*keys).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("_r", MODEL))), lambda s: s[MODEL]).alias("models")
     )

@@ -257,7 +257,7 @@ def _spanning(u, hit, other):
 
 
 def dbscan(
-    points: DataFrame, eps: float = 1.0, min_points: int = 5, id: str = DS, max_rounds: int = 100, block: int = 4096
+    points: DataFrame, eps: float = 1.0, min_points: int = 5, id: str = DS, block: int = 4096
 ) -> DataFrame:
     """(id, cluster): density clusters, 0 is noise.  ``x`` is a short vector (a projection).
 
@@ -282,7 +282,7 @@ def dbscan(
     some = _near_reduce(core, eps, d, "l", _spanning, "long", block).filter("u <> v")
     edges = cut(some.unionByName(some.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     label = core.select("u", "l")
-    for _ in range(max_rounds):
+    while True:
         best = edges.join(label.select(F.col("u").alias("v"), F.col("l").alias("lv")), "v").groupBy("u").agg(F.min("lv").alias("l2"))
         jump = label.select(F.col("u").alias("l2"), F.col("l").alias("l3"))
         least = F.least("l", "l2", F.coalesce("l3", "l2"))
@@ -310,11 +310,11 @@ def _border(labelled: DataFrame, eps: float, dims: int, block: int) -> DataFrame
 
 
 def _text_order(order: DataFrame) -> DataFrame:
-    """Position of text ids: dataset names, one row each, ranked by their first characters in ranges."""
-    part = order.select("first", F.substring("first", 1, 2).alias("_r"))
+    """Position of distinct text ids: numbered inside ranges that Spark balances by sampling, so common beginnings don't matter."""
+    part = cut(order.select("first").repartitionByRange("first").withColumn("_r", F.spark_partition_id()))
     w = Window.partitionBy("_r").orderBy("first")
     counts = part.groupBy("_r").agg(F.count(F.lit(1)).alias("_k"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # a few prefixes
+    before = Window.partitionBy(F.lit(0)).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     counts = counts.withColumn("_o", F.coalesce(F.sum("_k").over(before), F.lit(0))).drop("_k")
     return part.withColumn("_i", F.row_number().over(w)).join(counts, "_r").select("first", (F.col("_i") + F.col("_o")).alias("cum_n"))
 

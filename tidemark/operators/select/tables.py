@@ -32,7 +32,7 @@ def ranked_matrix(perf: DataFrame, value: str = "perf") -> DataFrame:
     """(dataset, models): model names in rank order."""
     from .quality import ranked_lists
 
-    return ranked_lists(perf, value, 1_000_000)
+    return ranked_lists(perf, value)
 
 
 def recommendation_lists(df: DataFrame, key: str, pred: str, truth: str | None = None) -> DataFrame:

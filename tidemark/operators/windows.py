@@ -88,19 +88,22 @@ def overlap_mean(
     points: DataFrame, scores: DataFrame, window: int, stride: int = 1, keys: Sequence[str] = KEYS,
     score: str = "score", size: int | None = None,
 ) -> DataFrame:
-    """Mean score of all windows that cover a point; points no window covers get 0.
+    """Mean score of all windows that cover a point; points no window covers get 0, points whose windows all have NULL scores NULL.
 
     A sliding frame over the window begins; no window is exploded.
     """
-    begins = scores.select(*keys, "t", F.col(score).alias("_s")).filter(F.col("t") % stride == 0)
+    begins = scores.select(*keys, "t", F.col(score).alias("_s"), F.lit(1).alias("_w")).filter(F.col("t") % stride == 0)
     on_grid = points.select(*keys, "t").join(begins, [*keys, "t"], "left")
     out = framed(
         on_grid, keys, "t", window - 1, 0,
-        {score: lambda w: F.avg("_s").over(w.rowsBetween(-(window - 1), 0))}, size,
+        {
+            score: lambda w: F.avg("_s").over(w.rowsBetween(-(window - 1), 0)),
+            "_any": lambda w: F.max("_w").over(w.rowsBetween(-(window - 1), 0)),
+        }, size,
     )
     value = F.col(score)
     return out.select(
-        *keys, "t", F.when(value.isNull() | F.isnan(value), F.lit(0.0)).otherwise(value).alias(score)
+        *keys, "t", F.when(F.col("_any").isNull() | F.isnan(value), F.lit(0.0)).otherwise(value).alias(score)
     )
 
 

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .attach import sized
 from .ordered import halo
 
@@ -61,6 +62,7 @@ def over_windows(
     names, chans = list(keys), list(channels)
     out_schema = f"{key_schema(df, keys)}, t {df.schema['t'].dataType.simpleString()}, {schema}"
     columns = [*names, "t", *[c.strip().split()[0] for c in _split_schema(schema)]]
+    modelled = models is not None
 
     def run(pdf: pd.DataFrame, model) -> pd.DataFrame:
         t, rest = _own_windows(pdf, chans, window, stride)
@@ -68,6 +70,9 @@ def over_windows(
             return pd.DataFrame(columns=columns)
         view, at = rest
         parts = []
+        if model is None and modelled:  # NULL results
+            parts.append(pd.DataFrame({"t": t[at], **dict.fromkeys(columns[len(names) + 1 :])}))
+            at = at[:0]
         for a, b in _batches(len(at), window * len(chans)):
             res = fn(view[at[a:b]], t[at[a:b]], model)
             parts.append(pd.DataFrame({"t": t[at[a:b]], **res}))
@@ -78,17 +83,18 @@ def over_windows(
 
     if models is None:
         return chunked.groupBy(*names, "_chunk").applyInPandas(lambda pdf: run(pdf, None), out_schema)
-    return _with_models(chunked, names, models, run, columns, out_schema)
+    return with_models(chunked, names, models, run, columns, out_schema)
 
 
-def _with_models(chunked, names, models, run, columns, out_schema):
+def with_models(chunked, names, models, run, columns, out_schema):
+    """``run(chunk, model)`` with the model of the chunk's series, or None where the series has no model."""
     spread = chunked.select(*names, "_chunk").distinct().join(sized(models), names)
     fresh = spread.select(*[F.col(c).alias(c) for c in spread.columns])
 
     def both(pdf: pd.DataFrame, mdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty or mdf.empty:
+        if pdf.empty:
             return pd.DataFrame(columns=columns)
-        return run(pdf, mdf.iloc[0].to_dict())
+        return run(pdf, None if mdf.empty else mdf.iloc[0].to_dict())[columns]
 
     return (
         chunked.groupBy(*names, "_chunk")
@@ -97,6 +103,39 @@ def _with_models(chunked, names, models, run, columns, out_schema):
     )
 
 
+def packed_chunks(df: DataFrame, channels: Sequence[str], window: int, keys: Sequence[str] = KEYS, size: int | None = None) -> DataFrame:
+    """One row per chunk: (keys, _chunk, own, one array per channel), own rows first, then the rows that windows reach into.
+
+    Written once for operators that pass over all windows again and again; a pass then needs no shuffle of rows.
+    """
+    chunked = halo(df.select(*keys, "t", *channels), keys, "t", 0, window - 1, size or CHUNK_ROWS)
+    rows = F.sort_array(F.collect_list(F.struct("t", "_own", *[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(channels)])))
+    out = chunked.groupBy(*keys, "_chunk").agg(rows.alias("_rows"), F.sum(F.col("_own").cast("int")).cast("int").alias("own"))
+    return cut(out.select(*keys, "_chunk", "own", *[F.col(f"_rows._c{i}").alias(f"c{i}") for i in range(len(channels))]))
+
+
+def sum_over_windows(chunks: DataFrame, dims: int, window: int, fn: Callable, models: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, m): the sum over all windows of packed chunks of ``fn(windows, model) -> flat array``; one row per chunk is summed."""
+    names = list(keys)
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                x = np.stack([np.asarray(row[f"c{i}"], dtype=float) for i in range(dims)], axis=1)
+                if len(x) < window or not row["own"]:
+                    continue
+                view = window_view(x, window)[: row["own"]]
+                total = 0.0
+                for a, b in _batches(len(view), window * dims):
+                    total = total + fn(view[a:b], row)
+                out.append({**{k: row[k] for k in names}, "v": total})
+            yield pd.DataFrame(out, columns=[*names, "v"])
+
+    parts = chunks.join(sized(models), names).mapInPandas(run, f"{key_schema(chunks, keys)}, v array<double>")
+    return collected(parts.select(*names, F.posexplode("v").alias("i", "v")), keys)
+
+
 def over_rows(
     df: DataFrame, columns_in: Sequence[str], fn: Callable, schema: str, keys: Sequence[str] = KEYS,
     size: int | None = None, models: DataFrame | None = None, order: str = "t",
@@ -107,15 +146,18 @@ def over_rows(
     out_schema = f"{key_schema(df, keys)}, {order} {df.schema[order].dataType.simpleString()}, {schema}"
     columns = [*names, order, *[c.strip().split()[0] for c in _split_schema(schema)]]
 
+    modelled = models is not None
+
     def run(pdf: pd.DataFrame, model) -> pd.DataFrame:
-        out = pd.DataFrame({order: pdf[order].to_numpy(), **fn(pdf, model)})
+        values = dict.fromkeys(columns[len(names) + 1 :]) if model is None and modelled else fn(pdf, model)
+        out = pd.DataFrame({order: pdf[order].to_numpy(), **values})
         for k in names:
             out[k] = pdf[k].iloc[0]
         return out[columns]
 
     if models is None:
         return chunked.groupBy(*names, "_chunk").applyInPandas(lambda pdf: run(pdf, None), out_schema)
-    return _with_models(chunked, names, models, run, columns, out_schema)
+    return with_models(chunked, names, models, run, columns, out_schema)
 
 
 def _split_schema(schema: str) -> list[str]:
@@ -154,10 +196,11 @@ def window_moments(
     chunked = halo(df.select(*names, "t", *chans), names, "t", 0, window - 1, size or CHUNK_ROWS)
     cols = [*names, "i", "v"]
     schema = f"{key_schema(df, keys)}, i int, v double"
+    modelled = models is not None
 
     def run(pdf: pd.DataFrame, model) -> pd.DataFrame:
         t, rest = _own_windows(pdf, chans, window, stride)
-        if t is None or not len(rest[1]):
+        if t is None or not len(rest[1]) or model is None and modelled:
             return pd.DataFrame(columns=cols)
         view, at = rest
         acc = None
@@ -176,7 +219,7 @@ def window_moments(
     if models is None:
         parts = chunked.groupBy(*names, "_chunk").applyInPandas(lambda pdf: run(pdf, None), schema)
     else:
-        parts = _with_models(chunked, names, models, run, cols, schema)
+        parts = with_models(chunked, names, models, run, cols, schema)
     return collected(parts, keys)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -67,30 +68,38 @@ class RunningScore(StatefulProcessor):
         self.last = handle.getListState("last", "v double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        pdf = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
-        n, mean, m2 = self.moments.get() if self.moments.exists() else (0, 0.0, 0.0)
-        recent = [r[0] for r in self.last.get()] if self.last.exists() else []
-        z, local = [], []
-        for x in pdf["value"].to_numpy(dtype=float):
-            sd = np.sqrt(m2 / n) if n else 0.0
-            z.append((x - mean) / sd if sd > 0 else 0.0)
-            spread = np.std(recent) if recent else 0.0
-            local.append((x - np.mean(recent)) / spread if spread > 0 else 0.0)
-            n += 1
-            step = x - mean
-            mean += step / n
-            m2 += step * (x - mean)
-            recent = [*recent, x][-self.width :]
-        self.moments.update((int(n), float(mean), float(m2)))
-        self.last.put([(float(v),) for v in recent])
-        yield pd.DataFrame({"key": str(key[0]), "event_id": pdf["event_id"].to_numpy(), "z": z, "local_z": local})
+        for pdf in rows:  # one Arrow batch at a time
+            pdf = pdf.sort_values(["ts", "event_id"], kind="stable")
+            x = pdf["value"].to_numpy(dtype=float)
+            n, mean, m2 = self.moments.get() if self.moments.exists() else (0, 0.0, 0.0)
+            recent = np.array([r[0] for r in self.last.get()] if self.last.exists() else [], float)
+            # Prefix sums about the mean so far keep the digits of values far from zero.
+            centre = mean if n else x[0]
+            d = x - centre
+            shift = n * (mean - centre)
+            k = n + np.arange(len(x) + 1)
+            s1 = shift + np.concatenate([[0.0], np.cumsum(d)])
+            s2 = m2 + shift * (mean - centre) + np.concatenate([[0.0], np.cumsum(d * d)])
+            safe = np.maximum(k, 1)
+            mu, var = s1 / safe, np.maximum(s2 / safe - (s1 / safe) ** 2, 0)
+            sd = np.sqrt(np.where(var > 1e-13 * np.maximum(s2 / safe, 1e-300), var, 0))
+            z = np.divide(d - mu[:-1], sd[:-1], out=np.zeros_like(x), where=sd[:-1] > 0)
+            line = np.concatenate([np.full(self.width - len(recent), np.nan), recent, x])
+            view = np.lib.stride_tricks.sliding_window_view(line, self.width)[: len(x)]
+            some = ~np.isnan(view).all(1)
+            local, at = np.zeros_like(x), np.flatnonzero(some)
+            spread, middle = np.nanstd(view[at], axis=1), np.nanmean(view[at], axis=1)
+            local[at] = np.divide(x[at] - middle, spread, out=np.zeros(len(at)), where=spread > 0)
+            self.moments.update((int(k[-1]), float(centre + mu[-1]), float(var[-1] * k[-1])))
+            self.last.put([(float(v),) for v in np.concatenate([recent, x])[-self.width :]])
+            yield pd.DataFrame({"key": str(key[0]), "event_id": pdf["event_id"].to_numpy(), "z": z, "local_z": local})
 
     def close(self) -> None:
         pass
 
 
 def running_scores(events: DataFrame, key: str = "user_id", width: int = 20) -> DataFrame:
-    """(key, event_id, z, local_z).  Events of one batch are taken in time order; needs the RocksDB state store."""
+    """(key, event_id, z, local_z).  Events of one Arrow batch are taken in time order; needs the RocksDB state store."""
     return events.groupBy(key).transformWithStateInPandas(
         RunningScore(width), "key string, event_id long, z double, local_z double", "append", "none"
     )
@@ -104,20 +113,28 @@ def use_state_store(spark: SparkSession) -> None:
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Process all that is there into a table in the shared checkpoint folder and read it back.
+    """Process all that is there into a new folder below the shared checkpoint folder and read it back.
 
-    A complete or update result keeps the last state of each batch; append writes every final row once.
+    Append writes every final row once. In complete mode every batch writes the whole result to a folder of its own; the last one is read.
     """
+    if mode not in ("append", "complete"):
+        raise ValueError("drain reads back append or complete results")
     spark = stream.sparkSession
-    root = f"{ensure_checkpoint_dir(spark)}/{name}-{spark.sparkContext.applicationId}-{abs(hash((name, id(stream))))}"
+    root = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if mode == "append":
         q = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp")
         q = q.outputMode("append").trigger(availableNow=True).start()
-    else:
-        def save(batch: DataFrame, epoch: int) -> None:
-            batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{root}/out/batch={epoch}")
+        q.awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{root}/out")
+    last = [-1]
 
-        q = stream.writeStream.foreachBatch(save).option("checkpointLocation", f"{root}/cp").outputMode(mode)
-        q = q.trigger(availableNow=True).start()
+    def save(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{root}/out/batch={epoch}")
+        last[0] = max(last[0], epoch)
+
+    q = stream.writeStream.foreachBatch(save).option("checkpointLocation", f"{root}/cp").outputMode(mode)
+    q = q.trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/out") if mode == "append" else spark.read.parquet(f"{root}/out/*")
+    if last[0] < 0:
+        return spark.createDataFrame([], stream.schema).withColumn("epoch", F.lit(0))
+    return spark.read.parquet(f"{root}/out/batch={last[0]}")
