@@ -163,3 +163,45 @@ def test_line_gap_follows_the_definition():
             (ka, va), (kb, vb) = form(a, 0.7), form(b, 0.7)
             both = sorted(set(ka) | set(kb))
             assert np.isclose(got, np.abs(va - vb)[both].mean())
+
+
+def test_estimator_round_trip(spark, tmp_path):
+    from tidemark.operators.estimator import Detector, DetectorModel
+
+    rng = np.random.default_rng(8)
+    df = series(spark, {"a": rng.normal(size=150), "b": rng.normal(size=150) * 3})
+    for name, settings in (("HBOS", {}), ("PCA", {"window": 10}), ("KMeansAD", {"n_clusters": 3, "window_size": 10}), ("KNN", {"n_neighbors": 3})):
+        d = Detector(detector=name, channels=["c1"], settings=settings, contamination=0.2)
+        assert d.get_params()["detector"] == name and d.set_params(contamination=0.1).get_params()["contamination"] == 0.1
+        model = d.fit(df)
+        own = {(r.series_id, r.t): r.score for r in registry.detect(name, df, ["c1"], train=df, **settings).collect()}
+        got = {(r.series_id, r.t): r.score for r in model.decision_function(df).collect()}
+        assert got.keys() == own.keys() and np.allclose([got[k] for k in own], [own[k] for k in own]), name
+        path = str(tmp_path / name)
+        model.save(path)
+        again = DetectorModel.load(path)
+        assert again.get_params() == model.get_params()
+        a, b = (sorted((r.series_id, r.t, round(r.score, 9), r.pred) for r in m.transform(df).collect()) for m in (model, again))
+        assert a == b and 0.02 < np.mean([x[3] for x in a]) < 0.2
+
+
+def test_plain_text_vectors_are_numbered_across_splits(spark, tmp_path):
+    import gzip
+
+    from tidemark.sources.series import read_vector
+
+    labels = [int(x) for x in np.random.default_rng(1).integers(0, 2, 5000)]
+    for folder in ("x", "y"):
+        (tmp_path / folder).mkdir()
+    (tmp_path / "x" / "v.txt").write_text("".join(f"{v}\n" + "\n" * (i % 7 == 0) for i, v in enumerate(labels)))
+    (tmp_path / "y" / "v.txt").write_text("1\n0\n")
+    (tmp_path / "y" / "w.gz").write_bytes(gzip.compress("".join(f"{v}\n" for v in labels).encode()))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = read_vector(spark, str(tmp_path / "*")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r.label for r in sorted((r for r in got if r.file == "w.gz"), key=lambda r: r.t)] == labels
+    plain = sorted((r.t, r.label) for r in got if r.file == "v.txt")
+    assert plain == sorted([*enumerate(labels), (0, 1), (1, 0)])

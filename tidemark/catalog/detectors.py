@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import registry
+from ..operators import estimator, registry
 from ..operators.detect import base as bd
 from ..operators.detect import cluster, density, forest, neighbours
 from ..operators.detect.vectors import as_vectors
@@ -283,3 +283,36 @@ def _(spark, d):
 def _(spark, d):
     f = forest.forest_fit(fx.ts_day(spark, d), C4, 1, 20)
     return forest.forest_shape(f)
+
+
+@query("udf2_fit_predict")
+def _(spark, d):
+    day = fx.ts_day(spark, d)
+    out = None
+    for name, settings in (("HBOS", {}), ("PCA", {"window": 10}), ("KMeansAD", {})):
+        part = estimator.fit_predict(day, C4, name, **settings).withColumn("detector", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("udf3_custom_metric", sql("ts_hour_labelled", """SELECT series_id, round(avg(score) FILTER (label = 1) - avg(score) FILTER (label = 0), 6) AS value FROM ts_hour_labelled GROUP BY 1"""))
+def _(spark, d):
+    gap = F.avg(F.when(F.col("label") == 1, F.col("score"))) - F.avg(F.when(F.col("label") == 0, F.col("score")))
+    registry.register_metric("mean_gap", lambda s, keys: s.groupBy(*keys).agg(gap.alias("value")))
+    return rounded(registry.METRICS["mean_gap"](fx.ts_hour_labelled(spark, d), ["series_id"]))
+
+
+@query("udf4_custom_strategy", sql("ts_hour_labelled", "SELECT series_id, round(avg(score) + 2 * stddev_pop(score), 6) AS threshold FROM ts_hour_labelled GROUP BY 1"))
+def _(spark, d):
+    from ..operators import threshold as th
+    th.register_strategy("mean_and_two", lambda df, keys, score: df.groupBy(*keys).agg((F.avg(score) + 2 * F.stddev_pop(score)).alias("threshold")))
+    return rounded(th.find_threshold("mean_and_two", fx.ts_hour_labelled(spark, d), keys=["series_id"], score="score").select("series_id", "threshold"))
+
+
+@query("jn12_lookup_centres", sql("emb emb_long", """SELECT t, round(cx, 6) AS centre, n AS size FROM emb JOIN (SELECT e.cls, avg(l.x) AS cx, count(*) AS n FROM emb e JOIN emb_long l ON l.t = e.t
+    AND l.channel = 1 GROUP BY 1) USING (cls)"""))
+def _(spark, d):
+    from ..operators import joins as jn
+    e = fx.embeddings(spark, d).withColumnRenamed("cls", "cluster")
+    centres = e.groupBy("series_id", "cluster").agg(F.avg(F.col("x")[0]).alias("centre"), F.count(F.lit(1)).alias("size"))
+    return rounded(jn.lookup_centres(e, centres).select("t", "centre", "size"))

@@ -233,3 +233,22 @@ def _(spark, d):
 def _(spark, d):
     """Meta-features of every daily series, without the randomised landmarkers."""
     return mf.meta_features(fx.ts_day(spark, d), ["c1", "c2", "c3", "c4"], landmarkers=False)
+
+
+@query("udf5_custom_recommender", sql("perf", "SELECT dataset, model, round(avg(perf) OVER (PARTITION BY model), 6) AS score FROM perf"))
+def _(spark, d):
+    p = cut(fx.perf(spark, d).select("dataset", "model", "perf"))
+    rc.register_recommender("model_mean", lambda perf, meta, test: test.select("dataset").join(perf, "dataset").select("dataset", "model").join(
+        perf.groupBy("model").agg(F.avg("perf").alias("score")), "model"))
+    return rounded(rc.recommend("model_mean", p, None, p.select("dataset").distinct()).select("dataset", "model", "score"))
+
+
+@query("snk5_write_predictions", sql("perf", "SELECT dataset, model, round(pred, 6) AS perf FROM perf"))
+def _(spark, d):
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources import series, sinks
+    path = f"{ensure_checkpoint_dir(spark)}/wide-{uuid.uuid4().hex}"
+    sinks.write_predictions(fx.perf(spark, d).select("dataset", "model", F.col("pred").alias("score")), path, BRANDS)
+    return rounded(series.read_performance(spark, path, BRANDS, "dataset").select("dataset", "model", "perf"))

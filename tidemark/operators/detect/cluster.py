@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ...functions.vectors import distance, sqdist
 from ...plans.attach import attach
-from ...plans.chunks import key_schema, over_windows, packed_chunks, solve_per_key, sum_over_windows
+from ...plans.chunks import CHUNK_ROWS, key_schema, over_windows, packed_chunks, solve_per_key, sum_over_windows, window_view
 from ...session import cut
 from ..windows import overlap_mean
 
@@ -92,11 +92,61 @@ def kmeans_fit(
 ) -> DataFrame:
     """(keys, k, centres, sizes, shift): centres as one flat array per series, and the rows of each cluster.
 
-    Lloyd steps run until no centre of any series moves by more than ``tol``, at most ``steps`` times; ``shift`` is the last move. Only the start
-    uses a sample (about ``SAMPLE`` windows per series).
+    Lloyd steps run until no centre moves by more than ``tol``, at most ``steps`` times; ``shift`` is the last move. Only the start uses a sample
+    (about ``SAMPLE`` windows per series). A series of at most a chunk is solved in one task; longer ones take their steps together.
     """
     names = list(keys)
     prep = lambda w: window_rows(w, normalise)
+    lengths = cut(df.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")))
+    limit = size or CHUNK_ROWS
+    chans = list(channels)
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t", kind="stable")
+        out = pdf.iloc[:1][names].copy()
+        if len(pdf) < window:
+            return out.iloc[:0].reindex(columns=[*names, "k", "centres", "shift", "sizes"])
+        view = window_view(pdf[chans].to_numpy(dtype=float), window)
+        x = prep(view)
+        c = _seed_centres(x[hashed_share(pdf["t"].to_numpy()[: len(view)], seed) < SAMPLE / len(pdf)], k, seed)
+        shift, n = float("inf"), np.zeros(len(c))
+        for _ in range(steps):
+            c, n, shift = _moved(_cluster_sums(x, c), c)
+            if shift <= tol:
+                break
+        out["k"], out["centres"], out["shift"], out["sizes"] = len(c), [c.ravel().tolist()], shift, [n.tolist()]
+        return out
+
+    short = attach(df.select(*names, "t", *chans), lengths.filter(F.col("_n") <= limit), names).drop("_n")
+    solved = short.groupBy(*names).applyInPandas(whole, f"{key_schema(df, keys)}, {MODEL_COLUMNS}")
+    long_ = lengths.filter(F.col("_n") > limit)
+    if not long_.isEmpty():
+        rest = attach(df.select(*names, "t", *chans), long_, names).drop("_n")
+        solved = solved.unionByName(_lloyd_together(rest, chans, k, window, steps, seed, prep, keys, size, tol))
+    return cut(solved)
+
+
+MODEL_COLUMNS = "k int, centres array<double>, shift double, sizes array<double>"
+
+
+def _cluster_sums(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Rows of each cluster, then the sum of its rows, flattened."""
+    own, _d = _nearest(x, c)
+    hot = np.zeros((len(x), len(c)))
+    hot[np.arange(len(x)), own] = 1
+    return np.concatenate([hot.sum(0), (hot.T @ x).ravel()])
+
+
+def _moved(sums: np.ndarray, old: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """New centres, cluster sizes and the largest move of a coordinate; an empty cluster stays where it is."""
+    n, s = sums[: len(old)], sums[len(old) :].reshape(len(old), -1)
+    new = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], old)
+    return new, n, float(np.abs(new - old).max())
+
+
+def _lloyd_together(df: DataFrame, channels, k, window, steps, seed, prep, keys, size, tol) -> DataFrame:
+    """Models of series that are longer than a chunk: every step is one sum over all their windows."""
+    names = list(keys)
     sample = sampled_windows(df, channels, window, seed=seed, keys=keys, size=size, prep=prep)
 
     def start(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -107,30 +157,19 @@ def kmeans_fit(
         out["sizes"] = [np.zeros(len(c)).tolist()]
         return out
 
-    model_cols = "k int, centres array<double>, shift double, sizes array<double>"
-    model = cut(sample.groupBy(*names).applyInPandas(start, f"{key_schema(df, keys)}, {model_cols}"))
+    model = cut(sample.groupBy(*names).applyInPandas(start, f"{key_schema(df, keys)}, {MODEL_COLUMNS}"))
+    chunks = packed_chunks(df, channels, window, keys, size)
 
     def sums(w, m):
-        x = prep(w)
-        c = np.asarray(m["centres"]).reshape(int(m["k"]), -1)
-        own, _d = _nearest(x, c)
-        hot = np.zeros((len(x), len(c)))
-        hot[np.arange(len(x)), own] = 1
-        return np.concatenate([hot.sum(0), (hot.T @ x).ravel()])
+        return _cluster_sums(prep(w), np.asarray(m["centres"]).reshape(int(m["k"]), -1))
+
+    def update(row):
+        new, n, shift = _moved(np.asarray(row["m"]), np.asarray(row["centres"]).reshape(int(row["k"]), -1))
+        return {"k": int(row["k"]), "centres": new.ravel().tolist(), "shift": shift, "sizes": n.tolist()}
 
-    chunks = packed_chunks(df, channels, window, keys, size)
     for _ in range(steps):
         joined = sum_over_windows(chunks, len(channels), window, sums, model, keys).join(model, names)
-
-        def update(row):
-            kk = int(row["k"])
-            m = np.asarray(row["m"])
-            n, s = m[:kk], m[kk:].reshape(kk, -1)
-            old = np.asarray(row["centres"]).reshape(kk, -1)
-            new = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], old)
-            return {"k": kk, "centres": new.ravel().tolist(), "shift": float(np.abs(new - old).max()), "sizes": n.tolist()}
-
-        model = cut(solve_per_key(joined, update, model_cols, keys))
+        model = cut(solve_per_key(joined, update, MODEL_COLUMNS, keys))
         if (model.agg(F.max("shift").alias("s")).first()["s"] or 0.0) <= tol:
             break
     return model

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,17 +118,22 @@ def read_arff(
 
 
 def read_vector(spark: SparkSession, path: str) -> DataFrame:
-    """(file, t, label) from (gzipped) text files with one 0/1 per line.
+    """(file, t, label) from text files with one 0/1 per line; blank lines don't count.
 
-    Compressed text is not splittable: one task reads one file in line order, so the running number inside the file is its position.
+    Lines are numbered inside each split of a file and the lines of its earlier splits are added, so plain text may be split. Compressed text cannot
+    be: there one task reads a file. Files of the same name in two folders stay apart.
     """
     lines = spark.read.text(path).select(
-        file_name().alias("file"), F.trim("value").cast("int").alias("label"), F.monotonically_increasing_id().alias("_i")
+        F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_at"), file_name().alias("file"),
+        F.trim("value").try_cast("int").alias("label"), F.monotonically_increasing_id().alias("_i"),
     )
     # fixed once, so that the numbers cannot change when a task runs again
     lines = cut(lines.filter("label IS NOT NULL"))
-    first = lines.groupBy("file").agg(F.min("_i").alias("_0"))
-    return lines.join(first, "file").select("file", (F.col("_i") - F.col("_0")).alias("t"), "label")
+    counts = lines.groupBy("_path", "_at").agg(F.count(F.lit(1)).alias("_k"))
+    earlier = Window.partitionBy("_path").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)  # one row for each split
+    counts = counts.select("_path", "_at", F.coalesce(F.sum("_k").over(earlier), F.lit(0)).alias("_0"))
+    inside = F.row_number().over(Window.partitionBy("_path", "_at").orderBy("_i")) - 1
+    return lines.withColumn("_n", inside).join(counts, ["_path", "_at"]).select("file", (F.col("_n") + F.col("_0")).cast("long").alias("t"), "label")
 
 
 def read_vectors_with_truth(spark: SparkSession, folder: str, truth: str = "groundtruth") -> DataFrame:
