@@ -6,7 +6,7 @@
 4. mix: sources are brought to their target weights; a row is what the mix draws of a document, so documents may repeat, be cut or be left out.
 5. tokens: every row is encoded; ids are little-endian unsigned 32-bit integers.
 
-Null texts count as empty, which the first stage rejects. Extra columns pass through stages 1 to 4. Empty tables give empty results.
+Null texts count as empty, which the first stage rejects. Tied and null ids are told apart by their texts. Extra columns pass through stages 1 to 4. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from tidemark.llm.mixing import mixed_texts
 from tidemark.llm.ngram_join import similar
 from tidemark.llm.repetition import judge_column
 from tidemark.llm.secret_scan import redact, scan
-from tidemark.llm.text import prepare
+from tidemark.llm.text import prepare, row_keys
 from tidemark.session import configure, cut
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -35,16 +35,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(configure(spark))
-    groups = similar(docs)
-    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("group_id"))).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    gone = similar(docs, rows_too=True).filter(~F.col("first")).select(F.col("row_key").alias("_key")).distinct()
+    keyed = docs.withColumn("_key", row_keys("doc_id", "text"))
+    return keyed.join(gone, "_key", "left_anti").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(configure(spark))
-    found = scan(docs).filter(F.size("secrets") > 0).select("doc_id", "secrets").dropDuplicates(["doc_id"])
-    out = docs.join(found, "doc_id", "left")
-    text = F.when(F.col("secrets").isNotNull(), redact(F.col("text"), F.col("secrets"))).otherwise(F.col("text"))
+    found = scan(docs, rows_too=True).filter(F.size("secrets") > 0).select(F.col("row_key").alias("_key"), F.col("secrets").alias("_secrets")).dropDuplicates(["_key"])
+    out = docs.withColumn("_key", row_keys("doc_id", "text")).join(found, "_key", "left")
+    text = F.when(F.col("_secrets").isNotNull(), redact(F.col("text"), F.col("_secrets"))).otherwise(F.col("text"))
     out = out.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 

@@ -23,6 +23,7 @@ def rows():
     return [
         (1, prose(1), "en", "a", 0, "x"), (2, prose(1), "en", "b", 0, "x"), (3, prose(3, 200), "en", "a", 0, None), (4, " ".join(near), "en", None, 0, "x"),
         (5, "same words again " * 40, "en", "a", 0, "x"), (6, None, None, None, None, None), (7, "too short", "en", "b", 0, "x"),
+        (None, prose(11), "en", "b", 0, "x"), (None, prose(12), "en", "b", 0, "x"), (9, prose(13) + ' token = "abcdef0123456789abcdef0123456789"', "en", "b", 0, "x"),
         (8, prose(8) + ' token = "abcdef0123456789abcdef0123456789"', "en", "b", 0, "x"), (9, prose(9, 30_000), "en", "c", 0, "x"),
     ]
 
@@ -38,25 +39,26 @@ def test_stages_take_effect(spark, rows, tmp_path):
         seen.append(docs)
     quality, unique, secrets, mixed, tokens = seen
     assert all(d.columns == [c.split()[0] for c in COLUMNS.split(", ")] for d in seen[:-1])
-    ids = lambda d: sorted(r.doc_id for r in d.select("doc_id").collect())
-    assert ids(quality) == [1, 2, 3, 4, 8, 9]
-    assert ids(unique) == ids(secrets) == [1, 3, 8, 9]
-    text = {r.doc_id: r.text for r in secrets.collect()}
-    assert text[8] == prose(8) + " [REDACTED]\"" and text[9] == prose(9, 30_000)
+    ids = lambda d: sorted(r.doc_id or 0 for r in d.select("doc_id").collect())
+    assert ids(quality) == [0, 0, 1, 2, 3, 4, 8, 9, 9]
+    assert ids(unique) == ids(secrets) == [0, 0, 1, 3, 8, 9, 9]
+    text = {r.doc_id: r.text for r in secrets.collect() if r.doc_id != 9}
+    assert text[8] == prose(8) + " [REDACTED]\""
+    assert {r.text for r in secrets.filter("doc_id = 9").collect()} == {prose(9, 30_000), prose(13) + " [REDACTED]\""}
     words = {r.source: r.n for r in mixed.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()}
-    # 280, 81 and 30,000 words, weights 5, 2, 1: the first two stop at three times their size.
-    assert words["a"] == 3 * 280 and words["b"] == 3 * 81 and abs(words["c"] - (30_361 - 3 * 361)) < 3
+    # 280, 322 and 30,000 words, weights 5, 2, 1: the first two stop at three times their size.
+    assert words["a"] == 3 * 280 and words["b"] == 3 * 322 and abs(words["c"] - (30_602 - 3 * 602)) < 3
     vocabulary = open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read()
     coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=Vocabulary(vocabulary).ranks, special_tokens={})
-    expected = sorted((r.doc_id, tuple(coder.encode_ordinary(r.text))) for r in mixed.collect())
-    got = sorted((r.doc_id, tuple(int.from_bytes(r.ids[i:i + 4], "little") for i in range(0, len(r.ids), 4))) for r in tokens.collect())
+    expected = sorted((r.doc_id or 0, tuple(coder.encode_ordinary(r.text))) for r in mixed.collect())
+    got = sorted((r.doc_id or 0, tuple(int.from_bytes(r.ids[i:i + 4], "little") for i in range(0, len(r.ids), 4))) for r in tokens.collect())
     assert got == expected and all(r.n_tokens * 4 == len(r.ids) for r in tokens.collect())
 
 
 def test_run_and_empty_table(spark, rows, tmp_path):
     spark.createDataFrame(rows, COLUMNS).write.parquet(str(tmp_path / "a" / "documents.parquet"))
-    first, second = (sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path / "a")).collect())) for _ in range(2))
-    assert first == second and {r[0] for r in first} == {1, 3, 8, 9}
+    first, second = (sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path / "a")).collect()), key=str) for _ in range(2))
+    assert first == second and {r[0] for r in first} == {None, 1, 3, 8, 9}
     spark.createDataFrame([], COLUMNS).write.parquet(str(tmp_path / "b" / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .graph import components
-from .text import mix, odd_constants, rows_of, spans, tagged, untag, window_hashes, word_hashes
+from .text import LAST, mix, odd_constants, rows_of, spans, tagged, untag, window_hashes, word_hashes
 
 HASHES, ROWS, STEP, TOLERANCE, BLOCK = 128, 4, 16, 1e-7, 1_000_000
 _SLICE = 1 << 15
@@ -209,13 +209,15 @@ def _cell(threshold: Fraction):
     return run
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8) -> DataFrame:
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, rows_too: bool = False) -> DataFrame:
     """One row per document: ``id_col, class_id, n_copies, n_links, group_id``.
 
     ``class_id`` is the least id with the same set of ``n``-word windows and ``n_copies`` the size of that class. ``n_links`` counts the other classes
     with Jaccard similarity of at least ``threshold``, and ``group_id`` is the least id that links reach, directly or through others. A text of
     fewer than ``n`` words is one window; null, empty and blank texts are not similar to anything, so they are classes of their own. Ids may be
     tied or null (null counts as largest); equal rows get equal results; other columns are ignored; an empty table gives no rows.
+    ``rows_too`` adds ``row_key`` (``row_keys`` of the row, for joins where ids may be tied or null) and ``first``, true for the row that stands
+    for its group: the one of least id, and of least key among tied ids.
     """
     limit = Fraction(threshold).limit_denominator(10_000)
     rows = tagged(docs, id_col, text_col)
@@ -235,13 +237,15 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     links = found.groupBy("rid").agg(F.sum("links").alias("n_links"))
     groups = components(found.select(F.col("rid").alias("a"), F.col("peer").alias("b")))
     least = groups.join(classes.select(F.col("rid").alias("node"), "class_id"), "node").withColumnRenamed("node", "rid")
-    least = least.join(least.groupBy("label").agg(F.min("class_id").alias("group_id")), "label").select("rid", "group_id")
-    table = classes.select("key", "rid", "class_id", "n_copies").join(links, "rid", "left").join(least, "rid", "left").drop("rid")
-    out = feats.select("id", "key").join(table, "key", "left")
+    heads = least.groupBy("label").agg(F.min(F.struct("class_id", "rid")).alias("head"))
+    least = least.join(heads, "label").select("rid", F.col("head.class_id").alias("group_id"), F.col("head.rid").alias("group_rid"))
+    table = classes.select("key", "rid", "class_id", "n_copies").join(links, "rid", "left").join(least, "rid", "left").withColumnRenamed("rid", "class_rid")
+    out = feats.select("id", "rid", "key").join(table, "key", "left")
+    alone = F.col("key").isNull()
+    first = alone | (F.col("rid") == F.coalesce("group_rid", "class_rid"))
+    group = F.coalesce("group_id", "class_id")
     return out.select(
-        untag("id").alias(id_col), untag("class_id").alias("c"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "key",
-        untag("class_id").alias("cid"), untag("group_id").alias("g"),
-    ).select(
-        id_col, F.when(F.col("key").isNull(), F.col(id_col)).otherwise(F.col("c")).alias("class_id"), "n_copies", "n_links",
-        F.when(F.col("key").isNull(), F.col(id_col)).otherwise(F.coalesce("g", "cid")).alias("group_id"),
+        untag("id").alias(id_col), F.when(alone, untag("id")).otherwise(untag("class_id")).alias("class_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(alone, untag("id")).otherwise(F.when(group != LAST, group)).alias("group_id"),
+        *([F.col("rid").alias("row_key"), first.alias("first")] if rows_too else []),
     )

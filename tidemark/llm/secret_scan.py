@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .text import LAST, text_or_empty, untag
+from .text import LAST, row_keys, text_or_empty, untag
 
 # Kinds in the order of the output, their patterns, and the least length of the whole match (of group 2 for assign).
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -46,14 +46,15 @@ def _value(match: Column) -> Column:
     return F.regexp_extract(match, ASSIGN, 2)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str | None = None) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str | None = None, rows_too: bool = False) -> DataFrame:
     """Secrets of every text: ``id_col, owner, secrets``, the latter an array of ``start, kind, end, value, owners, repositories, live``.
 
     ``kind`` counts from 0 in the order of ``KINDS``; positions are code points, the end is exclusive. A span is the whole match; ``value`` is the secret in it.
     ``owners`` and ``repositories`` are the distinct ones that hold the value (a document is its own repository unless ``repository_col`` names one;
     a null owner is an owner of its own). ``live`` means at most ``MAX_OWNERS`` owners and ``MAX_REPOSITORIES`` repositories. Candidates that
     are live and lie outside all base spans are added as kind 3. Null text is empty; tied and null ids stay apart, as rows are keyed by id
-    and content; equal rows get equal results; other columns are ignored; no rows give no rows.
+    and content; equal rows get equal results; other columns are ignored; no rows give no rows. ``rows_too`` adds ``row_key`` (``row_keys`` of
+    id and text) for joins where ids may be tied or null; rows that share it have the same base spans, but may differ in what their owners add.
     """
     base = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), text_or_empty(text_col).alias("text"),
@@ -70,7 +71,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
             m["start"].alias("start"), F.lit(i).alias("kind"), m["end"].alias("end"), (_value(m["value"]) if i == 0 else m["value"]).alias("value")))
 
     spans = F.concat(*[of_kind(i, k) for i, k in enumerate(kinds)])
-    rows = cut(base.select("id", "owner", "repository", F.xxhash64("id", "text", "owner", "repository").alias("rid"), F.array_sort(spans).alias("spans")))
+    rows = cut(base.select("id", "owner", "repository", row_keys("id", "text").alias("row_key"), F.xxhash64("id", "text", "owner", "repository").alias("rid"), F.array_sort(spans).alias("spans")))
     each = rows.filter(F.size("spans") > 0).select("rid", "owner", "repository", F.explode("spans").alias("s")).select("*", F.sha2(F.col("s.value"), 256).alias("hash"))
     # First distinct places, then owners, then values: every step combines before its shuffle, so a value copied everywhere stays small.
     held = each.select("hash", "owner", "repository").distinct().groupBy("hash", "owner").agg(F.count("*").alias("n"))
@@ -80,9 +81,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     found = judged.groupBy("rid").agg(F.array_sort(F.collect_list("s")).alias("s"))
     known = F.filter("s", lambda x: x["kind"] < 3)
     extra = F.filter("s", lambda x: (x["kind"] == 3) & x["live"] & ~F.exists(known, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    out = rows.select("id", "owner", "rid").join(found, "rid", "left").select("id", "owner", F.array_sort(F.concat(known, extra)).alias("secrets"))
+    out = rows.select("id", "owner", "row_key", "rid").join(found, "rid", "left").select("id", "owner", "row_key", F.array_sort(F.concat(known, extra)).alias("secrets"))
     none = F.array().cast(out.schema["secrets"].dataType)
-    return out.select(untag("id").alias(id_col), "owner", F.coalesce("secrets", none).alias("secrets"))
+    return out.select(untag("id").alias(id_col), "owner", F.coalesce("secrets", none).alias("secrets"), *(["row_key"] if rows_too else []))
 
 
 def printed(secrets: Column) -> Column:

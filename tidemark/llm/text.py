@@ -32,10 +32,14 @@ def text_or_empty(col: str) -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def row_keys(id_col: str, text_col: str) -> Column:
+    """Key of a row from its id and text, so that rows that share an id stay apart; equal rows share it."""
+    return F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), text_or_empty(text_col))
+
+
 def tagged(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``text`` and the row key ``rid`` = hash of both, so that rows that share an id stay apart; equal rows share results."""
-    out = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), text_or_empty(text_col).alias("text"))
-    return out.withColumn("rid", F.xxhash64("id", "text"))
+    """``id``, ``text`` and the row key ``rid``."""
+    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), text_or_empty(text_col).alias("text")).withColumn("rid", row_keys("id", "text"))
 
 
 def untag(col: str) -> Column:
