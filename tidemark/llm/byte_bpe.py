@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .text import LAST, rows_of, text_or_empty, untag
 
-PIECES = 600_000  # encoded pieces a worker remembers; forgotten all at once beyond that
+PIECES = 600_000  # encoded pieces and last tokens of prefixes a worker remembers; forgotten all at once beyond that
+SHORT = 64  # longer pieces keep their prefixes to themselves
 
 
 class Vocabulary:
@@ -34,6 +35,7 @@ class Vocabulary:
         for t in self.ranks:
             self.reach[t[-3:]] = max(self.reach.get(t[-3:], 0), len(t))
         self.longest = max(self.reach.values())
+        self._last: dict[bytes, int] = {}
         self._fits: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
 
@@ -87,6 +89,29 @@ class Vocabulary:
             else:
                 raise ValueError(f"no token ends the first {i} bytes")
 
+    def last(self, prefix: bytes) -> int:
+        """The token that ends the encoding of a short string; pieces that start alike share what is stored for their prefixes."""
+        memo, get, n = self._last, self.ranks.get, len(prefix)
+        low = n - self.reach.get(prefix[-3:], 2) if n > 2 else 0
+        for j in range(low if low > 0 else 0, n):
+            t = get(prefix[j:])
+            if t is None:
+                continue
+            if j:
+                before = prefix[:j]
+                p = memo.get(before)
+                if p is None:
+                    p = self.last(before)
+                ok = self._fits.get(p << 32 | t)
+                if ok is None:
+                    ok = self.fits(p, t)
+            else:
+                ok = self.whole(t)
+            if ok:
+                memo[prefix] = t
+                return t
+        raise ValueError("no token ends this string")
+
     def walk(self, last: list[int], stop: int) -> list[int]:
         out = []
         while stop:
@@ -99,9 +124,20 @@ class Vocabulary:
         rank = self.ranks.get(piece)
         if rank is not None:
             return [rank]
-        last = [-1]
-        self.extend(piece, last, len(piece))
-        return self.walk(last, len(piece))
+        if len(piece) > SHORT:
+            last = [-1]
+            self.extend(piece, last, len(piece))
+            return self.walk(last, len(piece))
+        memo, out = self._last, []
+        if len(memo) > PIECES:
+            memo.clear()
+        while piece:
+            t = memo.get(piece)
+            if t is None:
+                t = self.last(piece)
+            out.append(t)
+            piece = piece[:-len(self.tokens[t])]
+        return out[::-1]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
