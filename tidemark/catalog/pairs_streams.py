@@ -110,10 +110,13 @@ def _(spark, d):
     return st.drain(st.score_frozen(_stream(spark, d), t, ["event_type"]), "frozen").select("event_id", "pred")
 
 
-@query("str4_running_scores")
+@query("str4_running_scores", sql("", """SELECT CAST(user_id AS VARCHAR) AS key, event_id, round(CASE WHEN sd > 0 THEN (value - mu) / sd ELSE 0 END, 5) + 0.0 AS z, round(CASE WHEN lsd > 0
+    THEN (value - lmu) / lsd ELSE 0 END, 5) + 0.0 AS local_z FROM (SELECT *, avg(value) OVER p AS mu, stddev_pop(value) OVER p AS sd, avg(value) OVER q AS lmu, stddev_pop(value) OVER q AS lsd
+    FROM events WINDOW p AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), q AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 20
+    PRECEDING AND 1 PRECEDING))"""))
 def _(spark, d):
     st.use_state_store(spark)
-    return st.drain(st.running_scores(_stream(spark, d)), "running")
+    return rounded(st.drain(st.running_scores(_stream(spark, d)), "running"), 5)
 
 
 @query("str5_append_after_watermark", sql("", """SELECT event_type, s AS start, n FROM (SELECT event_type, CAST(epoch(time_bucket(INTERVAL 1 DAY, ts)) AS BIGINT) AS s, count(*) AS n FROM events GROUP BY 1, 2)
