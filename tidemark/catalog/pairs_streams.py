@@ -41,17 +41,22 @@ def _(spark, d):
     return rounded(ds.lp_neighbourhood(p, t, "c1", 14, 60))
 
 
-@query("dst2_quadratic")
+@query("dst2_quadratic", sql("ts_day", """SELECT a.series_id, a.t, round(sum(a.r * c.v * b.r) / 14, 5) AS score FROM rs a JOIN rs b ON a.series_id = b.series_id AND a.t = b.t JOIN cv c ON
+    c.series_id = a.series_id AND c.i = a.i AND c.j = b.i GROUP BY 1, 2""", PR + """, rs AS MATERIALIZED (SELECT series_id, t, i, x - y AS r FROM pw), cv AS MATERIALIZED (SELECT a.series_id, a.i, b.i AS j,
+    covar_samp(a.r, b.r) AS v FROM rs a JOIN rs b ON a.series_id = b.series_id AND a.t = b.t GROUP BY 1, 2, 3)"""))
 def _(spark, d):
-    return ds.quadratic(_pairs(spark, d))
+    return rounded(ds.quadratic(_pairs(spark, d)), 5)
 
 
-@query("dst3_volatility")
+@query("dst3_volatility", sql("ts_day", """SELECT series_id, t, round(score, 6) AS score FROM (SELECT series_id, t, avg(q) OVER w AS score, count(*) OVER w AS n FROM r WINDOW w AS (PARTITION BY
+    series_id ORDER BY t ROWS BETWEEN CURRENT ROW AND 13 FOLLOWING)) WHERE n = 14""", """e AS MATERIALIZED (SELECT series_id, t, c1 - coalesce(lag(c1) OVER (PARTITION BY series_id ORDER BY t), c1) AS e FROM
+    ts_day), r AS MATERIALIZED (SELECT a.series_id, a.t, coalesce(abs(max(a.e)) / nullif(sqrt(sum(pow(0.94::DOUBLE, a.t - b.t) * b.e * b.e) / sum(pow(0.94::DOUBLE, a.t - b.t))), 0), 0) AS q FROM e a JOIN e b
+    ON a.series_id = b.series_id AND b.t BETWEEN a.t - 447 AND a.t GROUP BY 1, 2)"""))
 def _(spark, d):
     from ..plans.ordered import shifted
     t = fx.ts_day(spark, d).select("series_id", "t", "c1")
     s = shifted(t, ["series_id"], "t", {"prev": ("c1", 1)}).withColumn("prev", F.coalesce("prev", "c1"))
-    return ds.volatility_weighted(s, "c1", "prev", 14)
+    return rounded(ds.volatility_weighted(s, "c1", "prev", 14))
 
 
 @query("dst5_fourier", sql("ts_day", "SELECT series_id, t, round(sqrt(sum((x - y) * (x - y)) / count(*)), 6) AS score FROM pw GROUP BY 1, 2", PR))

@@ -104,9 +104,15 @@ def _(spark, d):
     return rounded(rounded(s, 5, ["trend"]), 4, ["seasonal", "resid"])
 
 
-@query("prf10_stepped_features")
+@query("prf10_stepped_features", sql("ts_day", """SELECT d.series_id, d.t, d.c1, round(mean, 5) AS mean, round(var, 4) AS var, round(skew, 5) + 0.0 AS skew, round(kurt, 5) + 0.0 AS kurt, max, min,
+    round(acf1, 5) + 0.0 AS acf1 FROM ts_day d JOIN (SELECT a.series_id, a.t, avg(b.c1) AS mean, var_samp(b.c1) AS var, skewness(b.c1) AS skew, kurtosis(b.c1) AS kurt, max(b.c1) AS max, min(b.c1) AS
+    min, count(*) AS n FROM ts_day a JOIN ts_day b ON a.series_id = b.series_id AND b.t BETWEEN a.t - 29 AND a.t WHERE a.t % 10 = 0 GROUP BY 1, 2) f ON f.series_id = d.series_id AND f.t = d.t - d.t % 10
+    JOIN (SELECT a.series_id, a.t, sum((b.c1 - m) * (c.c1 - m)) / (29 * max(v)) AS acf1 FROM (SELECT series_id, t, avg(c1) OVER w AS m, var_pop(c1) OVER w AS v FROM ts_day WINDOW w AS (PARTITION BY
+    series_id ORDER BY t ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)) a JOIN ts_day b ON a.series_id = b.series_id AND b.t BETWEEN a.t - 29 AND a.t - 1 JOIN ts_day c ON c.series_id = b.series_id AND
+    c.t = b.t + 1 WHERE a.t % 10 = 0 GROUP BY 1, 2) g ON g.series_id = f.series_id AND g.t = f.t WHERE n = 30"""))
 def _(spark, d):
-    return pf.stepped_features(fx.ts_day(spark, d), "c1", 30, 10)
+    s = pf.stepped_features(fx.ts_day(spark, d), "c1", 30, 10)
+    return rounded(rounded(s, 5, ["mean", "skew", "kurt", "acf1"]), 4, ["var"])
 
 
 HIST = """ln AS (SELECT series_id, 'c1' AS channel, c1 AS x FROM ts_day UNION ALL SELECT series_id, 'c2', c2 FROM ts_day), lm AS (SELECT *, min(x) OVER p
