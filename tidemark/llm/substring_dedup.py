@@ -254,7 +254,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     period = (window + 1) // 2
     rows = tagged(docs, id_col, text_col)
     marks = cut(rows.select("id", "rid", F.md5("text").alias("same"), F.length("text").alias("n")))
-    first = marks.groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("rows")).filter("rows > 1").select("same", "first")
+    # Written first, so that adaptive execution sees two plain sides and can split the copies of one text.
+    first = cut(marks.groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("rows")).filter("rows > 1").select("same", "first"))
     copies = cut(marks.join(first, "same").filter("id > first").select("rid").distinct())
     chars = marks.agg(F.sum("n")).first()[0] or 0
     # Three anchors for each seven words of some six characters. The figure only sets how finely the hash space is cut.
