@@ -158,7 +158,6 @@ def _(spark, d):
     OVER (PARTITION BY series_id, score) = 1))"""))
 def _(spark, d):
     from pyspark.sql import Window
-    from ..plans.ordered import cumulate
     c = an.roc_table(fx.scored(spark, d))
     r = F.round(F.col("tp") / F.col("pos"), 9)
     p = F.round(F.col("tp") / (F.col("tp") + F.col("fp")), 9)
