@@ -28,7 +28,7 @@ MAX_REPEAT = 3
 BLOCK = 4096
 MAX_DRAWS = 400_000_000  # numpy draws from populations below a thousand million; blocks grow beyond that
 SHARD_WORDS = 1 << 22
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, repeat: int = MAX_REPEAT) -> DataFrame:
