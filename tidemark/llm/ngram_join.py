@@ -230,7 +230,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     bands = heads.select("rid", F.explode(F.expr(f"transform(sequence(0, {HASHES // ROWS - 1}), b -> xxhash64(b, substring(sig, b * {width} + 1, {width})))")).alias("band"))
     pivots = bands.groupBy("band").agg(F.min("rid").alias("pivot"), F.count("*").alias("rows")).filter("rows > 1").select("band", "pivot")
     homes = cut(bands.join(pivots, "band").select("rid", "pivot").distinct())
-    blocks = homes.join(classes.select("rid", "size"), "rid").groupBy("pivot").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
+    # Written first, so that adaptive execution sees two plain sides and can split the members of a large pivot.
+    blocks = cut(homes.join(classes.select("rid", "size"), "rid").groupBy("pivot").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks")))
     members = homes.join(blocks, "pivot").groupBy("rid").agg(F.collect_list(F.struct("pivot", "blocks")).alias("homes"))
     texts = rows.select("rid", "text").join(members, "rid").dropDuplicates(["rid"])
     found = cut(texts.mapInArrow(_members(n), MEMBER_SCHEMA).groupBy("pivot", "i", "j").applyInArrow(_cell(limit), "rid long, links long, peer long"))
