@@ -61,6 +61,39 @@ def test_running_scores_follow_the_definition(spark, tmp_path):
         past.append(r.value)
 
 
+@pytest.mark.parametrize("memory", [{}, {"held": 150}])
+def test_running_scores_of_a_key_with_more_rows_than_an_arrow_batch(spark, tmp_path, memory):
+    st.use_state_store(spark)
+    rng = np.random.default_rng(12)
+    start, files = dt.datetime(2024, 1, 1), 2
+    rows = [(i, start + dt.timedelta(minutes=i // 3), 7, "a", float(100 + i / 50 + rng.normal())) for i in range(1200)]
+    for k in range(files):
+        part = rows[k * 600:(k + 1) * 600]
+        spark.createDataFrame([part[i] for i in rng.permutation(600)], SCHEMA).coalesce(1).write.parquet(str(tmp_path / f"{k}"))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        stream = st.event_stream(spark, str(tmp_path / "*"), spark.createDataFrame(rows[:1], SCHEMA).schema)
+        got = {r.event_id: (r.z, r.local_z) for r in st.drain(st.running_scores(stream, width=5, **memory), "r").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    x = [r[4] for r in rows]
+    assert len(got) == len(rows)
+    for i in range(2, len(rows)):
+        near = x[max(i - 5, 0):i]
+        assert np.allclose(got[i], ((x[i] - np.mean(x[:i])) / np.std(x[:i]), (x[i] - np.mean(near)) / np.std(near)), atol=1e-6), i
+
+
+def test_merged_runs_are_in_order():
+    rng = np.random.default_rng(13)
+    for n, held in ((0, 5), (4, 5), (999, 50), (1000, 7)):
+        events = np.zeros(n, st.EVENT)
+        events["ts"], events["event_id"] = rng.integers(0, 90, n), rng.permutation(n)
+        blocks = list(st.in_time_order((events[i:i + 9] for i in range(0, n, 9)), held))
+        got = np.concatenate(blocks)
+        assert (got == np.sort(events, order=["ts", "event_id"])).all() and all(len(b) <= 2 * held + 18 for b in blocks)
+
+
 def test_nearest_row_sees_copies(spark):
     rows = [("a", [0.0, 0.0]), ("b", [0.0, 0.0]), ("c", [0.0, 0.0]), ("d", [3.0, 4.0]), ("e", [9.0, 9.0])]
     t = spark.createDataFrame(rows, "dataset string, x array<double>")
