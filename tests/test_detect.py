@@ -180,6 +180,61 @@ def test_ocsvm_ranks_far_points_high(spark):
     assert np.isfinite(got).all() and len(got) == 201
 
 
+def test_mcd_steps_end_where_the_determinant_stops_falling(spark):
+    rng = np.random.default_rng(21)
+    x = rng.standard_t(3, size=(3000, 3)) * [1, 20, 300] + [0, 500, 0]
+    x[::3] += [6, 0, -900]
+    df, cols = wide(spark, x)
+    prep = lambda w: cluster.window_rows(w, False)
+    short, long = (linear.mcd_fit(df, cols, prep=prep, size=n).collect()[0] for n in (None, 700))
+
+    def distance(mean, cov):
+        return np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+
+    rows, before = np.argsort(distance(np.array(long["mean"]), np.linalg.inv(np.reshape(long["inv"], (3, 3)))))[:1502], None
+    while before is None or (np.sort(rows) != np.sort(before)).any():
+        before, mean, cov = rows, x[rows].mean(0), np.cov(x[rows].T, ddof=0)
+        rows = np.argsort(distance(mean, cov))[:1502]
+    d = distance(mean, cov)
+    kept = x[d <= np.median(d) / linear.chi2_quantile(0.5, 3) * linear.chi2_quantile(0.975, 3)]
+    for m in (short, long):
+        assert np.allclose(m["mean"], kept.mean(0), rtol=1e-9, atol=1e-9)
+        assert np.allclose(np.linalg.inv(np.reshape(m["inv"], (3, 3))), np.cov(kept.T, ddof=0), rtol=1e-6)
+        assert m["done"] and m["fall"] <= linear.FALL
+
+
+def test_ocsvm_steps_end_at_the_smallest_objective(spark):
+    rng = np.random.default_rng(22)
+    x = np.sin(np.arange(700) / 5) + rng.normal(size=700) * 0.3
+    df, cols = wide(spark, x[:, None])
+    short, long = (scores(linear.ocsvm_score(df, cols, 6, "linear", nu=0.1, size=n)) for n in (None, 150))
+    assert np.allclose(short, long, atol=1e-4)
+    v = np.lib.stride_tricks.sliding_window_view(x, 6)
+    v = (v - v.min(1, keepdims=True)) / (v.max(1, keepdims=True) - v.min(1, keepdims=True))
+
+    def objective(w, rho):
+        return w @ w / 2 - rho + np.maximum(rho - v @ w, 0).mean() / 0.1
+
+    for got in (short, long):
+        model = np.linalg.lstsq(np.column_stack([-v, np.ones(len(v))]), got[3:3 + len(v)], rcond=None)[0]
+        least = objective(model[:-1], model[-1])
+        moves = rng.normal(size=(3000, 7)) * 10.0 ** rng.uniform(-4, -1, size=(3000, 1))
+        assert min(objective(model[:-1] + m[:-1], model[-1] + m[-1]) for m in moves) >= least - 1e-5 * abs(least)
+
+
+def test_unfinished_fits_are_flagged(spark):
+    rng = np.random.default_rng(23)
+    df, cols = wide(spark, rng.normal(size=(300, 3)))
+    prep = lambda w: cluster.window_rows(w, False)
+    for size in (None, 100):
+        with pytest.warns(RuntimeWarning, match="1 series not converged after 1 steps"):
+            m = linear.mcd_fit(df, cols, prep=prep, steps=1, size=size).collect()[0]
+        assert not m["done"]
+        with pytest.warns(RuntimeWarning, match="1 series not converged after 1 steps"):
+            m = linear.ocsvm_fit(df, cols, prep, nu=0.1, steps=1, size=size).collect()[0]
+        assert not m["done"] and m["gap"] > linear.GAP
+
+
 def test_forecast_equals_ridge_in_numpy(spark):
     rng = np.random.default_rng(10)
     x = np.cumsum(rng.normal(size=(150, 2)), 0)

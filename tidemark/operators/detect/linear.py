@@ -7,6 +7,7 @@ solved on an executor, all series in parallel.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Sequence
 
 import numpy as np
@@ -15,11 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...plans.attach import attach
-from ...plans.chunks import CHUNK_ROWS, collected, key_schema, over_rows, over_windows, row_moments, solve_per_key, unpack, window_moments
-from ...plans.ordered import cumulate, quantile_of
+from ...plans.chunks import (
+    CHUNK_ROWS, _moment_rows, collected, key_schema, over_rows, over_windows, packed_chunks, row_moments, solve_per_key, sum_over_windows, unpack,
+    values_over_windows, window_moments, window_view,
+)
+from ...plans.ordered import cumulate, order_value, quantile_of
 from ...session import cut
 from ..windows import centre_pad
-from .cluster import sampled_windows, window_rows
+from .cluster import hashed_share, sampled_windows, window_rows
 
 KEYS = ("series_id",)
 
@@ -242,86 +246,168 @@ def chi2_quantile(q: float, p: int) -> float:
     return p * (1 - 2 / (9 * p) + z * math.sqrt(2 / (9 * p))) ** 3
 
 
-def _best_start(x: np.ndarray, h: int, seed: int, starts: int = 30, steps: int = 10):
+FALL = 1e-8  # of the log determinant; a step that falls by no more ends the search
+
+
+def _centred_moments(x: np.ndarray, mean) -> np.ndarray:
+    return _moment_rows(x - np.asarray(mean))
+
+
+def _moved_moments(m: np.ndarray, mean) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance from moments about ``mean``."""
+    _n, shift, cov = unpack(m, len(mean))
+    return np.asarray(mean) + shift, cov
+
+
+def _log_det(cov: np.ndarray, scale) -> float:
+    """Of the covariance in units of ``scale``; directions without spread count alike."""
+    return float(np.log(np.maximum(np.linalg.eigvalsh(cov / np.outer(scale, scale)), 1e-9)).sum())
+
+
+def _support(n, p: int, support: float | None) -> float:
+    return float(support) if support else min(1.0, math.ceil(0.5 * (n + p + 1)) / n)
+
+
+def _nearer(x: np.ndarray, m) -> np.ndarray:
+    return x[_mahalanobis(x, m) <= m["q"] * (1 + 1e-12)]
+
+
+def _concentrated(x: np.ndarray, m: dict, share: float, steps: int) -> dict:
+    """Concentration steps from the model ``m`` until the determinant stops falling."""
+    for _ in range(steps):
+        q = np.quantile(_mahalanobis(x, m), share)
+        m = _concentration(m, _centred_moments(_nearer(x, {**m, "q": q}), m["mean"]))
+        if m["done"]:
+            break
+    return m
+
+
+def _concentration(m, moments) -> dict:
+    """The model after one step; the old one, done, when the determinant does not fall."""
+    mean, cov = _moved_moments(moments, m["mean"])
+    det = _log_det(cov, m["scale"])
+    fall = m["det"] - det
+    if fall <= FALL:
+        return {**{k: m[k] for k in ("mean", "inv", "p", "scale", "det")}, "fall": fall, "done": True}
+    inv = np.linalg.pinv(cov).ravel().tolist()
+    return {"mean": mean.tolist(), "inv": inv, "p": m["p"], "scale": m["scale"], "det": det, "fall": fall, "done": False}
+
+
+def _best_start(x: np.ndarray, support: float | None, seed: int, steps: int, starts: int = 30) -> dict:
+    """Of the concentrated random starts on ``x`` the one with the smallest determinant, as a model no step was taken from."""
     rng = np.random.default_rng(seed)
     n, p = x.shape
+    sd = x.std(0)
+    scale = np.where(sd > 0, sd, 1.0).tolist()
     best = None
     for _ in range(starts):
-        rows = rng.choice(n, size=min(p + 1, n), replace=False)
-        for _ in range(steps):
-            mean, cov = x[rows].mean(0), np.atleast_2d(np.cov(x[rows].T, ddof=0))
-            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.pinv(cov), x - mean)
-            nxt = np.argsort(d, kind="stable")[:h]
-            if len(nxt) == len(rows) and (np.sort(nxt) == np.sort(rows)).all():
-                break
-            rows = nxt
-        mean, cov = x[rows].mean(0), np.atleast_2d(np.cov(x[rows].T, ddof=0))
-        det = np.linalg.slogdet(cov + 1e-12 * np.eye(p))[1]
-        if best is None or det < best[0]:
-            best = (det, mean, cov)
-    return best[1], best[2]
+        rows = x[rng.choice(n, size=min(p + 1, n), replace=False)]
+        mean, cov = rows.mean(0), np.atleast_2d(np.cov(rows.T, ddof=0))
+        m = {"mean": mean.tolist(), "inv": np.linalg.pinv(cov).ravel().tolist(), "p": p, "scale": scale, "det": math.inf}
+        m = _concentrated(x, m, _support(n, p, support), steps)
+        if best is None or m["det"] < best["det"]:
+            best = m
+    return {**best, "det": math.inf, "fall": math.inf, "done": False}
+
+
+def _outer_bound(median: float, p: int) -> float:
+    """The 97.5 % quantile; the median distance of normal data is the chi-square median."""
+    return median / chi2_quantile(0.5, p) * chi2_quantile(0.975, p)
 
 
-MCD_MODEL = "mean array<double>, inv array<double>, p int"
+MCD_MODEL = "mean array<double>, inv array<double>, p int, scale array<double>, det double, fall double, done boolean"
 
 
 def _mahalanobis(x, m):
     p = int(m["p"])
     gap = x - np.asarray(m["mean"])
-    return np.einsum("ij,jk,ik->i", gap, np.asarray(m["inv"]).reshape(p, p), gap)
+    return ((gap @ np.asarray(m["inv"]).reshape(p, p)) * gap).sum(1)
+
+
+def _reweighted(m, moments) -> dict:
+    mean, cov = _moved_moments(moments, m["mean"])
+    return {**{k: m[k] for k in ("p", "scale", "det", "fall", "done")}, "mean": mean.tolist(), "inv": np.linalg.pinv(cov).ravel().tolist()}
+
+
+def _warn_unfinished(model: DataFrame, what: str, steps: int) -> DataFrame:
+    n = model.filter("NOT done").count()
+    if n:
+        warnings.warn(f"{what}: {n} series not converged after {steps} steps", RuntimeWarning, stacklevel=3)
+    return model
 
 
 def mcd_fit(
-    df: DataFrame, channels: Sequence[str], window: int = 1, support: float | None = None, steps: int = 2, seed: int = 2024,
+    df: DataFrame, channels: Sequence[str], window: int = 1, support: float | None = None, steps: int = 500, seed: int = 2024,
     keys: Sequence[str] = KEYS, size=None, prep=window_rows,
 ) -> DataFrame:
     """Robust mean and inverse covariance per series.
 
-    Starts are searched on a bounded hash sample; concentration steps over all windows follow: distances, the exact quantile
-    that holds the support, and the moments of the rows below it.  The last step reweights at the 97.5 % chi-square quantile.
+    Starts are searched on a hash sample (about ``STARTS`` windows); concentration steps over all windows follow from the best one until the
+    covariance determinant stops falling: distances, the exact quantile that holds the support, and the moments of the rows below it. At
+    last the rows within the 97.5 % chi-square quantile are taken. After ``steps`` steps a series is left with ``done`` false, its last
+    ``fall`` of the log determinant, and a warning. A series of at most a chunk is solved in one task; longer ones take their steps together.
     """
+    names, chans, limit = list(keys), list(channels), size or CHUNK_ROWS
+    columns = [*names, *[c.split()[0] for c in MCD_MODEL.split(", ")]]
+    lengths = cut(df.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")))
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t", kind="stable")
+        if len(pdf) < window:
+            return pd.DataFrame(columns=columns)
+        x = prep(window_view(pdf[chans].to_numpy(dtype=float), window))
+        chosen = hashed_share(pdf["t"].to_numpy()[: len(x)], seed) < STARTS / len(pdf)
+        if not chosen.any():
+            return pd.DataFrame(columns=columns)
+        m = _concentrated(x, _best_start(x[chosen], support, seed, steps), _support(*x.shape, support), steps)
+        q = _outer_bound(float(np.median(_mahalanobis(x, m))), x.shape[1])
+        m = _reweighted(m, _centred_moments(_nearer(x, {**m, "q": q}), m["mean"]))
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in names}, **m}], columns=columns)
+
+    short = attach(df.select(*names, "t", *chans), lengths.filter(F.col("_n") <= limit), names).drop("_n")
+    solved = short.groupBy(*names).applyInPandas(whole, f"{key_schema(df, keys)}, {MCD_MODEL}")
+    long_ = lengths.filter(F.col("_n") > limit)
+    if not long_.isEmpty():
+        rest = attach(df.select(*names, "t", *chans), long_, names).drop("_n")
+        solved = solved.unionByName(_mcd_together(rest, chans, window, support, steps, seed, keys, size, prep))
+    return _warn_unfinished(cut(solved), "MCD", steps)
+
+
+STARTS = 1000
+
+
+def _mcd_together(df: DataFrame, channels, window, support, steps, seed, keys, size, prep) -> DataFrame:
+    """Models of series that are longer than a chunk."""
     names = list(keys)
-    sample = sampled_windows(df, channels, window, 1000, seed, keys, size, prep)
+    sample = sampled_windows(df, channels, window, STARTS, seed, keys, size, prep)
+
+    m_columns = [c.split()[0] for c in MCD_MODEL.split(", ")]
 
     def start(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf.sort_values("t")["x"].to_numpy())
-        n, p = x.shape
-        h = min(n, int(math.ceil(n * support)) if support else int(math.ceil(0.5 * (n + p + 1))))
-        mean, cov = _best_start(x, h, seed)
-        out = pdf.iloc[:1][names].copy()
-        out["mean"], out["inv"], out["p"] = [mean.tolist()], [np.linalg.pinv(cov).ravel().tolist()], p
-        return out
+        m = _best_start(np.stack(pdf.sort_values("t")["x"].to_numpy()), support, seed, steps)
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in names}, **m}])[[*names, *m_columns]]
 
     model = cut(sample.groupBy(*names).applyInPandas(start, f"{key_schema(df, keys)}, {MCD_MODEL}"))
+    chunks, dims = packed_chunks(df, channels, window, keys, size), len(channels)
+    share = F.lit(float(support)) if support else F.least(
+        F.lit(1.0), F.ceil(F.lit(0.5) * (F.col("tot_n") + F.lit(dims * window + 1))) / F.col("tot_n")
+    )
 
-    def dist(w, t, m):
-        return {"d": _mahalanobis(prep(w), m)}
-
-    def refit(row):
-        n, mean, cov = unpack(row["m"], int(row["p"]))
-        return {"mean": mean.tolist(), "inv": np.linalg.pinv(cov * float(row.get("fix") or 1.0)).ravel().tolist(), "p": int(row["p"])}
-
-    for step in range(steps + 1):
-        last = step == steps
-        d = cut(over_windows(df, channels, window, dist, "d double", keys, size=size, models=model))
-        share = F.lit(float(support)) if support else F.least(
-            F.lit(1.0), F.ceil(F.lit(0.5) * (F.col("tot_n") + F.lit(len(channels) * window + 1))) / F.col("tot_n")
-        )
-        c = cumulate(d, keys, "d")
-        stat = c.groupBy(*keys).agg(quantile_of("d", F.lit(0.5) if last else share).alias("q")).join(model, names)
-        if last:
-            # consistency: the median distance of normal data is the chi-square median
-            def bound(row):
-                return {**{k: row[k] for k in ("mean", "inv", "p")}, "q": row["q"] / chi2_quantile(0.5, int(row["p"])) * chi2_quantile(0.975, int(row["p"])), "fix": 1.0}
-
-            stat = solve_per_key(stat, bound, f"{MCD_MODEL}, q double, fix double", keys)
-        stat = cut(stat)
-        m = window_moments(
-            df, channels, window, lambda w, mm: prep(w), keys, size=size, models=stat,
-            weight=lambda rows, mm: _mahalanobis(rows, mm) <= mm["q"] * (1 + 1e-12),
-        )
-        model = cut(solve_per_key(m.join(stat.drop("mean", "inv"), names), refit, MCD_MODEL, keys))
-    return model
+    def step(model, fraction, bound, update):
+        d = values_over_windows(chunks, dims, window, lambda w, m: _mahalanobis(prep(w), m), model, keys)
+        q = cumulate(d, keys, "v").groupBy(*names).agg(quantile_of("v", fraction).alias("_q"))
+        stat = cut(solve_per_key(q.join(model, names), lambda row: {**{c: row[c] for c in m_columns}, "q": bound(row)}, f"{MCD_MODEL}, q double", keys))
+        sums = sum_over_windows(chunks, dims, window, lambda w, m: _centred_moments(_nearer(prep(w), m), m["mean"]), stat, keys)
+        return cut(solve_per_key(sums.join(model, names), lambda row: update(row, np.asarray(row["m"])), MCD_MODEL, keys))
+
+    def concentrate(row, m):
+        return {c: row[c] for c in m_columns} if row["done"] else _concentration(row, m)
+
+    for _ in range(steps):
+        model = step(model, share, lambda row: row["_q"], concentrate)
+        if model.filter("NOT done").isEmpty():
+            break
+    return step(model, F.lit(0.5), lambda row: _outer_bound(row["_q"], int(row["p"])), _reweighted)
 
 
 def mcd_score(
@@ -330,7 +416,7 @@ def mcd_score(
 ) -> DataFrame:
     """(keys, t, score): squared robust Mahalanobis distance."""
     prep = window_rows if normalise and len(channels) * window > 1 else _channel_major
-    model = mcd_fit(df if train is None else train, channels, window, support, 2, seed, keys, size, prep)
+    model = mcd_fit(df if train is None else train, channels, window, support, seed=seed, keys=keys, size=size, prep=prep)
     scored = over_windows(
         df, channels, window, lambda w, t, m: {"score": _mahalanobis(prep(w), m)}, "score double", keys, size=size, models=model
     )
@@ -358,18 +444,165 @@ def _features(x: np.ndarray, kernel: str, gamma: float | str, width: int, seed:
     raise ValueError(f"kernel {kernel!r} has no product form; use linear, rbf or poly")
 
 
+GAP = 1e-6  # of the objective, between its value and its lower bound
+
+
+def _nearest_weights(points: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Weights of the point nearest to the origin in the hull of ``points``, from weights whose last point is new (Wolfe's inner steps)."""
+    weights = weights.copy()
+    g = points @ points.T
+    g = g / max(np.diag(g).max(), 1e-300)
+    active = weights > 0
+    active[-1] = True
+    while True:
+        at = np.flatnonzero(active)
+        k = len(at)
+        side = np.block([[g[np.ix_(at, at)], np.ones((k, 1))], [np.ones((1, k)), np.zeros((1, 1))]])
+        best = np.linalg.lstsq(side, np.append(np.zeros(k), 1.0), rcond=None)[0][:k]
+        if k == 1 or (best >= 0).all():
+            weights[:] = 0
+            weights[at] = best / best.sum()
+            return weights
+        now = weights[at]
+        down = best < 0
+        share = np.full(k, np.inf)
+        share[down] = now[down] / (now[down] - best[down])
+        out = share.argmin()
+        weights[at] = np.maximum(now + share[out] * (best - now), 0)
+        weights[at[out]] = 0
+        active[at[out]] = False
+
+
+def _margin_start(mean: np.ndarray, square: float) -> dict:
+    w = mean.tolist()
+    return {"w": w, "rho": 0.0, "points": w, "weights": [1.0], "square": square, "gap": math.inf, "done": False}
+
+
+def _tail(phi: np.ndarray, w, rho: float) -> np.ndarray:
+    """Rows below rho and their sum, rows at rho and their sum."""
+    s = phi @ np.asarray(w)
+    near = 1e-12 * max(abs(rho), 1.0)
+    low, at = s < rho - near, np.abs(s - rho) <= near
+    return np.concatenate([[low.sum(), at.sum()], phi[low].sum(0), phi[at].sum(0)])
+
+
+def _margin_step(m, rho: float, tail: np.ndarray, size: float) -> dict:
+    """One step: the mean of the ``size`` rows with the smallest margins joins the hull, whose point nearest to the origin is the new normal.
+
+    Half the square of the normal is the dual of the objective; ``gap`` is what the objective lies above it, as a share.
+    """
+    w, d = np.asarray(m["w"]), (len(tail) - 2) // 2
+    v = (tail[2 : 2 + d] + (size - tail[0]) / max(tail[1], 1.0) * tail[2 + d :]) / size
+    square = float(w @ w)
+    gap = (square - float(w @ v)) / max(square, 1e-9 * m["square"], 1e-300)
+    if gap <= GAP:
+        return {**{k: m[k] for k in ("w", "points", "weights", "square")}, "rho": rho, "gap": gap, "done": True}
+    points = np.vstack([np.asarray(m["points"]).reshape(-1, d), v])
+    weights = _nearest_weights(points, np.append(np.asarray(m["weights"]), 0.0))
+    points, weights = points[weights > 0], weights[weights > 0]
+    return {
+        "w": (weights @ points).tolist(), "rho": rho, "points": points.ravel().tolist(), "weights": weights.tolist(), "square": m["square"],
+        "gap": gap, "done": False,
+    }
+
+
+MARGIN_MODEL = "w array<double>, rho double, points array<double>, weights array<double>, square double, gap double, done boolean"
+
+
+def _margin_rank(n, nu: float) -> tuple[float, int]:
+    """Rows that share the weight, and the 0-based rank of the margin rho among all."""
+    size = max(nu * n, 1.0)
+    return size, min(math.ceil(size - 1e-9), int(n)) - 1
+
+
+def ocsvm_fit(
+    df: DataFrame, channels: Sequence[str], prep, window: int = 1, nu: float = 0.5, steps: int = 1000, keys: Sequence[str] = KEYS, size=None,
+) -> DataFrame:
+    """Normal ``w`` and offset ``rho`` of the margin over all windows ``prep(windows)``, one row per series.
+
+    Steps run until the objective is within a share ``GAP`` of its lower bound. After ``steps`` of them a series is left with ``done`` false,
+    its ``gap``, and a warning. A series of at most a chunk is solved in one task; longer ones take their steps together.
+    """
+    names, chans, limit = list(keys), list(channels), size or CHUNK_ROWS
+    m_columns = [c.split()[0] for c in MARGIN_MODEL.split(", ")]
+    columns = [*names, *m_columns]
+    lengths = cut(df.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")))
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t", kind="stable")
+        if len(pdf) < window:
+            return pd.DataFrame(columns=columns)
+        phi = prep(window_view(pdf[chans].to_numpy(dtype=float), window))
+        m = _margin_start(phi.mean(0), float((phi**2).sum() / len(phi)))
+        share, rank = _margin_rank(len(phi), nu)
+        for _ in range(steps):
+            rho = float(np.partition(phi @ np.asarray(m["w"]), rank)[rank])
+            m = _margin_step(m, rho, _tail(phi, m["w"], rho), share)
+            if m["done"]:
+                break
+        else:
+            m["rho"] = float(np.partition(phi @ np.asarray(m["w"]), rank)[rank])
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in names}, **m}], columns=columns)
+
+    short = attach(df.select(*names, "t", *chans), lengths.filter(F.col("_n") <= limit), names).drop("_n")
+    solved = short.groupBy(*names).applyInPandas(whole, f"{key_schema(df, keys)}, {MARGIN_MODEL}")
+    long_ = lengths.filter(F.col("_n") > limit)
+    if not long_.isEmpty():
+        rest = attach(df.select(*names, "t", *chans), long_, names).drop("_n")
+        solved = solved.unionByName(_margin_together(rest, chans, prep, window, nu, steps, keys, size))
+    return _warn_unfinished(cut(solved), "OCSVM", steps)
+
+
+def _margin_together(df: DataFrame, channels, prep, window, nu, steps, keys, size) -> DataFrame:
+    """Models of series that are longer than a chunk."""
+    names, dims = list(keys), len(channels)
+    m_columns = [c.split()[0] for c in MARGIN_MODEL.split(", ")]
+    chunks = packed_chunks(df, channels, window, keys, size)
+
+    def total(w, _m):
+        phi = prep(w)
+        return np.concatenate([[len(phi), (phi**2).sum()], phi.sum(0)])
+
+    def first(row):
+        m = np.asarray(row["m"])
+        return {"n": m[0], **_margin_start(m[2:] / m[0], float(m[1] / m[0]))}
+
+    schema = f"n double, {MARGIN_MODEL}"
+    every = chunks.select(*names).distinct()
+    model = cut(solve_per_key(sum_over_windows(chunks, dims, window, total, every, keys), first, schema, keys))
+
+    def placed(model):
+        s = cumulate(values_over_windows(chunks, dims, window, lambda w, m: prep(w) @ np.asarray(m["w"]), model.select(*names, "w"), keys), keys, "v")
+        rank = F.least(F.ceil(F.greatest(F.lit(nu) * F.col("tot_n"), F.lit(1.0)) - 1e-9), F.col("tot_n")) - 1
+        return cut(s.groupBy(*names).agg(order_value("v", rank).alias("rho")).join(model.drop("rho"), names))
+
+    def move(row):
+        if row["done"]:
+            return {c: row[c] for c in ("n", *m_columns)}
+        return {"n": row["n"], **_margin_step(row, row["rho"], np.asarray(row["m"]), _margin_rank(row["n"], nu)[0])}
+
+    for _ in range(steps):
+        at = placed(model)
+        tails = sum_over_windows(chunks, dims, window, lambda w, m: _tail(prep(w), m["w"], m["rho"]), at.select(*names, "w", "rho"), keys)
+        model = cut(solve_per_key(tails.join(at, names), move, schema, keys))
+        if model.filter("NOT done").isEmpty():
+            break
+    else:
+        model = placed(model)
+    return model.select(*names, *m_columns)
+
+
 def ocsvm_score(
     df: DataFrame, channels: Sequence[str], window: int = 1, kernel: str = "rbf", nu: float = 0.5, gamma="auto",
-    features: int = 128, steps: int = 10, train: DataFrame | None = None, keys: Sequence[str] = KEYS, size=None, seed: int = 0,
+    features: int = 128, steps: int = 1000, train: DataFrame | None = None, keys: Sequence[str] = KEYS, size=None, seed: int = 0,
     compat: bool = False,
 ) -> DataFrame:
-    """(keys, t, score): margin minus projection.  Averaged subgradient steps; each is one sum over all windows.
+    """(keys, t, score): offset minus projection (``ocsvm_fit``).
 
     Windows are scaled to their own range when fitted and when scored; ``compat=True`` scales them in the fit only, as the benchmark does.
     """
     if kernel not in ("linear", "rbf", "poly"):
         raise ValueError(f"kernel {kernel!r} has no product form; use linear, rbf or poly")
-    names = list(keys)
     base = df if train is None else train
 
     def prep(w, scaled=True):
@@ -379,44 +612,9 @@ def ocsvm_score(
             x = np.divide(x - lo, hi - lo, out=np.zeros_like(x), where=hi > lo)
         return _features(x, kernel, gamma, features, seed)
 
-    def total(w, t, m):
-        phi = prep(w)
-        cells = np.empty(len(t), dtype=object)
-        if m is None:
-            cells[0] = np.concatenate([[len(phi), 0.0], phi.sum(0)])
-        else:
-            wrong = phi @ np.asarray(m["w"]) < m["rho"]
-            cells[0] = np.concatenate([[len(phi), wrong.sum()], phi[wrong].sum(0)])
-        return {"v": cells}
-
-    def pass_over(model):
-        parts = over_windows(base, channels, window, total, "v array<double>", keys, size=size, models=model)
-        parts = parts.filter("v IS NOT NULL").select(*keys, F.posexplode("v").alias("i", "v"))
-        return collected(parts, keys)
-
-    cols = "w array<double>, rho double, aw array<double>, arho double"
-
-    def first(row):
-        m = np.asarray(row["m"])
-        w = m[2:] / m[0]
-        return {"w": w.tolist(), "rho": float(w @ w), "aw": w.tolist(), "arho": float(w @ w)}
-
-    model = cut(solve_per_key(pass_over(None), first, cols, keys))
-    for step in range(1, steps + 1):
-        rate = 1.0 / (step + 1)
-
-        def move(row, rate=rate, step=step):
-            m, w, rho = np.asarray(row["m"]), np.asarray(row["w"]), row["rho"]
-            w2 = w - rate * (w - m[2:] / (nu * m[0]))
-            rho2 = rho - rate * (m[1] / (nu * m[0]) - 1) * float(w2 @ w2) ** 0.5
-            keep = (step - 1) / step
-            aw = np.asarray(row["aw"]) * keep + w2 * (1 - keep)
-            return {"w": w2.tolist(), "rho": float(rho2), "aw": aw.tolist(), "arho": row["arho"] * keep + rho2 * (1 - keep)}
-
-        model = cut(solve_per_key(pass_over(model).join(model, names), move, cols, keys))
+    model = ocsvm_fit(base, channels, prep, window, nu, steps, keys, size)
     scored = over_windows(
-        df, channels, window, lambda w, t, m: {"score": m["arho"] - prep(w, not compat) @ np.asarray(m["aw"])}, "score double", keys,
+        df, channels, window, lambda w, t, m: {"score": m["rho"] - prep(w, not compat) @ np.asarray(m["w"])}, "score double", keys,
         size=size, models=model,
     )
     return centre_pad(df, scored, window, keys) if window > 1 else scored
-

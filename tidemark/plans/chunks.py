@@ -136,6 +136,23 @@ def sum_over_windows(chunks: DataFrame, dims: int, window: int, fn: Callable, mo
     return collected(parts.select(*names, F.posexplode("v").alias("i", "v")), keys)
 
 
+def values_over_windows(chunks: DataFrame, dims: int, window: int, fn: Callable, models: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, v): ``fn(windows, model) -> values``, one row per window of packed chunks."""
+    names = list(keys)
+
+    def run(batches):
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                x = np.stack([np.asarray(row[f"c{i}"], dtype=float) for i in range(dims)], axis=1)
+                if len(x) < window or not row["own"]:
+                    continue
+                view = window_view(x, window)[: row["own"]]
+                for a, b in _batches(len(view), window * dims):
+                    yield pd.DataFrame({**{k: row[k] for k in names}, "v": fn(view[a:b], row)})
+
+    return chunks.join(sized(models), names).mapInPandas(run, f"{key_schema(chunks, keys)}, v double")
+
+
 def over_rows(
     df: DataFrame, columns_in: Sequence[str], fn: Callable, schema: str, keys: Sequence[str] = KEYS,
     size: int | None = None, models: DataFrame | None = None, order: str = "t",
