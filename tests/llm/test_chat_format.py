@@ -57,6 +57,26 @@ def test_layouts_by_fingerprint(spark):
         choose(["nothing"])
 
 
+def test_first_message_without_fields_and_unmatched_records(spark):
+    from tidemark.llm import chat_format
+
+    whole = {"role": "assistant", "content": "a"}
+    records = [
+        (1, {"messages": [{"role": "user"}, whole]}), (2, {"messages": [{}, {"role": "user", "content": "q"}, whole]}),
+        (3, {"messages": [None, {"content": "q", "role": "user", "name": "n"}]}), (4, {"conversations": [{"from": "gpt"}, {"value": "v"}]}),
+        (5, {"messages": []}), (6, {"messages": "text"}), (7, {"unknown": 1}),
+    ]
+    rows = [(i, json.dumps(r)) for i, r in records] + [(8, None), (9, "not json")]
+    table = spark.createDataFrame(rows, "id long, record string")
+    out = sorted((r.id, r.place, r.role or "", r.text) for r in canonical_json(table, "id", "record").collect())
+    assert out == [
+        (1, 0, "user", ""), (1, 1, "assistant", "a"), (2, 0, "", ""), (2, 1, "user", "q"), (2, 2, "assistant", "a"), (3, 0, "", ""), (3, 1, "user", "q"),
+        (4, 0, "assistant", ""), (4, 1, "", "v"),
+    ]
+    left = {r.id: r.record for r in chat_format.unmatched_json(table, "id", "record").collect()}
+    assert left == {i: r for i, r in rows if i >= 5}
+
+
 def test_native_and_empty(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     out = render(canonical_turns(empty, "conv_id"))

@@ -118,10 +118,15 @@ def canonical_turns(df: DataFrame, id_col: str, mappings=MAPPINGS) -> DataFrame:
 
 
 def json_paths(record: Column, mappings=MAPPINGS) -> Column:
-    """Sorted paths of a JSON record: its keys, and those of the first element of the arrays that mappings know."""
+    """Sorted paths of a JSON record: its keys, and those of all elements of the arrays that mappings know."""
     lists = sorted({m.paths[0] for m in mappings if m.kind == "list"})
     none = F.array().cast("array<string>")
-    nested = [_prefixed(F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{c}[0]")), none), c) for c in lists]
+
+    def keys(c):
+        elements = F.from_json(F.get_json_object(record, f"$.{c}"), "array<string>")
+        return F.coalesce(F.flatten(F.transform(elements, lambda e: F.coalesce(F.json_object_keys(e), none))), none)
+
+    nested = [_prefixed(keys(c), c) for c in lists]
     return F.array_sort(F.array_distinct(F.concat(F.coalesce(F.json_object_keys(record), none), *nested)))
 
 
@@ -133,8 +138,20 @@ def canonical_json(df: DataFrame, id_col: str, json_col: str, mappings=MAPPINGS)
     """Turns of a column of JSON records whose layout may change from row to row: ``(id, place, role, text)``.
 
     Each row's paths are hashed; the fingerprint picks the mapping, or else the mapping with most of its paths present. Null, broken and
-    unknown records give no rows.
+    unknown records give no rows; ``unmatched_json`` returns them.
     """
+    rows, turns = _recognised(df, id_col, json_col, mappings)
+    return _exploded(rows, turns)
+
+
+def unmatched_json(df: DataFrame, id_col: str, json_col: str, mappings=MAPPINGS) -> DataFrame:
+    """``(id, record)`` of the records that ``canonical_json`` has no mapping for: null, broken and unknown ones."""
+    rows, turns = _recognised(df, id_col, json_col, mappings)
+    return rows.filter(turns.isNull()).select("id", "record")
+
+
+def _recognised(df: DataFrame, id_col: str, json_col: str, mappings) -> tuple[DataFrame, Column]:
+    """Records with their paths, and their turns: NULL for a record that no mapping fits."""
     rows = df.select(F.col(id_col).alias("id"), F.col(json_col).alias("record"), json_paths(F.col(json_col), mappings).alias("paths"))
     rows = rows.withColumn("print", F.sha2(F.array_join("paths", "\n"), 256))
     turns = F.lit(None).cast("array<struct<role:string,text:string>>")
@@ -152,7 +169,7 @@ def canonical_json(df: DataFrame, id_col: str, json_col: str, mappings=MAPPINGS)
         turns = F.when(present, built[m.name]).otherwise(turns)
     for m in usable:
         turns = F.when(F.col("print") == m.fingerprint, built[m.name]).otherwise(turns)
-    return _exploded(rows, turns)
+    return rows, turns
 
 
 def escape(text: Column) -> Column:
