@@ -161,6 +161,22 @@ def test_robust_pca_splits_low_rank_and_sparse(spark):
     assert done.argmax() == 40 and abs(done[40] - 10) < 0.5 and np.median(done) < 0.5
 
 
+def test_registered_robust_pca_scores_the_low_rank_part_without_zero_channels(spark):
+    rng = np.random.default_rng(24)
+    x = rng.normal(size=(120, 1)) @ rng.normal(size=(1, 3)) + 2 + rng.normal(size=(120, 3)) * 0.1
+    x[40, 2] += 10
+    df, cols = wide(spark, np.insert(x, 1, 0.0, axis=1))
+    low, _sparse = linear._pursuit(x, 1000, 1e-7)
+    _u, _s, axes = np.linalg.svd(low - low.mean(0), full_matrices=False)
+    axes *= np.sign(axes[np.arange(3), np.abs(axes).argmax(1)])[:, None]
+    expected = np.abs(low - (low - low.mean(0)) @ axes.T).sum(1)
+    assert np.allclose(scores(registry.detect("RobustPCA", df, cols)), expected, atol=1e-4)
+    empty, cols = wide(spark, np.zeros((5, 2)), "z")
+    both = df.unionByName(empty, allowMissingColumns=True).na.fill(0.0)
+    out = registry.detect("RobustPCA", both, ["c1", "c2", "c3", "c4"]).collect()
+    assert sum(r.score is None for r in out) == 5 and len(out) == 125
+
+
 def test_mcd_ignores_a_contaminated_third(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(300, 2))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ...plans.attach import attach
 from ...plans.chunks import (
-    CHUNK_ROWS, _moment_rows, collected, key_schema, over_rows, over_windows, packed_chunks, row_moments, solve_per_key, sum_over_windows, unpack,
+    CHUNK_ROWS, _moment_rows, array_moments, collected, key_schema, over_rows, over_windows, packed_chunks, solve_per_key, sum_over_windows, unpack,
     values_over_windows, window_moments, window_view,
 )
 from ...plans.ordered import cumulate, order_value, quantile_of
@@ -146,16 +146,23 @@ def _pursuit(x: np.ndarray, max_iter: int, tol: float) -> tuple[np.ndarray, np.n
 
 def robust_pca(
     df: DataFrame, channels: Sequence[str], max_iter: int = 1000, tol: float = 1e-7, keys: Sequence[str] = KEYS,
-    mode: str = "sparse", size=None,
+    mode: str = "sparse", size=None, prune: bool = False,
 ) -> DataFrame:
     """(keys, t, score): absolute sparse part per row; ``mode="reference"`` compares the low-rank part with its own projection.
 
+    With ``prune`` channels that are zero in all rows of a series are left out of that series; one without any other has no model.
     A series of at most ``size`` rows (a chunk) is solved in one task. Longer ones take these steps together: the Gram matrix of the shrunk data
     (one aggregate), a small eigen problem per series, and a row-local update, checkpointed. Both take the same steps, each series until it meets
     the tolerance or ``max_iter``; the long ones go on until all of them do.
     """
     names = list(keys)
     every = df.select(*keys, "t", F.array(*[F.col(c).cast("double") for c in channels]).alias("x"))
+    if prune:
+        alive = every.select(*keys, F.posexplode("x").alias("_i", "_v")).groupBy(*keys, "_i").agg(F.max(F.abs("_v")).alias("_m")).filter("_m > 0")
+        alive = alive.groupBy(*keys).agg(F.sort_array(F.collect_list("_i")).alias("_at"))
+        zero = attach(every, alive, keys, "left")
+        dead = zero.filter("_at IS NULL").select(*keys, "t", F.lit(None).cast("double").alias("score"))
+        every = zero.filter("_at IS NOT NULL").select(*keys, "t", F.transform("_at", lambda i: F.element_at("x", i + 1)).alias("x"))
     lengths = cut(every.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
     short = attach(every, lengths.filter(F.col("_n") <= (size or CHUNK_ROWS)), keys).drop("_n")
 
@@ -167,7 +174,8 @@ def robust_pca(
     solved = short.groupBy(*names).applyInPandas(whole, f"{key_schema(df, keys)}, t {kind}, s array<double>, l array<double>")
     long_ = lengths.filter(F.col("_n") > (size or CHUNK_ROWS))
     state = solved if long_.isEmpty() else solved.unionByName(_pursuit_together(attach(every, long_, keys).drop("_n"), max_iter, tol, keys, size))
-    return _pursuit_score(cut(state) if mode != "sparse" else state, len(channels), mode, keys, size)
+    scored = _pursuit_score(cut(state) if mode != "sparse" else state, mode, keys, size)
+    return scored.unionByName(dead) if prune else scored
 
 
 def _pursuit_together(raw: DataFrame, max_iter: int, tol: float, keys: Sequence[str], size) -> DataFrame:
@@ -215,11 +223,10 @@ def _pursuit_together(raw: DataFrame, max_iter: int, tol: float, keys: Sequence[
     return state.select(*keys, "t", "s", "l")
 
 
-def _pursuit_score(state: DataFrame, dims: int, mode: str, keys: Sequence[str], size) -> DataFrame:
+def _pursuit_score(state: DataFrame, mode: str, keys: Sequence[str], size) -> DataFrame:
     if mode == "sparse":
         return state.select(*keys, "t", F.aggregate("s", F.lit(0.0), lambda a, v: a + F.abs(v)).alias("score"))
-    wide = state.select(*keys, "t", "l", *[F.col("l")[i].alias(f"l{i}") for i in range(dims)])
-    m = row_moments(wide, [f"l{i}" for i in range(dims)], keys)
+    m = array_moments(state, "l", keys)
 
     def axes(row):
         n, mean, cov = unpack(row["m"])
@@ -232,7 +239,7 @@ def _pursuit_score(state: DataFrame, dims: int, mode: str, keys: Sequence[str],
         d = low.shape[1]
         return {"score": np.abs(low - (low - np.asarray(mm["mean"])) @ np.asarray(mm["v"]).reshape(d, d)).sum(1)}
 
-    return over_rows(wide, ["l"], score, "score double", keys, size, cut(model))
+    return over_rows(state, ["l"], score, "score double", keys, size, cut(model))
 
 
 # Minimum covariance determinant.

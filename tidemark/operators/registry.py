@@ -92,8 +92,8 @@ def _cblof(df, channels, train=None, n_clusters=8, alpha=0.9, beta=5.0, keys=KEY
     return cluster.cblof_score(df, channels, n_clusters, alpha, beta, keys=keys, size=size, train=train, **kw)
 
 
-def _rpca(df, channels, train=None, max_iter=1000, keys=KEYS, size=None, **kw):
-    return linear.robust_pca(df, channels, max_iter, keys=keys, size=size, **kw)
+def _rpca(df, channels, train=None, max_iter=1000, keys=KEYS, size=None, mode="reference", prune=True, **kw):
+    return linear.robust_pca(df, channels, max_iter, keys=keys, size=size, mode=mode, prune=prune, **kw)
 
 
 UNSUPERVISED: dict[str, Callable] = {
