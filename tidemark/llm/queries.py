@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..session import configure
 from . import chat_format, secret_scan, toxicity, warc
 from .byte_bpe import encode_texts
+from .divergence import divergence
 from .mixing import mix_sources, taken
 from .multiset_hash import fingerprints
 from .ngram_join import similar
@@ -203,3 +204,34 @@ def op1(spark, sf_dir):
     model = toxicity.fit(docs, labels.filter(fifth != 0))
     out = toxicity.score(docs, model)
     return out.select("doc_id", (fifth == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "language")
+
+
+@query("op11_source_divergence", r"""
+WITH d AS (SELECT coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+t AS (
+  SELECT lang, source, row, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM (SELECT *, row_number() OVER () AS row FROM d)
+),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 30),
+size AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+n1 AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+n2 AS (SELECT lang, sum(n) AS total FROM c GROUP BY ALL),
+cq AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + CAST(1000000000 * (CAST(coalesce(c.n, 0) AS HUGEINT) + 5) // (coalesce(n1.total, 0) + 5 * v) AS BIGINT) AS p
+  FROM groups g JOIN kept k USING (lang) JOIN size USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+  LEFT JOIN n1 ON n1.lang = g.lang AND n1.source = g.source
+),
+q AS (SELECT lang, term, 1 + CAST(1000000000 * (CAST(cq.n AS HUGEINT) + 5) // (total + 5 * v) AS BIGINT) AS q FROM cq JOIN n2 USING (lang) JOIN size USING (lang)),
+far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+""")
+def op11(spark, sf_dir):
+    """Distances between the sources of each language and the terms by which each stands out."""
+    return divergence(table(spark, sf_dir, "documents"))
