@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import chat_format, secret_scan, toxicity, warc
+from . import chat_format, secret_scan, token_file, toxicity, warc
 from .byte_bpe import encode_texts
 from .divergence import divergence
 from .mixing import mix_sources, taken
@@ -235,3 +235,11 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS IN
 def op11(spark, sf_dir):
     """Distances between the sources of each language and the terms by which each stands out."""
     return divergence(table(spark, sf_dir, "documents"))
+
+
+@query("op13_token_files")
+def op13(spark, sf_dir):
+    """Every document encoded, written to packed token files and read back."""
+    path = token_file.scratch(spark)
+    token_file.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_file.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
