@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..session import configure
 from . import chat_format, secret_scan, token_file, toxicity, warc
 from .byte_bpe import encode_texts
+from .collocations import collocations
 from .divergence import divergence
 from .mixing import mix_sources, taken
 from .multiset_hash import fingerprints
@@ -243,3 +244,30 @@ def op13(spark, sf_dir):
     path = token_file.scratch(spark)
     token_file.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return token_file.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op12_collocations", r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+grams AS (SELECT lang, k, unnest(list_transform(range(1, greatest(len(ws) - k + 2, 1)), i -> array_to_string(ws[i : i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3)) AS t(k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 10),
+cuts AS (SELECT *, unnest(range(1, k)) AS pos FROM c),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, a, pos, x.f AS l, y.f AS r, CAST(1000000 * CAST(a AS HUGEINT) * a // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(ws[1 : pos], ' ') JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(ws[pos + 1 :], ' ')
+),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, pos) = 1),
+inner_ AS (SELECT lang, array_to_string(ws[pos : pos + 1], ' ') AS phrase, max(a) AS longest FROM cuts WHERE k = 3 GROUP BY ALL),
+ranked AS (
+  SELECT best.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best LEFT JOIN inner_ USING (lang, phrase)
+  WHERE longest IS NULL OR 100 * longest < 50 * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+""")
+def op12(spark, sf_dir):
+    """The best two thousand phrases of two or three words of each language."""
+    return collocations(table(spark, sf_dir, "documents"))
