@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import uuid
 from collections.abc import Iterator
@@ -27,7 +28,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +42,9 @@ MAGIC = b"PFOR1\n\0\0"
 BLOCK, PERCENTILE = 1024, 95
 #: Ids packed at a time; ids and documents of a file, and ids of a part of it, before the next one starts; bytes of a batch that a reader hands on.
 GATHER, FILE_IDS, FILE_DOCS, PART_IDS, BATCH = 1 << 18, 1 << 28, 1 << 20, 1 << 22, 4 << 20
+#: Bytes of text encoded at a time.
+SLICE = 2 << 20
+MANIFEST, TOKENIZER = "_manifest.json", "_tokenizer.json"
 NULL_ID = -(1 << 63)
 HEAD = np.dtype([("least", "<u4"), ("width", "u1"), ("odd", "<u2")])
 
@@ -197,8 +200,26 @@ class Written(WriterCommitMessage):
 
 
 class TokenWriter(DataSourceArrowWriter):
+    """Takes rows of ``doc_id, ids``, or of ``doc_id, text`` where the folder holds a tokenizer."""
+
     def __init__(self, options):
         self.path, self.file_ids = options["path"], int(options.get("file_ids", FILE_IDS))
+        self.end = options.get("end")
+
+    def _documents(self, fs, root: str, iterator: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
+        tail = np.array([] if self.end is None else [int(self.end)], "<u4")
+        for b in iterator:
+            names = b.column("doc_id").to_pylist()
+            if "text" not in b.schema.names:
+                yield from zip(names, (np.frombuffer(x.as_buffer(), "<u4") for x in b.column("ids")), strict=True)
+                continue
+            lo, texts = 0, b.column("text")
+            sizes = np.cumsum(np.diff(np.frombuffer(texts.buffers()[1], "<i4", len(texts) + 1, 4 * texts.offset)))
+            while lo < len(texts):
+                hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + SLICE, "right")))
+                for name, ids in zip(names[lo:hi], encoder(fs, root).encode(texts[lo:hi]), strict=True):
+                    yield name, np.concatenate([ids, tail])
+                lo = hi
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, root = place(self.path)
@@ -209,17 +230,16 @@ class TokenWriter(DataSourceArrowWriter):
             writer.close()
             done.append((name, writer.at + 16 * len(writer.docs) + 8 * len(writer.starts) + 24 + len(MAGIC), writer.ids, len(writer.docs), parts))
 
-        for b in iterator:
-            for doc, ids in zip(b.column("doc_id").to_pylist(), b.column("ids"), strict=True):
-                if writer is None:
-                    name, parts = f"part-{uuid.uuid4().hex}.pfor", [(0, 0)]
-                    writer = FileWriter(fs.open_output_stream(f"{root}/{name}", compression=None))
-                if writer.ids - parts[-1][1] >= PART_IDS:
-                    parts.append((len(writer.docs), writer.ids))
-                writer.add(doc, np.frombuffer(ids.as_buffer(), "<u4"))
-                if writer.ids >= self.file_ids or len(writer.docs) >= FILE_DOCS:
-                    close()
-                    writer = None
+        for doc, ids in self._documents(fs, root, iterator):
+            if writer is None:
+                name, parts = f"part-{uuid.uuid4().hex}.pfor", [(0, 0)]
+                writer = FileWriter(fs.open_output_stream(f"{root}/{name}", compression=None))
+            if writer.ids - parts[-1][1] >= PART_IDS:
+                parts.append((len(writer.docs), writer.ids))
+            writer.add(doc, ids)
+            if writer.ids >= self.file_ids or len(writer.docs) >= FILE_DOCS:
+                close()
+                writer = None
         if writer is not None:
             close()
         return Written(TaskContext.get().partitionId(), done)
@@ -227,10 +247,10 @@ class TokenWriter(DataSourceArrowWriter):
     def commit(self, messages) -> None:
         fs, root = place(self.path)
         fs.create_dir(root, recursive=True)
-        if fs.get_file_info(f"{root}/_manifest.json").type != pyarrow.fs.FileType.NotFound:
+        if fs.get_file_info(f"{root}/{MANIFEST}").type != pyarrow.fs.FileType.NotFound:
             raise FileExistsError(f"{root} holds token files already")
         listed = [f for m in sorted((m for m in messages if m is not None), key=lambda m: m.task) for f in m.files]
-        with fs.open_output_stream(f"{root}/_manifest.json") as out:
+        with fs.open_output_stream(f"{root}/{MANIFEST}") as out:
             out.write(json.dumps(listed).encode())
 
     def abort(self, messages) -> None:
@@ -249,7 +269,7 @@ class TokenReader(DataSourceReader):
 
     def partitions(self):
         fs, root = place(self.path)
-        with fs.open_input_stream(f"{root}/_manifest.json") as f:
+        with fs.open_input_stream(f"{root}/{MANIFEST}") as f:
             files = json.loads(f.read())
         out, start = [], 0
         for name, size, ids, docs, parts in files:
@@ -298,12 +318,13 @@ class TokenSource(DataSource):
 class PieceEncoder:
     """Encodes texts with the tokenizers library, each distinct piece between white space once.
 
-    A byte-level pre-tokenizer never joins a character with white space after it, so a text may be cut before every run of blanks and line ends. Texts with
-    other white space, or characters that some regular expressions take for it, are encoded whole. Pieces are kept in two generations of ``most``.
+    A byte-level pre-tokenizer never joins a character with white space after it, so a text may be cut before every run of blanks and line ends, and pieces
+    that start with one may be encoded as one long text in any order. Texts with other white space, or characters that some regular expressions take for
+    it, are encoded whole. Pieces are kept in two generations of ``most``.
     """
 
-    _PIECE = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
     _OTHER = re.compile(r"[^\S \t\r\n]|[\u180e\u200b\ufeff]")
+    _BLANKS = " \t\r\n"
 
     def __init__(self, definition: bytes, most: int = 400_000):
         from tokenizers import Tokenizer
@@ -311,50 +332,83 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_buffer(definition)
         # What looks like a special token inside a text is text.
         self.tokenizer.encode_special_tokens = True
+        # A character of a token stands for one byte.
+        self.bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())])
         self.most, self.new, self.old = most, {}, {}
 
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.new) + len(pieces) > self.most:
-            self.old, self.new = self.new, {}
-        for p in pieces & self.old.keys():
-            self.new[p] = self.old[p]
-        unknown = list(pieces - self.new.keys())
-        for p, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
-            self.new[p] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of every text as little-endian unsigned 32-bit integers."""
-        cut = [[t] if self._OTHER.search(t) else self._PIECE.findall(t) for t in texts]
-        missing = set().union(*cut) - self.new.keys()
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[bytes]) -> set[bytes]:
+        """Encode new pieces: all that start with a blank and end otherwise as one text, cut again by the bytes that tokens stand for. Returns the pieces that cannot stand alone."""
+        named = [(p, p.decode("utf-8", "replace")) for p in pieces]
+        odd = {p for p, t in named if self._OTHER.search(t)}
+        joint = [(p, t) for p, t in named if p not in odd and t[0] in self._BLANKS and t[-1] not in self._BLANKS]
+        alone = [(p, t) for p, t in named if p not in odd and (t[0] not in self._BLANKS or t[-1] in self._BLANKS)]
+        if joint:
+            ids = np.frombuffer(self._ids(["".join([t for _, t in joint])])[0], "<u4")
+            reached, ends = np.append(0, np.cumsum(self.bytes[ids])), np.cumsum([len(p) for p, _ in joint])
+            at = np.searchsorted(reached, ends)
+            if reached[-1] == ends[-1] and (reached[at] == ends).all():
+                data, stops = ids.tobytes(), (4 * at).tolist()
+                self.new.update(zip((p for p, _ in joint), [data[a:z] for a, z in zip([0, *stops[:-1]], stops, strict=True)], strict=True))
+            else:
+                alone += joint
+        self.new.update(zip((p for p, _ in alone), self._ids([t for _, t in alone]), strict=True))
+        return odd
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of every text (UTF-8, no nulls)."""
+        texts = pa.concat_arrays([texts.cast(pa.large_binary())])
+        bounds = np.frombuffer(texts.buffers()[1], "<i8", len(texts) + 1, 8 * texts.offset)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[:bounds[-1]]
+        blank = np.isin(data, np.frombuffer(self._BLANKS.encode(), np.uint8))
+        first = blank.copy()
+        first[1:] &= ~blank[:-1]
+        first[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
+        first[:bounds[0]] = False
+        starts = np.flatnonzero(first)
+        offsets = np.append(starts, bounds[-1]).astype("<i8")
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        index, distinct = pieces.indices.to_numpy(), pieces.dictionary.to_pylist()
+
+        found, odd = list(map(self.new.get, distinct)), set()
+        missing = [p for p, ids in zip(distinct, found, strict=True) if ids is None]
         if missing:
-            self._learn(set().union(*cut) if len(self.new) + len(missing) > self.most else missing)
-        find = self.new.__getitem__
-        return [b"".join(map(find, pieces)) for pieces in cut]
-
-
-_ENCODERS: dict = {}
-
-
-def _encode(definition, end: int | None):
-    tail = b"" if end is None else np.array([end], "<u4").tobytes()
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        import os
-
+            if len(self.new) + len(missing) > self.most:
+                self.old, self.new, missing = self.new, {}, distinct
+            self.new.update((p, self.old[p]) for p in missing if p in self.old)
+            odd = self._learn([p for p in missing if p not in self.new])
+            found = [self.new.get(p, b"") for p in distinct]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), "<u4")
+        count = sizes[index]
+        ends = np.append(0, np.cumsum(count))
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[index] - ends[:-1], count) + np.arange(ends[-1])]
+        cuts = ends[np.searchsorted(starts, bounds)].tolist()
+        out = [ids[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]
+        if odd:
+            at = starts[np.isin(index, [i for i, p in enumerate(distinct) if p in odd])]
+            for i in np.unique(np.searchsorted(bounds, at, "right") - 1).tolist():
+                out[i] = np.frombuffer(self._ids([texts[i].as_py().decode("utf-8", "replace")])[0], "<u4")
+        return out
+
+
+_ENCODERS: dict[str, PieceEncoder] = {}
+
+
+def encoder(fs, root: str) -> PieceEncoder:
+    """The encoder of a folder's tokenizer; a worker keeps one for each definition."""
+    if root not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        key = hashlib.sha256(definition.value).digest()
+        with fs.open_input_stream(f"{root}/{TOKENIZER}") as f:
+            definition = f.read()
+        key = hashlib.sha256(definition).hexdigest()
         if key not in _ENCODERS:
-            _ENCODERS[key] = PieceEncoder(definition.value)
-        for b in batches:
-            lo, texts = 0, b.column("text")
-            sizes = np.cumsum(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False))
-            while lo < len(texts):
-                hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + (1 << 20), "right")))
-                ids = [x + tail for x in _ENCODERS[key].encode(texts[lo:hi].to_pylist())]
-                yield pa.RecordBatch.from_arrays([b.column("id")[lo:hi], pa.array(ids, pa.binary())], names=["id", "ids"])
-                lo = hi
-
-    return run
+            _ENCODERS.clear()
+            _ENCODERS[key] = PieceEncoder(definition)
+        _ENCODERS[root] = _ENCODERS[key]
+    return _ENCODERS[root]
 
 
 def register(spark: SparkSession) -> SparkSession:
@@ -365,17 +419,21 @@ def register(spark: SparkSession) -> SparkSession:
 def write_tokens(docs: DataFrame, path: str, definition: str, end: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every text without special tokens, append ``end``, and write the ids to a new folder in ascending order of the id.
 
-    ``definition`` is the path of a tokenizer's JSON file on the driver; it is sent to the workers once (some MB, whatever the input). A null text is empty. Tied ids are
-    ordered by a hash of the text, equal rows are written as often as they occur, null ids come last. Other columns are ignored; no rows give no files.
+    ``definition`` is the path of a tokenizer's JSON file on the driver; a copy is put into the folder, from which the writing tasks take it. A null text is empty.
+    Tied ids are ordered by a hash of the text, equal rows are written as often as they occur, null ids come last. Other columns are ignored; no rows give no files.
 
     Texts are shuffled once, by ranges of the id, and sorted inside each range; a range is encoded and written by one task, file after file.
     """
-    with open(definition, "rb") as f:
-        data = docs.sparkSession.sparkContext.broadcast(f.read())
     register(docs.sparkSession)
-    rows = tagged(docs, id_col, text_col).repartitionByRange("id", "rid").sortWithinPartitions("id", "rid").select("id", "text")
-    out = rows.mapInArrow(_encode(data, end), "id long, ids binary").select(untag("id").alias("doc_id"), "ids")
-    out.write.format("pfor").mode("append").option("path", path).save()
+    fs, root = place(path)
+    fs.create_dir(root, recursive=True)
+    if fs.get_file_info(f"{root}/{MANIFEST}").type != pyarrow.fs.FileType.NotFound:
+        raise FileExistsError(f"{root} holds token files already")
+    with open(definition, "rb") as f, fs.open_output_stream(f"{root}/{TOKENIZER}", compression=None) as out:
+        out.write(f.read())
+    rows = tagged(docs, id_col, text_col).repartitionByRange("id", "rid").sortWithinPartitions("id", "rid").select(untag("id").alias("doc_id"), "text")
+    writer = rows.write.format("pfor").mode("append").option("path", path)
+    (writer if end is None else writer.option("end", str(end))).save()
 
 
 def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
