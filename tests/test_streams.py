@@ -4,6 +4,7 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import joins as jn
@@ -238,3 +239,110 @@ def test_plain_text_vectors_are_numbered_across_splits(spark, tmp_path):
     assert [r.label for r in sorted((r for r in got if r.file == "w.gz"), key=lambda r: r.t)] == labels
     plain = sorted((r.t, r.label) for r in got if r.file == "v.txt")
     assert plain == sorted([*enumerate(labels), (0, 1), (1, 0)])
+
+
+def disordered(spark, tmp_path, files=6, disorder=600):
+    """Events whose files are out of order by up to ``disorder`` minutes."""
+    rng = np.random.default_rng(21)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, start + dt.timedelta(minutes=int(m)), int(rng.integers(3)), "ab"[i % 2], float(rng.normal(100, 10))) for i, m in enumerate(np.sort(rng.integers(0, 9000, 500)))]
+    late = [(r[1] - start).total_seconds() / 60 + rng.integers(0, disorder) for r in rows]
+    place = np.argsort(np.argsort(late)) * files // len(rows)
+    for k in range(files):
+        part = [rows[i] for i in rng.permutation(len(rows)) if place[i] == k]
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.parquet(str(tmp_path / f"{k}"))
+    return rows, st.event_stream(spark, str(tmp_path / "*"), spark.createDataFrame(rows[:1], SCHEMA).schema)
+
+
+def test_event_time_scores_do_not_depend_on_the_file(spark, tmp_path):
+    st.use_state_store(spark)
+    rows, stream = disordered(spark, tmp_path)
+    got = {r.event_id: (r.z, r.local_z) for r in st.drain(st.running_scores(stream, width=5, late="800 minutes", held=20), "o").collect()}
+    last = max(r[1] for r in rows) - dt.timedelta(minutes=800)
+    released = [r for r in rows if r[1].timestamp() // 600 * 600 + 600 <= last.timestamp()]
+    assert set(got) == {r[0] for r in released} and len(got) > 400
+    seen = {}
+    for r in sorted(rows, key=lambda r: (r[1], r[0])):
+        past = seen.setdefault(r[2], [])
+        if r[0] in got:
+            near = past[-5:]
+            want = [(r[4] - np.mean(p)) / np.std(p) if len(p) > 1 else 0.0 for p in (past, near)]
+            assert np.allclose(got[r[0]], want, atol=1e-6)
+        past.append(r[4])
+
+
+def test_silent_keys_leave_the_state(spark, tmp_path):
+    st.use_state_store(spark)
+    start = dt.datetime(2024, 1, 1)
+    days = [(0, 1), (0.01, 1), (0.02, 1), (5, 2), (9, 1), (9.01, 1), (30, 2), (60, 2)]
+    rows = [(i, start + dt.timedelta(days=d), k, "a", float(i * i)) for i, (d, k) in enumerate(days)]
+    for k, r in enumerate(rows):
+        spark.createDataFrame([r], SCHEMA).coalesce(1).write.parquet(str(tmp_path / f"{k}"))
+    stream = st.event_stream(spark, str(tmp_path / "*"), spark.createDataFrame(rows[:1], SCHEMA).schema)
+    got = {r.event_id: r.z for r in st.drain(st.running_scores(stream, late="1 hour", forget=2 * 86_400), "f").collect()}
+    assert got[2] == pytest.approx((4 - 0.5) / 0.5) and got[4] == 0.0 and got[5] == 0.0  # the key starts anew after days of silence
+    kept = {r.event_id: r.z for r in st.drain(st.running_scores(stream, late="1 hour"), "f").collect()}
+    assert kept[4] == pytest.approx((16 - np.mean([0, 1, 4])) / np.std([0, 1, 4]))
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_frozen_models_score_a_stream_like_a_batch(spark, tmp_path, files):
+    from tidemark.operators.detect import density
+    from tidemark.operators.detect.vectors import as_vectors
+    from tidemark.plans.chunks import over_windows
+
+    st.use_state_store(spark)
+    batch, folder = events(spark, tmp_path, files)
+    order = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id")) - 1
+    t = batch.select(F.col("event_type").alias("series_id"), order.alias("t"), "event_id", "value").cache()
+    train = t.filter(F.col("series_id") == "a")
+    stream = st.event_stream(spark, folder, batch.schema)
+    ends = {(r.series_id, r.t): r.event_id for r in t.collect()}
+
+    centres = cluster.kmeans_fit(train, ["value"], 3, 6)
+    m = centres.first()
+    models = st.centre_models(centres.withColumnRenamed("series_id", "event_type"), "event_type", 7)
+    older = models.withColumn("version", F.lit(3).cast("long")).withColumn("model", F.lit('{"k": 1, "centres": [0, 0, 0, 0, 0, 0]}'))
+    got = {r.event_id: (r.score, r.version) for r in st.drain(st.score_windows(stream, models.unionByName(older), "centres", 6, held=30), "c").collect()}
+    scored = over_windows(t, ["value"], 6, lambda w, t, _: {"score": cluster._nearest(cluster.window_rows(w), np.asarray(m["centres"]).reshape(int(m["k"]), -1))[1]}, "score double")
+    want = {ends[r.series_id, r.t + 5]: (r.series_id, r.score) for r in scored.collect()}
+    assert set(got) == set(want)
+    for i, (k, s) in want.items():
+        assert (got[i] == (pytest.approx(s), 7)) if k == "a" else got[i] == (None, None)
+
+    vectors = as_vectors(t, ["value"], 4, normalise=False)
+    model = density.hbos_fit(as_vectors(t.filter("t < 100"), ["value"], 4, normalise=False), 7)
+    want = {ends[r.series_id, r.t + 3]: r.score for r in density.hbos_score(vectors, model).collect()}
+    models = st.histogram_models(model.withColumnRenamed("series_id", "event_type"), "event_type")
+    got = {r.event_id: r.score for r in st.drain(st.score_windows(stream, models, "histograms", 4, normalise=False), "h").collect()}
+    assert set(got) == set(want) and all(got[i] == pytest.approx(want[i]) for i in want)
+
+
+def test_interval_joins_copy_a_logarithm_of_the_length(spark):
+    rng = np.random.default_rng(31)
+
+    def intervals(n, s, e):
+        start = rng.integers(-10**9, 10**9, n)
+        length = np.minimum(10 ** rng.uniform(0, 9.3, n), 10**9).astype(int)
+        rows = [("a" if i % 5 else "b", int(p), int(p + k)) for i, (p, k) in enumerate(zip(start, length, strict=True))]
+        return rows + [("a", 5, 5), ("a", 6, 4), ("a", None, 3), (None, 1, 9), ("a", -8, 7), ("a", -8, 7), ("b", 0, 10**9), ("b", 0, 2**20 - 1)]
+
+    left, right = intervals(150, "s", "e"), intervals(120, "s", "e")
+    schema = "series_id string, s long, e long"
+    a, b = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
+    got = sorted(tuple(r) for r in jn.interval_overlap(a, b).select("series_id", "s", "e", "s2", "e2").collect())
+    whole = lambda r: None not in r and r[1] <= r[2]
+    want = sorted((*x, *y[1:]) for x in left for y in right if whole(x) and whole(y) and x[0] == y[0] and x[1] <= y[2] and y[1] <= x[2])
+    assert got == want
+    copies = a.filter("s <= e").select((F.col("e") - F.col("s") + 1).alias("n"), jn._dyadic("s", "e").alias("x"))
+    assert all(len(r.x) <= 2 * max(r.n.bit_length() - 1, 1) and sum(2**x.level for x in r.x) == r.n for r in copies.collect())
+    counts = {(r.series_id, r.s, r.e): r.hits for r in jn.overlap_count(a, b).collect()}
+    assert all(counts[x] == sum(1 for y in right if whole(y) and y[0] == x[0] and x[1] <= y[2] and y[1] <= x[2]) for x in left if whole(x))
+
+
+def test_events_are_clipped_to_fractional_zones(spark):
+    events = spark.createDataFrame([("a", 0, 4), ("a", 7, 9), ("a", 3, 3), ("a", -5, 10**9)], "series_id string, s long, e long")
+    zones = spark.createDataFrame([("a", i, lo, hi) for i, (lo, hi) in enumerate([(-2.5, 0.0), (0.0, 3.5), (3.5, 7.25), (7.25, 5e8)])], "series_id string, zone int, z0 double, z1 double")
+    got = sorted((r.s, r.zone, r.lo, r.hi) for r in jn.clip_to_zones(events, zones).collect())
+    want = sorted((s, z, float(max(s, lo)), float(min(e, hi))) for s, e in [(0, 4), (7, 9), (-5, 10**9)] for z, (lo, hi) in enumerate([(-2.5, 0.0), (0.0, 3.5), (3.5, 7.25), (7.25, 5e8)]) if max(s, lo) < min(e, hi))
+    assert got == want

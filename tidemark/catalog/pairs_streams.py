@@ -81,6 +81,20 @@ def _stream(spark, d):
     return st.event_stream(spark, d, schema, "events.parquet")
 
 
+def _numbered(spark, d):
+    """Events of a type as a series."""
+    from ..plans.ordered import index_rows
+    e = fx.table(spark, d, "events").select(F.col("event_type").alias("series_id"), "event_id", "ts", "value")
+    return index_rows(e, ["series_id"], ["ts", "event_id"], fx.seconds(), 86_400 * 7)
+
+
+def _files(spark, folder: str) -> int:
+    """Files of the fullest folder below, so that a micro-batch takes about one folder."""
+    from pyspark.sql.functions import input_file_name
+    names = spark.read.parquet(f"{folder}/*").select(F.regexp_extract(input_file_name(), "(.*)/[^/]*$", 1).alias("f"), input_file_name().alias("n")).distinct()
+    return names.groupBy("f").count().agg(F.max("count")).first()[0] or 1
+
+
 def _epoch(c):
     return F.unix_timestamp(c).cast("long").alias(c)
 
@@ -124,6 +138,52 @@ def _(spark, d):
     return rounded(st.drain(st.running_scores(_stream(spark, d)), "running"), 5)
 
 
+@query("str4_event_order", sql("", """SELECT CAST(user_id AS VARCHAR) AS key, event_id, round(CASE WHEN sd > 0 THEN (value - mu) / sd ELSE 0 END, 5) + 0.0 AS z, round(CASE WHEN lsd > 0
+    THEN (value - lmu) / lsd ELSE 0 END, 5) + 0.0 AS local_z FROM (SELECT *, avg(value) OVER p AS mu, stddev_pop(value) OVER p AS sd, avg(value) OVER q AS lmu, stddev_pop(value) OVER q AS lsd
+    FROM events WINDOW p AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), q AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 20
+    PRECEDING AND 1 PRECEDING)) WHERE (epoch_us(ts) // 600000000 + 1) * 600000 <= (SELECT epoch_ms(max(ts)) FROM events) - 172800000"""))
+def _(spark, d):
+    """Events that reach the stream out of order by up to a day, in four files, scored in order once a watermark of two days has passed them."""
+    st.use_state_store(spark)
+    folder, e = _folder(spark, "late"), fx.table(spark, d, "events")
+    arrival = fx.seconds() + F.pmod(F.xxhash64("event_id"), F.lit(86_400))
+    cuts = e.agg(F.percentile_approx(arrival, [0.25, 0.5, 0.75]).alias("q")).first().q or [0, 0, 0]
+    file = sum(((arrival > c).cast("int") for c in cuts), F.lit(0))
+    for k in range(4):
+        e.filter(file == k).write.parquet(f"{folder}/{k}")
+    stream = st.event_stream(spark, f"{folder}/*", e.schema, per_batch=_files(spark, folder))
+    return rounded(st.drain(st.running_scores(stream, late="2 days"), "ordered"), 5)
+
+
+HW = """r AS (SELECT event_type AS key, event_id, value AS x2, lag(value) OVER w AS x1, lag(value, 2) OVER w AS x0 FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+    l AS (SELECT key, event_id, c, [x0, x1, x2][c + 1] AS x FROM r, range(0, 3) AS t(c) WHERE x0 IS NOT NULL), m AS (SELECT key, c, min(x) AS lo, max(x) AS hi, count(*) AS n FROM l GROUP BY 1, 2),
+    g AS (SELECT key, c, i, n, CASE WHEN i = 0 THEN lo ELSE lo + i * ((hi - lo) / 10) END AS e0, CASE WHEN i = 9 THEN hi ELSE lo + (i + 1) * ((hi - lo) / 10) END AS e1, lo, hi FROM m, range(0, 10) AS t(i)),
+    h AS (SELECT g.key, g.c, i, any_value(e0) AS e0, any_value(e1) AS e1, any_value(lo) AS lo, log2(count(x) / (any_value(n) * ((any_value(hi) - any_value(lo)) / 10)) + 0.1) AS v FROM g LEFT JOIN l
+    ON l.key = g.key AND l.c = g.c AND ((x >= e0 AND x < e1) OR (i = 9 AND x = hi)) GROUP BY 1, 2, 3)"""
+
+
+@query("str3_histogram_windows", sql("", """SELECT l.key, event_id, round(-sum(v), 4) + 0.0 AS score FROM l JOIN h ON l.key = h.key AND l.c = h.c AND ((x > e0 AND x <= e1) OR (i = 0 AND x = lo)) GROUP BY
+    1, 2""", HW))
+def _(spark, d):
+    """Windows of three events of a type, scored on a stream by the histograms of the whole table."""
+    from ..operators.detect import density
+    from ..operators.detect.vectors import as_vectors
+    st.use_state_store(spark)
+    model = density.hbos_fit(as_vectors(_numbered(spark, d), ["value"], 3, normalise=False))
+    models = st.histogram_models(model.withColumnRenamed("series_id", "event_type"), "event_type")
+    return rounded(st.drain(st.score_windows(_stream(spark, d), models, "histograms", 3, normalise=False), "histograms").select("key", "event_id", "score"), 4)
+
+
+@query("str3_centre_windows")
+def _(spark, d):
+    """Windows of ten events of a type, scored on a stream by centres fitted on the whole table."""
+    from ..operators.detect import cluster
+    st.use_state_store(spark)
+    model = cluster.kmeans_fit(_numbered(spark, d), ["value"], 5, 10)
+    models = st.centre_models(model.withColumnRenamed("series_id", "event_type"), "event_type")
+    return rounded(st.drain(st.score_windows(_stream(spark, d), models, "centres", 10), "centres"), 6)
+
+
 @query("str5_append_after_watermark", sql("", """SELECT event_type, s AS start, n FROM (SELECT event_type, CAST(epoch(time_bucket(INTERVAL 1 DAY, ts)) AS BIGINT) AS s, count(*) AS n FROM events GROUP BY 1, 2)
     WHERE s + 86400 <= (SELECT epoch(max(ts)) - 3600 FROM events)"""))
 def _(spark, d):

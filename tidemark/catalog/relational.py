@@ -389,7 +389,7 @@ def _(spark, d):
 @query("jn7_interval", sql("ts_hour_labelled", """SELECT series_id, s, e, (SELECT count(*) FROM pr WHERE
     pr.series_id = lr.series_id AND pr.s <= lr.e AND lr.s <= pr.e) AS hits FROM lr""", JN_RUNS))
 def _(spark, d):
-    return jn.overlap_count(*_both_runs(spark, d), bucket=16)
+    return jn.overlap_count(*_both_runs(spark, d))
 
 
 @query("jn8_clip_to_zones", sql("ts_hour_labelled", """SELECT z.series_id, z.zone, greatest(p.s, z.z0) AS lo,
@@ -400,7 +400,7 @@ def _(spark, d):
     from ..operators.events import zones
     lab, pred = _both_runs(spark, d)
     z = zones(lab.withColumn("e", F.col("e") + 1), F.lit(0), F.lit(720))
-    return jn.clip_to_zones(pred.withColumn("e", F.col("e") + 1), z, bucket=32).select(
+    return jn.clip_to_zones(pred.withColumn("e", F.col("e") + 1), z).select(
         "series_id", F.col("zone"), "lo", "hi")
 
 

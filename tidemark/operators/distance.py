@@ -5,7 +5,7 @@ Input is a table of pairs with array columns; plain formulas are Column expressi
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -173,19 +173,92 @@ def linear_segments(bound: float = 1.0):
     return run
 
 
+def _wavefront(rows: int, n: int, border: Callable, step: Callable, limit: np.ndarray | None = None) -> np.ndarray:
+    """Last cell of a dynamic program over an (n, n) grid, for many grids at once, in the memory of three anti-diagonals.
+
+    ``border(k)`` is the value of the cells (0, k) and (k, 0). ``step(i, j, up, left, corner)`` gives the cells with row slice ``i`` and column slice ``j`` (which runs backwards) from
+    their neighbours. A grid whose last two diagonals both exceed its limit throughout ends early with infinity: costs only grow along a path.
+    """
+    out, live = np.full(rows, np.inf), np.arange(rows)
+    before, last = np.full((rows, n), np.inf), np.full((rows, n), np.inf)
+    last[:, 0] = 0.0
+    for k in range(1, 2 * n - 1):
+        now = np.full((len(live), n), np.inf)
+        if k < n:
+            now[:, 0] = now[:, k] = border(k)
+        lo, hi = max(1, k - n + 1), min(k - 1, n - 1)
+        if lo <= hi:
+            back = slice(k - lo, k - hi - 1, -1)
+            now[:, lo:hi + 1] = step(live, slice(lo, hi + 1), back, last[:, lo - 1:hi], last[:, lo:hi + 1], before[:, lo - 1:hi])
+        before, last = last, now
+        if limit is not None:
+            open_ = np.minimum(before.min(1), last.min(1)) <= limit[live]
+            if not open_.all():
+                live, before, last = live[open_], before[open_], last[open_]
+            if not len(live):
+                break
+    out[live] = last[:, n - 1]
+    return out
+
+
+CELLS = 1 << 20
+
+
+def _by_rows(a: np.ndarray, run: Callable) -> np.ndarray:
+    """``run(slice)`` over pieces of the batch, so that a diagonal of all its grids stays small."""
+    size = max(1, CELLS // max(a.shape[1], 1))
+    return np.concatenate([run(slice(i, i + size)) for i in range(0, len(a), size)])
+
+
+def _warped(a: np.ndarray, b: np.ndarray, power: int, limit: np.ndarray | None = None) -> np.ndarray:
+    # Row and column 0 stand before the sequences.
+    step = lambda g, i, j, up, left, corner: np.abs(a[g, i.start - 1:i.stop - 1] - b[g][:, _shifted(j)]) ** power + np.minimum(np.minimum(up, left), corner)
+    return _wavefront(len(a), a.shape[1] + 1, lambda k: np.inf, step, limit)
+
+
+def _shifted(j: slice) -> slice:
+    """A backward slice one place to the left."""
+    return slice(j.start - 1, j.stop - 1 if j.stop else None, -1)
+
+
 def warping(power: int = 1):
     """Pandas UDF (x, y): dynamic time warping cost over the length."""
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=float)
         a, b = _stack(x, y)
-        n = a.shape[1]
-        d = np.full((len(a), n + 1, n + 1), np.inf)
-        d[:, 0, 0] = 0
-        for i in range(1, n + 1):
-            for j in range(1, n + 1):
-                cost = np.abs(a[:, i - 1] - b[:, j - 1]) ** power
-                d[:, i, j] = cost + np.minimum(np.minimum(d[:, i - 1, j], d[:, i, j - 1]), d[:, i - 1, j - 1])
-        return pd.Series(d[:, n, n] / n)
+        return pd.Series(_by_rows(a, lambda s: _warped(a[s], b[s], power)) / a.shape[1])
+
+    return run
+
+
+def warping_bound(a: np.ndarray, b: np.ndarray, power: int = 1) -> np.ndarray:
+    """At most the warping cost, in linear time: every value outside the range of the other sequence is matched to something inside it."""
+    def outside(x, y):
+        lo, hi = y.min(1, keepdims=True), y.max(1, keepdims=True)
+        return (np.maximum(np.maximum(lo - x, x - hi), 0) ** power).sum(1)
+
+    return np.maximum(outside(a, b), outside(b, a))
+
+
+def warping_within(power: int = 1):
+    """Pandas UDF (x, y, limit): the warping cost over the length where it is at most ``limit``, else NULL.
+
+    Pairs whose lower bound exceeds the limit are not compared, others are given up as soon as every path exceeds it.
+    """
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series, limit: pd.Series) -> pd.Series:
+        out = np.full(len(x), np.nan)
+        if len(x):
+            a, b = _stack(x, y)
+            most = limit.to_numpy(dtype=float) * a.shape[1] * (1 + 1e-12)
+            near = np.flatnonzero(warping_bound(a, b, power) <= most)
+            if len(near):
+                a, b, bound = a[near], b[near], most[near]
+                cost = _by_rows(a, lambda s: _warped(a[s], b[s], power, bound[s]))
+                out[near] = np.where(cost <= bound, cost / a.shape[1], np.nan)
+        return pd.Series(out).astype("Float64").mask(np.isnan(out))
 
     return run
 
@@ -194,17 +267,16 @@ def edit(epsilon: float = 0.1):
     """Pandas UDF (x, y): edit distance on real sequences over the length; values closer than epsilon match."""
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=float)
         a, b = _stack(x, y)
-        n = a.shape[1]
-        d = np.zeros((len(a), n, n))
-        d[:, :, 0] = np.arange(n)
-        d[:, 0, :] = np.arange(n)
-        for i in range(1, n):
-            for j in range(1, n):
-                match = np.abs(a[:, i] - b[:, j]) < epsilon
-                other = 1 + np.minimum(np.minimum(d[:, i - 1, j], d[:, i, j - 1]), d[:, i - 1, j - 1])
-                d[:, i, j] = np.where(match, d[:, i - 1, j - 1], other)
-        return pd.Series(d[:, n - 1, n - 1] / n)
+
+        def part(s):
+            a_, b_ = a[s], b[s]
+            step = lambda g, i, j, up, left, corner: np.where(np.abs(a_[:, i] - b_[:, j]) < epsilon, corner, 1 + np.minimum(np.minimum(up, left), corner))
+            return _wavefront(len(a_), a.shape[1], lambda k: k, step)
+
+        return pd.Series(_by_rows(a, part) / a.shape[1])
 
     return run
 
@@ -213,17 +285,21 @@ def time_warp_edit(gamma: float = 0.1, nu: float = 0.1):
     """Pandas UDF (x, y): time warp edit distance (Marteau, 2009) on unit time stamps."""
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        a, b = _stack(x, y)
-        a, b = np.pad(a, ((0, 0), (1, 0))), np.pad(b, ((0, 0), (1, 0)))
-        n = a.shape[1]
-        d = np.full((len(a), n, n), np.inf)
-        d[:, 0, 0] = 0
-        for i in range(1, n):
-            for j in range(1, n):
-                drop_a = d[:, i - 1, j] + np.abs(a[:, i - 1] - a[:, i]) + nu + gamma
-                drop_b = d[:, i, j - 1] + np.abs(b[:, j - 1] - b[:, j]) + nu + gamma
-                keep = d[:, i - 1, j - 1] + np.abs(a[:, i] - b[:, j]) + np.abs(a[:, i - 1] - b[:, j - 1]) + 2 * nu * abs(i - j)
-                d[:, i, j] = np.minimum(np.minimum(drop_a, drop_b), keep)
-        return pd.Series(d[:, n - 1, n - 1])
+        if not len(x):
+            return pd.Series([], dtype=float)
+        a, b = (np.pad(v, ((0, 0), (1, 0))) for v in _stack(x, y))
+
+        def part(s):
+            a_, b_ = a[s], b[s]
+            drop_a, drop_b = (np.abs(np.diff(v, axis=1, prepend=0.0)) + nu + gamma for v in (a_, b_))
+
+            def step(g, i, j, up, left, corner):
+                lag = 2 * nu * np.abs(np.arange(i.start, i.stop) - np.arange(j.start, j.stop, -1))
+                keep = corner + np.abs(a_[:, i] - b_[:, j]) + np.abs(a_[:, i.start - 1:i.stop - 1] - b_[:, _shifted(j)]) + lag
+                return np.minimum(np.minimum(up + drop_a[:, i], left + drop_b[:, j]), keep)
+
+            return _wavefront(len(a_), a.shape[1], lambda k: np.inf, step)
+
+        return pd.Series(_by_rows(a, part))
 
     return run

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.attach import attach
@@ -33,40 +33,60 @@ def not_done(inputs: DataFrame, results: DataFrame, on: Sequence[str]) -> DataFr
     return inputs.join(results.select(*on).distinct(), list(on), "left_anti")
 
 
-def interval_overlap(
-    left: DataFrame, right: DataFrame, keys: Sequence[str] = ("series_id",), bucket: int = 1024
-) -> DataFrame:
-    """Pairs of inclusive intervals (s, e) x (s2, e2) that intersect.
+def _dyadic(s: str, e: str) -> Column:
+    """The segment-tree nodes that make up the inclusive interval of whole numbers (s, e): at most two for each level, none if it is empty."""
+    start = F.struct(F.col(s).cast("long").alias("l"), (F.col(e) + 1).cast("long").alias("r"), F.array().cast("array<struct<level:int,node:bigint>>").alias("nodes"))
+    node = lambda k, x: F.array(F.struct(k.cast("int").alias("level"), x.cast("long").alias("node")))
+    none = F.array().cast("array<struct<level:int,node:bigint>>")
+
+    def step(acc, k):
+        l, r = acc["l"], acc["r"]
+        left, right = (l < r) & (l.bitwiseAND(1) == 1), (l < r) & (r.bitwiseAND(1) == 1)
+        nodes = F.concat(acc["nodes"], F.when(left, node(k, l)).otherwise(none), F.when(right & ~(left & (l == r - 1)), node(k, r - 1)).otherwise(none))
+        up, down = l + F.when(left, 1).otherwise(0), r - F.when(right, 1).otherwise(0)
+        return F.struct(F.shiftright(up, 1).alias("l"), F.shiftright(down, 1).alias("r"), nodes.alias("nodes"))
+
+    levels = F.sequence(F.lit(0), F.floor(F.log2(F.greatest(F.col(e) - F.col(s) + 1, F.lit(1)))).cast("int") + 1)
+    return F.aggregate(levels, start, step, lambda acc: acc["nodes"])
 
-    Each interval is listed in the time buckets it touches and the join is an equi-join on the bucket; a pair
-    is reported only in the bucket where its overlap begins, so that it appears once.
-    """
-    def cover(df, s, e):
-        return df.withColumn("_b", F.explode(F.sequence(F.floor(F.col(s) / bucket), F.floor(F.col(e) / bucket))))
 
-    a, b = cover(left, "s", "e"), cover(right.withColumnsRenamed({"s": "s2", "e": "e2"}), "s2", "e2")
-    both = a.join(b, [*keys, "_b"]).filter("s <= e2 AND s2 <= e")
-    begins = F.floor(F.greatest("s", "s2") / bucket)
-    return both.filter(begins == F.col("_b")).drop("_b")
+def _starts_inside(intervals: DataFrame, points: DataFrame, s: str, e: str, point: str, keys: Sequence[str]) -> DataFrame:
+    """Pairs of an interval and a row whose ``point`` lies in it, each once."""
+    top = intervals.agg(F.max(F.col(e) - F.col(s) + 1)).first()[0]
+    top = max(int(top or 1), 1).bit_length()
+    cover = intervals.withColumn("_node", F.explode(_dyadic(s, e)))
+    at = F.expr(f"transform(sequence(0, {top}), k -> struct(k AS level, shiftright(CAST({point} AS BIGINT), k) AS node))")
+    return cover.join(points.withColumn("_node", F.explode(at)), [*keys, "_node"]).drop("_node")
 
 
-def overlap_count(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("series_id",), bucket: int = 1024):
+def interval_overlap(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("series_id",)) -> DataFrame:
+    """Pairs of inclusive intervals of whole numbers (s, e) x (s2, e2) that intersect.
+
+    Of two intervals that meet, the one that starts later starts inside the other. An interval is cut into segment-tree nodes, a start is listed once for each
+    level, and the join is an equi-join on the node: copies grow with the logarithm of a length, every pair is found once, and only pairs that meet
+    are formed. Empty intervals and rows with a null bound or key meet nothing.
+    """
+    a = left.filter("s <= e")
+    b = right.withColumnsRenamed({"s": "s2", "e": "e2"}).filter("s2 <= e2")
+    later = _starts_inside(a, b, "s", "e", "s2", keys)
+    inner = b.withColumn("_s", F.col("s2") + 1)
+    earlier = _starts_inside(inner, a, "_s", "e2", "s", keys).drop("_s")
+    return later.unionByName(earlier)
+
+
+def overlap_count(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("series_id",)):
     """Number of right intervals that intersect each left interval (0 included)."""
-    hit = interval_overlap(left, right, keys, bucket).groupBy(*keys, "s", "e").agg(F.count(F.lit(1)).alias("hits"))
+    hit = interval_overlap(left.select(*keys, "s", "e").distinct(), right, keys).groupBy(*keys, "s", "e").agg(F.count(F.lit(1)).alias("hits"))
     return left.join(hit, [*keys, "s", "e"], "left").fillna(0, ["hits"])
 
 
-def clip_to_zones(events: DataFrame, zones: DataFrame, keys: Sequence[str] = ("series_id",), bucket: int = 1024):
-    """Half-open events (s, e) cut by zones (zone, z0, z1): one row per non-empty piece (lo, hi)."""
-    a = events.withColumn(
-        "_b", F.explode(F.sequence(F.floor(F.col("s") / bucket), F.floor((F.col("e") - 1) / bucket)))
-    )
-    z = zones.drop("s", "e").withColumn(
-        "_b", F.explode(F.sequence(F.floor(F.col("z0") / bucket), F.floor(F.col("z1") / bucket)))
-    )
+def clip_to_zones(events: DataFrame, zones: DataFrame, keys: Sequence[str] = ("series_id",)):
+    """Half-open events (s, e) cut by zones (zone, z0, z1): one row per non-empty piece (lo, hi). Bounds need not be whole; they meet as the whole cells they touch."""
+    a = events.withColumnsRenamed({"s": "_es", "e": "_ee"}).withColumn("s", F.floor("_es").cast("long")).withColumn("e", F.ceil("_ee").cast("long") - 1)
+    z = zones.drop("s", "e").withColumn("s", F.floor("z0").cast("long")).withColumn("e", F.ceil("z1").cast("long") - 1)
+    both = interval_overlap(a, z, keys).drop("s", "e", "s2", "e2").withColumnsRenamed({"_es": "s", "_ee": "e"})
     lo, hi = F.greatest("s", "z0"), F.least("e", "z1")
-    both = a.join(z, [*keys, "_b"]).withColumn("lo", lo.cast("double")).withColumn("hi", hi.cast("double"))
-    return both.filter((F.col("lo") < F.col("hi")) & (F.floor(F.col("lo") / bucket) == F.col("_b"))).drop("_b")
+    return both.withColumn("lo", lo.cast("double")).withColumn("hi", hi.cast("double")).filter("lo < hi")
 
 
 def nearest_row(query: DataFrame, base: DataFrame, vector: str = "x", id: str = "dataset") -> DataFrame:

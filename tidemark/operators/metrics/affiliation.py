@@ -25,8 +25,7 @@ def _zones_of(trace: DataFrame, keys, size) -> DataFrame:
 
 
 def by_event(
-    runs: DataFrame, zone_table: DataFrame, keys: Sequence[str] = KEYS, level: Sequence[str] = ("k",), bucket: int = 1024,
-    size=None,
+    runs: DataFrame, zone_table: DataFrame, keys: Sequence[str] = KEYS, level: Sequence[str] = ("k",), size=None,
 ) -> DataFrame:
     """Per level and event that has a prediction in its zone: precision, recall and their distance forms.
 
@@ -35,7 +34,7 @@ def by_event(
     z = zone_table.select(*keys, "zone", "z0", "z1", F.col("s").alias("gs"), F.col("e").alias("ge"))
     events = runs.select(*keys, *level, "s", (F.col("e") + 1).alias("e"))
     at = [*keys, *level, "zone"]
-    pieces = clip_to_zones(events, z, keys, bucket)
+    pieces = clip_to_zones(events, z, keys)
     pieces = carry(pieces, at, "lo", {"_ph": ("hi", "prev", False), "_nl": ("lo", "next", False)}, size)
     lo, hi, gs, ge, z0, z1 = (F.col(c).cast("double") for c in ("lo", "hi", "gs", "ge", "z0", "z1"))
     v0 = F.coalesce((F.col("_ph") + lo) / 2, F.lit(float("-inf")))

@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import bisect
-import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from ..session import ensure_checkpoint_dir
+from .ordered import EVENT, centre_models, histogram_models, in_time_order, running_scores, score_windows  # noqa: F401
 
 
 def event_stream(spark: SparkSession, folder: str, schema: StructType, pattern: str = "*.parquet", per_batch: int = 1) -> DataFrame:
@@ -56,129 +52,6 @@ def score_frozen(events: DataFrame, thresholds: DataFrame, keys: Sequence[str],
     )
 
 
-HELD_ROWS = 1 << 17
-EVENT = np.dtype([("ts", "i8"), ("event_id", "i8"), ("nameless", "?"), ("value", "f8")])
-
-
-def _packed(pdf: pd.DataFrame) -> np.ndarray:
-    """Time, id and value of events; a null time or id comes after all others."""
-    out = np.empty(len(pdf), EVENT)
-    ts = pd.to_datetime(pdf["ts"])
-    out["ts"] = np.where(ts.isna(), np.iinfo(np.int64).max, ts.to_numpy().astype("datetime64[us]").astype(np.int64))
-    out["nameless"] = pdf["event_id"].isna()
-    out["event_id"] = pdf["event_id"].fillna(0).to_numpy().astype(np.int64)
-    out["value"] = pdf["value"].to_numpy(dtype=float)
-    return out
-
-
-def _ordered(events: np.ndarray) -> np.ndarray:
-    return events[np.lexsort((events["event_id"], events["nameless"], events["ts"]))]
-
-
-def _rank(event) -> tuple:
-    return event["ts"], event["nameless"], event["event_id"]
-
-
-def in_time_order(pieces: Iterator[np.ndarray], held: int = HELD_ROWS) -> Iterator[np.ndarray]:
-    """All events of ``pieces`` in the order of (ts, event_id), as blocks; about ``held`` events are in memory at a time.
-
-    More events than that are sorted in runs, kept in an unnamed local file and merged: every run shows its next events, and those up to
-    the smallest last one shown are next, because no run hides an earlier one.
-    """
-    with tempfile.TemporaryFile() as file:
-        runs, buffer, size = [], [], 0  # a run: [first event not yet read, end]
-        for piece in pieces:
-            buffer.append(piece)
-            size += len(piece)
-            if size >= held:
-                start = runs[-1][1] if runs else 0
-                file.write(_ordered(np.concatenate(buffer)).tobytes())
-                runs.append([start, start + size])
-                buffer, size = [], 0
-        rest = _ordered(np.concatenate(buffer)) if buffer else np.empty(0, EVENT)
-        if not runs:
-            yield rest
-            return
-
-        step = max(held // (len(runs) + 1), 1)
-        shown = [np.empty(0, EVENT) for _ in runs] + [rest]
-        while True:
-            for i, run in enumerate(runs):
-                if not len(shown[i]) and run[0] < run[1]:
-                    n = min(step, run[1] - run[0])
-                    file.seek(run[0] * EVENT.itemsize)
-                    shown[i] = np.frombuffer(file.read(n * EVENT.itemsize), EVENT)
-                    run[0] += n
-            hiding = [_rank(shown[i][-1]) for i, run in enumerate(runs) if run[0] < run[1]]
-            if not hiding:
-                yield _ordered(np.concatenate(shown))
-                return
-            last, ready = min(hiding), []
-            for i, events in enumerate(shown):
-                n = bisect.bisect_right(events, last, key=_rank)
-                ready.append(events[:n])
-                shown[i] = events[n:]
-            yield _ordered(np.concatenate(ready))
-
-
-class RunningScore(StatefulProcessor):
-    """z-score of every event against the earlier events of its key, and against its last ``width`` values.
-
-    State per key: count, mean, sum of squared deviations, and the last values. The events of a key in a micro-batch come in pieces (Arrow
-    batches) in any order; they are scored in the order of time over all pieces.
-    """
-
-    def __init__(self, width: int = 20, held: int = HELD_ROWS):
-        self.width, self.held = width, held
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.moments = handle.getValueState("moments", "n long, mean double, m2 double")
-        self.last = handle.getListState("last", "v double")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        n, mean, m2 = self.moments.get() if self.moments.exists() else (0, 0.0, 0.0)
-        recent = np.array([r[0] for r in self.last.get()] if self.last.exists() else [], float)
-        for events in in_time_order((_packed(pdf) for pdf in rows), self.held):
-            if not len(events):
-                continue
-            x = events["value"]
-            # Prefix sums about the mean so far keep the digits of values far from zero.
-            centre = mean if n else x[0]
-            d = x - centre
-            shift = n * (mean - centre)
-            k = n + np.arange(len(x) + 1)
-            s1 = shift + np.concatenate([[0.0], np.cumsum(d)])
-            s2 = m2 + shift * (mean - centre) + np.concatenate([[0.0], np.cumsum(d * d)])
-            safe = np.maximum(k, 1)
-            mu, var = s1 / safe, np.maximum(s2 / safe - (s1 / safe) ** 2, 0)
-            sd = np.sqrt(np.where(var > 1e-13 * np.maximum(s2 / safe, 1e-300), var, 0))
-            z = np.divide(d - mu[:-1], sd[:-1], out=np.zeros_like(x), where=sd[:-1] > 0)
-            line = np.concatenate([np.full(self.width - len(recent), np.nan), recent, x])
-            view = np.lib.stride_tricks.sliding_window_view(line, self.width)[: len(x)]
-            some = ~np.isnan(view).all(1)
-            local, at = np.zeros_like(x), np.flatnonzero(some)
-            spread, middle = np.nanstd(view[at], axis=1), np.nanmean(view[at], axis=1)
-            local[at] = np.divide(x[at] - middle, spread, out=np.zeros(len(at)), where=spread > 0)
-            n, mean, m2 = int(k[-1]), float(centre + mu[-1]), float(var[-1] * k[-1])
-            recent = np.concatenate([recent, x])[-self.width :]
-            ids = pd.array(events["event_id"], dtype="Int64")
-            ids[events["nameless"]] = pd.NA
-            yield pd.DataFrame({"key": str(key[0]), "event_id": ids, "z": z, "local_z": local})
-        self.moments.update((n, mean, m2))
-        self.last.put([(float(v),) for v in recent])
-
-    def close(self) -> None:
-        pass
-
-
-def running_scores(events: DataFrame, key: str = "user_id", width: int = 20, held: int = HELD_ROWS) -> DataFrame:
-    """(key, event_id, z, local_z).  The events that a micro-batch has of a key are taken in time order, about ``held`` of them in memory at a
-    time and the others in a local file; needs the RocksDB state store."""
-    return events.groupBy(key).transformWithStateInPandas(
-        RunningScore(width, held), "key string, event_id long, z double, local_z double", "append", "none"
-    )
-
-
 def use_state_store(spark: SparkSession) -> None:
     spark.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
