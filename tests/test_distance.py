@@ -1,10 +1,11 @@
-"""Dynamic programs over pairs of subsequences against the full tables."""
+"""Dynamic programs over pairs of subsequences against the full tables, and pair counts of windows."""
 
 import numpy as np
 import pandas as pd
 import pytest
 
 from tidemark.operators import distance as ds
+from tidemark.operators import profile as pf
 
 
 def dtw(a, b, power):
@@ -72,3 +73,36 @@ def test_far_pairs_are_given_up_early(spark):
     calls = []
     step = lambda g, i, j, up, left, corner: (calls.append(len(g)), np.abs(a[g, i.start - 1:i.stop - 1] - b[g][:, ds._shifted(j)]) + np.minimum(np.minimum(up, left), corner))[1]
     assert np.isinf(ds._wavefront(50, 401, lambda k: np.inf, step, np.full(50, 100.0))).all() and len(calls) < 30
+
+
+def entropy(x, m=2):
+    tol, counts = 0.2 * x.std(), []
+    for length in (m, m + 1):
+        c = np.lib.stride_tricks.sliding_window_view(x, length)
+        counts.append((np.abs(c[:, None, :] - c[None, :, :]).max(-1) <= tol).sum() - len(c))
+    return -np.log(counts[1] / counts[0]) if min(counts) > 0 else np.nan
+
+
+@pytest.mark.parametrize(("window", "stride"), [(20, 1), (20, 3), (7, 7), (3, 1), (2, 1), (60, 1)])
+def test_sample_entropy_of_overlapping_windows(window, stride):
+    rng = np.random.default_rng(window)
+    lines = [rng.normal(size=400).cumsum(), rng.integers(0, 4, 400).astype(float), np.ones(400), np.where(np.arange(400) == 200, np.nan, rng.normal(size=400)), np.r_[rng.normal(size=200), 1e3 * rng.normal(size=200)]]
+    for x in lines:
+        rows = np.lib.stride_tricks.sliding_window_view(x, window)[::stride]
+        want = [entropy(r) if window > 2 else np.nan for r in rows]
+        for block in (256, 7):
+            assert np.allclose(pf._sample_entropy(rows, block=block), want, equal_nan=True)
+    apart = rng.normal(size=(9, window))
+    assert np.allclose(pf._sample_entropy(apart), [entropy(r) if window > 2 else np.nan for r in apart], equal_nan=True)
+
+
+def test_sample_entropy_of_long_windows_is_quick():
+    import time
+
+    x = np.random.default_rng(5).normal(size=2500).cumsum()
+    rows = np.lib.stride_tricks.sliding_window_view(x, 1000)
+    start = time.process_time()
+    got = pf._sample_entropy(rows)
+    assert time.process_time() - start < 60  # 1,501 windows; one by one they take minutes
+    for i in (0, 700, 1500):
+        assert got[i] == pytest.approx(entropy(rows[i]))

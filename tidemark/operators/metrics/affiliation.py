@@ -62,7 +62,7 @@ def affiliation(
     runs = level_runs(trace, keys, size) if runs is None else runs
     z = _zones_of(trace, keys, size)
     events = z.groupBy(*keys).agg(F.count(F.lit(1)).alias("_events"))
-    e = by_event(runs, z, keys, ("k",), bucket, size)
+    e = by_event(runs, z, keys, ("k",), size)
     out = attach(
         e.groupBy(*keys, "k").agg(F.avg("precision").alias("precision"), F.sum("recall").alias("recall")), events, keys
     ).withColumn("recall", F.col("recall") / F.col("_events")).drop("_events")

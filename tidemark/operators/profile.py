@@ -138,18 +138,47 @@ def lag_autocorrelation(x: Column, lag: int = 1) -> Column:
     return let(var, lambda v: F.when(v > 1e-8, let(vmean(x), products) / ((n - lag) * v)))
 
 
-def _sample_entropy(w: np.ndarray, m: int = 2) -> np.ndarray:
-    """Sample entropy of each row of a (N, w) matrix."""
-    out = np.full(len(w), np.nan)
-    for i, x in enumerate(w):
-        tol = 0.2 * x.std()
-        counts = []
-        for length in (m, m + 1):
-            c = np.lib.stride_tricks.sliding_window_view(x, length)
-            gap = np.abs(c[:, None, :] - c[None, :, :]).max(-1)
-            counts.append((gap <= tol).sum() - len(c))
-        if counts[0] > 0 and counts[1] > 0:
-            out[i] = -np.log(counts[1] / counts[0])
+def _close_pairs(x: np.ndarray, starts: np.ndarray, window: int, tol: np.ndarray, length: int) -> np.ndarray:
+    """For each window of a line: pairs of its ``length``-row templates that differ nowhere by more than the window's tolerance.
+
+    A pair's gap does not depend on the window. Of all pairs with one lag, those within the least tolerance are counted in running sums, which a window moves along by
+    adding and dropping ends; only gaps between the least and the largest tolerance are compared window by window.
+    """
+    out = np.zeros(len(starts), np.int64)
+    if np.isnan(tol).all():
+        return out
+    least, most = np.nanmin(tol), np.nanmax(tol)
+    for lag in range(1, window - length + 1):
+        each = np.abs(x[lag:] - x[:-lag])
+        gap = each[:len(each) - length + 1]
+        for k in range(1, length):
+            gap = np.maximum(gap, each[k:len(each) - length + 1 + k])
+        stops = starts + window - length - lag + 1
+        sure = np.concatenate([[0], np.cumsum(gap <= least)])
+        out += sure[stops] - sure[starts]
+        open_ = np.flatnonzero((gap > least) & (gap <= most))
+        if len(open_):
+            out += ((gap[open_] <= tol[:, None]) & (open_ >= starts[:, None]) & (open_ < stops[:, None])).sum(1)
+    out[np.isnan(tol)] = 0
+    return out
+
+
+def _sample_entropy(w: np.ndarray, m: int = 2, block: int = 256) -> np.ndarray:
+    """Sample entropy of each row of a (N, w) matrix; rows that overlap like windows of one line are counted together."""
+    n, window = w.shape
+    tol, out = 0.2 * w.std(axis=1), np.full(n, np.nan)
+    if window <= m or not n:
+        return out
+    # The shift that turns one row into the next, if there is one.
+    follows = lambda s, k: np.array_equal(w[1:k, :-s], w[:k - 1, s:], equal_nan=True)
+    shift = next((s for s in range(1, min(window, 64)) if n > 1 and follows(s, 2) and follows(s, n)), window)
+    for lo in range(0, n, block if shift < window else 1):
+        rows = w[lo:lo + block] if shift < window else w[lo:lo + 1]
+        line = np.concatenate([rows[0], rows[1:, window - shift:].ravel()])
+        starts = np.arange(len(rows)) * shift
+        near, nearer = (_close_pairs(line, starts, window, tol[lo:lo + len(rows)], length) for length in (m, m + 1))
+        some = (near > 0) & (nearer > 0)
+        out[lo:lo + len(rows)][some] = -np.log(nearer[some] / near[some])
     return out
 
 
