@@ -36,7 +36,7 @@ def brute_knn(x, k, p=2):
     return np.sort(d, 1)[:, :k]
 
 
-@pytest.mark.parametrize("plan", [{}, {"rows_per_pivot": 12, "query_block": 9, "base_block": 11}])
+@pytest.mark.parametrize("plan", [{}, {"rows_per_pivot": 12, "query_block": 9, "base_block": 11}, {"rows_per_pivot": 40, "query_block": 4, "base_block": 3, "block_rows": 6}])
 def test_knn_with_copies_and_cells(spark, plan):
     rng = np.random.default_rng(0)
     # a third of the rows are copies of one vector
@@ -47,7 +47,7 @@ def test_knn_with_copies_and_cells(spark, plan):
         assert np.allclose(scores(neighbours.knn_score(df, 5, method, **plan)), want)
 
 
-@pytest.mark.parametrize("plan", [{}, {"rows_per_pivot": 10, "query_block": 8, "base_block": 16}])
+@pytest.mark.parametrize("plan", [{}, {"rows_per_pivot": 10, "query_block": 8, "base_block": 16}, {"rows_per_pivot": 30, "base_block": 7, "block_rows": 5}])
 def test_knn_of_new_rows_and_several_series(spark, plan):
     rng = np.random.default_rng(1)
     a, b, q = rng.normal(size=(60, 2)), rng.normal(size=(30, 2)) * 4, rng.normal(size=(25, 2)) * 2
@@ -58,6 +58,32 @@ def test_knn_of_new_rows_and_several_series(spark, plan):
     assert np.allclose(got, np.concatenate(want))
 
 
+def test_neighbours_of_clustered_vectors_grow_about_linearly(spark, monkeypatch):
+    moved = {}
+    plain = neighbours._block_pairs
+
+    def counted(q, sent, *args):
+        pairs = plain(q, sent, *args)
+        by = lambda df, n: df.groupBy("cell", F.col("blk").alias(n)).agg(F.count("*").alias(f"n_{n}"))
+        both = pairs.join(by(q, "qb"), ["cell", "qb"]).join(by(sent, "bb"), ["cell", "bb"])
+        moved["rows"] = both.agg(F.sum(F.col("n_qb") * F.col("nb") + F.col("n_bb") * F.col("nq"))).first()[0] or 0
+        moved["pairs"] = both.agg(F.sum(F.col("n_qb") * F.col("n_bb"))).first()[0] or 0
+        return pairs
+
+    monkeypatch.setattr(neighbours, "_block_pairs", counted)
+    rng = np.random.default_rng(9)
+    centres = rng.uniform(-100, 100, (24, 3))
+    seen = []
+    for n in (1500, 6000):
+        x = centres[rng.integers(0, 24, n)] + rng.normal(size=(n, 3)) * 0.5
+        out = neighbours.knn_score(vectors(spark, x), 3, rows_per_pivot=400, base_block=100, block_rows=8)
+        if n == 1500:
+            assert np.allclose(scores(out), brute_knn(x, 3)[:, -1])
+        seen.append(dict(moved))
+    assert 0 < seen[0]["rows"] and 0 < seen[1]["rows"] < 8 * seen[0]["rows"], seen  # all pairs of blocks would make 16 times as many
+    assert seen[1]["pairs"] < 6000**2 / 4
+
+
 @pytest.mark.parametrize("p", [1, 2])
 def test_lof(spark, p):
     rng = np.random.default_rng(2)

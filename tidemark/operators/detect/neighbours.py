@@ -1,9 +1,11 @@
 """Exact nearest neighbours inside each series (inventory DET7, DET8, JN9, JN10).
 
 Equal vectors are reduced to one row with a count, so copies never meet each other.  The distinct vectors are
-cut into cells around a bounded number of pivot rows.  By the triangle inequality a cell only needs the vectors within
-``reach`` of its pivot; those are sent to it, and a large cell is split into blocks of queries and blocks of
-candidates.  A task keeps the k best of its block, and the blocks of one query are merged by one
+cut into cells around pivot rows, whose number grows with the square root of the rows.  By the triangle inequality a cell only needs
+the vectors within ``reach`` of its pivot, which are sent to it.  Inside a cell both sides are cut again, into blocks
+around pivots of the cell; each block is known by a ball, and a block of queries meets a block of candidates only
+where their balls are near enough.  Where a cell's candidates fit one block it is not cut; where balls do not tell blocks apart (many dimensions), the cell is
+split by hashes instead.  A task keeps the k best of its block, and the blocks of one query are merged by one
 window over a few rows.  No pair table is ever written, and no candidate is dropped.
 """
 
@@ -27,6 +29,7 @@ PIVOTS = 64
 ROWS_PER_PIVOT = 4000
 QUERY_BLOCK = 1024
 BASE_BLOCK = 8192
+BLOCK_ROWS = 512
 
 
 def _metric(p: int):
@@ -45,9 +48,10 @@ def distinct_vectors(df: DataFrame, keys: Sequence[str] = KEYS, x: str = "x", id
 
 
 def _pivots(base: DataFrame, keys, x: str, rows_per_pivot: int) -> DataFrame:
-    """One row per key: array ``pv`` of at most PIVOTS vectors, chosen by hash."""
+    """One row per key: array ``pv`` of vectors chosen by hash, one for ``rows_per_pivot`` rows up to PIVOTS, beyond that an eighth of the root of the rows."""
     n = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    want = F.least(F.lit(PIVOTS), F.ceil(F.col("_n") / rows_per_pivot)).cast("double")
+    most = F.greatest(F.lit(PIVOTS), F.ceil(F.sqrt("_n") / 8))
+    want = F.least(most, F.ceil(F.col("_n") / rows_per_pivot)).cast("double")
     picked = attach(base.select(*keys, "vid", x), n, keys).withColumn("_h", hash_share(17, "vid"))
     # Hash order inside a small candidate set; the share keeps about 8 candidates per wanted pivot.
     picked = picked.filter(F.col("_h") < F.lit(8.0) * want / F.col("_n") + F.lit(64.0) / F.col("_n"))
@@ -66,7 +70,7 @@ def _assigned(rows: DataFrame, pivots: DataFrame, keys, x: str, p: int) -> DataF
 
 
 def _plan_cells(base: DataFrame, queries: DataFrame, pivots: DataFrame, keys, need: int, p: int) -> DataFrame:
-    """One row per key: ``reach`` per cell.  Works on at most PIVOTS rows per key."""
+    """One row per key: ``reach`` per cell.  Works on one row for each pivot of a key."""
     at = [*keys, "cell"]
     b = base.groupBy(*at).agg(F.sum("m").alias("n"), F.max(F.array_min("pd")).alias("rb"))
     q = queries.groupBy(*at).agg(F.max(F.array_min("pd")).alias("rq"))
@@ -99,10 +103,86 @@ def _plan_cells(base: DataFrame, queries: DataFrame, pivots: DataFrame, keys, ne
     return cells.groupBy(*keys).applyInPandas(solve, f"{key_schema}, reach array<double>")
 
 
+def _gaps(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
+    """Distances of the rows of two matrices, a coordinate at a time."""
+    total = np.zeros((len(a), len(b)))
+    for j in range(a.shape[1]):
+        gap = a[:, j, None] - b[None, :, j]
+        total += gap * gap if p == 2 else np.abs(gap)
+    return np.sqrt(total, out=total) if p == 2 else total
+
+
+def _cell_pivots(rows: DataFrame, at: list[str], x: str, block_rows: int) -> DataFrame:
+    """(cell, blk, px): one vector for ``block_rows`` rows of a cell, up to four times the root of its rows, chosen by hash."""
+    n = rows.groupBy(*at).agg(F.count(F.lit(1)).alias("_n"))
+    want = F.least(F.ceil(F.col("_n") / block_rows), F.ceil(4 * F.sqrt("_n"))).cast("double")
+    picked = attach(rows.select(*at, "vid", x), n, at).withColumn("_h", hash_share(23, "vid"))
+    picked = picked.filter(F.col("_h") < F.lit(4.0) * want / F.col("_n") + F.lit(32.0) / F.col("_n"))
+    w = Window.partitionBy(*at).orderBy("_h", "vid")
+    picked = picked.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= want)
+    return picked.select(*at, (F.col("_rn") - 1).cast("int").alias("blk"), F.col(x).alias("px"))
+
+
+def _in_blocks(rows: DataFrame, pivots: DataFrame, at: list[str], x: str, p: int) -> DataFrame:
+    """Rows of a cell with the nearest pivot of the cell, ``blk``, and the distance to it, ``bd``. A cell's rows are shared out among tasks."""
+    parts = sized(rows.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / BASE_BLOCK).cast("int").alias("_parts")))
+    shared = rows.join(parts, at).withColumn("_part", F.pmod(F.xxhash64("vid", F.lit(5)), F.col("_parts")).cast("int")).drop("_parts")
+    copies = pivots.join(parts, at).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    copies = copies.select(*[F.col(c).alias(c) for c in copies.columns])
+    names = rows.columns
+
+    def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = a[names].copy()
+        if a.empty or b.empty:
+            return out.iloc[:0].assign(blk=0, bd=0.0)
+        own, d = np.zeros(len(a), np.int32), np.zeros(len(a))
+        centre, blk = np.stack(b["px"].to_numpy()).astype(float), b["blk"].to_numpy()
+        for lo in range(0, len(a), 1024):
+            gap = _gaps(np.stack(a[x].iloc[lo:lo + 1024].to_numpy()).astype(float), centre, p)
+            best = gap.argmin(1)
+            own[lo:lo + 1024], d[lo:lo + 1024] = blk[best], gap[np.arange(len(best)), best]
+        return out.assign(blk=own, bd=d)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", blk int, bd double"
+    return shared.groupBy(*at, "_part").cogroup(copies.groupBy(*at, "_part")).applyInPandas(near, schema)
+
+
+def _block_pairs(q: DataFrame, sent: DataFrame, pivots: DataFrame, at: list[str], need: int, p: int, query_block: int, base_block: int) -> DataFrame:
+    """(cell, qb, bb, nq, nb): the blocks of candidates that a block of queries needs, and into how many parts either is cut. -1 stands for all blocks of a cell."""
+    balls = lambda df, n, r: df.groupBy(*at, "blk").agg(F.count(F.lit(1)).alias(n), F.sum("m").alias(f"{n}m"), F.max("bd").alias(r))
+    known = pivots.join(balls(q, "nq", "rq"), [*at, "blk"], "left").join(balls(sent, "nb", "rb"), [*at, "blk"], "left")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pivots.select(*at).schema) + ", qb int, bb int, nq int, nb int"
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.fillna({c: 0 for c in ("nq", "nqm", "rq", "nb", "nbm", "rb")})
+        centre, blk = np.stack(pdf["px"].to_numpy()).astype(float), pdf["blk"].to_numpy()
+        nq, rq, nb, nbm, rb = (pdf[c].to_numpy(float) for c in ("nq", "rq", "nb", "nbm", "rb"))
+        asks, has = np.flatnonzero(nq > 0), np.flatnonzero(nb > 0)
+        pairs = []
+        for i in asks:
+            d = _gaps(centre[i:i + 1], centre[has], p)[0]
+            far = d + rb[has]
+            order = np.argsort(far, kind="stable")
+            enough = np.searchsorted(np.cumsum(nbm[has][order]), need)
+            bound = far[order[enough]] if enough < len(has) else np.inf
+            meets = has[d - rb[has] <= (2 * rq[i] + bound) * (1 + 1e-9) + 1e-9]
+            pairs.append((np.full(len(meets), i), meets))
+        i, j = (np.concatenate(c) if pairs else np.zeros(0, int) for c in zip(*pairs, strict=True)) if pairs else (np.zeros(0, int),) * 2
+        if len(i) > 0.4 * len(asks) * len(has):
+            out = pd.DataFrame({"qb": [-1], "bb": [-1], "nq": [math.ceil(nq.sum() / query_block)], "nb": [math.ceil(nb.sum() / base_block)]})
+        else:
+            out = pd.DataFrame({"qb": blk[i], "bb": blk[j], "nq": np.ceil(nq[i] / query_block), "nb": np.ceil(nb[j] / base_block)})
+        for c in reversed(at):
+            out.insert(0, c, pdf[c].iloc[0])
+        return out
+
+    return sized(known.groupBy(*at).applyInPandas(solve, schema))
+
+
 def knn(
     base: DataFrame, k: int, keys: Sequence[str] = KEYS, x: str = "x", id: str = "t", p: int = 2,
     queries: DataFrame | None = None, rows_per_pivot: int = ROWS_PER_PIVOT, query_block: int = QUERY_BLOCK,
-    base_block: int = BASE_BLOCK,
+    base_block: int = BASE_BLOCK, block_rows: int = BLOCK_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """Neighbours of every distinct query vector, and the distinct query vectors.
 
@@ -127,24 +207,31 @@ def knn(
         ).alias("cell"),
     )
     at = [*keys, "cell"]
-    blocks = (
-        sent.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(base_block))).cast("int").alias("_nb"))
-        .join(q.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(query_block))).cast("int").alias("_nq")), at)
-    )
-    blocks = sized(blocks)
-
-    def spread(rows, own, own_n, other, other_n):
-        return (
-            rows.join(blocks, at)
-            .withColumn(own, F.pmod(F.xxhash64("vid"), F.col(own_n)).cast("int"))
-            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)))
-            .drop("_nb", "_nq")
-        )
-
-    left = spread(q.select(*at, "vid", "m", x), "qb", "_nq", "bb", "_nb")
-    right = spread(sent, "bb", "_nb", "qb", "_nq")
+    held = sent.groupBy(*at).agg(F.count(F.lit(1)).alias("_b")).join(q.groupBy(*at).agg(F.count(F.lit(1)).alias("_q")), at)
+    held = sized(held)
+    if held.filter(F.col("_b") > base_block).isEmpty():  # every cell's candidates fit one block
+        one = lambda df: df.select(*at, "vid", "m", x, F.lit(-1).alias("blk"), F.lit(0.0).alias("bd"))
+        asked, offered = one(q), one(sent)
+        pairs = sized(held.select(*at, F.lit(-1).alias("qb"), F.lit(-1).alias("bb"), F.ceil(F.col("_q") / query_block).cast("int").alias("nq"), F.lit(1).alias("nb")))
+    else:
+        # Candidates from other cells need pivots of their own, or they would blow up the balls around the cell's pivots.
+        both_sides = sent if itself else sent.select(*at, "vid", x).unionByName(q.select(*at, "vid", x))
+        subs = sized(_cell_pivots(both_sides, at, x, block_rows))
+        asked = cut(_in_blocks(q.select(*at, "vid", "m", x), subs, at, x, p))
+        offered = cut(_in_blocks(sent, subs, at, x, p))
+        pairs = _block_pairs(asked, offered, subs, at, need, p, query_block, base_block)
+    coarse = sized(pairs.filter("qb = -1").select(*at, F.lit(True).alias("_whole")))
+
+    def spread(rows, own, part, own_n, other_part, other_n):
+        placed = rows.join(coarse, at, "left").withColumn(own, F.when(F.col("_whole"), F.lit(-1)).otherwise(F.col("blk"))).drop("_whole", "blk", "bd")
+        placed = placed.join(pairs, [*at, own]).withColumn(part, F.pmod(F.xxhash64("vid"), F.col(own_n)).cast("int"))
+        return placed.withColumn(other_part, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1))).drop("nq", "nb")
+
+    left = spread(asked, "qb", "qp", "nq", "bp", "nb")
+    right = spread(offered, "bb", "bp", "nb", "qp", "nq")
     # both sides come from one table: give the columns of one side their own identity
     right = right.select(*[F.col(c).alias(c) for c in right.columns])
+    group = [*at, "qb", "bb", "qp", "bp"]
     key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.select(*keys).schema)
     names = list(keys)
 
@@ -156,12 +243,7 @@ def knn(
         bid, bm, aid, am = (c.to_numpy() for c in (b["vid"], b["m"], a["vid"], a["m"]))
         order = np.argsort(bid, kind="stable")
         v, bid, bm = v[order], bid[order], bm[order]
-        total = np.zeros((len(u), len(v)))
-        for j in range(u.shape[1]):
-            gap = u[:, j, None] - v[None, :, j]
-            total += gap * gap if p == 2 else np.abs(gap)
-        if p == 2:
-            np.sqrt(total, out=total)
+        total = _gaps(u, v, p)
         keep = min(need, len(v))
         part = np.argpartition(total, keep - 1, axis=1)[:, :keep] if keep < len(v) else None
         out_i, out_j = [], []
@@ -189,8 +271,8 @@ def knn(
 
     id_type = base.schema[id].dataType.simpleString()
     best = (
-        left.groupBy(*at, "qb", "bb")
-        .cogroup(right.groupBy(*at, "qb", "bb"))
+        left.groupBy(*group)
+        .cogroup(right.groupBy(*group))
         .applyInPandas(nearest, f"{key_schema}, vid {id_type}, d double, nb {id_type}, n long")
     )
     w = Window.partitionBy(*keys, "vid").orderBy("d", "nb")
