@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from tidemark.llm import substring_dedup
 from tidemark.llm.substring_dedup import difference_cover, pack, remove_repeats, unpack
@@ -71,3 +72,14 @@ def test_hot_passage_and_copies(spark):
 
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_settled_anchors_reach_all_buckets_and_work_ignores_empty_ones():
+    shared = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
+    texts = [(1 << 40) * i + 12345 for i in range(300)], [f"{shared} {' '.join(f'w{i}x{j}' for j in range(30))}" for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts[0], pa.int64()), pa.array(texts[1])], names=["rid", "text"])
+    for buckets in (1000, 10**9):
+        rows = [r for b in substring_dedup._anchors(13, 7, buckets)(iter([batch])) for r in b.to_pylist()]
+        settled = [r["bucket"] for r in rows if r["lrid"]]
+        assert max(settled) > buckets // 2 and len(set(settled)) > 200  # by the row's key, not by its place in the batch
+        assert len(rows) <= 10_000 and all(r["rid"] or r["lrid"] or r["c"] for r in rows)

@@ -69,11 +69,18 @@ def _batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), *(pa.array(c, pa.binary()) for c in part[1:])], names=_PACKED)
 
 
-def _split(key: np.ndarray, at: np.ndarray, buckets: int) -> list[np.ndarray]:
-    """``at`` cut by the bucket in ``key``, each part in its old order."""
+def _split(key: np.ndarray, at: np.ndarray) -> dict[int, np.ndarray]:
+    """``at`` by the bucket in ``key``, each part in its old order; only buckets that occur."""
     order = np.argsort(key, kind="stable")
-    cuts = np.searchsorted(key[order], np.arange(buckets + 1))
-    return [at[order[a:b]] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    first = _heads(key[order])
+    return {k: at[order[a:b]] for k, a, b in zip(key[order[first]].tolist(), first.tolist(), [*first[1:].tolist(), len(key)], strict=False)}
+
+
+def _together(*parts: dict[int, np.ndarray]) -> Iterator[tuple]:
+    """Each bucket that any part reaches, with its piece of every part."""
+    none = np.zeros(0, np.int64)
+    for k in sorted(set().union(*parts)):
+        yield (k, *(p.get(k, none) for p in parts))
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -117,13 +124,13 @@ def _anchors(window: int, period: int, buckets: int):
         settled = np.zeros(len(h), bool)
         settled[order] = np.repeat(shared, size)
         many, own, local = sh[first[shared]], np.flatnonzero(~settled), np.flatnonzero(settled)
-        parts = zip(_split(_bucket(h[own], buckets), own, buckets), _split(_bucket(many, buckets), np.arange(len(many)), buckets), _split(doc[local] % buckets, local, buckets), strict=True)
+        # Settled entries only have to reach the row they are of, so they are dealt out by its key.
+        parts = _together(_split(_bucket(h[own], buckets), own), _split(_bucket(many, buckets), np.arange(len(many))), _split(_bucket(rids.view("<u8")[doc[local]], buckets), local))
         rows = []
-        for k, (o, m, c) in enumerate(parts):
-            if len(o) or len(m) or len(c):
-                low = h[o] & _48
-                rows.append((k, *pack(doc[o], pos[o], rids), (low & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (low >> np.uint64(32)).astype("<u2").tobytes(),
-                             (many[m] & _48).tobytes(), *pack(doc[c], pos[c], rids)))
+        for k, o, m, c in parts:
+            low = h[o] & _48
+            rows.append((k, *pack(doc[o], pos[o], rids), (low & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (low >> np.uint64(32)).astype("<u2").tobytes(),
+                         (many[m] & _48).tobytes(), *pack(doc[c], pos[c], rids)))
         yield from _batches(rows)
 
     def run(batches):
@@ -185,10 +192,9 @@ def _windows(window: int, period: int, buckets: int):
         done = ids[doc] > least
         own, local = np.flatnonzero(~done), np.flatnonzero(done)
         rows = []
-        for k, (o, c) in enumerate(zip(_split(_bucket(h1[own], buckets), own, buckets), _split(doc[local] % buckets, local, buckets), strict=True)):
-            if len(o) or len(c):
-                packed = pack(doc[o], pos[o], rids)
-                rows.append((k, *packed, h1[o].astype("<u8").tobytes(), h2[o].astype("<u4").tobytes(), pack(doc[o], pos[o], ids)[0], *pack(doc[c], pos[c], rids)))
+        for k, o, c in _together(_split(_bucket(h1[own], buckets), own), _split(_bucket(rids.view("<u8")[doc[local]], buckets), local)):
+            packed = pack(doc[o], pos[o], rids)
+            rows.append((k, *packed, h1[o].astype("<u8").tobytes(), h2[o].astype("<u4").tobytes(), pack(doc[o], pos[o], ids)[0], *pack(doc[c], pos[c], rids)))
         yield from _batches(rows)
 
     def run(batches):
