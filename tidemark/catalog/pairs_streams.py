@@ -197,22 +197,44 @@ def _folder(spark, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _series_files(spark, d, root: str) -> None:
+    stamp = F.date_format(F.col("day").cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("timestamp")
+    t = fx.ts_day(spark, d).select("series_id", F.when(F.col("t") < 1500, "train").otherwise("test").alias("split"), stamp, "c1", "c2", F.when(F.col("c1") > 100, 1).otherwise(0).alias("is_anomaly"))
+    sinks.write_series(t, root, ["timestamp", "c1", "c2", "is_anomaly"])
+
+
 @query("src1_series_csv", sql("ts_day", """SELECT series_id, split, t - CASE WHEN split = 'test' THEN 1500 ELSE 0 END AS t, c1, c2, label FROM (SELECT *, CASE WHEN t < 1500 THEN 'train' ELSE 'test' END AS
     split, CASE WHEN c1 > 100 THEN 1 ELSE 0 END AS label FROM ts_day)"""))
 def _(spark, d):
     """Write every series as CSV in the layout of the benchmark, then read all of them in one scan."""
     root = _folder(spark, "series")
-    t = fx.ts_day(spark, d).select(
-        "series_id", F.when(F.col("t") < 1500, "train").otherwise("test").alias("split"),
-        F.col("day").cast("timestamp").alias("ts"), "c1", "c2", F.when(F.col("c1") > 100, 1).otherwise(0).alias("is_anomaly"))
-    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp")
-    for r in t.select("series_id", "split").distinct().collect():
-        one = t.filter((F.col("series_id") == r["series_id"]) & (F.col("split") == r["split"]))
-        one.select(stamp, "c1", "c2", "is_anomaly").write.mode("overwrite").option("header", True).csv(f"{root}/{r['series_id']}_{r['split']}.csv")
+    _series_files(spark, d, root)
     schema = src.series_schema(["c1", "c2"])
     return src.read_series(spark, root, schema, named_by_folder=True).select("series_id", "split", "t", "c1", "c2", "label")
 
 
+@query("src2_listing", sql("ts_day", """SELECT DISTINCT series_id || '_test.csv' AS file FROM ts_day WHERE t >= 1500"""))
+def _(spark, d):
+    root = _folder(spark, "listed")
+    _series_files(spark, d, root)
+    found = src.list_files(spark, root, "*.csv").filter(F.col("dataset").endswith("_test.csv"))
+    return found.select(F.regexp_replace("dataset", "^file=", "").alias("file")).distinct()
+
+
+@query("src8_arff", sql("ts_hour_labelled", "SELECT CAST(t AS DOUBLE) AS t, c1, c2, label FROM ts_hour_labelled"))
+def _(spark, d):
+    """Labelled hours written as ARFF lines, one part of them with the label misplaced before an id, and read back."""
+    root = _folder(spark, "arff")
+    h = fx.ts_hour_labelled(spark, d).select("series_id", "t", "c1", "c2", F.when(F.col("label") == 1, "yes").otherwise("no").alias("label"))
+    text = lambda *c: F.concat_ws(", ", *[F.col(x).cast("string") if x != "0" else F.lit("0") for x in c]).alias("value")
+    odd = F.col("t") % 3 == 0
+    h.filter(~odd).select(text("t", "c1", "c2", "0", "label")).write.text(f"{root}/plain")
+    h.filter(odd).select(text("t", "c1", "c2", "label", "0")).write.text(f"{root}/odd")
+    names = ["t", "c1", "c2"]
+    plain, moved = src.read_arff(spark, f"{root}/plain", names), src.read_arff(spark, f"{root}/odd", names, misplaced=["part-"])
+    return plain.unionByName(moved).drop("file")
+
+
 @query("src5_train_length", sql("", """SELECT o_orderkey, CAST(o_custkey AS INT) AS train_len FROM orders"""))
 def _(spark, d):
     name = F.concat_ws("_", F.lit("001_name_id"), F.col("o_custkey"), F.lit("5000_label.csv"))

@@ -33,7 +33,7 @@ def read_series(
 ) -> DataFrame:
     """All series of a folder tree in one scan: (dataset, series_id, split, t, ts, channels…, label).
 
-    A series is one file ``name_split.csv``, or with ``named_by_folder`` a folder of that name with part files, as Spark writes it.
+    A series is one file ``name_split.csv``, or with ``named_by_folder`` a folder of that name (or ``file=`` and that name) with part files, as Spark writes it.
 
     The time column orders the rows; ``t`` is the dense row index inside a series, numbered in ranges of ``row_width`` seconds, so that no task holds a whole series.
     """
@@ -44,7 +44,7 @@ def read_series(
     )
     parts = F.split(F.col("_metadata.file_path"), "/")
     at = -2 if named_by_folder else -1
-    raw = raw.select("*", F.element_at(parts, at).alias("_f"), F.element_at(parts, at - 1).alias("dataset"))
+    raw = raw.select("*", F.regexp_replace(F.element_at(parts, at), "^file=", "").alias("_f"), F.element_at(parts, at - 1).alias("dataset"))
     if drop_missing:
         raw = raw.na.drop("any", subset=names)
     split = F.regexp_extract("_f", r"_(train|val|test)\.csv$", 1)

@@ -23,6 +23,15 @@ def read_results(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def write_series(series: DataFrame, path: str, columns: Sequence[str], key: str = "series_id", split: str = "split") -> None:
+    """Every series and split as CSV part files in a folder ``file=name_split.csv``, in one write; :func:`read_series` reads them with ``named_by_folder``.
+
+    Rows are dealt out by series and split, a large one to several tasks.
+    """
+    named = series.select(*columns, F.concat(F.col(key), F.lit("_"), F.col(split), F.lit(".csv")).alias("file"))
+    named.hint("rebalance", "file").write.mode("append").option("header", True).partitionBy("file").csv(path)
+
+
 def pending(inputs: DataFrame, spark: SparkSession, path: str, on: Sequence[str]) -> DataFrame:
     """Inputs without a stored result: an idempotent second run has nothing to do."""
     done = read_results(spark, path)
