@@ -64,16 +64,28 @@ def _(spark, d):
     return _pairs(spark, d).select("series_id", "t", rd(ds.fourier(F.col("x"), F.col("y"))).alias("score"))
 
 
-def _program(key: str, udf):
-    @query(key)
+# The dynamic programs, a row of the table at a time: the list of a row is folded over the list of its columns.
+_INF = "CAST('inf' AS DOUBLE)"
+LS = PR + """, ls AS MATERIALIZED (SELECT series_id, t, list(x ORDER BY i) AS x, list(y ORDER BY i) AS y FROM pw GROUP BY 1, 2)"""
+DTW = f"""list_reduce(list_transform(x, lambda v: [v]), lambda prev, e: list_reduce(list_transform(range(1, 15), lambda j: [y[j], prev[j + 1], prev[j]]),
+    lambda acc, r: list_append(acc, abs(e[1] - r[1]) + least(acc[-1], r[2], r[3])), [{_INF}]), list_concat([0.0::DOUBLE], list_transform(range(14), lambda k: {_INF})))[15] / 14"""
+EDR = """list_reduce(list_transform(range(1, 14), lambda i: [x[i + 1], i]), lambda prev, e: list_reduce(list_transform(range(1, 14), lambda j: [y[j + 1], prev[j + 1], prev[j]]),
+    lambda acc, r: list_append(acc, CASE WHEN abs(e[1] - r[1]) < 0.1::DOUBLE THEN r[3] ELSE 1 + least(acc[-1], r[2], r[3]) END), [e[2]]), list_transform(range(14), lambda k: k::DOUBLE))[14] / 14"""
+TWED = f"""list_reduce(list_transform(range(1, 15), lambda i: [x[i], CASE WHEN i > 1 THEN x[i - 1] ELSE 0 END, i]), lambda prev, e: list_reduce(list_transform(range(1, 15),
+    lambda j: [y[j], CASE WHEN j > 1 THEN y[j - 1] ELSE 0 END, j, prev[j + 1], prev[j]]), lambda acc, r: list_append(acc, least(r[4] + abs(e[2] - e[1]) + 0.2::DOUBLE, acc[-1] + abs(r[2] - r[1]) + 0.2::DOUBLE,
+    r[5] + abs(e[1] - r[1]) + abs(e[2] - r[2]) + 0.2::DOUBLE * abs(e[3] - r[3]))), [{_INF}]), list_concat([0.0::DOUBLE], list_transform(range(14), lambda k: {_INF})))[15]"""
+
+
+def _program(key: str, udf, expr: str | None = None):
+    @query(key, sql("ts_day", f"SELECT series_id, t, round({expr}, 6) + 0.0 AS score FROM ls", LS) if expr else None)
     def _(spark, d):
-        return _pairs(spark, d).select("series_id", "t", udf()("x", "y").alias("score"))
+        return _pairs(spark, d).select("series_id", "t", rd(udf()("x", "y")).alias("score"))
 
 
 _program("dst4_ssa", ds.linear_segments)
-_program("dst6_dtw", ds.warping)
-_program("dst7_edr", ds.edit)
-_program("dst8_twed", ds.time_warp_edit)
+_program("dst6_dtw", ds.warping, DTW)
+_program("dst7_edr", ds.edit, EDR)
+_program("dst8_twed", ds.time_warp_edit, TWED)
 
 
 def _stream(spark, d):
