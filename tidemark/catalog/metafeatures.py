@@ -121,11 +121,11 @@ def _(spark, d):
     return rounded(m.select("series_id", *[f"correlation_{s}" for s in mf.SIX]), 5)
 
 
-@query("agg13_covariance", sql("ts_day", """SELECT series_id, round(min(v), 5) + 0.0 AS covariance_min, round(max(v), 5) + 0.0 AS covariance_max, round(avg(v), 5) + 0.0 AS
-    covariance_mean, round(stddev_pop(v), 5) + 0.0 AS covariance_std FROM pr GROUP BY 1""", SC + PAIR))
+@query("agg13_covariance", sql("ts_day", f"SELECT series_id, {_six_sql('v', 'covariance')} FROM (SELECT *, avg(v) OVER (PARTITION BY series_id) AS m_covariance FROM pr) GROUP BY 1", SC + PAIR))
 def _(spark, d):
+    """The figures with a unit in hundredths; skewness and kurtosis have none."""
     m = mf.matrix_features(_scaled(spark, d), C4)
-    return m.select("series_id", *[rd(F.col(f"covariance_{s}") * 100, 5).alias(f"covariance_{s}") for s in mf.SIX[:4]])
+    return m.select("series_id", *[rd(F.col(f"covariance_{s}") * (100 if s in mf.SIX[:4] else 1), 5).alias(f"covariance_{s}") for s in mf.SIX])
 
 
 @query("agg14_sparsity", sql("ts_day", "SELECT series_id, channel, round(count(DISTINCT x) / CAST(count(*) AS DOUBLE), 6) AS sparsity FROM ln GROUP BY 1, 2", SC))
@@ -139,12 +139,14 @@ def _(spark, d):
     return rounded(_channels(spark, d).select("series_id", "channel", "entropy"), 8)
 
 
-@query("agg18_hist", sql("ts_day", f"SELECT series_id, {_six_sql('hx', 'HBOS_max')} FROM (SELECT *, avg(hx) OVER (PARTITION BY series_id) AS m_HBOS_max FROM (SELECT series_id, "
-                         "channel, max(c) / CAST(sum(c) AS DOUBLE) * 10 AS hx FROM (SELECT series_id, channel, least(floor(x * 10), 9) AS b, count(*) AS c FROM ln GROUP BY 1, 2, 3) "
-                         "GROUP BY 1, 2)) GROUP BY 1", SC))
+@query("agg18_hist", sql("ts_day", f"SELECT series_id, {_six_sql('hx', 'HBOS_max')}, {_six_sql('hn', 'HBOS_min')}, round(avg(hm), 5) AS HBOS_mean_mean, round(max(hm), 5) AS HBOS_mean_max, "
+                         "round(min(hm), 5) AS HBOS_mean_min FROM (SELECT *, avg(hx) OVER (PARTITION BY series_id) AS m_HBOS_max, avg(hn) OVER (PARTITION BY series_id) AS m_HBOS_min FROM (SELECT series_id, "
+                         "channel, max(c) / CAST(sum(c) AS DOUBLE) * 10 AS hx, CASE WHEN count(*) < 10 THEN 0.0::DOUBLE ELSE min(c) / CAST(sum(c) AS DOUBLE) * 10 END AS hn, sum(c) / CAST(sum(c) AS DOUBLE) AS hm "
+                         "FROM (SELECT series_id, channel, least(floor(x * 10), 9) AS b, count(*) AS c FROM ln GROUP BY 1, 2, 3) GROUP BY 1, 2)) GROUP BY 1", SC))
 def _(spark, d):
+    """The mean density of a channel is the same for all channels, so its spread has no shape."""
     h = mf.histogram_landmarks(melt(_scaled(spark, d), ["series_id"], C4))
-    return rounded(h.select("series_id", *[f"HBOS_max_{s}" for s in mf.SIX]), 5)
+    return rounded(h.select("series_id", *[f"{c}_{s}" for c in ("HBOS_max", "HBOS_min") for s in mf.SIX], "HBOS_mean_mean", "HBOS_mean_max", "HBOS_mean_min"), 5)
 
 
 @query("agg15_matrix_features")

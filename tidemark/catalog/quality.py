@@ -213,13 +213,17 @@ for _bias in WEIGHTS:
 @query("met15_all", sql("runs", """SELECT series_id, round(auc, 6) AS auc, round(coalesce(tp / CAST(nullif(tp + fp, 0) AS DOUBLE), 0), 6) AS precision,
     round(tp / CAST(pos AS DOUBLE), 6) AS recall, round(2.0::DOUBLE * tp / (tp + fp + pos), 6) AS f1, round(2.0::DOUBLE * tp_pa / (tp_pa + fp + pos), 6) AS
     pa_f1, round(0.2::DOUBLE * existence + 0.8::DOUBLE * overlap, 6) AS rrecall, round(existence, 6) AS existence, round(overlap, 6) AS overlap,
-    round(coalesce(prec.p, 0), 6) AS rprecision FROM ev JOIN pt USING (series_id, k) JOIN rec USING (series_id, k) LEFT JOIN prec USING (series_id, k)
+    round(coalesce(prec.p, 0), 6) AS rprecision, round(coalesce(2.0::DOUBLE * prec.p * (0.2::DOUBLE * existence + 0.8::DOUBLE * overlap) / nullif(prec.p + 0.2::DOUBLE * existence +
+    0.8::DOUBLE * overlap, 0), 0), 6) AS rf, round(at_k, 6) AS precision_at_k FROM ev JOIN (SELECT h.series_id, sum(CASE WHEN score > threshold THEN label ELSE 0 END) / CAST(sum(label) AS DOUBLE) AS at_k
+    FROM ts_hour_labelled h JOIN kt USING (series_id) GROUP BY 1) USING (series_id) JOIN pt USING (series_id, k) JOIN rec USING (series_id, k) LEFT JOIN prec USING (series_id, k)
     JOIN (SELECT a.series_id, avg(CASE WHEN a.score > b.score THEN 1.0::DOUBLE WHEN a.score = b.score THEN 0.5::DOUBLE ELSE 0.0 END) AS auc FROM
     ts_hour_labelled a JOIN ts_hour_labelled b ON a.series_id = b.series_id AND a.label = 1 AND b.label = 0 GROUP BY 1) USING (series_id)""",
     """lv AS MATERIALIZED (SELECT series_id, 0 AS k, t, label, CASE WHEN score > avg(score) OVER p + 3 * stddev_pop(score) OVER p THEN 1 ELSE 0
-    END AS pred FROM ts_hour_labelled WINDOW p AS (PARTITION BY series_id))""" + LEVELS + RANGES))
+    END AS pred FROM ts_hour_labelled WINDOW p AS (PARTITION BY series_id)), ko AS (SELECT series_id, score, row_number() OVER (PARTITION BY series_id ORDER BY score) - 1 AS i FROM ts_hour_labelled),
+    kk AS (SELECT series_id, (1 - sum(label) / CAST(count(*) AS DOUBLE)) * (count(*) - 1) AS pos FROM ts_hour_labelled GROUP BY 1), kt AS (SELECT kk.series_id, a.score + (b.score - a.score) *
+    (pos - floor(pos)) AS threshold FROM kk JOIN ko a ON a.series_id = kk.series_id AND a.i = floor(pos) JOIN ko b ON b.series_id = kk.series_id AND b.i = ceil(pos))""" + LEVELS + RANGES))
 def _(spark, d):
-    return rounded(mt.scalar_report(fx.ts_hour_labelled(spark, d)).drop("precision_at_k", "rf"))
+    return rounded(mt.scalar_report(fx.ts_hour_labelled(spark, d)))
 
 
 @query("met16_fpr", sql("ts_hour_labelled", """SELECT series_id, round(sum(p * (1 - label)) / CAST(sum(p * (1 - label)) + sum(label) AS DOUBLE), 6)
