@@ -60,6 +60,80 @@ def test_words_taken(spark):
     assert runs[0] == runs[1]
 
 
+def splits(quota, lo, hi, seed):
+    """Quotas of every shard, from the root down."""
+    if hi - lo == 1:
+        return [list(map(int, quota))]
+    mid, total = (lo + hi) // 2, int(sum(quota))
+    draw = np.random.Generator(np.random.PCG64([seed, lo, hi])).multivariate_hypergeometric(quota, total * (mid - lo) // (hi - lo), method="marginals")
+    return splits(draw, lo, mid, seed) + splits(quota - draw, mid, hi, seed)
+
+
+def walked(keyed, block, shards, seed=17):
+    """(id, shard, slot, start, stop) of every piece, by a walk over all words of all draws."""
+    names = sorted({r.source for r in keyed if r.source is not None}, key=str.encode) + [None]
+    streams = [[(str(r.id), w) for r in sorted((r for r in keyed if r.source == s), key=lambda r: r.key) for w in range(r.size)] for s in names]
+    target = shared({s: len(x) for s, x in zip(names, streams, strict=True)})
+    used = []
+    for place, stream in enumerate(streams):
+        if stream:
+            blocks = -(-len(stream) // block)
+            even, left, draws = -(-len(stream) // blocks), round(target[names[place]]), []
+            while left > 0:
+                cycle, k = divmod(len(draws), blocks)
+                at = int(permuted(np.arange(blocks), blocks, (seed * 1_000_003 + place) * 31 + cycle)[k])
+                part = stream[at * even:(at + 1) * even]
+                # A pass that the target holds whole is never cut short.
+                if (cycle + 1) * len(stream) > round(target[names[place]]):
+                    part = part[:left if left < even else even]
+                    left -= even if left >= even else left
+                else:
+                    left -= len(part)
+                draws.append(part)
+            used.append(draws)
+    out, first = [], [0] * len(used)
+    for shard, quota in enumerate(splits(np.array([len(d) for d in used]), 0, shards, seed)):
+        here = [d for draws, a, n in zip(used, first, quota, strict=True) for d in draws[a:a + n]]
+        first = [a + n for a, n in zip(first, quota, strict=True)]
+        for slot, part in zip(np.random.Generator(np.random.PCG64([seed, shard])).permutation(len(here)), here, strict=True):
+            out += [(i, shard, int(slot), w) for i, w in part]
+    return out
+
+
+def test_draws_match_a_walk_over_all_words(spark):
+    docs = spark.createDataFrame(rows()[:-3], SCHEMA)
+    for block, shards in ((64, 5), (512, 3), (4096, 8)):
+        plan, pieces = mix_sources(docs, block=block, shards=shards)
+        keyed = plan.select("id", "source", "size", F.xxhash64("rid", F.lit(17)).alias("key")).collect()
+        got = [(str(p.id), p.shard, p.slot, w) for p in pieces.collect() for w in range(p.start, p.stop)]
+        expected = walked(keyed, block, shards)
+        assert sorted(got) == sorted(expected)
+        counts = {}
+        for i, shard, *_ in expected:
+            counts.setdefault(i, {}).setdefault(shard, 0)
+            counts[i][shard] += 1
+        for r in taken(plan, pieces).collect():
+            assert r.taken == sum(counts.get(str(r.id), {}).values()) and {s.shard: s.words for s in r.shards} == counts.get(str(r.id), {})
+
+
+def test_shards_in_order_and_any_column_names(spark):
+    clash = docs = spark.createDataFrame(rows(), SCHEMA)
+    for name in ("_rid", "_start", "_stop", "_key", "rid", "shard", "slot", "id", "row", "start"):
+        clash = clash.withColumn(name, F.concat(F.lit(name), F.col("uid")))
+    out = mixed_texts(clash, block=64, shards=5, places=("in_shard", "in_slot"))
+    assert out.columns == [*clash.columns, "in_shard", "in_slot"] and out.filter("uid IS NOT NULL AND (_rid <> '_ridu' OR row <> 'rowu')").count() == 0
+    parts = out.select(F.spark_partition_id().alias("task"), "in_shard", "in_slot").collect()
+    assert len({(r.task, r.in_shard) for r in parts}) == 5
+    assert all((x.in_shard, x.in_slot) <= (y.in_shard, y.in_slot) for x, y in zip(parts, parts[1:]) if x.task == y.task)
+    plain = mixed_texts(docs.drop("n_chars"), block=64, shards=5)
+    assert sorted((str(r.doc_id), r.text) for r in plain.collect()) == sorted((str(r.doc_id), r.text) for r in out.collect())
+    # A shard holds the words that were drawn for it.
+    _, pieces = mix_sources(docs, block=64, shards=5)
+    expected = {r.shard: r.n for r in pieces.groupBy("shard").agg(F.sum(F.col("stop") - F.col("start")).alias("n")).collect()}
+    got = {r.in_shard: r.n for r in out.groupBy("in_shard").agg(F.sum(F.size(F.split(F.trim("text"), r"\s+"))).alias("n")).collect()}
+    assert got == expected
+
+
 def test_texts_of_the_mix(spark):
     docs = spark.createDataFrame(rows(), SCHEMA)
     plan, pieces = mix_sources(docs, block=64, shards=5)

@@ -69,4 +69,4 @@ def test_registered_with_the_driver():
     entry = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(entry)
     names = [q for q in entry.queries() if q.startswith("op") and q[2].isdigit()]
-    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 14)) and "pipeline" in entry.queries()

@@ -111,8 +111,8 @@ def _draw(sources: list[tuple[int, int, int, int, int]], shards: int, seed: int)
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int | None = None, block: int = BLOCK, seed: int = 17):
     """Plan a mix of whole sources. Returns ``(rows, pieces)``.
 
-    ``rows`` has one row per document: ``uid, rid, id, size, source, source_size, target``. ``pieces`` has the draws of the mix: ``uid, rid, shard, slot,
-    pass, start, stop``, words ``[start, stop)`` of a document at a place of an output shard. Sizes are numbers of words. A source without words
+    ``rows`` has one row per document: ``uid, rid, id, size, source, source_size, target``. ``pieces`` has the draws of the mix: ``uid, id, rid, shard,
+    slot, ahead, pass, start, stop``, words ``[start, stop)`` of a document, ``ahead`` words after the begin of the block that an output shard has in a slot. Sizes are numbers of words. A source without words
     has target 0; null texts have size 0 and are never drawn; null ids count as the largest and null sources as one source, the last. Equal
     rows are drawn like different ones. Other columns are ignored; an empty table gives two empty results. The same rows give the same
     mix, whatever their partitions. Sources are few enough to fit one task (their quotas are sent to all shards); documents are never
@@ -149,18 +149,22 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = placed.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(sums.select("place", "bucket", "before"), ["place", "bucket"])
     placed = placed.join(lengths, "place").withColumn("at", F.col("before") + F.col("inside"))
     first, last = F.floor(F.col("at") / F.col("length")), F.floor((F.col("at") + F.col("size") - 1) / F.col("length"))
-    spread = placed.select("uid", "rid", "place", "size", "length", "at", F.explode(F.sequence(first, last)).alias("block"))
+    spread = placed.select("uid", "id", "rid", "place", "size", "length", "at", F.explode(F.sequence(first, last)).alias("block"))
     begin = F.greatest(F.lit(0), F.col("block") * F.col("length") - F.col("at"))
     end = F.least(F.col("size"), (F.col("block") + 1) * F.col("length") - F.col("at"))
-    spread = spread.select("uid", "rid", "place", "block", begin.alias("start"), end.alias("stop"), F.greatest(F.lit(0), F.col("at") - F.col("block") * F.col("length")).alias("ahead"))
+    ahead = F.greatest(F.lit(0), F.col("at") - F.col("block") * F.col("length"))
+    spread = spread.select("uid", untag("id").alias("id"), "rid", "place", "block", begin.alias("start"), end.alias("stop"), ahead.alias("ahead"))
     pieces = spread.join(draws, ["place", "block"]).withColumn("stop", F.least("stop", F.col("start") + F.col("words") - F.col("ahead"))).filter("stop > start")
-    return rows.select("uid", "rid", untag("id").alias("id"), "size", "source", "source_size", "target"), pieces.select("uid", "rid", "shard", "slot", "pass", "start", "stop")
+    rows = rows.select("uid", "rid", untag("id").alias("id"), "size", "source", "source_size", "target")
+    return rows, pieces.select("uid", "id", "rid", "shard", "slot", "ahead", "pass", "start", "stop")
 
 
 def taken(rows: DataFrame, pieces: DataFrame) -> DataFrame:
-    """Words the mix takes of every document, repeats counted."""
-    sums = pieces.groupBy("uid").agg(F.sum(F.col("stop") - F.col("start")).alias("taken"))
-    return rows.join(sums, "uid", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
+    """Words the mix takes of every document, repeats counted: ``taken``, and ``shards``, an array of ``shard, words`` for the shards that hold some."""
+    each = pieces.groupBy("uid", "shard").agg(F.sum(F.col("stop") - F.col("start")).alias("words"))
+    sums = each.groupBy("uid").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct("shard", "words"))).alias("shards"))
+    none = F.array().cast(sums.schema["shards"].dataType)
+    return rows.join(sums, "uid", "left").withColumn("taken", F.coalesce("taken", F.lit(0))).withColumn("shards", F.coalesce("shards", none))
 
 
 @F.pandas_udf(StringType())
@@ -174,15 +178,28 @@ def word_range(text: pd.Series, start: pd.Series, stop: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself: the rows of ``docs``, as often as drawn, with the text of the drawn words. Neighbouring pieces of one pass are joined again."""
+def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", places: tuple[str, str] | None = None, **options) -> DataFrame:
+    """The mix itself, shard by shard: the rows of ``docs``, as often as drawn, with the text of the drawn words.
+
+    Pieces that follow each other in a document are joined if one shard holds them in one pass; they stand where the first of them was drawn. Rows
+    are dealt out by shard, and each task holds its shards in order, the blocks of a shard in the order of their shuffled slots. ``places`` names
+    two columns to add, the shard and the slot of a row. The columns of ``docs`` may have any names, and ``n_chars``, if there, is counted anew.
+    Rows that agree in id, text and source, but not in other columns, count as so many rows, all with the other columns of one of them.
+    """
     _, pieces = mix_sources(docs, id_col, text_col, source_col, **options)
-    run = Window.partitionBy("uid", "pass").orderBy("start")
+    run = Window.partitionBy("uid", "shard", "pass").orderBy("start")
     runs = pieces.withColumn("fresh", (F.coalesce(F.lag("stop").over(run), F.lit(-1)) != F.col("start")).cast("int")).withColumn("run", F.sum("fresh").over(run))
-    runs = runs.groupBy("rid", "uid", "pass", "run").agg(F.min("start").alias("_start"), F.max("stop").alias("_stop")).select(F.col("rid").alias("_rid"), "_start", "_stop")
-    rid = F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), text_or_empty(text_col), F.col(source_col).cast("string"))
-    texts = docs.withColumn("_rid", rid).dropDuplicates(["_rid"])
-    out = texts.join(runs, "_rid").withColumn(text_col, word_range(F.col(text_col), F.col("_start"), F.col("_stop")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    runs = runs.groupBy("uid", "id", "rid", "shard", "pass", "run").agg(F.min(F.struct("start", "slot", "ahead")).alias("head"), F.max("stop").alias("stop"))
+    runs = runs.select(F.coalesce("id", F.lit(LAST)).alias("id"), "rid", "shard", "head.slot", "head.ahead", "head.start", "stop")
+    id_, text, source = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), text_or_empty(text_col), F.col(source_col).cast("string")
+    # The caller's columns travel in one struct, so their names cannot clash with those used here.
+    whole = docs.select(id_.alias("id"), F.xxhash64(id_, text, source).alias("rid"), text.alias("text"), F.struct(*docs.columns).alias("row")).dropDuplicates(["id", "rid"])
+    out = whole.join(runs, ["id", "rid"]).withColumn("text", word_range(F.col("text"), F.col("start"), F.col("stop")))
+    out = out.repartition("shard").sortWithinPartitions("shard", "slot", "ahead")
+
+    def field(name: str):
+        if name == text_col:
+            return F.col("text").cast(docs.schema[name].dataType)
+        return F.length("text").cast(docs.schema[name].dataType) if name == "n_chars" else F.col("row")[name]
+
+    return out.select(*[field(c).alias(c) for c in docs.columns], *([F.col("shard").alias(places[0]), F.col("slot").alias(places[1])] if places else []))

@@ -173,9 +173,10 @@ def op10(spark, sf_dir):
 
 @query("op8_source_mix")
 def op8(spark, sf_dir):
-    """Words that the mix takes of every document."""
+    """Words that the mix takes of every document, in all and for each output shard (``shard:words``, comma-joined)."""
     rows, pieces = mix_sources(table(spark, sf_dir, "documents"))
-    return taken(rows, pieces).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    shards = F.array_join(F.transform("shards", lambda s: F.concat_ws(":", s["shard"].cast("string"), s["words"].cast("string"))), ",")
+    return taken(rows, pieces).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", shards.alias("shards"))
 
 
 @query("op7_warc_archive", """
