@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm.byte_bpe import Vocabulary
+from tidemark.session import cut
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, extra string"
 
@@ -55,6 +56,17 @@ def test_stages_take_effect(spark, rows, tmp_path):
     assert got == expected and all(r.n_tokens * 4 == len(r.ids) for r in tokens.collect())
 
 
+def test_clashing_columns_and_no_n_chars(spark, rows, tmp_path):
+    docs = spark.createDataFrame(rows, COLUMNS).drop("n_chars")
+    names = ["_key", "_secrets", "_start", "_rid", "_stop", "row", "id", "key", "secrets", "owner", "rid", "shard", "slot"]
+    wide = docs.select("*", *[F.concat(F.lit(n), F.coalesce("doc_id", F.lit(0))).alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs, wide = cut(stage(spark, docs, str(tmp_path))), cut(stage(spark, wide, str(tmp_path)))
+        assert wide.columns == [*docs.columns, *names]
+        assert sorted(map(str, wide.select(docs.columns).collect())) == sorted(map(str, docs.collect()))
+        assert all(r[n] == f"{n}{r.doc_id or 0}" for r in wide.collect() for n in names)
+
+
 def test_run_and_empty_table(spark, rows, tmp_path):
     spark.createDataFrame(rows, COLUMNS).write.parquet(str(tmp_path / "a" / "documents.parquet"))
     first, second = (sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path / "a")).collect()), key=str) for _ in range(2))

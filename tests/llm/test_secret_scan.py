@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -36,11 +38,50 @@ def test_base_spans_match_python(spark):
 
 def test_ownership_adds_live_values_only(spark):
     out = {r.doc_id: r.secrets for r in scan(frame(spark)).collect()}
-    assert [(s.kind, s.start, s.end, s.owners, s.repositories, s.live) for s in out[11]] == [(3, 5, 5 + len(LIVE), 1, 3, True)]
+    assert [(s.kind, s.start, s.end, s.owners, s.repositories, s.live) for s in out[11]] == [(3, 5, 5 + len(LIVE), 1, 3, True)]  # three texts
     assert out[12] == out[13] == []
     assert [(s.kind, s.value, s.live) for s in out[15]] == [(0, LIVE, True)]
     widely = scan(frame(spark, [(i, 'token="abcdef1234567"', f"owner{i % 4}") for i in range(12)])).first().secrets[0]
-    assert (widely.owners, widely.repositories, widely.live) == (4, 12, False)
+    assert (widely.owners, widely.repositories, widely.live) == (4, 4, False)
+
+
+def test_copies_and_shares_of_one_owner(spark):
+    key = "Qw7" + "er5T" * 6
+    copied = [(i, f"the same text with {key}", "a") for i in range(50)]
+    ten = [(100 + i, f"text {i} with {LIVE}", "a") for i in range(10)]
+    common = [(200 + i, f"licence {'Cd2' * 9} no {i}", "b") for i in range(30)]
+    rest = [(300 + i, f"plain text {i}", s) for i in range(25) for s in "ab"]
+    out = {r.doc_id: [(s.repositories, s.live) for s in r.secrets] for r in scan(frame(spark, copied + ten + common + rest)).collect()}
+    assert all(out[i] == [(1, True)] for i in range(50)) and all(out[100 + i] == [(10, True)] for i in range(10))
+    assert all(out[200 + i] == [] for i in range(30))  # 30 of 55 texts
+
+
+def test_many_matches_in_one_text(spark):
+    text = " é\n".join(f"{i:024x}" if i % 3 else f"token=x{i:09d} {i:06d}" + "Zz9" * 7 for i in range(100_000))
+    docs = frame(spark, [(1, text, "a"), (2, "secret: none found here", "a")])
+    out = docs.join(scan(docs), "doc_id").select("doc_id", printed(F.filter("secrets", lambda s: s["kind"] < 3)).alias("spans"), F.size("secrets").alias("n"), redact(F.col("text"), F.col("secrets")).alias("t"))
+    begin = time.time()
+    got = {r.doc_id: r for r in out.collect()}
+    assert time.time() - begin < 60
+    assert got[1].spans == base(text) and got[1].n == 133_334
+    plain = "".join(m if m[0] in " \n" else "[REDACTED]" for m in re.findall(r" é\n| |[^ \n]+", text)).replace(" é\n", " é\n")
+    assert got[1].t == plain
+
+
+def test_redaction_matches_a_loop(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(60):
+        text = "".join(rng.choice("aé🙂\n ") for _ in range(rng.choice([0, 3, 255, 256, 257, 2000])))
+        spans = sorted((a, min(len(text), a + rng.randint(1, 400))) for a in (rng.randrange(len(text)) for _ in range(rng.randrange(9) if text else 0)))
+        rows.append((k, text, spans))
+    docs = spark.createDataFrame(rows, "k int, text string, s array<struct<start:int,end:int>>")
+    for r in docs.select("k", redact(F.col("text"), F.col("s"), "#").alias("t")).collect():
+        _, text, spans = rows[r.k]
+        out, at = "", 0
+        for a, b in spans:
+            out, at = (out + text[at:a] + "#", b) if a >= at else (out, max(at, b))
+        assert r.t == out + text[at:]
 
 
 def test_redaction(spark):

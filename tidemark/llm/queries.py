@@ -121,12 +121,14 @@ placed AS (
     CASE WHEN kind = 0 THEN regexp_extract(v, pattern, 2) ELSE v END AS secret FROM each
 ),
 found AS (
-  SELECT doc_id, source, kind, stop - length(v) AS start, stop, secret FROM placed
+  SELECT doc_id, coalesce(source, chr(0)) AS owner, kind, stop - length(v) AS start, stop, secret FROM placed
   WHERE CASE kind WHEN 0 THEN length(secret) >= 6 WHEN 3 THEN regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') ELSE true END
 ),
-held AS (SELECT secret, count(DISTINCT coalesce(source, chr(0))) AS owners, count(DISTINCT doc_id) AS repositories FROM found GROUP BY secret),
+held AS (SELECT secret, count(DISTINCT owner) AS owners, count(DISTINCT text) AS repositories, min(owner) AS owner FROM found JOIN d USING (doc_id) GROUP BY secret),
+owned AS (SELECT coalesce(source, chr(0)) AS owner, count(DISTINCT text) AS texts FROM d GROUP BY 1),
+live AS (SELECT secret, owners <= 1 AND (repositories < 20 OR 2 * repositories <= texts) AS live FROM held JOIN owned USING (owner)),
 picked AS (
-  SELECT f.* FROM found f JOIN held h USING (secret) WHERE kind < 3 OR owners <= 1 AND repositories <= 3 AND NOT EXISTS (
+  SELECT f.* FROM found f JOIN live USING (secret) WHERE kind < 3 OR live AND NOT EXISTS (
     SELECT 1 FROM found b WHERE b.doc_id = f.doc_id AND b.kind < 3 AND b.start < f.stop AND f.start < b.stop)
 ),
 named AS (SELECT *, name || ':' || start || ':' || stop AS span FROM picked JOIN kinds USING (kind)),
@@ -139,7 +141,7 @@ SELECT doc_id, CAST(coalesce(a, 0) AS BIGINT) AS n_assign, CAST(coalesce(b, 0) A
 FROM d LEFT JOIN sums USING (doc_id)
 """)
 def op5(spark, sf_dir):
-    """Secrets of every document; sources own them, and each document is a repository. A span is the whole match of its pattern."""
+    """Secrets of every document; sources own them, and each distinct text is a repository. A span is the whole match of its pattern."""
     out = secret_scan.scan(table(spark, sf_dir, "documents"))
     base = F.filter("secrets", lambda s: s["kind"] < 3)
     count = lambda k: F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("long")
