@@ -3,16 +3,17 @@
 1. quality: documents that the repetition rules reject go.
 2. duplicates: of each group of near copies the document with the least id stays (equal rows count once; documents without words are kept).
 3. secrets: every span that the secret scan finds is replaced by ``[REDACTED]``.
-4. mix: sources are brought to their target weights; a row is what the mix draws of a document, so documents may repeat, be cut or be left out.
+4. mix: sources are brought to their target weights; a row is what a shard of the mix draws of a document, so documents may repeat, be cut or be left
+   out. Rows stand in the order of shards and of the shuffled blocks in them.
 5. tokens: every row is encoded; ids are little-endian unsigned 32-bit integers.
 
-Null texts count as empty, which the first stage rejects. Tied and null ids are told apart by their texts. Extra columns pass through stages 1 to 4. Empty tables give empty results.
+Null texts count as empty, which the first stage rejects. Tied and null ids are told apart by their texts. Extra columns of any names pass through stages 1 to 4, and ``n_chars`` may be absent. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.byte_bpe import encode_texts
@@ -20,7 +21,7 @@ from tidemark.llm.mixing import mixed_texts
 from tidemark.llm.ngram_join import similar
 from tidemark.llm.repetition import judge_column
 from tidemark.llm.secret_scan import redact, scan
-from tidemark.llm.text import prepare, row_keys
+from tidemark.llm.text import LAST, prepare, row_keys
 from tidemark.session import configure, cut
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -33,20 +34,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.filter(judge_column(F.col("text")))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``id, key`` of every row beside the row itself, in one struct, so that the table's columns may have any names."""
+    return docs.select(_id("doc_id").alias("id"), row_keys("doc_id", "text").alias("key"), F.struct(*docs.columns).alias("row"))
+
+
+def _id(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("long"), F.lit(LAST))
+
+
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(configure(spark))
-    gone = similar(docs, rows_too=True).filter(~F.col("first")).select(F.col("row_key").alias("_key")).distinct()
-    keyed = docs.withColumn("_key", row_keys("doc_id", "text"))
-    return keyed.join(gone, "_key", "left_anti").dropDuplicates(["_key"]).select(*docs.columns)
+    gone = similar(docs, rows_too=True).filter(~F.col("first")).select(_id("doc_id").alias("id"), F.col("row_key").alias("key")).distinct()
+    return _keyed(docs).join(gone, ["id", "key"], "left_anti").dropDuplicates(["id", "key"]).select("row.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(configure(spark))
-    found = scan(docs, rows_too=True).filter(F.size("secrets") > 0).select(F.col("row_key").alias("_key"), F.col("secrets").alias("_secrets")).dropDuplicates(["_key"])
-    out = docs.withColumn("_key", row_keys("doc_id", "text")).join(found, "_key", "left")
-    text = F.when(F.col("_secrets").isNotNull(), redact(F.col("text"), F.col("_secrets"))).otherwise(F.col("text"))
-    out = out.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    found = scan(docs, rows_too=True).filter(F.size("secrets") > 0).select(_id("doc_id").alias("id"), F.col("row_key").alias("key"), "secrets").dropDuplicates(["id", "key"])
+    text = F.when(F.col("secrets").isNotNull(), redact(F.col("row.text"), F.col("secrets"))).otherwise(F.col("row.text"))
+    out = _keyed(docs).join(found, ["id", "key"], "left").select("row", text.alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.length("text")}
+    return out.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
