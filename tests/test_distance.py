@@ -106,3 +106,45 @@ def test_sample_entropy_of_long_windows_is_quick():
     assert time.process_time() - start < 60  # 1,501 windows; one by one they take minutes
     for i in (0, 700, 1500):
         assert got[i] == pytest.approx(entropy(rows[i]))
+
+
+def simulated(seed, n, omega, alpha, beta):
+    rng = np.random.default_rng(seed)
+    v, out = omega / (1 - alpha - beta), []
+    for z in rng.normal(size=n):
+        out.append(np.sqrt(v) * z)
+        v = omega + alpha * out[-1] ** 2 + beta * v
+    return np.array(out)
+
+
+def likelihood(e, alpha, beta):
+    """Gaussian log-likelihood and conditional variances, one error after the other."""
+    e2, v, total, seen = (e - e.mean()) ** 2, e.var(), 0.0, []
+    omega = v * (1 - alpha - beta)
+    for x in e2:
+        seen.append(v)
+        total -= 0.5 * (np.log(2 * np.pi * v) + x / v)
+        v = omega + alpha * x + beta * v
+    return total, np.array(seen)
+
+
+def test_volatility_is_fitted_by_likelihood(spark):
+    planted = {"a": (0.1, 0.12, 0.8), "b": (1.0, 0.3, 0.4), "c": (0.02, 0.05, 0.93)}
+    errors = {k: simulated(i, 6000, *p) for i, (k, p) in enumerate(planted.items())} | {"flat": np.zeros(50), "one": np.ones(1)}
+    pdf = pd.concat([pd.DataFrame({"series_id": k, "t": np.arange(len(e)), "x": e + 3, "y": 3.0}) for k, e in errors.items()])
+    df = spark.createDataFrame(pdf).repartition(7)
+    fits = [{r.series_id: r for r in ds.volatility_fit(df, "x", "y", size=size).collect()} for size in (None, 500)]
+    assert set(fits[0]) == set(fits[1]) == set(planted)
+    for k, (_, alpha, beta) in planted.items():
+        r, e = fits[0][k], errors[k]
+        assert abs(r.alpha - alpha) < 0.06 and abs(r.beta - beta) < 0.12
+        assert abs(r.likelihood - likelihood(e, r.alpha, r.beta)[0]) < 1e-6 * abs(r.likelihood)
+        # No other point nearby is better, and the size of a chunk does not matter.
+        for a, b in ((0.01, 0), (-0.01, 0), (0, 0.01), (0, -0.01), (0.01, -0.01), (-0.01, 0.01)):
+            if r.alpha + a >= 0 and r.alpha + r.beta + a + b < 0.9995:
+                assert likelihood(e, r.alpha + a, r.beta + b)[0] <= r.likelihood + 1e-6
+        assert abs(fits[1][k].alpha - r.alpha) < 1e-6 and abs(fits[1][k].beta - r.beta) < 1e-6 and abs(fits[1][k].likelihood - r.likelihood) < 1e-6
+    one = df.filter("series_id = 'b'")
+    got = {r.t: r.score for r in ds.volatility_fitted(one, "x", "y", 20, size=700).collect()}
+    ratio = np.abs(errors["b"]) / np.sqrt(likelihood(errors["b"], fits[0]["b"].alpha, fits[0]["b"].beta)[1])
+    assert len(got) == 6000 - 19 and all(abs(got[t] - ratio[t:t + 20].mean()) < 1e-6 for t in range(0, 5981, 13))

@@ -59,6 +59,15 @@ def _(spark, d):
     return rounded(ds.volatility_weighted(s, "c1", "prev", 14))
 
 
+@query("dst3_volatility_fitted")
+def _(spark, d):
+    """GARCH(1, 1) volatility fitted to every series by likelihood (tested against a plain loop, tests/test_distance.py)."""
+    from ..plans.ordered import shifted
+    t = fx.ts_day(spark, d).select("series_id", "t", "c1")
+    s = shifted(t, ["series_id"], "t", {"prev": ("c1", 1)}).withColumn("prev", F.coalesce("prev", "c1"))
+    return rounded(ds.volatility_fitted(s, "c1", "prev", 14))
+
+
 @query("dst5_fourier", sql("ts_day", "SELECT series_id, t, round(sqrt(sum((x - y) * (x - y)) / count(*)), 6) AS score FROM pw GROUP BY 1, 2", PR))
 def _(spark, d):
     return _pairs(spark, d).select("series_id", "t", rd(ds.fourier(F.col("x"), F.col("y"))).alias("score"))

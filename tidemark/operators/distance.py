@@ -11,11 +11,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.vectors import dot
-from ..plans.attach import attach
-from ..plans.chunks import array_moments, key_schema, solve_per_key, unpack
+from ..plans.attach import attach, sized
+from ..plans.chunks import CHUNK_ROWS, array_moments, collected, key_schema, packed_chunks, solve_per_key, unpack
 from ..plans.ordered import framed, halo
+from ..session import cut
 from .clean import with_length
 from .windows import slide
 
@@ -121,6 +123,145 @@ def volatility_weighted(
     return chunked.groupBy(*names, "_chunk").applyInPandas(run, f"{key_schema(series, keys)}, t {kind}, score double")
 
 
+# Bounds of the fitted volatility: -log(1 - persistence), and alpha's share of the persistence.
+_LEAST_Q, _MOST_Q = 0.01, 7.6
+_MEMORY = int(np.ceil(np.log(1e-12) / np.log1p(-np.exp(-_MOST_Q))))
+
+
+def _coefficients(q: np.ndarray, share: np.ndarray, variance: float):
+    """omega, alpha, beta; omega is such that the long-run variance is the one of the errors."""
+    p = 1 - np.exp(-q)
+    return variance * (1 - p), p * share, p * (1 - share)
+
+
+def _variances(e2: np.ndarray, first: np.ndarray, omega, alpha, beta) -> np.ndarray:
+    """Conditional variances before each of the squared errors and after the last, one column per candidate."""
+    out = np.empty((len(e2) + 1, len(first)))
+    out[0] = first
+    for i, x in enumerate(e2):
+        out[i + 1] = omega + alpha * x + beta * out[i]
+    return out
+
+
+def _candidates(row) -> tuple:
+    return _coefficients(np.asarray(row["q"], dtype=float), np.asarray(row["share"], dtype=float), row["variance"])
+
+
+def _entry_variances(chunks: DataFrame, models: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
+    """(keys, _chunk, first): conditional variance of every candidate at the begin of each chunk.
+
+    A chunk maps the variance at its begin to that of the next by ``scale * v + shift``; the maps of the chunks before are composed. Those so
+    far back that their weight is below 1e-12 are left out, so a fold has a bounded length.
+    """
+    names = list(keys)
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                omega, alpha, beta = _candidates(row)
+                e2 = (np.asarray(row["c0"], dtype=float) - row["mean"]) ** 2
+                shift = np.zeros(len(beta))
+                for x in e2:
+                    shift = omega + alpha * x + beta * shift
+                out.append({**{k: row[k] for k in (*names, "_chunk", "variance")}, "scale": beta ** len(e2), "shift": shift})
+            yield pd.DataFrame(out, columns=[*names, "_chunk", "variance", "scale", "shift"])
+
+    maps = chunks.join(models, names).mapInPandas(run, f"{key_schema(chunks, keys)}, _chunk long, variance double, scale array<double>, shift array<double>")
+    back = Window.partitionBy(*names).orderBy("_chunk").rowsBetween(-max(1, -(-_MEMORY // size)), -1)
+    before = maps.select(*names, "_chunk", F.transform("shift", lambda _: F.col("variance")).alias("v"), F.collect_list(F.struct("scale", "shift")).over(back).alias("_maps"))
+    step = lambda acc, m: F.zip_with(F.zip_with(acc, m["scale"], lambda v, a: v * a), m["shift"], lambda v, b: v + b)
+    return before.select(*names, "_chunk", F.aggregate("_maps", F.col("v"), step).alias("first"))
+
+
+def _with_entry(chunks, models, keys, size):
+    return chunks.join(sized(_entry_variances(chunks, models, keys, size)), [*keys, "_chunk"]).join(models, list(keys))
+
+
+def _errors(series: DataFrame, value: str, estimate: str, keys: Sequence[str]) -> DataFrame:
+    e = (F.col(value) - F.col(estimate)).cast("double")
+    return series.select(*keys, "t", e.alias("e")).filter(F.col("e").isNotNull() & ~F.isnan("e"))
+
+
+def volatility_fit(series: DataFrame, value: str, estimate: str, keys: Sequence[str] = KEYS, size: int | None = None, grid: int = 9, tolerance: float = 1e-4) -> DataFrame:
+    """(keys, mean, variance, omega, alpha, beta, likelihood): a GARCH(1, 1) volatility of the errors of every series, by maximum likelihood.
+
+    variance(t + 1) = omega + alpha * (e(t) - mean)^2 + beta * variance(t), from the variance of all errors, which is also the long-run variance
+    (omega follows from alpha and beta). The Gaussian likelihood of a grid of candidates is summed over chunks; the grid then shrinks around
+    the best one until it is narrower than ``tolerance``. Rows are packed once and not shuffled again; the number of passes does not depend
+    on the data. Errors that are missing are left out; a series without two different errors has no row.
+    """
+    names, size = list(keys), size or CHUNK_ROWS
+    errors = _errors(series, value, estimate, keys)
+    chunks = packed_chunks(errors, ["e"], 1, keys, size)
+    known = cut(errors.groupBy(*names).agg(F.avg("e").alias("mean"), F.var_pop("e").alias("variance"), F.count("*").alias("n")).filter("n > 1 AND variance > 0"))
+    return _fit(chunks, known, keys, size, grid, tolerance)
+
+
+def _fit(chunks: DataFrame, known: DataFrame, keys: Sequence[str], size: int, grid: int, tolerance: float) -> DataFrame:
+    names = list(keys)
+
+    def around(row, wide: float) -> dict:
+        q = np.clip(row["at_q"] + np.linspace(-wide, wide, grid) * (_MOST_Q - _LEAST_Q) / 2, _LEAST_Q, _MOST_Q)
+        share = np.clip(row["at_share"] + np.linspace(-wide, wide, grid) / 2, 0.0, 1.0)
+        return {"mean": row["mean"], "variance": row["variance"], "q": np.repeat(q, grid), "share": np.tile(share, grid)}
+
+    def likelihood(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                e2 = (np.asarray(row["c0"], dtype=float) - row["mean"]) ** 2
+                first, total = np.asarray(row["first"], dtype=float), 0.0
+                coefficients = _candidates(row)
+                for lo in range(0, len(e2), 4096):
+                    part = e2[lo:lo + 4096]
+                    v = _variances(part, first, *coefficients)
+                    first, v = v[-1], v[:-1]
+                    total = total - 0.5 * (np.log(2 * np.pi * v) + part[:, None] / v).sum(0)
+                out.append({**{k: row[k] for k in names}, "v": total})
+            yield pd.DataFrame(out, columns=[*names, "v"])
+
+    at = known.select(*names, "mean", "variance", F.lit((_LEAST_Q + _MOST_Q) / 2).alias("at_q"), F.lit(0.5).alias("at_share"))
+    wide = 1.0
+    while True:
+        models = sized(solve_per_key(at, lambda row, wide=wide: around(row, wide), "mean double, variance double, q array<double>, share array<double>", keys))
+        parts = _with_entry(chunks, models, keys, size).mapInPandas(likelihood, f"{key_schema(chunks, keys)}, v array<double>")
+        sums = collected(parts.select(*names, F.posexplode("v").alias("i", "v")), keys)
+
+        def best(row):
+            i = int(np.argmax(np.asarray(row["m"], dtype=float)))
+            return {"mean": row["mean"], "variance": row["variance"], "at_q": float(row["q"][i]), "at_share": float(row["share"][i]), "likelihood": float(row["m"][i])}
+
+        at = cut(solve_per_key(sums.join(models, names), best, "mean double, variance double, at_q double, at_share double, likelihood double", keys))
+        if wide <= tolerance:
+            break
+        wide *= 0.4
+    p = 1 - F.exp(-F.col("at_q"))
+    return at.select(*names, "mean", "variance", (F.col("variance") * (1 - p)).alias("omega"), (p * F.col("at_share")).alias("alpha"), (p * (1 - F.col("at_share"))).alias("beta"), "likelihood")
+
+
+def volatility_fitted(series: DataFrame, value: str, estimate: str, window: int, model: DataFrame | None = None, keys: Sequence[str] = KEYS, size: int | None = None) -> DataFrame:
+    """(keys, t, score) per window begin: mean absolute error over the volatility that ``volatility_fit`` finds (or ``model``, its result)."""
+    names, size = list(keys), size or CHUNK_ROWS
+    model = model if model is not None else volatility_fit(series, value, estimate, keys, size)
+    p = F.col("alpha") + F.col("beta")
+    models = sized(model.select(*names, "mean", "variance", F.array(-F.log(1 - p)).alias("q"), F.array(F.col("alpha") / p).alias("share")))
+    chunks = packed_chunks(_errors(series, value, estimate, keys).withColumn("at", F.col("t")), ["e", "at"], 1, keys, size)
+    kind = series.schema["t"].dataType.simpleString()
+
+    def ratios(batches):
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                e = np.asarray(row["c0"], dtype=float)
+                v = _variances((e - row["mean"]) ** 2, np.asarray(row["first"], dtype=float), *_candidates(row))[:-1, 0]
+                yield pd.DataFrame({**{k: [row[k]] * len(e) for k in names}, "t": np.asarray(row["c1"], dtype=np.int64), "r": np.abs(e) / np.sqrt(v)})
+
+    rows = _with_entry(chunks, models, keys, size).mapInPandas(ratios, f"{key_schema(series, keys)}, t {kind}, r double")
+    over = lambda fn: lambda w: fn("r").over(w.rowsBetween(0, window - 1))
+    out = framed(rows, keys, "t", 0, window - 1, {"score": over(F.avg), "_n": over(F.count)}, size)
+    return out.filter(F.col("_n") == window).select(*names, "t", "score")
+
+
 def fourier(x: Column, y: Column) -> Column:
     """L2 norm of the difference of the transforms over the length; by Parseval the L2 norm over the root of the length."""
     total = F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
