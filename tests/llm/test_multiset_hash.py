@@ -3,7 +3,7 @@ import hashlib
 import numpy as np
 
 from tidemark.llm import multiset_hash
-from tidemark.llm.multiset_hash import _sketch, delete, fingerprints, insert, likeness, vector
+from tidemark.llm.multiset_hash import _sketch, delete, fingerprints, insert, likeness, printed, updated, vector
 
 SCHEMA = "doc_id long, text string, rid string, vector string, following int"
 
@@ -60,3 +60,12 @@ def test_likeness_follows_the_shared_part():
     a, b = (" ".join(f"w{x}" for x in rng.integers(0, 10**6, 400)) for _ in range(2))
     mixed = a[:len(a) * 2 // 3] + b[:len(a) // 3]
     assert abs(likeness(vector(a), vector(mixed)) - 2 / 3) < 0.12 and likeness(vector(a), vector(b)) < 0.15
+
+
+def test_printed_fingerprints_can_be_updated(spark):
+    texts = ["first\nsecond", "second\nfirst\nthird", "third", "", "first\nfirst"]
+    rows = [(i, t, "", "", 1) for i, t in enumerate(texts)]
+    out = {r.doc_id: bytes(r.vector).hex() for r in fingerprints(spark.createDataFrame(rows, SCHEMA), wide=False).collect()}
+    assert all(out[i] == printed(vector(t)) for i, t in enumerate(texts)) and len(set(out.values())) == len(texts)
+    assert updated(out[0], inserted="third") == out[1] and updated(out[1], deleted="second\nfirst") == out[2]
+    assert updated(out[0], inserted="first", deleted="second") == out[4]

@@ -22,6 +22,7 @@ from ..session import cut
 from .text import mix, odd_constants, rows_of, tagged, untag
 
 IDENTITY, SKETCH, GRAM = 256, 512, 12
+PRINTED = 16  # identity lanes of a printed fingerprint: 512 bits
 _CHUNK = 1 << 16
 _A, _B, _C, _D, _E = odd_constants(5, 12)
 
@@ -55,12 +56,12 @@ def vector(text: str) -> np.ndarray:
     return np.concatenate([np.frombuffer(digests, "<u4").reshape(-1, IDENTITY).sum(0, dtype=np.uint32), _sketch(text)])
 
 
-def insert(total: np.ndarray, paragraphs: str) -> np.ndarray:
-    return total + vector(paragraphs)
+def insert(total: np.ndarray, paragraphs: str, lanes: int | None = None) -> np.ndarray:
+    return total + vector(paragraphs)[:lanes]
 
 
-def delete(total: np.ndarray, paragraphs: str) -> np.ndarray:
-    return total - vector(paragraphs)
+def delete(total: np.ndarray, paragraphs: str, lanes: int | None = None) -> np.ndarray:
+    return total - vector(paragraphs)[:lanes]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -73,8 +74,16 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def printed(v: np.ndarray) -> str:
-    """A digest of the whole vector."""
-    return hashlib.sha256(v.astype("<u4").tobytes()).hexdigest()
+    """The first identity lanes of a vector in hex. They add up like the vector, so a printed fingerprint can be updated."""
+    return v[:PRINTED].astype("<u4").tobytes().hex()
+
+
+def updated(fingerprint: str, inserted: str | None = None, deleted: str | None = None) -> str:
+    """A printed fingerprint after paragraphs were inserted or deleted; the text itself is not needed."""
+    v = np.frombuffer(bytes.fromhex(fingerprint), "<u4").astype(np.uint32)
+    if inserted is not None:
+        v = insert(v, inserted, PRINTED)
+    return printed(v if deleted is None else delete(v, deleted, PRINTED))
 
 
 def replaced(text: str, following: str) -> tuple[str, int]:
@@ -92,7 +101,7 @@ _TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary
 def _result(id_, rid, text, own, following, theirs, wide):
     edited, at = replaced(text, following)
     changed = insert(delete(own, text[at:]), edited[at:]) if edited != text else own
-    show = (lambda v: v.astype("<u4").tobytes()) if wide else (lambda v: hashlib.sha256(v.astype("<u4").tobytes()).digest())
+    show = lambda v: v[:None if wide else PRINTED].astype("<u4").tobytes()
     return (0, id_, rid, len(text), hashlib.sha256(edited.encode()).hexdigest(), show(own), show(changed), likeness(own, changed), likeness(own, theirs), None)
 
 
@@ -134,8 +143,8 @@ def _edge(wide: bool):
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wide: bool = True) -> DataFrame:
     """Fingerprint every text and its edited form: the last third replaced by the start of the next document in descending order of id.
 
-    Returns ``id_col, n_chars, edited_sha256, vector, edited_vector, near_edited, near_next``; ``wide=False`` returns SHA-256 digests of the
-    vectors in their place. A null text is empty (one empty paragraph). Tied ids are ordered by a hash of the text, null ids come first in
+    Returns ``id_col, n_chars, edited_sha256, vector, edited_vector, near_edited, near_next``; ``wide=False`` returns only their first
+    ``PRINTED`` identity lanes, which ``updated`` can still insert into and delete from. A null text is empty (one empty paragraph). Tied ids are ordered by a hash of the text, null ids come first in
     descending order, the last document is followed by the first, a single document by itself. Other columns are ignored; no rows give no rows.
 
     The texts are shuffled once, by ranges of the id. Each task settles all its rows but the first, whose neighbour is the last row of another

@@ -66,7 +66,7 @@ def op3(spark, sf_dir):
 
 @query("op2_multiset_hash")
 def op2(spark, sf_dir):
-    """Fingerprint of every document and of its edited form; printed as digests of the vectors."""
+    """Fingerprint of every document and of its edited form; printed as their first identity lanes, which add up like the vectors."""
     out = fingerprints(table(spark, sf_dir, "documents"), wide=False)
     return out.select("doc_id", "n_chars", "edited_sha256", F.lower(F.hex("vector")).alias("fingerprint"), F.lower(F.hex("edited_vector")).alias("edited_fingerprint"), "near_edited", "near_next")
 
