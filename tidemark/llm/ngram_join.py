@@ -4,7 +4,7 @@
    a class; one row stands for it, so copies cost nothing further.
 2. Bands of ``ROWS`` MinHash values propose pairs. At similarity 0.8 a pair is missed with probability (1 - 0.8^4)^32 < 1e-7. Instead of emitting
    pairs, each class is sent to the pivots (least member) of its band buckets; classes that share a bucket share its pivot.
-3. A pivot's classes are laid out in blocks of about ``BLOCK`` n-grams; a cell holds two blocks. ``_cell`` compares MinHash values 16 at a time and
+3. A pivot's classes are laid out in blocks of about ``BLOCK`` n-grams, a class counting as ``ROW_COST`` more; a cell holds two blocks. ``_cell`` compares MinHash values 16 at a time and
    drops a pair once the posterior probability (uniform prior) that its similarity reaches the threshold falls below ``TOLERANCE``; the rest is
    counted exactly on the n-gram sets. A pair that meets in several pivots is counted at the least of them.
 4. A cell returns the number of links of each class and a spanning forest of its links, never the pairs.
@@ -26,6 +26,7 @@ from .graph import components
 from .text import LAST, mix, odd_constants, rows_of, spans, tagged, untag, window_hashes, word_hashes
 
 HASHES, ROWS, STEP, TOLERANCE, BLOCK = 128, 4, 16, 1e-7, 1_000_000
+ROW_COST = 200  # what a class costs in a cell besides its n-grams (MinHash values, pivots, objects), in n-grams
 _SLICE = 1 << 15
 
 
@@ -231,7 +232,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     pivots = bands.groupBy("band").agg(F.min("rid").alias("pivot"), F.count("*").alias("rows")).filter("rows > 1").select("band", "pivot")
     homes = cut(bands.join(pivots, "band").select("rid", "pivot").distinct())
     # Written first, so that adaptive execution sees two plain sides and can split the members of a large pivot.
-    blocks = cut(homes.join(classes.select("rid", "size"), "rid").groupBy("pivot").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks")))
+    blocks = cut(homes.join(classes.select("rid", "size"), "rid").groupBy("pivot").agg(F.ceil(F.sum(F.col("size") + ROW_COST) / BLOCK).cast("int").alias("blocks")))
     members = homes.join(blocks, "pivot").groupBy("rid").agg(F.collect_list(F.struct("pivot", "blocks")).alias("homes"))
     texts = rows.select("rid", "text").join(members, "rid").dropDuplicates(["rid"])
     found = cut(texts.mapInArrow(_members(n), MEMBER_SCHEMA).groupBy("pivot", "i", "j").applyInArrow(_cell(limit), "rid long, links long, peer long"))
