@@ -346,3 +346,53 @@ def test_events_are_clipped_to_fractional_zones(spark):
     got = sorted((r.s, r.zone, r.lo, r.hi) for r in jn.clip_to_zones(events, zones).collect())
     want = sorted((s, z, float(max(s, lo)), float(min(e, hi))) for s, e in [(0, 4), (7, 9), (-5, 10**9)] for z, (lo, hi) in enumerate([(-2.5, 0.0), (0.0, 3.5), (3.5, 7.25), (7.25, 5e8)]) if max(s, lo) < min(e, hi))
     assert got == want
+
+
+class Kept(dict):
+    """Value and map state of one key, which count what is put in."""
+
+    puts = 0
+
+    def get(self):
+        return dict.get(self, "v")
+
+    def exists(self):
+        return bool(self)
+
+    def update(self, value):
+        self.updateValue("v", value)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self[key], self.puts = value, self.puts + 1
+
+    getValue, removeKey = dict.__getitem__, dict.__delitem__  # noqa: N815
+
+
+def test_waiting_events_cost_a_key_one_timer_and_few_entries():
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from tidemark.streaming.ordered import RunningScore
+
+    states, timers, set_ = {}, set(), []
+    state = lambda name, *_: states.setdefault(name, Kept())
+    handle = SimpleNamespace(getMapState=state, getValueState=state, getListState=state, registerTimer=lambda t: (timers.add(t), set_.append(t)), deleteTimer=timers.discard)
+    p = RunningScore(5, bucket=600)
+    p.init(handle)
+    rng = np.random.default_rng(3)
+    n, start = 3000, pd.Timestamp("2024-01-01")
+    rows = pd.DataFrame({"ts": start + pd.to_timedelta(rng.permutation(n) * 300, unit="s"), "event_id": np.arange(n), "value": rng.normal(size=n)})
+    at = lambda t: SimpleNamespace(getCurrentWatermarkInMs=lambda: int(t.timestamp() * 1000))
+    for k in range(2):
+        list(p.handleInputRows(("a",), iter([rows[k::2]]), at(start)))
+    assert len(set_) <= 2 and len(timers) == 1 and states["waiting"].puts == 4
+    out = []
+    for share in (0.25, 0.25, 0.6, 0.999):
+        mark = start + pd.Timedelta(seconds=int(n * 300 * share))
+        for t in [t for t in sorted(timers) if t <= mark.timestamp() * 1000]:
+            out += list(p.handleExpiredTimer(("a",), at(mark), SimpleNamespace(getExpiryTimeInMs=lambda t=t: t)))
+            timers.discard(t)
+    got = pd.concat(out)["event_id"].tolist()
+    due = rows[rows["ts"].dt.floor("600s") + pd.Timedelta(seconds=600) <= mark].sort_values("ts")["event_id"].tolist()
+    assert got == due and len(timers) == 1 and states["waiting"].puts < 12

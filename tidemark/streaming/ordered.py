@@ -1,8 +1,9 @@
 """Keyed stream processors that see the rows of a key in the order of time (inventory STR3, STR4).
 
 Rows of a key reach a micro-batch in any order and in several Arrow pieces. Without a watermark they are put in order inside each micro-batch; many rows of one key are
-sorted in runs that wait in the state store. With a watermark rows wait in the state, by time bucket, until the watermark has passed their bucket, so scores
-do not depend on the file an event came in; rows later than the watermark are dropped, and a key that was silent for long leaves the state.
+sorted in runs that wait in the state store. With a watermark rows wait in the state, in sorted entries known by their first time bucket, until the watermark has passed their bucket
+(a key has one timer and a few entries, whatever the number of its buckets), so scores do not depend on the file an event came in; rows later than the watermark
+are dropped, and a key that was silent for long leaves the state.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from ..operators.detect.cluster import window_rows
 from ..operators.detect.density import hbos_points
 
 HELD_ROWS = 1 << 17
-FOREVER = np.iinfo(np.int64).max
+WAITING_ROWS = 1024
+FOREVER = int(np.iinfo(np.int64).max)
+FRESH = (0, 0, FOREVER, FOREVER)
 
 
 def event_type(width: int = 1) -> np.dtype:
@@ -113,7 +116,7 @@ class InOrder(StatefulProcessor):
         self.runs = handle.getMapState("runs", "run long, block long", "rows binary")
         if self.bucket:
             self.waiting = handle.getMapState("waiting", "bucket long, part long", "rows binary")
-            self.mark = handle.getValueState("mark", "parts long, latest long, last long")
+            self.mark = handle.getValueState("mark", "parts long, latest long, last long, due long")
         self.open(handle)
 
     def open(self, handle: StatefulProcessorHandle) -> None:
@@ -147,49 +150,82 @@ class InOrder(StatefulProcessor):
         if not self.bucket:
             yield from self.score(key, in_time_order(pieces, self.held, _Runs(self.runs)))
             return
-        watermark, width = timerValues.getCurrentWatermarkInMs(), self.bucket * 1_000_000
-        parts, latest, last = self.mark.get() if self.mark.exists() else (0, 0, FOREVER)
+        watermark = timerValues.getCurrentWatermarkInMs()
+        parts, latest, last, due = self.mark.get() or FRESH
+        first = due
         for events in pieces:
             events = events[(events["ts"] != FOREVER) & (events["ts"] >= watermark * 1000)]
-            place = events["ts"] // width
-            for b in np.unique(place).tolist():
-                self.waiting.updateValue((b, parts), (events[place == b].tobytes(),))
-                self.handle.registerTimer((b + 1) * self.bucket * 1000)
-                parts, latest = parts + 1, max(latest, (b + 1) * self.bucket * 1000)
-        self.mark.update((parts, latest, last))
-
-    def _due(self, watermark: int) -> Iterator[np.ndarray]:
-        """The events of every bucket that the watermark has passed, bucket after bucket."""
-        found: dict[int, list[int]] = {}
-        for b, part in self.waiting.keys():
-            if (b + 1) * self.bucket * 1000 <= watermark:
-                found.setdefault(b, []).append(part)
-        for b in sorted(found):
-            blocks = [np.frombuffer(bytes(self.waiting.getValue((b, p))[0]), event_type(len(self.values))) for p in found[b]]
-            yield from in_time_order(iter(blocks), self.held, _Runs(self.runs))
-            for p in found[b]:
-                self.waiting.removeKey((b, p))
+            if len(events):
+                parts, end = self._keep(events, parts)
+                first, latest = min(first, end), max(latest, self._end(int(events["ts"].max()) // (self.bucket * 1_000_000)))
+        self._alarm(due, first)
+        self.mark.update((parts, latest, last, first))
+
+    def _end(self, bucket: int) -> int:
+        """Milliseconds at which a bucket ends."""
+        return (bucket + 1) * self.bucket * 1000
+
+    def _alarm(self, due: int, first: int) -> None:
+        """A key has one timer, for its first waiting bucket."""
+        if first < due:
+            if due != FOREVER:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(first)
+
+    def _keep(self, events: np.ndarray, parts: int) -> tuple[int, int]:
+        """Put events into the state in time order, some rows in an entry known by its first bucket; the next part and the end of the first bucket."""
+        events = events[np.argsort(events["ts"], kind="stable")]
+        for lo in range(0, len(events), WAITING_ROWS):
+            piece = events[lo:lo + WAITING_ROWS]
+            self.waiting.updateValue((int(piece["ts"][0]) // (self.bucket * 1_000_000), parts), (piece.tobytes(),))
+            parts += 1
+        return parts, self._end(int(events["ts"][0]) // (self.bucket * 1_000_000))
+
+    def _due(self, watermark: int, early: list[np.ndarray], ends: list[int]) -> Iterator[np.ndarray]:
+        """The events of every bucket that the watermark has passed. What an entry holds beyond goes to ``early``, the first ends of entries that stay to ``ends``."""
+        passed = watermark // (self.bucket * 1000)
+        found = sorted((b, part) for b, part in self.waiting.keys())
+        ends.extend(self._end(b) for b, _ in found if b >= passed)
+        for b, part in found:
+            if b < passed:
+                events = np.frombuffer(bytes(self.waiting.getValue((b, part))[0]), event_type(len(self.values)))
+                n = int(np.searchsorted(events["ts"], passed * self.bucket * 1_000_000))
+                if n < len(events):
+                    early.append(events[n:])
+                yield events[:n]
+                self.waiting.removeKey((b, part))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        watermark = timerValues.getCurrentWatermarkInMs()
+        watermark, early, ends = timerValues.getCurrentWatermarkInMs(), [], []
+        parts, latest, last, due = self.mark.get() or FRESH
+        blocks = in_time_order(self._due(watermark, early, ends), self.held, _Runs(self.runs))
         if self.forget is None:
-            yield from self.score(key, self._due(watermark))
-            return
-        parts, latest, last = self.mark.get() if self.mark.exists() else (0, 0, FOREVER)
-        for block in self._due(watermark):
-            gaps = np.flatnonzero(np.diff(block["ts"], prepend=min(last, block["ts"][0])) > self.forget * 1_000_000)
-            for piece in np.split(block, gaps):
-                if len(piece):
-                    if len(gaps) and piece["ts"][0] in block["ts"][gaps]:
-                        self.leave()
-                    yield from self.score(key, iter([piece]))
-            last = int(block["ts"][-1])
-        self.mark.update((parts, latest, last))
-        if watermark > latest + self.forget * 1000:
-            self.mark.clear()
-            self.leave()
-        elif expiredTimerInfo.getExpiryTimeInMs() == latest:
-            self.handle.registerTimer(latest + self.forget * 1000 + 1)
+            yield from self.score(key, blocks)
+        else:
+            for block in blocks:
+                if not len(block):
+                    continue
+                gaps = np.flatnonzero(np.diff(block["ts"], prepend=min(last, block["ts"][0])) > self.forget * 1_000_000)
+                for piece in np.split(block, gaps):
+                    if len(piece):
+                        if len(gaps) and piece["ts"][0] in block["ts"][gaps]:
+                            self.leave()
+                        yield from self.score(key, iter([piece]))
+                last = int(block["ts"][-1])
+        if early:
+            parts, end = self._keep(np.concatenate(early), parts)
+            ends.append(end)
+        first = min(ends, default=FOREVER)
+        if not ends and self.forget is not None:
+            if watermark > latest + self.forget * 1000:
+                self.mark.clear()
+                self.leave()
+                return
+            first = latest + self.forget * 1000 + 1
+        if expiredTimerInfo.getExpiryTimeInMs() >= due:  # this timer was the key's, it is gone after this call
+            due = FOREVER
+        self._alarm(due, first)
+        self.mark.update((parts, latest, last, first))
 
     def close(self) -> None:
         pass
@@ -206,16 +242,14 @@ class RunningScore(InOrder):
         self.width = width
 
     def open(self, handle: StatefulProcessorHandle) -> None:
-        self.moments = handle.getValueState("moments", "n long, mean double, m2 double")
-        self.last = handle.getListState("last", "v double")
+        self.moments = handle.getValueState("moments", "n long, mean double, m2 double, last binary")
 
     def leave(self) -> None:
         self.moments.clear()
-        self.last.clear()
 
     def score(self, key, events: Iterator[np.ndarray]) -> Iterator[pd.DataFrame]:
-        n, mean, m2 = self.moments.get() if self.moments.exists() else (0, 0.0, 0.0)
-        recent = np.array([r[0] for r in self.last.get()] if self.last.exists() else [], float)
+        n, mean, m2, recent = self.moments.get() or (0, 0.0, 0.0, b"")
+        recent = np.frombuffer(bytes(recent))
         before = n
         for block in events:
             if not len(block):
@@ -242,8 +276,7 @@ class RunningScore(InOrder):
             recent = np.concatenate([recent, x])[-self.width :]
             yield pd.DataFrame({"key": str(key[0]), "event_id": self.names(block), "z": z, "local_z": local})
         if n > before:
-            self.moments.update((n, mean, m2))
-            self.last.put([(float(v),) for v in recent])
+            self.moments.update((n, mean, m2, recent.tobytes()))
 
 
 def running_scores(events: DataFrame, key: str = "user_id", width: int = 20, held: int = HELD_ROWS, late: str | None = None, bucket: int = 600, forget: int | None = None) -> DataFrame:
