@@ -84,6 +84,38 @@ def test_neighbours_of_clustered_vectors_grow_about_linearly(spark, monkeypatch)
     assert seen[1]["pairs"] < 6000**2 / 4
 
 
+def test_vectors_without_near_cells_are_not_copied_to_every_cell(spark, monkeypatch):
+    placed, plain = [], neighbours._in_blocks
+
+    def counted(rows, *args):
+        placed.append(rows.count())
+        return plain(rows, *args)
+
+    monkeypatch.setattr(neighbours, "_in_blocks", counted)
+    x = np.random.default_rng(4).normal(size=(500, 24))
+    got = scores(neighbours.knn_score(vectors(spark, x), 3, rows_per_pivot=50, query_block=20, base_block=40, block_rows=50))
+    assert np.allclose(got, brute_knn(x, 3)[:, -1])
+    assert placed == [500, 500]  # queries and candidates; ten cells would need nearly all candidates each
+
+
+@pytest.mark.parametrize("p", [1, 2])
+def test_nearest_rows_are_those_of_all_distances(monkeypatch, p):
+    monkeypatch.setattr(neighbours, "ROW_TILE", 16)
+    monkeypatch.setattr(neighbours, "COLUMN_TILE", 50)
+    rng = np.random.default_rng(5)
+    far = np.full((1, 4), 1e12)
+    cases = [
+        (rng.normal(size=(40, 8)), rng.normal(size=(333, 8))), (rng.integers(0, 2, (40, 3)) * 1.0, rng.integers(0, 2, (333, 3)) * 1.0),
+        (1e8 + rng.normal(size=(40, 4)), 1e8 + rng.normal(size=(333, 4))), (np.r_[rng.normal(size=(39, 4)), far], np.r_[rng.normal(size=(300, 4)) * 1e-6, far, far]),
+    ]
+    for u, v in cases:
+        d = neighbours._gaps(u, v, p)
+        order = np.argsort(d, axis=1, kind="stable")
+        for k in (1, 5, 31, 400):
+            got_d, got = neighbours._nearest_rows(u, v, k, p)
+            assert np.array_equal(got, order[:, :k]) and np.array_equal(got_d, np.take_along_axis(d, got, 1))
+
+
 @pytest.mark.parametrize("p", [1, 2])
 def test_lof(spark, p):
     rng = np.random.default_rng(2)

@@ -2,10 +2,12 @@
 
 Equal vectors are reduced to one row with a count, so copies never meet each other.  The distinct vectors are
 cut into cells around pivot rows, whose number grows with the square root of the rows.  By the triangle inequality a cell only needs
-the vectors within ``reach`` of its pivot, which are sent to it.  Inside a cell both sides are cut again, into blocks
+the vectors within ``reach`` of its pivot, which are sent to it.  Where most cells would need most vectors (many dimensions), the
+series stays one cell, or every vector would be copied to every cell.  Inside a cell both sides are cut again, into blocks
 around pivots of the cell; each block is known by a ball, and a block of queries meets a block of candidates only
 where their balls are near enough.  Where a cell's candidates fit one block it is not cut; where balls do not tell blocks apart (many dimensions), the cell is
-split by hashes instead.  A task keeps the k best of its block, and the blocks of one query are merged by one
+split by hashes instead.  A task finds the k best of its block by matrix products in single precision with a bound on their error,
+and measures only what may be among them in double precision; and the blocks of one query are merged by one
 window over a few rows.  No pair table is ever written, and no candidate is dropped.
 """
 
@@ -30,6 +32,8 @@ ROWS_PER_PIVOT = 4000
 QUERY_BLOCK = 1024
 BASE_BLOCK = 8192
 BLOCK_ROWS = 512
+LITTLE = 0.4
+ROW_TILE, COLUMN_TILE = 1024, 8192
 
 
 def _metric(p: int):
@@ -112,6 +116,83 @@ def _gaps(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
     return np.sqrt(total, out=total) if p == 2 else total
 
 
+def _rough(u: np.ndarray, v: np.ndarray, p: int) -> np.ndarray:
+    """Distances of two matrices in their own precision; for p = 2 their squares less the squared norms of ``u``."""
+    if p == 2:
+        norms = (v.astype(float) ** 2).sum(1).astype(v.dtype)
+        return np.column_stack([-2 * u, np.ones(len(u), u.dtype)]) @ np.column_stack([v, norms]).T
+    total, left, right = np.zeros((len(u), len(v)), u.dtype), np.ascontiguousarray(u.T), np.ascontiguousarray(v.T)
+    for a in range(0, len(u), 256):  # a tile of three matrices stays in the cache
+        for b in range(0, len(v), 1024):
+            part = np.zeros((min(256, len(u) - a), min(1024, len(v) - b)), u.dtype)
+            gap = np.empty_like(part)
+            for x, y in zip(left[:, a:a + 256], right[:, b:b + 1024], strict=True):
+                np.subtract(x[:, None], y[None], out=gap)
+                np.abs(gap, out=gap)
+                part += gap
+            total[a:a + 256, b:b + 1024] = part
+    return total
+
+
+def _nearest_rows(u: np.ndarray, v: np.ndarray, k: int, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and rows of ``v``, the ``k`` first in the order of (distance, row) for each row of ``u``.
+
+    A rough distance plus the bound on its error tells which pairs can be among them; these are measured as :func:`_gaps` does.
+    """
+    k = min(k, len(v))
+    if not (np.isfinite(u).all() and np.isfinite(v).all()):
+        d = _gaps(u, v, p)
+        j = np.argsort(d, axis=1, kind="stable")[:, :k]
+        return np.take_along_axis(d, j, 1), j
+    best, row = np.full((len(u), k), np.inf), np.full((len(u), k), len(v))
+    with np.errstate(over="ignore", invalid="ignore"):
+        middle = v.mean(0)
+        size = max(np.abs(u - middle).max(initial=0), np.abs(v - middle).max(initial=0)) or 1.0
+        a, b = (u - middle) / size, (v - middle) / size
+    norm = lambda m: (m * m).sum(1) if p == 2 else np.abs(m).sum(1)
+    own, other = norm(a), norm(b)
+    if not (np.isfinite(size) and np.isfinite(own).all() and np.isfinite(other).all()):
+        own = None  # differences leave the range of numbers: every pair is measured
+    columns_u, columns_v = np.ascontiguousarray(u.T), np.ascontiguousarray(v.T)
+    kind = np.float32
+    for lo in range(0, len(u), ROW_TILE):
+        rows = np.arange(lo, min(lo + ROW_TILE, len(u)))
+        for at in range(0, len(v), COLUMN_TILE):
+            there = slice(at, at + COLUMN_TILE)
+            n = len(v[there])
+            if own is None:
+                hit = np.arange(len(rows) * n)
+            else:
+                limit = (best[rows, -1] / size) ** p
+                for kind in (np.float32, np.float64) if kind is np.float32 else (np.float64,):
+                    rough = _rough(a[rows].astype(kind), b[there].astype(kind), p)
+                    slack = np.finfo(kind).eps * (u.shape[1] + 8) * (own[rows] + 2 * other[there].max()) + 1e-30
+                    shift = own[rows] if p == 2 else 0.0
+                    reach = limit + slack
+                    if n >= k and not np.isfinite(limit).all():
+                        reach = np.minimum(reach, np.partition(rough, k - 1, axis=1)[:, k - 1] + shift + 2 * slack)
+                    if np.median(slack) <= 0.01 * np.median(reach):
+                        break
+                hit = np.flatnonzero(rough <= np.minimum(reach - shift + slack, np.finfo(kind).max).astype(kind)[:, None])
+            if not len(hit):
+                continue
+            for few in np.array_split(hit, max(1, len(hit) >> 20)):  # many pairs at equal distances are measured in parts
+                i, j = few // n, few % n + at
+                d = np.zeros(len(few))
+                for x, y in zip(columns_u, columns_v, strict=True):
+                    gap = x[rows[i]] - y[j]
+                    d += gap * gap if p == 2 else np.abs(gap)
+                d = np.sqrt(d) if p == 2 else d
+                some = np.unique(i)
+                i = np.concatenate([np.repeat(some, k), i])
+                d, j = np.concatenate([best[rows[some]].ravel(), d]), np.concatenate([row[rows[some]].ravel(), j])
+                order = np.lexsort((j, d, i))
+                start = np.searchsorted(i[order], some)
+                first = order[start[:, None] + np.arange(k)]
+                best[rows[some]], row[rows[some]] = d[first], j[first]
+    return best, row
+
+
 def _cell_pivots(rows: DataFrame, at: list[str], x: str, block_rows: int) -> DataFrame:
     """(cell, blk, px): one vector for ``block_rows`` rows of a cell, up to four times the root of its rows, chosen by hash."""
     n = rows.groupBy(*at).agg(F.count(F.lit(1)).alias("_n"))
@@ -135,13 +216,9 @@ def _in_blocks(rows: DataFrame, pivots: DataFrame, at: list[str], x: str, p: int
         out = a[names].copy()
         if a.empty or b.empty:
             return out.iloc[:0].assign(blk=0, bd=0.0)
-        own, d = np.zeros(len(a), np.int32), np.zeros(len(a))
         centre, blk = np.stack(b["px"].to_numpy()).astype(float), b["blk"].to_numpy()
-        for lo in range(0, len(a), 1024):
-            gap = _gaps(np.stack(a[x].iloc[lo:lo + 1024].to_numpy()).astype(float), centre, p)
-            best = gap.argmin(1)
-            own[lo:lo + 1024], d[lo:lo + 1024] = blk[best], gap[np.arange(len(best)), best]
-        return out.assign(blk=own, bd=d)
+        gap, best = _nearest_rows(np.stack(a[x].to_numpy()).astype(float), centre, 1, p)
+        return out.assign(blk=blk[best[:, 0]], bd=gap[:, 0])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", blk int, bd double"
     return shared.groupBy(*at, "_part").cogroup(copies.groupBy(*at, "_part")).applyInPandas(near, schema)
@@ -168,8 +245,10 @@ def _block_pairs(q: DataFrame, sent: DataFrame, pivots: DataFrame, at: list[str]
             meets = has[d - rb[has] <= (2 * rq[i] + bound) * (1 + 1e-9) + 1e-9]
             pairs.append((np.full(len(meets), i), meets))
         i, j = (np.concatenate(c) if pairs else np.zeros(0, int) for c in zip(*pairs, strict=True)) if pairs else (np.zeros(0, int),) * 2
-        if len(i) > 0.4 * len(asks) * len(has):
-            out = pd.DataFrame({"qb": [-1], "bb": [-1], "nq": [math.ceil(nq.sum() / query_block)], "nb": [math.ceil(nb.sum() / base_block)]})
+        if len(i) > LITTLE * len(asks) * len(has):
+            # Rows are copied once for every part of the other side: large parts, and some 32 of the queries where that leaves them large enough.
+            part = min(max(nq.sum() / 32, 4 * query_block), 16 * query_block)
+            out = pd.DataFrame({"qb": [-1], "bb": [-1], "nq": [math.ceil(nq.sum() / part)], "nb": [math.ceil(nb.sum() / (8 * base_block))]})
         else:
             out = pd.DataFrame({"qb": blk[i], "bb": blk[j], "nq": np.ceil(nq[i] / query_block), "nb": np.ceil(nb[j] / base_block)})
         for c in reversed(at):
@@ -179,6 +258,12 @@ def _block_pairs(q: DataFrame, sent: DataFrame, pivots: DataFrame, at: list[str]
     return sized(known.groupBy(*at).applyInPandas(solve, schema))
 
 
+def _held(q: DataFrame, sent: DataFrame, at: list[str]) -> DataFrame:
+    """Queries and candidates of each cell that has both."""
+    count = lambda df, n: df.groupBy(*at).agg(F.count(F.lit(1)).alias(n))
+    return sized(count(sent, "_b").join(count(q, "_q"), at))
+
+
 def knn(
     base: DataFrame, k: int, keys: Sequence[str] = KEYS, x: str = "x", id: str = "t", p: int = 2,
     queries: DataFrame | None = None, rows_per_pivot: int = ROWS_PER_PIVOT, query_block: int = QUERY_BLOCK,
@@ -197,18 +282,24 @@ def knn(
     q = s if itself else cut(_assigned(distinct_vectors(queries, keys, x, id), pivots, keys, x, p))
     need = k + 1 if itself else k
     reach = sized(_plan_cells(s, q, pivots, keys, need, p))
-    sent = s.join(reach, list(keys)).select(
-        *keys, "vid", "m", x,
-        F.explode(
-            F.filter(
-                F.sequence(F.lit(0), F.size("reach") - 1),
-                lambda i: F.element_at("pd", i + 1) <= F.element_at("reach", i + 1),
-            )
-        ).alias("cell"),
-    )
     at = [*keys, "cell"]
-    held = sent.groupBy(*at).agg(F.count(F.lit(1)).alias("_b")).join(q.groupBy(*at).agg(F.count(F.lit(1)).alias("_q")), at)
-    held = sized(held)
+
+    def to_cells(rows: DataFrame) -> DataFrame:
+        near = F.filter(F.sequence(F.lit(0), F.size("reach") - 1), lambda i: F.element_at("pd", i + 1) <= F.element_at("reach", i + 1))
+        return rows.join(reach, list(keys)).select(*keys, "vid", "m", x, F.explode(near).alias("cell"))
+
+    sent = to_cells(s)
+    held = _held(q, sent, at)
+    all_rows = s.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    met = held.groupBy(*keys).agg(F.sum(F.col("_b") * F.col("_q")).alias("_met"), F.sum("_q").alias("_asked")).join(all_rows, list(keys))
+    undivided = met.filter((F.col("_n") > base_block) & (F.col("_met") > LITTLE * F.col("_asked") * F.col("_n")))
+    undivided = sized(undivided.select(*keys, F.lit(0).alias("_one")))
+    if not undivided.isEmpty():
+        place = F.coalesce("_one", "cell").alias("cell")
+        whole = s.join(undivided, list(keys)).select(*keys, "vid", "m", x, F.col("_one").alias("cell"))
+        sent = to_cells(s.join(undivided, list(keys), "left_anti")).unionByName(whole)
+        q = q.join(undivided, list(keys), "left").select(*keys, "vid", "m", x, place)
+        held = _held(q, sent, at)
     if held.filter(F.col("_b") > base_block).isEmpty():  # every cell's candidates fit one block
         one = lambda df: df.select(*at, "vid", "m", x, F.lit(-1).alias("blk"), F.lit(0.0).alias("bd"))
         asked, offered = one(q), one(sent)
@@ -243,28 +334,15 @@ def knn(
         bid, bm, aid, am = (c.to_numpy() for c in (b["vid"], b["m"], a["vid"], a["m"]))
         order = np.argsort(bid, kind="stable")
         v, bid, bm = v[order], bid[order], bm[order]
-        total = _gaps(u, v, p)
-        keep = min(need, len(v))
-        part = np.argpartition(total, keep - 1, axis=1)[:, :keep] if keep < len(v) else None
-        out_i, out_j = [], []
-        for i in range(len(u)):
-            row = total[i]
-            if part is None:
-                near = np.arange(len(v))
-            else:
-                # every candidate at the k-th distance stays in, the merge breaks ties by id
-                near = np.flatnonzero(row <= row[part[i]].max())
-            near = near[np.lexsort((bid[near], row[near]))][:keep]
-            out_i.append(np.full(len(near), i))
-            out_j.append(near)
-        i, j = np.concatenate(out_i), np.concatenate(out_j)
+        d, j = _nearest_rows(u, v, need, p)
+        i, d, j = np.repeat(np.arange(len(u)), d.shape[1]), d.ravel(), j.ravel()
         n = bm[j].copy()
         if itself:
             same = bid[j] == aid[i]
             n[same] = am[i][same] - 1
             use = n > 0
-            i, j, n = i[use], j[use], n[use]
-        res = pd.DataFrame({"vid": aid[i], "d": total[i, j], "nb": bid[j], "n": n})
+            i, j, n, d = i[use], j[use], n[use], d[use]
+        res = pd.DataFrame({"vid": aid[i], "d": d, "nb": bid[j], "n": n})
         for c in reversed(names):
             res.insert(0, c, a[c].iloc[0])
         return res[cols]
