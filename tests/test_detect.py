@@ -116,6 +116,36 @@ def test_nearest_rows_are_those_of_all_distances(monkeypatch, p):
             assert np.array_equal(got, order[:, :k]) and np.array_equal(got_d, np.take_along_axis(d, got, 1))
 
 
+def test_manhattan_neighbours_are_first_bounded_in_steps_of_a_byte(monkeypatch):
+    rough = []
+    monkeypatch.setattr(neighbours, "_rough", lambda *a, old=neighbours._rough: rough.append(1) or old(*a))
+    monkeypatch.setattr(neighbours, "COLUMN_TILE", 4500)
+    rng = np.random.default_rng(6)
+    plain, wide = rng.normal(size=(9001, 64)), rng.normal(size=(400, 1030))
+    tails = plain * np.exp(3 * rng.normal(size=(9001, 1)))
+    tails[5] = 1e15
+    groups = np.repeat(rng.normal(size=(30, 21)), 100, axis=0) + 1e-7 * rng.normal(size=(3000, 21))
+    ties = rng.integers(0, 3, (3001, 7)) * 0.1
+    for x, loose in ((plain, False), (tails, None), (groups, None), (ties, None), (wide, True), (np.ones((1600, 5)), True)):
+        rough.clear()
+        u = x[:70]
+        d = neighbours._gaps(u, x, 1)
+        order = np.argsort(d, axis=1, kind="stable")[:, :5]
+        got_d, got = neighbours._nearest_rows(u, x, 5, 1)
+        assert np.array_equal(got, order) and np.array_equal(got_d, np.take_along_axis(d, order, 1))
+        assert loose is None or bool(rough) == loose
+
+
+@pytest.mark.parametrize("shape", [(1, 1, 1), (3, 5, 4), (70, 2049, 9), (65, 4100, 64)])
+def test_sums_of_steps(shape):
+    n, m, dims = shape
+    rng = np.random.default_rng(7)
+    left, right = rng.integers(0, neighbours.LEVELS, (dims, n)).astype(np.int8), rng.integers(0, neighbours.LEVELS, (dims, m)).astype(np.int8)
+    assert np.array_equal(neighbours._step_sums(left, right), sum(np.abs(a[:, None].astype(int) - b) for a, b in zip(left, right, strict=True)))
+    high, low = np.full((dims, n), neighbours.LEVELS - 1, np.int8), np.zeros((dims, m), np.int8)
+    assert (neighbours._step_sums(high, low) == (neighbours.LEVELS - 1) * dims).all()
+
+
 @pytest.mark.parametrize("p", [1, 2])
 def test_lof(spark, p):
     rng = np.random.default_rng(2)

@@ -34,6 +34,9 @@ BASE_BLOCK = 8192
 BLOCK_ROWS = 512
 LITTLE = 0.4
 ROW_TILE, COLUMN_TILE = 1024, 8192
+#: Manhattan distances are first bounded in steps of one byte: steps of a coordinate (four add up to less than 256), coordinates whose sum fits a word, share of a
+#: tile's pairs that may remain, tiles that stay in the cache, pairs measured at a time.
+LEVELS, STEP_DIMS, REMAINING, STEP_ROWS, STEP_COLUMNS, MEASURED = 64, 1024, 0.05, 64, 2048, 1 << 14
 
 
 def _metric(p: int):
@@ -134,10 +137,65 @@ def _rough(u: np.ndarray, v: np.ndarray, p: int) -> np.ndarray:
     return total
 
 
+def _steps(rows: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates (a row each) in whole steps of the range -half to half, those beyond at its ends, and what rounding moved each row by, in steps."""
+    exact = (np.clip(rows, -half, half) + half) * ((LEVELS - 1) / (2 * half))
+    whole = np.rint(exact)
+    return np.ascontiguousarray(whole.T.astype(np.int8)), np.abs(exact - whole).sum(1)
+
+
+def _step_sums(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Manhattan distances between the columns of two matrices of steps. Four coordinates add up in a byte, pairs of bytes are then added to words."""
+    n = right.shape[1]
+    right = np.pad(right, ((0, 0), (0, n % 2)))
+    total = np.empty((left.shape[1], right.shape[1]), np.uint16)
+    for a in range(0, total.shape[0], STEP_ROWS):
+        for b in range(0, total.shape[1], STEP_COLUMNS):
+            tile = total[a:a + STEP_ROWS, b:b + STEP_COLUMNS]
+            part, gap = np.empty(tile.shape, np.int8), np.empty(tile.shape, np.int8)
+            pairs, sum_bytes, gap_bytes = part.view(np.uint16), part.view(np.uint8), gap.view(np.uint8)
+            even, odd, half = (np.zeros(pairs.shape, np.uint16) for _ in range(3))
+            for j in range(0, len(left), 4):
+                for i in range(j, min(j + 4, len(left))):
+                    to = part if i == j else gap
+                    np.subtract(left[i, a:a + STEP_ROWS, None], right[i, None, b:b + STEP_COLUMNS], out=to)
+                    np.abs(to, out=to)
+                    if i > j:
+                        np.add(sum_bytes, gap_bytes, out=sum_bytes)
+                np.bitwise_and(pairs, 255, out=half)
+                even += half
+                np.right_shift(pairs, 8, out=half)
+                odd += half
+            tile[:, ::2], tile[:, 1::2] = even, odd
+    return total[:, :n]
+
+
+def _single(u: np.ndarray, v: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Manhattan distances of pairs of rows in single precision."""
+    out = np.empty(len(i), np.float32)
+    for lo in range(0, len(i), 2048):
+        gap = u[i[lo:lo + 2048]]
+        gap -= v[j[lo:lo + 2048]]
+        np.abs(gap, out=gap).sum(1, out=out[lo:lo + 2048])
+    return out
+
+
+def _measured(columns_u: np.ndarray, columns_v: np.ndarray, i: np.ndarray, j: np.ndarray, p: int) -> np.ndarray:
+    """Distances of pairs of columns, a coordinate at a time as :func:`_gaps` adds them; some pairs at a time, which stay in the cache."""
+    out = np.zeros(len(i))
+    for lo in range(0, len(i), MEASURED):
+        left, right, d = i[lo:lo + MEASURED], j[lo:lo + MEASURED], out[lo:lo + MEASURED]
+        for x, y in zip(columns_u, columns_v, strict=True):
+            gap = x[left] - y[right]
+            d += gap * gap if p == 2 else np.abs(gap)
+    return np.sqrt(out, out=out) if p == 2 else out
+
+
 def _nearest_rows(u: np.ndarray, v: np.ndarray, k: int, p: int) -> tuple[np.ndarray, np.ndarray]:
     """Distances and rows of ``v``, the ``k`` first in the order of (distance, row) for each row of ``u``.
 
-    A rough distance plus the bound on its error tells which pairs can be among them; these are measured as :func:`_gaps` does.
+    A rough distance plus the bound on its error tells which pairs can be among them; these are measured as :func:`_gaps` does. For p = 1 a distance in whole steps, less what
+    rounding to them can add, comes first: values beyond the range of the steps only make it smaller.
     """
     k = min(k, len(v))
     if not (np.isfinite(u).all() and np.isfinite(v).all()):
@@ -154,7 +212,14 @@ def _nearest_rows(u: np.ndarray, v: np.ndarray, k: int, p: int) -> tuple[np.ndar
     if not (np.isfinite(size) and np.isfinite(own).all() and np.isfinite(other).all()):
         own = None  # differences leave the range of numbers: every pair is measured
     columns_u, columns_v = np.ascontiguousarray(u.T), np.ascontiguousarray(v.T)
-    kind = np.float32
+    kind, stepped = np.float32, p == 1 and own is not None and u.shape[1] <= STEP_DIMS
+    if stepped:
+        half = float(np.quantile(np.abs(b[:: max(1, len(b) // 4096)]), 0.99)) or 1.0
+        step = 2 * half / (LEVELS - 1)
+        stepped = step > 0 and np.isfinite(1 / step)
+    if stepped:
+        (steps_u, moved_u), (steps_v, moved_v) = _steps(a, half), _steps(b, half)
+        single_u, single_v = a.astype(np.float32), b.astype(np.float32)
     for lo in range(0, len(u), ROW_TILE):
         rows = np.arange(lo, min(lo + ROW_TILE, len(u)))
         for at in range(0, len(v), COLUMN_TILE):
@@ -163,13 +228,28 @@ def _nearest_rows(u: np.ndarray, v: np.ndarray, k: int, p: int) -> tuple[np.ndar
             if own is None:
                 hit = np.arange(len(rows) * n)
             else:
-                limit = (best[rows, -1] / size) ** p
+                limit, hit = (best[rows, -1] / size) ** p, None
+            if own is not None and stepped:
+                sums, known = _step_sums(steps_u[:, rows], steps_v[:, there]), np.isfinite(limit).all()
+                if n >= k and not known:
+                    some = np.argpartition(sums, k - 1, axis=1)[:, :k]  # any k pairs bound the k-th distance
+                    near = _measured(columns_u, columns_v, np.repeat(rows, k), some.ravel() + at, p)
+                    limit = np.minimum(limit, near.reshape(some.shape).max(1) / size)
+                most = limit / step * (1 + 1e-9) + moved_u[rows] + moved_v[there].max() + 1e-6
+                hit = np.flatnonzero(sums <= np.minimum(most, 65535).astype(np.uint16)[:, None])
+                if len(hit) > REMAINING * sums.size:
+                    hit, stepped = None, not known  # steps too wide to tell these vectors apart
+                else:
+                    i, j = np.divmod(hit, n)
+                    enough = limit + np.finfo(np.float32).eps * (u.shape[1] + 8) * (own[rows] + 2 * other[there].max()) + 1e-30
+                    hit = hit[_single(single_u, single_v, i + lo, j + at) <= enough[i]]
+            if hit is None:
                 for kind in (np.float32, np.float64) if kind is np.float32 else (np.float64,):
                     rough = _rough(a[rows].astype(kind), b[there].astype(kind), p)
                     slack = np.finfo(kind).eps * (u.shape[1] + 8) * (own[rows] + 2 * other[there].max()) + 1e-30
                     shift = own[rows] if p == 2 else 0.0
                     reach = limit + slack
-                    if n >= k and not np.isfinite(limit).all():
+                    if n >= k and not np.isfinite(best[rows, -1]).all():
                         reach = np.minimum(reach, np.partition(rough, k - 1, axis=1)[:, k - 1] + shift + 2 * slack)
                     if np.median(slack) <= 0.01 * np.median(reach):
                         break
@@ -178,11 +258,7 @@ def _nearest_rows(u: np.ndarray, v: np.ndarray, k: int, p: int) -> tuple[np.ndar
                 continue
             for few in np.array_split(hit, max(1, len(hit) >> 20)):  # many pairs at equal distances are measured in parts
                 i, j = few // n, few % n + at
-                d = np.zeros(len(few))
-                for x, y in zip(columns_u, columns_v, strict=True):
-                    gap = x[rows[i]] - y[j]
-                    d += gap * gap if p == 2 else np.abs(gap)
-                d = np.sqrt(d) if p == 2 else d
+                d = _measured(columns_u, columns_v, rows[i], j, p)
                 some = np.unique(i)
                 i = np.concatenate([np.repeat(some, k), i])
                 d, j = np.concatenate([best[rows[some]].ravel(), d]), np.concatenate([row[rows[some]].ravel(), j])
