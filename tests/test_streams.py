@@ -3,6 +3,7 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -396,3 +397,19 @@ def test_waiting_events_cost_a_key_one_timer_and_few_entries():
     got = pd.concat(out)["event_id"].tolist()
     due = rows[rows["ts"].dt.floor("600s") + pd.Timedelta(seconds=600) <= mark].sort_values("ts")["event_id"].tolist()
     assert got == due and len(timers) == 1 and states["waiting"].puts < 12
+
+
+def test_rows_of_a_key_reach_the_windows_in_blocks(spark):
+    from tidemark.streaming import ordered
+
+    rows = [(k, i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i // 3), float(i), "unused") for i, k in enumerate(["a", None, "b", "a"] * 50)]
+    rows[7] = ("a", None, None, None, "unused")
+    events = spark.createDataFrame(rows, "kind string, n long, at timestamp, v double, props string").coalesce(1)
+    processor = ordered.WindowScore("centres", 3, True, "at", "n", ["v"])
+    got = ordered.in_blocks(events, "kind", processor).collect()
+    assert sorted(str(r["kind"]) for r in got) == ["None", "a", "b"]  # 200 rows in three
+    for r in got:
+        have = np.frombuffer(bytes(r["rows"]), ordered.EVENT)
+        mine = processor.packed(pd.DataFrame([x for x in rows if x[0] == r["kind"]], columns=events.columns))
+        assert len(have) == len(mine) and all(np.array_equal(have[c], mine[c], equal_nan=c == "value") for c in ("event_id", "nameless", "value"))
+        assert np.array_equal(have["ts"] == ordered.FOREVER, mine["ts"] == ordered.FOREVER)

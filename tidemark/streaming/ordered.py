@@ -21,7 +21,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators.detect.cluster import window_rows
 from ..operators.detect.density import hbos_points
 
-HELD_ROWS = 1 << 17
+HELD_ROWS = 1 << 20
 WAITING_ROWS = 1024
 FOREVER = int(np.iinfo(np.int64).max)
 FRESH = (0, 0, FOREVER, FOREVER)
@@ -110,6 +110,7 @@ class InOrder(StatefulProcessor):
 
     def __init__(self, order: str, name: str, values: Sequence[str], held: int = HELD_ROWS, bucket: int | None = None, forget: int | None = None):
         self.order, self.name, self.values, self.held, self.bucket, self.forget = order, name, list(values), held, bucket, forget
+        self.blocks = False  # rows come as they are, not by in_blocks
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -146,7 +147,8 @@ class InOrder(StatefulProcessor):
         return ids
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        pieces = (self.packed(pdf) for pdf in rows)
+        kind = event_type(len(self.values))
+        pieces = (piece for pdf in rows for piece in ([np.frombuffer(b, kind) for b in pdf["rows"]] if self.blocks else [self.packed(pdf)]))
         if not self.bucket:
             yield from self.score(key, in_time_order(pieces, self.held, _Runs(self.runs)))
             return
@@ -231,6 +233,23 @@ class InOrder(StatefulProcessor):
         pass
 
 
+def in_blocks(events: DataFrame, key: str, processor: InOrder) -> DataFrame:
+    """``key, rows``: the rows that a task reads of a key, packed some thousands at a time. A stateful operator takes its input apart row by row in Python, in one task for a key."""
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if len(pdf):
+                code, _ = pd.factorize(pdf[key], use_na_sentinel=False)
+                order = np.argsort(code, kind="stable")
+                first = np.flatnonzero(np.diff(code[order], prepend=-1))
+                blocks = np.split(processor.packed(pdf)[order], first[1:])
+                yield pdf[[key]].iloc[order[first]].assign(rows=[b.tobytes() for b in blocks])
+
+    processor.blocks = True
+    columns = dict.fromkeys([key, processor.order, processor.name, *processor.values])
+    return events.select(*columns).mapInPandas(pack, f"`{key}` {events.schema[key].dataType.simpleString()}, rows binary")
+
+
 class RunningScore(InOrder):
     """z-score of every event against the earlier events of its key, and against its last ``width`` values.
 
@@ -381,5 +400,5 @@ def score_windows(
     time = {"held": held} if late is None else {"held": held, "bucket": bucket, "forget": forget}
     processor = WindowScore(kind, window, normalise, order, name, list(values), **time)
     if late is None:
-        return events.groupBy(key).transformWithStateInPandas(processor, out, "append", "none", initial)
+        return in_blocks(events, key, processor).groupBy(key).transformWithStateInPandas(processor, out, "append", "none", initial)
     return events.withWatermark(order, late).groupBy(key).transformWithStateInPandas(processor, out, "append", "EventTime", initial)
