@@ -121,3 +121,23 @@ def test_ties_repeated_rows_and_no_rows(spark, tmp_path, tokenizer):
     assert sorted(bytes(r.ids) for r in read_tokens(spark, str(tmp_path / "c")).collect()) == sorted(bytes(r.ids) for r in got)
     with open(tmp_path / "b" / "_manifest.json") as f:
         assert json.load(f) == []
+
+
+def test_new_pieces_are_searched_for_other_white_space_together(tokenizer):
+    class Counted:
+        def __init__(self, pattern):
+            self.pattern, self.calls = pattern, 0
+
+        def search(self, text):
+            self.calls += 1
+            return self.pattern.search(text)
+
+    with open(DEFINITION, "rb") as f:
+        encoder = PieceEncoder(f.read())
+    encoder._OTHER = Counted(PieceEncoder._OTHER)
+    plain = [" ".join(f"word{i}x{j}" for i in range(100)) for j in range(10)]
+    odd = ["a b word1x1  new\n", "​", "end \x0b"]
+    for texts, calls in ((plain, 1), (plain, 1), (odd + plain, None)):
+        got = encoder.encode(pa.array(texts))
+        assert [x.tolist() for x in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert calls is None or encoder._OTHER.calls == calls

@@ -341,20 +341,22 @@ class PieceEncoder:
 
     def _learn(self, pieces: list[bytes]) -> set[bytes]:
         """Encode new pieces: all that start with a blank and end otherwise as one text, cut again by the bytes that tokens stand for. Returns the pieces that cannot stand alone."""
-        named = [(p, p.decode("utf-8", "replace")) for p in pieces]
-        odd = {p for p, t in named if self._OTHER.search(t)}
-        joint = [(p, t) for p, t in named if p not in odd and t[0] in self._BLANKS and t[-1] not in self._BLANKS]
-        alone = [(p, t) for p, t in named if p not in odd and (t[0] not in self._BLANKS or t[-1] in self._BLANKS)]
+        blank, odd, joint, alone = self._BLANKS.encode(), set(), [], []
+        if self._OTHER.search(b"".join(pieces).decode("utf-8", "replace")):
+            odd = {p for p in pieces if self._OTHER.search(p.decode("utf-8", "replace"))}
+            pieces = [p for p in pieces if p not in odd]
+        for p in pieces:
+            (joint if p[0] in blank and p[-1] not in blank else alone).append(p)
         if joint:
-            ids = np.frombuffer(self._ids(["".join([t for _, t in joint])])[0], "<u4")
-            reached, ends = np.append(0, np.cumsum(self.bytes[ids])), np.cumsum([len(p) for p, _ in joint])
+            ids = np.frombuffer(self._ids([b"".join(joint).decode("utf-8", "replace")])[0], "<u4")
+            reached, ends = np.append(0, np.cumsum(self.bytes[ids])), np.cumsum(np.fromiter(map(len, joint), np.int64, len(joint)))
             at = np.searchsorted(reached, ends)
             if reached[-1] == ends[-1] and (reached[at] == ends).all():
                 data, stops = ids.tobytes(), (4 * at).tolist()
-                self.new.update(zip((p for p, _ in joint), [data[a:z] for a, z in zip([0, *stops[:-1]], stops, strict=True)], strict=True))
+                self.new.update(zip(joint, [data[a:z] for a, z in zip([0, *stops[:-1]], stops, strict=True)], strict=True))
             else:
                 alone += joint
-        self.new.update(zip((p for p, _ in alone), self._ids([t for _, t in alone]), strict=True))
+        self.new.update(zip(alone, self._ids([p.decode("utf-8", "replace") for p in alone]), strict=True))
         return odd
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
@@ -370,7 +372,7 @@ class PieceEncoder:
         starts = np.flatnonzero(first)
         offsets = np.append(starts, bounds[-1]).astype("<i8")
         pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
-        index, distinct = pieces.indices.to_numpy(), pieces.dictionary.to_pylist()
+        index, distinct = pieces.indices.to_numpy(), pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
 
         found, odd = list(map(self.new.get, distinct)), set()
         missing = [p for p, ids in zip(distinct, found, strict=True) if ids is None]
@@ -379,7 +381,7 @@ class PieceEncoder:
                 self.old, self.new, missing = self.new, {}, distinct
             self.new.update((p, self.old[p]) for p in missing if p in self.old)
             odd = self._learn([p for p in missing if p not in self.new])
-            found = [self.new.get(p, b"") for p in distinct]
+            found = [self.new.get(p, b"") if ids is None else ids for p, ids in zip(distinct, found, strict=True)]
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), "<u4")
         count = sizes[index]
