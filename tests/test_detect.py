@@ -1,6 +1,7 @@
 """Detectors against numpy, and independence from the chunk size."""
 
 import math
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -116,6 +117,57 @@ def test_nearest_rows_are_those_of_all_distances(monkeypatch, p):
             assert np.array_equal(got, order[:, :k]) and np.array_equal(got_d, np.take_along_axis(d, got, 1))
 
 
+def test_products_are_looked_through_in_small_tiles():
+    rng = np.random.default_rng(6)
+    u, v = rng.normal(size=(1024, 8)), rng.normal(size=(40_000, 8))
+    tracemalloc.start()
+    got_d, got = neighbours._nearest_rows(u, v, 5, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    d = neighbours._gaps(u[:50], v, 2)
+    want = np.argsort(d, axis=1, kind="stable")[:, :5]
+    assert np.array_equal(got[:50], want) and np.array_equal(got_d[:50], np.take_along_axis(d, want, 1))
+    assert peak < 32 << 20, peak  # one product of 1,024 by 8,192 and its ranking were 64 MB
+
+
+@pytest.mark.parametrize("shape", [(1, 1), (3, 7), (300, 1030), (257, 2049), (0, 5)])
+def test_few_products_within_a_bound(shape):
+    rng = np.random.default_rng(8)
+    left, right = rng.normal(size=(shape[0], 3)).astype(np.float32), rng.normal(size=(shape[1], 3)).astype(np.float32)
+    most = rng.normal(size=shape[0]).astype(np.float32) - 2
+    most[::5] = np.finfo(np.float32).max
+    product = left.astype(float) @ right.T.astype(float)
+    sure = np.abs(product - most[:, None]) > 1e-4
+    got = np.zeros(shape, bool)
+    got.reshape(-1)[neighbours._within(left, right, most)] = True
+    assert np.array_equal(got[sure], (product <= most[:, None])[sure])
+
+
+@pytest.mark.parametrize("p", [1, 2])
+def test_distances_to_pivots_are_measured_by_columns(spark, monkeypatch, p):
+    monkeypatch.setattr(neighbours, "BASE_BLOCK", 40)  # several tasks for a key
+    rng = np.random.default_rng(3)
+    x, pv = rng.normal(size=(150, 6)), rng.normal(size=(9, 6))
+    x[0, 0], x[1, 1], pv[2, 3] = np.nan, np.inf, np.nan
+    rows = vectors(spark, x).withColumnRenamed("t", "vid").withColumn("m", F.lit(1)).unionByName(
+        spark.createDataFrame([("a", 150, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1)], "series_id string, vid int, x array<double>, m int"))
+    pivots = spark.createDataFrame([("a", pv.tolist())], "series_id string, pv array<array<double>>")
+    out = neighbours._assigned(rows, pivots, ["series_id"], "x", p)
+    assert "transform(" not in out._jdf.queryExecution().toString()  # one interpreted step of the JVM for each number
+    got = out.orderBy("vid").collect()
+    assert [r["vid"] for r in got] == list(range(151)) and got[150]["pd"] is None and got[150]["cell"] is None and got[150]["x"][1] is None
+    d = neighbours._gaps(x, pv, p)
+    assert np.array_equal(np.array([r["pd"] for r in got[:150]]), d, equal_nan=True)
+    assert [r["cell"] for r in got[:2]] == [0, 0]  # no number, and infinite but for pivot 2
+    assert [r["cell"] for r in got[2:150]] == np.nanargmin(d[2:], axis=1).tolist()
+
+
+def test_missing_vectors_are_no_neighbours(spark):
+    x = np.random.default_rng(5).normal(size=(60, 2))
+    df = vectors(spark, x).unionByName(spark.createDataFrame([("a", 60 + i, None) for i in range(3)], "series_id string, t int, x array<double>"))
+    assert np.allclose(scores(neighbours.knn_score(df, 3, rows_per_pivot=1)), brute_knn(x, 3)[:, -1])
+
+
 def test_manhattan_neighbours_are_first_bounded_in_steps_of_a_byte(monkeypatch):
     rough = []
     monkeypatch.setattr(neighbours, "_rough", lambda *a, old=neighbours._rough: rough.append(1) or old(*a))

@@ -18,11 +18,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...functions.scalars import hash_share
-from ...functions.vectors import distance
 from ...plans.attach import attach, sized
 from ...session import cut
 
@@ -34,24 +34,16 @@ BASE_BLOCK = 8192
 BLOCK_ROWS = 512
 LITTLE = 0.4
 ROW_TILE, COLUMN_TILE = 1024, 8192
+#: Tiles of matrix products that stay in the cache; columns by eights.
+NEAR_ROWS, NEAR_COLUMNS, FIRST_COLUMNS = 256, 1024, 2048
 #: Manhattan distances are first bounded in steps of one byte: steps of a coordinate (four add up to less than 256), coordinates whose sum fits a word, share of a
 #: tile's pairs that may remain, tiles that stay in the cache, pairs measured at a time.
-LEVELS, STEP_DIMS, REMAINING, STEP_ROWS, STEP_COLUMNS, MEASURED = 64, 1024, 0.05, 64, 2048, 1 << 14
-
-
-def _metric(p: int):
-    if p == 2:
-        return distance
-
-    def manhattan(a: Column, b: Column) -> Column:
-        return F.aggregate(F.zip_with(a, b, lambda u, v: F.abs(u - v)), F.lit(0.0), lambda s, v: s + v)
-
-    return manhattan
+LEVELS, STEP_DIMS, REMAINING, STEP_ROWS, STEP_COLUMNS, MEASURED = 64, 1024, 0.05, 64, 2048, 512
 
 
 def distinct_vectors(df: DataFrame, keys: Sequence[str] = KEYS, x: str = "x", id: str = "t") -> DataFrame:
     """One row per distinct vector: smallest id and number of copies."""
-    return df.groupBy(*keys, x).agg(F.min(id).alias("vid"), F.count(F.lit(1)).alias("m"))
+    return df.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.min(id).alias("vid"), F.count(F.lit(1)).alias("m"))
 
 
 def _pivots(base: DataFrame, keys, x: str, rows_per_pivot: int) -> DataFrame:
@@ -70,10 +62,30 @@ def _pivots(base: DataFrame, keys, x: str, rows_per_pivot: int) -> DataFrame:
 
 
 def _assigned(rows: DataFrame, pivots: DataFrame, keys, x: str, p: int) -> DataFrame:
-    """Distances ``pd`` to all pivots of the key, and the nearest one as ``cell``."""
-    metric = _metric(p)
-    out = rows.join(pivots, list(keys)).withColumn("pd", F.transform("pv", lambda c: metric(F.col(x), c))).drop("pv")
-    return out.withColumn("cell", (F.array_position("pd", F.array_min("pd")) - 1).cast("int"))
+    """Distances ``pd`` to all pivots of the key, and the nearest one as ``cell``. A key's rows are shared out among tasks, which measure them by columns of numbers."""
+    whole = F.forall(x, lambda c: c.isNotNull())  # vectors with a gap have no distance
+    parts = sized(rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BASE_BLOCK).cast("int").alias("_parts")))
+    shared = rows.filter(whole).join(parts, list(keys)).withColumn("_part", F.pmod(F.xxhash64("vid", F.lit(3)), F.col("_parts")).cast("int")).drop("_parts")
+    copies = pivots.join(parts, list(keys)).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    copies = copies.select(*[F.col(c).alias(c) for c in copies.columns])
+    names = rows.columns
+
+    def measure(a: pa.Table, b: pa.Table) -> pa.Table:  # Arrow keeps what is not a number, pandas makes it null
+        a, d, cell = a.select(names), np.zeros((0, 0)), np.zeros(0, int)
+        if a.num_rows and b.num_rows:
+            u, v = np.stack(a[x].to_numpy()).astype(float), np.array(b["pv"][0].as_py(), float)
+            d = np.concatenate([_gaps(u[lo:lo + 512], v, p) for lo in range(0, len(u), 512)])
+            unknown = np.isnan(d)
+            cell = np.where(unknown, np.inf, d).argmin(1)
+            lost = unknown[np.arange(len(d)), cell]  # all others are infinite, or there are none
+            cell[lost] = unknown[lost].argmin(1)
+        ends = np.arange(len(d) + 1, dtype=np.int32) * d.shape[1]
+        out = a.slice(0, len(d)).append_column("pd", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(d.ravel())))
+        return out.append_column("cell", pa.array(cell, pa.int32()))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", pd array<double>, cell int"
+    out = shared.groupBy(*keys, "_part").cogroup(copies.groupBy(*keys, "_part")).applyInArrow(measure, schema)
+    return out.unionByName(rows.filter(~whole).withColumns({"pd": F.lit(None).cast("array<double>"), "cell": F.lit(None).cast("int")}))
 
 
 def _plan_cells(base: DataFrame, queries: DataFrame, pivots: DataFrame, keys, need: int, p: int) -> DataFrame:
@@ -119,11 +131,36 @@ def _gaps(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
     return np.sqrt(total, out=total) if p == 2 else total
 
 
-def _rough(u: np.ndarray, v: np.ndarray, p: int) -> np.ndarray:
-    """Distances of two matrices in their own precision; for p = 2 their squares less the squared norms of ``u``."""
-    if p == 2:
-        norms = (v.astype(float) ** 2).sum(1).astype(v.dtype)
-        return np.column_stack([-2 * u, np.ones(len(u), u.dtype)]) @ np.column_stack([v, norms]).T
+def _factors(u: np.ndarray, v: np.ndarray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Two matrices in the given precision; the products of their rows are squared distances less the squared norms of ``u``."""
+    u, v = u.astype(kind), v.astype(kind)
+    norms = (v.astype(float) ** 2).sum(1).astype(kind)
+    return np.column_stack([-2 * u, np.ones(len(u), kind)]), np.column_stack([v, norms])
+
+
+def _within(left: np.ndarray, right: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Places (row by row, in no order) of the few products of rows that are at most ``most`` of the left row. Tiles stay in the cache and are looked through
+    eight pairs at a time."""
+    found, n = [np.zeros(0, int)], len(right)
+    room, mark = np.empty(NEAR_ROWS * NEAR_COLUMNS, left.dtype), np.zeros((NEAR_ROWS, NEAR_COLUMNS), bool)
+    for lo in range(0, len(left), NEAR_ROWS):
+        rows = left[lo:lo + NEAR_ROWS]
+        for at in range(0, n, NEAR_COLUMNS):
+            columns = right[at:at + NEAR_COLUMNS]
+            shape = len(rows), len(columns)
+            product = np.matmul(rows, columns.T, out=room[:shape[0] * shape[1]].reshape(shape))
+            mark[:, shape[1]:] = False
+            np.less_equal(product, most[lo:lo + NEAR_ROWS, None], out=mark[:shape[0], :shape[1]])
+            some = np.flatnonzero(mark[:shape[0]].view(np.uint64) != 0)
+            if len(some):
+                eight, k = np.nonzero(mark.reshape(-1, 8)[some])
+                i, j = np.divmod(some[eight] * 8 + k, NEAR_COLUMNS)
+                found.append((i + lo) * n + j + at)
+    return np.concatenate(found)
+
+
+def _rough(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Manhattan distances of two matrices in their own precision."""
     total, left, right = np.zeros((len(u), len(v)), u.dtype), np.ascontiguousarray(u.T), np.ascontiguousarray(v.T)
     for a in range(0, len(u), 256):  # a tile of three matrices stays in the cache
         for b in range(0, len(v), 1024):
@@ -180,14 +217,14 @@ def _single(u: np.ndarray, v: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.nd
     return out
 
 
-def _measured(columns_u: np.ndarray, columns_v: np.ndarray, i: np.ndarray, j: np.ndarray, p: int) -> np.ndarray:
-    """Distances of pairs of columns, a coordinate at a time as :func:`_gaps` adds them; some pairs at a time, which stay in the cache."""
+def _measured(u: np.ndarray, v: np.ndarray, i: np.ndarray, j: np.ndarray, p: int) -> np.ndarray:
+    """Distances of pairs of rows, a coordinate at a time as :func:`_gaps` adds them; some pairs at a time, which stay in the cache."""
     out = np.zeros(len(i))
     for lo in range(0, len(i), MEASURED):
-        left, right, d = i[lo:lo + MEASURED], j[lo:lo + MEASURED], out[lo:lo + MEASURED]
-        for x, y in zip(columns_u, columns_v, strict=True):
-            gap = x[left] - y[right]
-            d += gap * gap if p == 2 else np.abs(gap)
+        gap, d = u[i[lo:lo + MEASURED]], out[lo:lo + MEASURED]
+        gap -= v[j[lo:lo + MEASURED]]
+        for part in np.multiply(gap, gap, out=gap).T.copy() if p == 2 else np.abs(gap, out=gap).T.copy():
+            d += part
     return np.sqrt(out, out=out) if p == 2 else out
 
 
@@ -207,12 +244,11 @@ def _nearest_rows(u: np.ndarray, v: np.ndarray, k: int, p: int) -> tuple[np.ndar
         middle = v.mean(0)
         size = max(np.abs(u - middle).max(initial=0), np.abs(v - middle).max(initial=0)) or 1.0
         a, b = (u - middle) / size, (v - middle) / size
-    norm = lambda m: (m * m).sum(1) if p == 2 else np.abs(m).sum(1)
+    norm = lambda m: np.einsum("ij,ij->i", m, m) if p == 2 else np.abs(m).sum(1)
     own, other = norm(a), norm(b)
     if not (np.isfinite(size) and np.isfinite(own).all() and np.isfinite(other).all()):
         own = None  # differences leave the range of numbers: every pair is measured
-    columns_u, columns_v = np.ascontiguousarray(u.T), np.ascontiguousarray(v.T)
-    kind, stepped = np.float32, p == 1 and own is not None and u.shape[1] <= STEP_DIMS
+    kind, factors, stepped = np.float32, {}, p == 1 and own is not None and u.shape[1] <= STEP_DIMS
     if stepped:
         half = float(np.quantile(np.abs(b[:: max(1, len(b) // 4096)]), 0.99)) or 1.0
         step = 2 * half / (LEVELS - 1)
@@ -220,10 +256,14 @@ def _nearest_rows(u: np.ndarray, v: np.ndarray, k: int, p: int) -> tuple[np.ndar
     if stepped:
         (steps_u, moved_u), (steps_v, moved_v) = _steps(a, half), _steps(b, half)
         single_u, single_v = a.astype(np.float32), b.astype(np.float32)
+    # Only the first columns are ranked, the next ones are held against the best so far: for p = 2 few at first, then as many as before them.
+    tiles = [0]
+    while tiles[-1] < len(v):
+        tiles.append(tiles[-1] + (min(max(tiles[-1], FIRST_COLUMNS, k), COLUMN_TILE) if p == 2 else COLUMN_TILE))
     for lo in range(0, len(u), ROW_TILE):
         rows = np.arange(lo, min(lo + ROW_TILE, len(u)))
-        for at in range(0, len(v), COLUMN_TILE):
-            there = slice(at, at + COLUMN_TILE)
+        for at, end in zip(tiles, tiles[1:], strict=False):
+            there = slice(at, end)
             n = len(v[there])
             if own is None:
                 hit = np.arange(len(rows) * n)
@@ -233,7 +273,7 @@ def _nearest_rows(u: np.ndarray, v: np.ndarray, k: int, p: int) -> tuple[np.ndar
                 sums, known = _step_sums(steps_u[:, rows], steps_v[:, there]), np.isfinite(limit).all()
                 if n >= k and not known:
                     some = np.argpartition(sums, k - 1, axis=1)[:, :k]  # any k pairs bound the k-th distance
-                    near = _measured(columns_u, columns_v, np.repeat(rows, k), some.ravel() + at, p)
+                    near = _measured(u, v, np.repeat(rows, k), some.ravel() + at, p)
                     limit = np.minimum(limit, near.reshape(some.shape).max(1) / size)
                 most = limit / step * (1 + 1e-9) + moved_u[rows] + moved_v[there].max() + 1e-6
                 hit = np.flatnonzero(sums <= np.minimum(most, 65535).astype(np.uint16)[:, None])
@@ -244,21 +284,28 @@ def _nearest_rows(u: np.ndarray, v: np.ndarray, k: int, p: int) -> tuple[np.ndar
                     enough = limit + np.finfo(np.float32).eps * (u.shape[1] + 8) * (own[rows] + 2 * other[there].max()) + 1e-30
                     hit = hit[_single(single_u, single_v, i + lo, j + at) <= enough[i]]
             if hit is None:
+                bounded = np.isfinite(best[rows, -1]).all()
                 for kind in (np.float32, np.float64) if kind is np.float32 else (np.float64,):
-                    rough = _rough(a[rows].astype(kind), b[there].astype(kind), p)
                     slack = np.finfo(kind).eps * (u.shape[1] + 8) * (own[rows] + 2 * other[there].max()) + 1e-30
                     shift = own[rows] if p == 2 else 0.0
-                    reach = limit + slack
-                    if n >= k and not np.isfinite(best[rows, -1]).all():
+                    reach, rough = limit + slack, None
+                    if p == 2 and kind not in factors:
+                        factors = {kind: _factors(a, b, kind)}
+                    if p == 1:
+                        rough = _rough(a[rows].astype(kind), b[there].astype(kind))
+                    elif not bounded:
+                        rough = factors[kind][0][rows] @ factors[kind][1][there].T
+                    if n >= k and not bounded:
                         reach = np.minimum(reach, np.partition(rough, k - 1, axis=1)[:, k - 1] + shift + 2 * slack)
                     if np.median(slack) <= 0.01 * np.median(reach):
                         break
-                hit = np.flatnonzero(rough <= np.minimum(reach - shift + slack, np.finfo(kind).max).astype(kind)[:, None])
+                most = np.minimum(reach - shift + slack, np.finfo(kind).max).astype(kind)
+                hit = _within(factors[kind][0][rows], factors[kind][1][there], most) if rough is None else np.flatnonzero(rough <= most[:, None])
             if not len(hit):
                 continue
             for few in np.array_split(hit, max(1, len(hit) >> 20)):  # many pairs at equal distances are measured in parts
                 i, j = few // n, few % n + at
-                d = _measured(columns_u, columns_v, rows[i], j, p)
+                d = _measured(u, v, rows[i], j, p)
                 some = np.unique(i)
                 i = np.concatenate([np.repeat(some, k), i])
                 d, j = np.concatenate([best[rows[some]].ravel(), d]), np.concatenate([row[rows[some]].ravel(), j])
@@ -355,7 +402,7 @@ def knn(
     s = cut(distinct_vectors(base, keys, x, id))
     pivots = sized(_pivots(s, keys, x, rows_per_pivot))
     s = cut(_assigned(s, pivots, keys, x, p))
-    q = s if itself else cut(_assigned(distinct_vectors(queries, keys, x, id), pivots, keys, x, p))
+    q = s if itself else cut(_assigned(cut(distinct_vectors(queries, keys, x, id)), pivots, keys, x, p))
     need = k + 1 if itself else k
     reach = sized(_plan_cells(s, q, pivots, keys, need, p))
     at = [*keys, "cell"]
